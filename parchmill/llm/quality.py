@@ -83,7 +83,11 @@ def ledger(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
         out = out.withColumn(name, value)
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
     out = out.withColumn("failed_bits", bits)
-    return out.select(*[F.col("__pm_row")[c].alias(c) for c in columns], *[F.col(m).alias(prefix + m) for m in MEASURES], F.col("failed_bits").alias(prefix + "failed_bits"))
+    # a filter on the ledger must not be pushed into the measures, which would evaluate them
+    # anew inside each other; it isn't pushed through a generator
+    judged = F.inline(F.array(F.struct(*[F.col(m).alias(prefix + m) for m in (*MEASURES, "failed_bits")])))
+    measured = out.select("__pm_row", judged)
+    return measured.select(*[F.col("__pm_row")[c].alias(c) for c in columns], *[prefix + m for m in (*MEASURES, "failed_bits")])
 
 
 def kept(bits: Column, policy: str = CURRENT) -> Column:
