@@ -6,8 +6,8 @@ a global order of shingles (rarest first): two sets within the threshold share a
 shingle among the first ``n - ceil(t * n) + 1`` of each.  Texts whose first shingles
 occur in no other text are thereby alone.  For the others:
 
-1. each shared leading shingle elects a *pivot*, the member with the smallest share
-   of unique shingles, that is the most central copy;
+1. each shared leading shingle elects a *pivot*, the member with the smallest key; keys
+   begin with the share of unique shingles, so that is a most central copy;
 2. a text enters the region of every pivot that its leading shingles elect, so that
    any two linked texts meet in at least one region (replication over borders);
 3. in a region all distances to the pivot are computed.  The ball of the threshold
@@ -47,6 +47,21 @@ FREQUENT, TOLD = 16, 512
 FLUSH = 4_000_000
 
 
+#: Keys that a task remembers, to send the set of a copy once.
+REMEMBERED = 1_000_000
+
+
+def pack_set(shingles: np.ndarray) -> bytes:
+    """The 48 high bits of sorted hashes, 6 bytes each."""
+    return (shingles >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def set_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set; 0 for the empty set."""
     return mix(row_sums(mix(shingles ^ U(0x5851F42D4C957F2D)), bounds) ^ (np.diff(bounds).astype(U) << U(40)))
@@ -159,11 +174,15 @@ class ShingleOrder:
 
 
 def _describe(width: int, threshold: Fraction, order) -> Callable:
-    """(doc_id, text) -> (doc_id, key, n) and, where leading shingles are shared: unique shingles, set, leading ones."""
+    """(doc_id, text) -> (doc_id, key, n) and, where leading shingles are shared, the set and the leading ones.
+
+    Copies in one task send their set once.  A key is the share of unique shingles in eighths
+    of the leading ones and 60 bits of the set's hash.
+    """
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = order.value
+        table, seen = order.value, set()
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 shingles, bounds = shingle_sets(words(data, offsets), width)
@@ -172,29 +191,35 @@ def _describe(width: int, threshold: Fraction, order) -> Callable:
                 unique = row_sums((~shared).astype(np.int64), bounds)
                 leading = n - (num * n + den - 1) // den + 1
                 sets, prefixes = [None] * len(n), [None] * len(n)
+                share = np.minimum(8 * unique // np.maximum(leading, 1), 7).astype(U)
+                keys = ((share << U(60)) | (set_keys(shingles, bounds) >> U(4))).view(np.int64)
                 for d in np.flatnonzero((unique < leading) & (n > 0)).tolist():
+                    if (key := int(keys[d])) in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
                     own = shingles[bounds[d] : bounds[d + 1]]
                     common = own[shared[bounds[d] : bounds[d + 1]]]
                     front = common[np.argsort(table.levels(common), kind="stable")[: leading[d] - unique[d]]]
-                    sets[d], prefixes[d] = own.tobytes(), front.tobytes()
+                    sets[d], prefixes[d] = pack_set(own), front.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(set_keys(shingles, bounds).view(np.int64)), pa.array(n), pa.array(unique), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "key", "n", "n_unique", "shingles", "leading"],
+                    [batch.column(0).slice(first, end - first), pa.array(keys), pa.array(n), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())],
+                    names=["doc_id", "key", "n", "shingles", "leading"],
                 )
 
     return run
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each leading shingle: (shingle, share of unique shingles, key)."""
+    """A row (shingle, key) for each leading shingle."""
     for batch in batches:
-        key, n, unique = (batch.column(k).to_numpy() for k in range(3))
-        fronts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
-        many = [len(x) for x in fronts]
+        key = batch.column(0).to_numpy()
+        fronts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        owners = np.repeat(key, [len(x) for x in fronts])
         every = np.concatenate(fronts) if fronts else np.zeros(0, np.int64)
         for a in range(0, len(every), 1 << 17):
-            rows = np.repeat(np.arange(len(many)), many)[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(every[a : a + (1 << 17)]), pa.array((1000 * unique // np.maximum(n, 1))[rows]), pa.array(key[rows])], names=["shingle", "far", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(every[a : a + (1 << 17)]), pa.array(owners[a : a + (1 << 17)])], names=["shingle", "key"])
 
 
 class _Forest:
@@ -254,7 +279,7 @@ def _join_regions(threshold: Fraction) -> Callable:
         def done() -> pa.RecordBatch:
             keys, u, v = list(members), [], []
             if len(keys) > 1:
-                sets = [np.frombuffer(members[k], U) for k in keys]
+                sets = [unpack_set(members[k]) for k in keys]
                 roots = join_region(sets, keys.index(region[0]) if region[0] in members else 0, threshold)
                 u, v = [k for k, r in zip(keys, roots) if keys[r] != k], [keys[r] for k, r in zip(keys, roots) if keys[r] != k]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -289,12 +314,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blobs = texts.select("text").mapInArrow(_count_blobs(width), "part int, blob binary")
     ranges = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_count_ranges, "part int, shared binary, often binary, level binary")
     order = spark.sparkContext.broadcast(ShingleOrder(ranges.collect()))  # 1024 rows of fixed size
-    schema = "doc_id long, key long, n long, n_unique long, shingles binary, leading binary"
+    schema = "doc_id long, key long, n long, shingles binary, leading binary"
     described = materialise(texts.mapInArrow(_describe(width, threshold, order), schema), "sets")
 
-    entries = described.where("leading is not null").select("key", "n", "n_unique", "leading").mapInArrow(_leading, "shingle long, far long, key long")
-    elected = entries.groupBy("shingle").agg(F.min(F.struct("far", "key")).alias("pivot"), F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    members = materialise(entries.join(elected.select("shingle", F.col("pivot.key").alias("pivot")), "shingle").select("key", "pivot").distinct(), "members")
+    entries = described.where("leading is not null").select("key", "leading").mapInArrow(_leading, "shingle long, key long")
+    elected = entries.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").select("shingle", "pivot")
+    members = materialise(entries.join(elected, "shingle").select("key", "pivot").distinct(), "members")
     blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(region_size)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = (
@@ -303,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("key", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    sets = described.where("leading is not null").select("key", "shingles")
+    sets = described.where("leading is not null").select("key", "shingles").hint("merge")
     regions = dealt.join(sets, "key").select("pivot", "i", "j", "key", "shingles").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     roots = components(regions.mapInArrow(_join_regions(threshold), "u long, v long"))
 
