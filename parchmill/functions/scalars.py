@@ -99,7 +99,7 @@ def eta_seconds(elapsed: Column, progress: Column) -> Column:
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Seconds before a retry, without jitter: powers of 2 up to 30, the server's wish up to 60."""
     delay = F.least(F.pow(F.lit(2.0), attempt), F.lit(30.0))
-    return F.greatest(delay, F.coalesce(F.least(retry_after, F.lit(60.0)), F.lit(0.0)))
+    return F.greatest(delay, F.when(retry_after.isNotNull(), F.least(retry_after, F.lit(60.0))).otherwise(F.lit(0.0)))
 
 
 def retry_after_seconds(header: Column) -> Column:

@@ -41,7 +41,7 @@ def read_csv_rows(lines: DataFrame) -> DataFrame:
 
 def bounded(term: Column, text: Column, edge: str) -> Column:
     """Whether the term is in the text with none of ``edge`` next to it."""
-    return text.rlike(F.concat(F.lit(f"(?<![{edge}])\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{edge}])")))
+    return F.rlike(text, F.concat(F.lit(f"(?<![{edge}])\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{edge}])")))
 
 
 def _candidates(texts: DataFrame, entries: DataFrame, run: str) -> DataFrame:
@@ -72,7 +72,7 @@ def match_document_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     entries = terms.withColumn("term", strip(F.col("term"))).where("term != ''")
     quoted = F.replace(F.col("t_low"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     edge = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-    hit = F.col("x_low").rlike(F.concat(F.lit(edge + "\\Q"), quoted, F.lit("\\E" + edge)))
+    hit = F.rlike(F.col("x_low"), F.concat(F.lit(edge + "\\Q"), quoted, F.lit("\\E" + edge)))
     # a term of other characters at its ends may sit inside longer runs, so runs are of word characters only
     pairs = _candidates(texts, entries, rf"([{WORD}]+)")
     return pairs.where(hit).select("text_id", "seq", "term", "translation")

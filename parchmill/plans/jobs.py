@@ -17,8 +17,8 @@ SECOND = 1_000_000
 
 @register(f"""
     WITH RECURSIVE {JOBS_SQL},
-    r AS (SELECT owner, n, event_id, at AS slot FROM jn WHERE n = 1
-        UNION ALL SELECT j.owner, j.n, j.event_id, greatest(j.at, r.slot + 7200000000) FROM r JOIN jn j ON j.owner = r.owner AND j.n = r.n + 1)
+    r AS (SELECT owner, n, event_id, ts_us AS slot FROM jn WHERE n = 1
+        UNION ALL SELECT j.owner, j.n, j.event_id, greatest(j.ts_us, r.slot + 7200000000) FROM r JOIN jn j ON j.owner = r.owner AND j.n = r.n + 1)
     SELECT owner, event_id, slot::BIGINT AS slot FROM r""")
 def rate_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots two hours apart for each owner's calls; the SQL side steps from call to call."""
@@ -40,22 +40,22 @@ def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {JOBS_SQL} SELECT owner, at AS resumed_at, at - before AS idle FROM (SELECT *, lag(at) OVER (PARTITION BY owner ORDER BY at, event_id) AS before FROM jl) WHERE at - before >= 43200000000""")
+    WITH {JOBS_SQL} SELECT owner, ts_us AS resumed_at, ts_us - before AS idle FROM (SELECT *, lag(ts_us) OVER (PARTITION BY owner ORDER BY ts_us, event_id) AS before FROM jl) WHERE ts_us - before >= 43200000000""")
 def stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.stalls(job_log(spark, sf_dir), "owner", ORDER, "at", 43200 * SECOND).select("owner", "resumed_at", "idle")
 
 
 @register(f"""
-    WITH {JOBS_SQL} SELECT owner, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY owner ORDER BY at, event_id) AS before FROM jn) WHERE event_type IS DISTINCT FROM before AND n <= 1800""")
+    WITH {JOBS_SQL} SELECT owner, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY owner ORDER BY ts_us, event_id) AS before FROM jn) WHERE event_type IS DISTINCT FROM before AND n <= 1800""")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.changes(job_log(spark, sf_dir), "owner", ORDER, "event_type").select("owner", "event_id")
 
 
 @register(f"""
-    WITH RECURSIVE {JOBS_SQL}, u AS (SELECT owner, event_id, at, row_number() OVER (PARTITION BY owner ORDER BY at, event_id) AS n FROM jl WHERE event_type = 'signup'),
-    r AS (SELECT owner, n, event_id, at AS opened, 1 AS used, true AS allowed FROM u WHERE n = 1
-        UNION ALL SELECT u.owner, u.n, u.event_id, CASE WHEN u.at >= r.opened + 864000000000 THEN u.at ELSE r.opened END,
-            CASE WHEN u.at >= r.opened + 864000000000 THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, u.at >= r.opened + 864000000000 OR r.used < 3 FROM r JOIN u ON u.owner = r.owner AND u.n = r.n + 1)
+    WITH RECURSIVE {JOBS_SQL}, u AS (SELECT owner, event_id, ts_us, row_number() OVER (PARTITION BY owner ORDER BY ts_us, event_id) AS n FROM jl WHERE event_type = 'signup'),
+    r AS (SELECT owner, n, event_id, ts_us AS opened, 1 AS used, true AS allowed FROM u WHERE n = 1
+        UNION ALL SELECT u.owner, u.n, u.event_id, CASE WHEN u.ts_us >= r.opened + 864000000000 THEN u.ts_us ELSE r.opened END,
+            CASE WHEN u.ts_us >= r.opened + 864000000000 THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, u.ts_us >= r.opened + 864000000000 OR r.used < 3 FROM r JOIN u ON u.owner = r.owner AND u.n = r.n + 1)
     SELECT owner, event_id, allowed FROM r""")
 def upload_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three uploads in ten days; the SQL side steps from upload to upload."""
@@ -66,10 +66,10 @@ def upload_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""
     WITH RECURSIVE {JOBS_SQL}, s AS (SELECT *, [retry_after % 3 <> 0, retry_after % 5 <> 0, retry_after % 7 <> 0] AS up FROM jn),
     c AS (SELECT *, list_filter([1, 2, 3], lambda i: up[i]) AS able FROM s),
-    r AS (SELECT owner, n, event_id, CASE WHEN len(able) = 0 THEN -1 ELSE able[1] - 1 END AS served, CASE WHEN len(able) = 0 THEN 0 ELSE able[1] - 1 END AS active, CASE WHEN len(able) > 0 AND able[1] > 1 THEN at ELSE 0 END AS left_at FROM c WHERE n = 1
-        UNION ALL SELECT owner, n, event_id, served, CASE WHEN served < 0 THEN start ELSE served END, CASE WHEN served < 0 OR served = start THEN left_at WHEN served > 0 THEN at ELSE 0 END FROM (
+    r AS (SELECT owner, n, event_id, CASE WHEN len(able) = 0 THEN -1 ELSE able[1] - 1 END AS served, CASE WHEN len(able) = 0 THEN 0 ELSE able[1] - 1 END AS active, CASE WHEN len(able) > 0 AND able[1] > 1 THEN ts_us ELSE 0 END AS left_at FROM c WHERE n = 1
+        UNION ALL SELECT owner, n, event_id, served, CASE WHEN served < 0 THEN start ELSE served END, CASE WHEN served < 0 OR served = start THEN left_at WHEN served > 0 THEN ts_us ELSE 0 END FROM (
             SELECT *, CASE WHEN len(able) = 0 THEN -1 ELSE coalesce(list_min(list_filter(able, lambda i: i - 1 >= start)), list_min(able)) - 1 END AS served FROM (
-            SELECT c.owner, c.n, c.event_id, c.at, c.able, r.left_at, CASE WHEN r.active > 0 AND c.at - r.left_at >= 18000000000 THEN 0 ELSE r.active END AS start FROM r JOIN c ON c.owner = r.owner AND c.n = r.n + 1)))
+            SELECT c.owner, c.n, c.event_id, c.ts_us, c.able, r.left_at, CASE WHEN r.active > 0 AND c.ts_us - r.left_at >= 18000000000 THEN 0 ELSE r.active END AS start FROM r JOIN c ON c.owner = r.owner AND c.n = r.n + 1)))
     SELECT owner, event_id, served::INT AS served_by FROM r""")
 def provider_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three providers of which some are down; the first is tried again after five hours."""
@@ -110,26 +110,26 @@ def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""
     WITH {JOBS_SQL}
-    SELECT owner, min(at) AS created_at, max(at) AS updated_at, arg_max(event_type, at) AS status, arg_max(retry_after, at) FILTER (event_type = 'error') AS error FROM jl GROUP BY owner""")
+    SELECT owner, min(ts_us) AS created_at, max(ts_us) AS updated_at, arg_max(event_type, ts_us) AS status, arg_max(retry_after, ts_us) FILTER (event_type = 'error') AS error FROM jl GROUP BY owner""")
 def jobs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = job_log(spark, sf_dir).select("owner", "at", F.col("event_type").alias("status"), F.when(F.col("event_type") == "error", F.col("retry_after")).alias("error"))
     return jobs.latest(log, "owner", "at", ["status", "error"])
 
 
-@register(f"WITH {JOBS_SQL} SELECT event_id AS job_id FROM jl WHERE owner = 7 ORDER BY at DESC, event_id LIMIT 100")
+@register(f"WITH {JOBS_SQL} SELECT event_id AS job_id FROM jl WHERE owner = 7 ORDER BY ts_us DESC, event_id LIMIT 100")
 def jobs_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = job_log(spark, sf_dir).select("owner", F.col("event_id").alias("job_id"), F.col("at").alias("created_at"))
     return jobs.newest(rows, 7, 100).select("job_id")
 
 
-@register(f"WITH {JOBS_SQL} SELECT event_id, count(*) OVER ()::BIGINT AS total FROM jl WHERE owner = 7 AND outcome <> 'success' ORDER BY at OFFSET 5 LIMIT 10")
+@register(f"WITH {JOBS_SQL} SELECT event_id, count(*) OVER ()::BIGINT AS total FROM jl WHERE owner = 7 AND outcome <> 'success' ORDER BY ts_us OFFSET 5 LIMIT 10")
 def segments_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = job_log(spark, sf_dir).withColumn("ok", F.col("outcome") == "success").withColumnRenamed("owner", "job_id")
     return jobs.page(rows, 7, "at", 5, 10, only_failed=True).select("event_id", "total")
 
 
 @register(f"""
-    WITH {JOBS_SQL} SELECT owner, event_id, (row_number() OVER (PARTITION BY owner ORDER BY at, event_id) - 1)::INT AS "order" FROM jl WHERE event_type = 'click'
+    WITH {JOBS_SQL} SELECT owner, event_id, (row_number() OVER (PARTITION BY owner ORDER BY ts_us, event_id) - 1)::INT AS "order" FROM jl WHERE event_type = 'click'
     UNION ALL SELECT owner, event_id, -1 FROM jl WHERE event_type = 'view' AND owner NOT IN (SELECT owner FROM jl WHERE event_type = 'click')""")
 def replaced_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = job_log(spark, sf_dir)
@@ -174,9 +174,9 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {JOBS_SQL}, g AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY owner ORDER BY at, event_id) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM jl),
-    s AS (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY at, event_id) AS n FROM g)
-    SELECT owner, min(at) AS start_us, count(*)::BIGINT AS n FROM s GROUP BY owner, s.n""")
+    WITH {JOBS_SQL}, g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY owner ORDER BY ts_us, event_id) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM jl),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY ts_us, event_id) AS n FROM g)
+    SELECT owner, min(ts_us) AS start_us, count(*)::BIGINT AS n FROM s GROUP BY owner, s.n""")
 def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sessions of activity with gaps under half an hour."""
     events = job_log(spark, sf_dir).withColumn("ts", F.timestamp_micros("at"))

@@ -87,8 +87,9 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS_SQL = """
     terms AS (SELECT (item_id * 2)::INT AS seq, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS term FROM benchmark
         UNION ALL SELECT (item_id * 2 + 1)::INT, lower(split_part(text, ' ', 3)) FROM benchmark),
-    hits AS (SELECT doc_id AS text_id, seq, term FROM documents, terms
-        WHERE contains(lower(text), lower(term)) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_-])' || regexp_escape(lower(term)) || '($|[^\\p{L}\\p{N}_-])')),
+    low AS (SELECT doc_id, lower(text) AS text FROM documents),
+    cut AS (SELECT doc_id AS text_id, seq, term, string_split(text, lower(term)) AS p FROM low, terms WHERE contains(text, lower(term))),
+    hits AS (SELECT text_id, seq, term FROM cut WHERE len(list_filter(range(1, len(p)), lambda i: CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\\p{L}\\p{N}_-]') END AND CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\\p{L}\\p{N}_-]') END)) > 0),
     ranked AS (SELECT text_id, seq, term, row_number() OVER (PARTITION BY text_id ORDER BY seq)::INT AS rank FROM hits)
 """
 
@@ -104,7 +105,8 @@ def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
     WITH terms AS (SELECT item_id::INT AS seq, regexp_extract(text, '^([\\p{L}]+)', 1) AS term FROM benchmark)
-    SELECT doc_id AS text_id, seq FROM documents, terms WHERE contains(lower(text), lower(term)) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || regexp_escape(lower(term)) || '($|[^\\p{L}\\p{N}_])')""")
+    , low AS (SELECT doc_id, lower(text) AS text FROM documents), cut AS (SELECT doc_id AS text_id, seq, string_split(text, lower(term)) AS p FROM low, terms WHERE contains(text, lower(term)))
+    SELECT text_id, seq FROM cut WHERE len(list_filter(range(1, len(p)), lambda i: CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\\p{L}\\p{N}_]') END AND CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\\p{L}\\p{N}_]') END)) > 0""")
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("seq"), F.regexp_extract("text", r"^([\p{L}]+)", 1).alias("term"), F.lit("x").alias("translation"))
     return glossary.match_document_terms(_texts(spark, sf_dir), terms).select("text_id", "seq")
@@ -125,8 +127,8 @@ def glossary_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {TERMS_SQL}, both AS (SELECT text_id, CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END AS source_rank, seq, term FROM ranked WHERE rank <= 30)
-    SELECT text_id, source_rank, seq, term FROM both QUALIFY row_number() OVER (PARTITION BY text_id, lower(term) ORDER BY source_rank, seq) = 1""")
+    WITH {TERMS_SQL}, merged AS (SELECT text_id, CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END AS source_rank, seq, term FROM ranked WHERE rank <= 30)
+    SELECT text_id, source_rank, seq, term FROM merged QUALIFY row_number() OVER (PARTITION BY text_id, lower(term) ORDER BY source_rank, seq) = 1""")
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = glossary.match(_texts(spark, sf_dir), _terms(spark, sf_dir)).withColumn("source_rank", (F.col("seq") % 2).cast("int"))
     return glossary.merge_terms(hits).select("text_id", "source_rank", "seq", "term")

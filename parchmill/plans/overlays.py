@@ -145,9 +145,9 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS_SQL = """
-    jl AS (SELECT user_id::BIGINT AS owner, event_id, epoch_us(ts) AS at, CASE event_type WHEN 'error' THEN 'refused' WHEN 'purchase' THEN 'success' ELSE 'other' END AS outcome,
+    jl AS (SELECT user_id::BIGINT AS owner, event_id, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 'refused' WHEN 'purchase' THEN 'success' ELSE 'other' END AS outcome,
            (props->>'$.k')::BIGINT AS retry_after, event_type FROM events),
-    jn AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY at, event_id) AS n FROM jl)
+    jn AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts_us, event_id) AS n FROM jl)
 """
 
 

@@ -69,7 +69,7 @@ def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    SELECT item_id, '# ' || split_part(text, ' ', 1) || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || chr(10) || '## Head' || chr(10) || chr(10) || 'one two' || chr(10) AS markdown FROM benchmark""")
+    SELECT item_id, '# ' || trim(regexp_replace(split_part(text, ' ', 1), '\\s+', ' ', 'g')) || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || chr(10) || '## Head' || chr(10) || chr(10) || 'one two' || chr(10) AS markdown FROM benchmark""")
 def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     first = F.substring_index(safe, " ", 1)
@@ -120,10 +120,10 @@ def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH RECURSIVE {JOBS_SQL}, u AS (SELECT owner, event_id, at // 1000000 AS at, row_number() OVER (PARTITION BY owner ORDER BY at // 1000000, event_id) AS n FROM jl WHERE event_type = 'signup'),
-    r AS (SELECT owner, n, event_id, at AS opened, 1 AS used, true AS allowed FROM u WHERE n = 1
-        UNION ALL SELECT u.owner, u.n, u.event_id, CASE WHEN u.at >= r.opened + 864000 THEN u.at ELSE r.opened END,
-            CASE WHEN u.at >= r.opened + 864000 THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, u.at >= r.opened + 864000 OR r.used < 3 FROM r JOIN u ON u.owner = r.owner AND u.n = r.n + 1)
+    WITH RECURSIVE {JOBS_SQL}, u AS (SELECT owner, event_id, ts_us // 1000000 AS ts_us, row_number() OVER (PARTITION BY owner ORDER BY ts_us // 1000000, event_id) AS n FROM jl WHERE event_type = 'signup'),
+    r AS (SELECT owner, n, event_id, ts_us AS opened, 1 AS used, true AS allowed FROM u WHERE n = 1
+        UNION ALL SELECT u.owner, u.n, u.event_id, CASE WHEN u.ts_us >= r.opened + 864000 THEN u.ts_us ELSE r.opened END,
+            CASE WHEN u.ts_us >= r.opened + 864000 THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, u.ts_us >= r.opened + 864000 OR r.used < 3 FROM r JOIN u ON u.owner = r.owner AND u.n = r.n + 1)
     SELECT owner, event_id, allowed FROM r""")
 def streaming_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upload quota with keyed state in a stream."""
