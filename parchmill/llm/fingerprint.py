@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = bucket_of(F.col("place"), bounds).alias("bucket")
     rows = rows.withColumn("place", place).select("doc_id", "text", "place", own)
     if extras:
-        to = F.create_map(*[F.lit(x) for pair in extras.items() for x in pair]) if len(extras) <= 200 else None
+        to = F.create_map(*[c for head, bucket in extras.items() for c in (F.lit(head).cast("long"), F.lit(bucket))]) if len(extras) <= 200 else None
         if to is not None:
             head = to[F.col("place")]
         else:

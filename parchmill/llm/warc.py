@@ -28,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = 4000
 #: Rows up to which decisions are broadcast (about 60 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Headers that a record has once.
+ONCE = ("warc-type", "warc-record-id", "warc-date", "content-length")
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
 
@@ -99,7 +101,10 @@ def _headers(lines: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
-        out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        key = name.decode("utf-8", "replace").strip().lower()
+        if key in out and key in ONCE:
+            raise Damaged("a header that comes twice")  # the head of a cut-off record runs into the next one
+        out[key] = value.decode("utf-8", "replace").strip()
     return out
 
 
