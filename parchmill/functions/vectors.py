@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Fixed value: Python's \w without the underscore, one or more.
+#: Fixed value: Python's \w without the underscore, one or more; the same for Python.
 TOKEN = r"([\p{L}\p{N}]+)"
+_TOKENS = re.compile(r"[^\W_]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,10 +52,23 @@ def hashed_buckets(df: DataFrame, key: str, text: str, dim: int = 512, digest: s
     return grams.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).cast("long").alias("weight"))
 
 
+def hash_vector(text: str | None, dim: int = 512) -> list[float]:
+    """The same sums as a unit vector, for one text in Python."""
+    vector = [0.0] * dim
+    for token in _TOKENS.findall((text or "").lower()):
+        padded = f"^{token}$"
+        for i in range(len(padded) - 2):
+            digest = hashlib.md5(padded[i : i + 3].encode()).digest()
+            vector[int.from_bytes(digest[:4], "little") % dim] += 1.0 if digest[4] % 2 else -1.0
+    length = math.sqrt(sum(x * x for x in vector)) or 1.0
+    return [x / length for x in vector]
+
+
 def hashed_embedding(text: Column, dim: int = 512) -> Column:
-    """A unit vector per row, without a shuffle: buckets are summed inside the row."""
-    signed = F.transform(trigrams(text), lambda g: F.struct(bucket_and_sign(g, dim)[0].alias("b"), bucket_and_sign(g, dim)[1].alias("s")))
-    sums = F.aggregate(signed, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["b"]), F.create_map(x["b"], F.coalesce(F.element_at(m, x["b"]), F.lit(0)) + x["s"])))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(sums, i), F.lit(0)).cast("double"))
-    length = norm(vector)
-    return F.transform(vector, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    """A unit vector per row without a shuffle, in an Arrow UDF; nested folds would sum up anew for each bucket."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hash_vector(x, dim))
+
+    return embed(text)

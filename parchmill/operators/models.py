@@ -85,7 +85,9 @@ def finalize(rows: DataFrame, source_lang: str, target_lang: str, raw: str = "ra
     back = unmask(bare, "__a", "placeholders")
     checks = segment_issues(F.col("source_text"), F.col("restored"), source_lang, target_lang, F.col("masked_text"))
     found = F.concat(placeholder_issues(F.col("missing"), F.col("unknown")), checks)
-    return back.withColumn("issues", found).withColumn("translation", F.col("restored")).drop("restored", "missing", "unknown", "__a")
+    kept = [c for c in rows.columns if c not in ("issues", "translation")]
+    # through a generator, so that filters on the issues aren't pushed below and evaluated anew
+    return back.select(*kept, F.inline(F.array(F.struct(found.alias("issues"), F.col("restored").alias("translation")))))
 
 
 def translate(segments: DataFrame, model: Model, source_lang: str, target_lang: str, repairs: int = 2) -> DataFrame:
@@ -108,14 +110,14 @@ def translate(segments: DataFrame, model: Model, source_lang: str, target_lang:
 def rescue(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
     """Failing segments with lost placeholders again, unmasked; taken where every protected part survives and no error is left."""
     lost = ~is_ok(F.col("issues")) & has_code(F.col("issues"), "placeholder_missing", "placeholder_unknown") & (F.size("placeholders") > 0)
-    answer = F.when(lost, strip_fence(strip(model(F.col("source_text")))))
-    tried = rows.withColumn("__r", answer)
+    flagged = rows.withColumn("__l", lost)
+    tried = flagged.withColumn("__r", F.when(F.col("__l"), strip_fence(strip(model(F.col("source_text"))))))
     whole = F.forall("placeholders", lambda p: contains_normalized(F.col("__r"), p["original"]))
     checks = segment_issues(F.col("source_text"), F.col("__r"), source_lang, target_lang)
-    tried = tried.withColumn("__c", checks).withColumn("__ok", F.coalesce(lost & ~is_blank(F.col("__r")) & whole & is_ok(F.col("__c")), F.lit(False)))
+    tried = tried.withColumn("__c", checks).withColumn("__ok", F.coalesce(F.col("__l") & ~is_blank(F.col("__r")) & whole & is_ok(F.col("__c")), F.lit(False)))
     note = issue(F.lit(True), "unmasked_rescue", "info", "placeholders kept breaking; re-translated without masking, protected content verified verbatim")
     out = tried.withColumn("translation", F.when(F.col("__ok"), F.col("__r")).otherwise(F.col("translation"))).withColumn("issues", F.when(F.col("__ok"), F.concat("__c", note)).otherwise(F.col("issues")))
-    return out.withColumn("attempts", F.col("attempts") + lost.cast("int")).drop("__r", "__c", "__ok")
+    return out.withColumn("attempts", F.col("attempts") + F.col("__l").cast("int")).drop("__l", "__r", "__c", "__ok")
 
 
 def retranslate_residual(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
