@@ -38,6 +38,8 @@ SCRIPTS = (
     (0x3400, 0x9FFF, "han"),
     (0xAC00, 0xD7AF, "hangul"),
 )
+#: The last letter of the first range: words up to it are Latin.
+LAST_LATIN = chr(SCRIPTS[0][1])
 #: Documents to learn from at most: those with the smallest hash of the id.
 TRAINING = 2000
 #: Log-probability that a change of language costs.
@@ -99,6 +101,9 @@ class Scores(dict):
         self.model = model
         self.table = np.zeros((1024, len(model.languages)))
         self.used = 1
+        self.place = {gram: k for k, gram in enumerate(model.trigrams, 1)}.get
+        self.known = np.vstack([model.unseen, *model.trigrams.values()])
+        self.latin = model.scripts.get("latin", np.zeros(len(model.languages), bool))
 
     def __missing__(self, word: str) -> int:
         scores = self.score(word)
@@ -113,16 +118,42 @@ class Scores(dict):
         return self.used - 1
 
     def score(self, word: str) -> np.ndarray | None:
-        candidates = np.zeros(len(self.model.languages), bool)
-        for script in {script_of(c) for c in word}:
-            candidates |= self.model.scripts.get(script, False)
+        candidates = self.latin
+        if max(word) > LAST_LATIN:
+            candidates = np.zeros(len(self.model.languages), bool)
+            for script in {script_of(c) for c in word}:
+                candidates = candidates | self.model.scripts.get(script, False)
         if not candidates.any():
             return None
-        unseen = self.model.unseen
-        scores = sum((self.model.trigrams.get(g, unseen) for g in trigrams(word)), np.zeros(len(unseen)))
+        place, marked = self.place, f" {word} "
+        scores = self.known[[place(marked[i : i + 3], 0) for i in range(len(marked) - 2)]].sum(axis=0)
+        if candidates.all():
+            return scores
         # a language that isn't a candidate is worse than any that is by more than a change of language costs
-        floor = scores[candidates].min() - 3 * PENALTY
-        return np.where(candidates, scores, floor)
+        return np.where(candidates, scores, scores[candidates].min() - 3 * PENALTY)
+
+    def learn(self, words: set[str]) -> None:
+        """Score new words at once."""
+        fresh, starts, places, place = [], [], [], self.place
+        for word in words:
+            if max(word) > LAST_LATIN or not self.latin.any():
+                self[word]  # scored alone
+                continue
+            marked = f" {word} "
+            fresh.append(word)
+            starts.append(len(places))
+            places += [place(marked[i : i + 3], 0) for i in range(len(marked) - 2)]
+        if not fresh:
+            return
+        sums = np.add.reduceat(self.known[places], starts, axis=0)
+        if not self.latin.all():
+            sums = np.where(self.latin, sums, sums[:, self.latin].min(axis=1, keepdims=True) - 3 * PENALTY)
+        end = self.used + len(fresh)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), end), self.table.shape[1]))])
+        self.table[self.used : end] = sums
+        self.update(zip(fresh, range(self.used, end)))
+        self.used = end
 
     def trim(self) -> None:
         if self.used > CACHE:
@@ -137,19 +168,16 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     ahead = np.concatenate([np.zeros((1, scores.shape[1])), ahead])
     if (ahead - np.minimum.accumulate(ahead, axis=0)).max() <= penalty:
         return np.full(len(scores), best)  # no span gains what its change of language costs
-    back = np.empty(scores.shape, np.int64)
-    value = scores[0].copy()
-    own = np.arange(scores.shape[1])
-    for t in range(1, len(scores)):
-        top = int(value.argmax())
-        change = value[top] - penalty
-        back[t] = np.where(value >= change, own, top)
-        value = np.maximum(value, change) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    path[-1] = int(value.argmax())
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    back, value = [], scores[0].tolist()
+    for row in scores[1:].tolist():
+        most = max(value)
+        top, change = value.index(most), most - penalty
+        back.append([k if v >= change else top for k, v in enumerate(value)])
+        value = [(v if v >= change else change) + x for v, x in zip(value, row)]
+    path = [value.index(max(value))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return np.array(path[::-1])
 
 
 def spans(text: str, scores: Scores, penalty: float = PENALTY) -> list[tuple[int, int, str]]:
@@ -175,6 +203,8 @@ def predict(text: str | None, scores: Scores, penalty: float = PENALTY) -> tuple
     lettered = any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
     if not lettered or not scores.model.languages:
         return UND, 0.0, 0
+    if new := {w for w in set(words) if w not in scores}:
+        scores.learn(new)
     rows = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
     path = viterbi(scores.table[rows], penalty)
     letters = np.fromiter(map(len, words), np.int64, len(words))
