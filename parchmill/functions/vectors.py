@@ -16,6 +16,11 @@ TOKEN = r"([\p{L}\p{N}]+)"
 _TOKENS = re.compile(r"[^\W_]+")
 
 
+def by_index(items: Column) -> Column:
+    """Vectors of struct(index, embedding) items in the order of their indices."""
+    return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["index"].alias("index"), x["embedding"].alias("embedding")))), lambda x: x["embedding"])
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
