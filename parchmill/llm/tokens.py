@@ -4,9 +4,9 @@ The library's full pipeline tracks offsets and costs more than 10 microseconds a
 word.  Here a text is cut where a byte-level pre-token must end (a single space
 or newline between two other characters), the library's own model encodes each
 distinct pre-token once, and a bounded cache gives the rest.  Texts with other
-white space, and characters beyond Latin, go to the library's pipeline itself,
-so ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``
-with special strings taken as ordinary text.
+white space or the string of an added token, and characters beyond Latin, go to the
+library's pipeline itself, so ids are always those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.alphabet = byte_alphabet()
         self.split = regex.compile(PRETOKENS).findall
@@ -89,7 +89,7 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit bytes; null is an empty text."""
         if not text:
             return b""
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in ODD_PAIRS) or any(x in text for x in ODD_SPACE):
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in ODD_PAIRS) or any(x in text for x in ODD_SPACE) or any(x in text for x in self.added):
             return self.by_library(text)
         newline, spaced, bare = self.bare["\n"], self.spaced.__getitem__, self.bare.__getitem__
         lines = []

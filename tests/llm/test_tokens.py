@@ -45,6 +45,15 @@ def test_encoder(encode, spark, small):
         assert np.frombuffer(encode.encode(text), "<u4").tolist() == ids_of(encode, text)
 
 
+def test_encoder_added_tokens(encode):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_vocabulary())
+    for text in [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "a <|endoftext| > b <|endoftext|><|endoftext|>."]:
+        assert np.frombuffer(encode.encode(text), "<u4").tolist() == fresh.encode(text or "", add_special_tokens=False).ids
+    assert np.frombuffer(encode.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def check_packing(rows, texts, encode, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
