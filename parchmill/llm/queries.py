@@ -12,7 +12,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import BASE, kept, ledger
 from .storage import materialise, shared_dir
-from .token_rollup import Rollup, count_tokens, inserts, revisions
+from .token_rollup import Rollup, count_tokens, deletes, inserts
 from .token_store import token_table, write_tokens
 from .tokens import default_vocabulary
 from .url_reputation import judge_urls
@@ -71,16 +71,17 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter with word counts and with token counts; those under ten words are revised to none, in a batch that is replayed."""
+    """All documents enter with word counts and with token counts; those under ten words are taken out and put in again, in batches that are replayed."""
     docs = _table(spark, sf_dir, "documents")
-    words = materialise(count_tokens(docs, "words-1"), "counts")  # counted once, used by two batches
+    words = materialise(count_tokens(docs, "words-1"), "counts")  # counted once, used by three batches
     tokens = count_tokens(docs, "byte-bpe-50k", default_vocabulary())
     short = words.where("n_tokens < 10")
     rollup = Rollup(spark, shared_dir(spark, "rollup"))
     rollup.commit("0001", inserts(words))
     rollup.commit("0002", inserts(tokens))
     for _ in range(2):  # a replay changes nothing
-        rollup.commit("0003", revisions(short, short.withColumn("n_tokens", F.lit(0).cast("long"))))
+        rollup.commit("0003", deletes(short))
+        rollup.commit("0004", inserts(short))
     return rollup.totals()
 
 

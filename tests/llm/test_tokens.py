@@ -189,6 +189,23 @@ def test_rollup(spark, encode):
     assert none.totals().count() == 0
 
 
+def test_rollup_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from parchmill.llm.queries import op10_token_rollup
+
+    fresh = Tokenizer.from_file(default_vocabulary())
+    rows = [(1, "a b", "en", "s"), (2, "one two three four five six seven eight nine ten eleven", "en", "s"), (3, None, "de", "s"), (4, "nur kurz <|endoftext|>", "de", "only short"), (5, "x", None, None), (5, "x", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = defaultdict(lambda: (0, 0))
+    for _, text, lang, source in rows:
+        for version, many in (("words-1", len((text or "").split())), ("byte-bpe-50k", len(fresh.encode(text or "", add_special_tokens=False).ids))):
+            docs, tokens = want[source, lang, version]
+            want[source, lang, version] = (docs + 1, tokens + many)
+    got = op10_token_rollup(spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in got} == want and len(got) == len(want)
+
+
 def test_pipeline(spark, small, encode):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     stages = [docs]
