@@ -23,6 +23,8 @@ U = np.uint64
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 LEAST = -(1 << 63)
+#: Fixed value: code points that agree where two texts meet again after a difference.
+ANCHOR = 12
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -88,13 +90,72 @@ def fingerprint(n: int, hashes: tuple[int, int]) -> str:
 
 
 def likeness(a: PrefixHash, b: PrefixHash) -> float:
-    """Share of the longer text in the longest common beginning and ending; 1 for two empty texts."""
-    least, most = min(a.n, b.n), max(a.n, b.n)
-    if not most:
+    """Share of the longer text in spans that both share in the same order; 1 for two empty texts.
+
+    These are the longest common beginning and ending and, between them, the spans of
+    ``ANCHOR`` code points at least at which the texts meet again after each difference.
+    """
+    if (b.n, b.span(0, b.n)) < (a.n, a.span(0, a.n)):
+        a, b = b, a  # one order, so that both directions give the same
+    if not b.n:
         return 1.0
-    ahead = a.common_ahead(0, b, 0, least)
-    behind = a.common_behind(a.n, b, b.n, least - ahead)
-    return (ahead + behind) / most
+    ahead = a.common_ahead(0, b, 0, a.n)
+    behind = a.common_behind(a.n, b, b.n, a.n - ahead)
+    return (ahead + behind + shared(a, ahead, a.n - behind, b, ahead, b.n - behind)) / b.n
+
+
+def _grams(x: PrefixHash, start: int, end: int, power: list[np.ndarray], top: int) -> np.ndarray:
+    """Hashes of the spans of ``ANCHOR`` code points that begin at ``start`` to ``end - ANCHOR``, aligned to ``top``."""
+    out = np.zeros(end - ANCHOR + 1 - start, U)
+    for h, w, p in zip(x.prefix, power, PRIMES):
+        span = (h[start + ANCHOR : end + 1] + U(p) - h[start : end - ANCHOR + 1]) % U(p)
+        out = (out << U(31)) | span * w[top - np.arange(start, end - ANCHOR + 1)] % U(p)
+    return out
+
+
+def shared(a: PrefixHash, i: int, a_end: int, b: PrefixHash, j: int, b_end: int) -> int:
+    """Code points of a[i:a_end] and b[j:b_end] in spans that both share in order.
+
+    From each difference the walk goes on at the nearest place, by the code points passed
+    over in both, where ``ANCHOR`` code points agree, and takes the longest common
+    extensions there.  A search looks no further than a small multiple of what it passes
+    over, so the walk takes time in proportion to the texts.
+    """
+    if min(a_end - i, b_end - j) < ANCHOR:
+        return 0
+    top = max(a_end, b_end)
+    power = powers(top)
+    mine, theirs = _grams(a, i, a_end, power, top), _grams(b, j, b_end, power, top)
+    ordered = np.sort(theirs)
+    hit = np.flatnonzero(ordered[np.minimum(np.searchsorted(ordered, mine), len(ordered) - 1)] == mine)
+    if not len(hit):
+        return 0
+    kinds, rank = np.unique(mine[hit], return_inverse=True)  # spans of a that are anywhere in b
+    place = np.minimum(np.searchsorted(kinds, theirs), len(kinds) - 1)
+    known = np.flatnonzero(kinds[place] == theirs)
+    wide = b_end + 1
+    keys = np.sort(place[known].astype(np.int64) * wide + known + j)
+    bases, hit = rank.astype(np.int64) * wide, hit + i
+    total = 0
+    while (first := int(np.searchsorted(hit, i))) < len(hit):
+        reach = 64
+        while True:
+            last = int(np.searchsorted(hit, i + reach, "right"))
+            at = np.searchsorted(keys, bases[first:last] + j)
+            to = keys[np.minimum(at, len(keys) - 1)] - bases[first:last]
+            cost = np.where((at < len(keys)) & (to < wide), hit[first:last] - i + to - j, 2 * top)
+            best = int(cost.argmin()) if len(cost) else -1
+            if best >= 0 and cost[best] <= reach or last == len(hit):
+                break
+            reach *= 4
+        if cost[best] >= 2 * top:
+            break
+        x, y = int(hit[first + best]), int(to[best])
+        back = a.common_behind(x, b, y, min(x - i, y - j))
+        on = a.common_ahead(x, b, y, min(a_end - x, b_end - y))
+        total += back + on
+        i, j = x + max(on, 1), y + max(on, 1)
+    return total
 
 
 def edited_hash(a: PrefixHash, kept: int, b: PrefixHash, added: int) -> tuple[int, int]:
@@ -103,16 +164,6 @@ def edited_hash(a: PrefixHash, kept: int, b: PrefixHash, added: int) -> tuple[in
     return tuple((int(h[kept]) + int(g[added]) * int(w[kept])) % p for h, g, w, p in zip(a.prefix, b.prefix, power, PRIMES))
 
 
-def edited_likeness(a: PrefixHash, kept: int, b: PrefixHash, added: int) -> float:
-    """Likeness of a and ``a[:kept] + b[:added]``, from the prefix arrays of a and b."""
-    least, most = min(a.n, kept + added), max(a.n, kept + added)
-    if not most:
-        return 1.0
-    ahead = kept + a.common_ahead(kept, b, 0, min(a.n - kept, added))
-    behind = a.common_behind(a.n, b, added, min(least - ahead, added))
-    return (ahead + behind) / most
-
-
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -125,7 +176,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = a.n // 3
         kept, added = a.n - moved, min(moved, b.n)
         edited = text[:kept] + after[:added]
-        row = (doc_id, a.n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(a.n, a.span(0, a.n)), fingerprint(kept + added, edited_hash(a, kept, b, added)), edited_likeness(a, kept, b, added), likeness(a, b))
+        row = (doc_id, a.n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(a.n, a.span(0, a.n)), fingerprint(kept + added, edited_hash(a, kept, b, added)), likeness(a, PrefixHash(edited)), likeness(a, b))
         for column, value in zip(out, row):
             column.append(value)
 

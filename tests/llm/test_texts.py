@@ -140,6 +140,35 @@ def test_prefix_hash():
         assert 0 <= likeness(x, y) <= 1 and likeness(x, x) == 1 and likeness(x, y) == likeness(y, x)
 
 
+def test_likeness_scattered_edits():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(600)]
+    text = " ".join(words)
+    assert likeness(PrefixHash(text), PrefixHash("#" + text[1:-1] + "#")) == (len(text) - 2) / len(text)
+    for step in (10, 25, 150):
+        kept, changed = 0, list(words)
+        for k in range(step // 2, len(words), step):
+            changed[k] = "Z" * r.randint(1, 12)
+            kept -= len(words[k])
+        other = " ".join(changed)
+        near = likeness(PrefixHash(text), PrefixHash(other))
+        assert near == (len(text) + kept) / max(len(text), len(other)) and near == likeness(PrefixHash(other), PrefixHash(text))
+    moved = " ".join(words[:100] + ["new words between"] + words[150:400] + words[420:])
+    assert likeness(PrefixHash(text), PrefixHash(moved)) > 0.85
+    assert likeness(PrefixHash("ab" * 500), PrefixHash("cd" * 400)) == 0
+    for _ in range(200):  # copies of parts of a small alphabet: never more than an ordered common part
+        a = "".join(r.choice("ab") for _ in range(r.randint(0, 60)))
+        b = "".join(r.choice("ab") for _ in range(r.randint(0, 60)))
+        b = a[: r.randint(0, 30)] + b + a[r.randint(0, 60) :]
+        row = [0] * (len(b) + 1)  # lengths of longest common subsequences
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        assert likeness(PrefixHash(a), PrefixHash(b)) * max(len(a), len(b), 1) <= (row[-1] if a or b else 1) + 1e-9
+
+
 def test_fingerprints(spark, monkeypatch):
     from parchmill.llm import ordering
 
