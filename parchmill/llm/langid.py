@@ -166,8 +166,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     best = int(scores.sum(axis=0).argmax())
     ahead = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     ahead = np.concatenate([np.zeros((1, scores.shape[1])), ahead])
-    if (ahead - np.minimum.accumulate(ahead, axis=0)).max() <= penalty:
-        return np.full(len(scores), best)  # no span gains what its change of language costs
+    # a path with m changes gains a rise at its beginning, one at its end and m - 1 rises between
+    ends = ahead.max() + (ahead[-1] - ahead).max()
+    if ends <= penalty and (ahead - np.minimum.accumulate(ahead, axis=0)).max() <= penalty:
+        return np.full(len(scores), best)  # no spans together gain what their changes of language cost
     back, value = [], scores[0].tolist()
     for row in scores[1:].tolist():
         most = max(value)

@@ -171,6 +171,20 @@ def test_viterbi():
         assert abs(value(langid.viterbi(s, 4.0).tolist()) - best) < 1e-9
 
 
+def test_viterbi_without_the_overall_best():
+    found = langid.viterbi(np.array([[0.0, -100.0, -7.0], [-100.0, 0.0, -7.0]]), 8.0)
+    assert found.tolist() == [0, 1]
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        s = rng.normal(0, 3, (int(rng.integers(1, 6)), 3))
+
+        def value(path, s=s):
+            return sum(s[t, k] for t, k in enumerate(path)) - 4 * sum(a != b for a, b in zip(path, path[1:]))
+
+        best = max(value(p) for p in np.ndindex(*(3,) * len(s)))
+        assert abs(value(langid.viterbi(s, 4.0).tolist()) - best) < 1e-9
+
+
 def test_rollup(spark, encode):
     docs = spark.createDataFrame([(1, "a b", "s", "en"), (2, "c", "s", "en"), (3, None, None, None), (2, "c", "s", "en")], "doc_id long, text string, source string, lang string")
     words, tokens = count_tokens(docs, "w"), count_tokens(docs, "t", default_vocabulary())
