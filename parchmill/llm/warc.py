@@ -1,7 +1,8 @@
 """WARC archives: a writer on Spark's text sink and a salvage reader.
 
 Records are plain WARC/1.1 (no compression), assembled by DataFrame functions and written
-through Spark's commit protocol.  The reader takes plain and gzip-member archives.
+through Spark's commit protocol.  The reader takes plain and gzip archives, with one
+record or many in a member.
 After a failed check it searches for the next valid member or version line, goes on
 from there, and logs the bytes in between as quarantined.
 """
@@ -31,6 +32,8 @@ BROADCAST_ROWS = 100_000
 #: Headers that a record has once.
 ONCE = ("warc-type", "warc-record-id", "warc-date", "content-length")
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: The empty line after an HTTP head.
+HTTP_END = re.compile(rb"\r?\n\r?\n")
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -108,7 +111,26 @@ def _headers(lines: bytes) -> dict[str, str]:
     return out
 
 
-def parse_record(buffer: bytes, at: int, whole: bool) -> tuple[Record, int]:
+def _http(head: bytes) -> dict[str, str]:
+    """Headers of an HTTP head as servers send it: folded lines go on, lines without a colon are passed over, the first of several counts."""
+    out: dict[str, str] = {}
+    key = None
+    for line in head.split(b"\n")[1:]:
+        text = line.decode("utf-8", "replace")
+        name, colon, value = text.partition(":")
+        if text[:1] in (" ", "\t"):
+            if key:
+                out[key] = f"{out[key]} {text.strip()}".strip()
+        elif colon:
+            name = name.strip().lower()
+            key = None if name in out else name
+            out.setdefault(name, value.strip())
+        else:
+            key = None
+    return out
+
+
+def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at a version line, and where it ends; raises Damaged on any failed check."""
     line, head = buffer.find(b"\r\n", at), buffer.find(b"\r\n\r\n", at)
     if not buffer.startswith(VERSION, at) or line < 0 or head < 0 or not re.fullmatch(rb"WARC/1\.[0-9]", buffer[at:line]):
@@ -121,12 +143,10 @@ def parse_record(buffer: bytes, at: int, whole: bool) -> tuple[Record, int]:
     end = start + int(length)
     if buffer[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the block does not end where its length says")
-    if whole and end + 4 != len(buffer):
-        raise Damaged("bytes after the record in its member")
     record = Record(at, headers, buffer[start:end])
-    if "application/http" in headers.get("content-type", "") and (cut := record.block.find(b"\r\n\r\n")) >= 0:
-        record.http = _headers(record.block[record.block.find(b"\r\n") + 2 : cut]) if record.block.find(b"\r\n") < cut else {}
-        record.payload = record.block[cut + 4 :]
+    if "application/http" in headers.get("content-type", "") and (cut := HTTP_END.search(record.block)):
+        record.http = _http(record.block[: cut.start()])
+        record.payload = record.block[cut.end() :]
     else:
         record.payload = record.block
     for header, data in (("warc-block-digest", record.block), ("warc-payload-digest", None if headers["warc-type"] == "revisit" else record.payload)):
@@ -150,19 +170,24 @@ def _inflate(buffer: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at - len(inflate.unused_data)
 
 
-def salvage(buffer: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of an archive, and a (start, end, reason) for each gap of bytes that fail."""
+def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP)) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of an archive, and a (start, end, reason) for each gap of bytes that fail.
+
+    A gzip member holds any number of records, all with the member's offset; a gap among
+    them has the member's bounds, and its place in the content in the reason.  A member
+    without a valid record is a gap.
+    """
     at, size = 0, len(buffer)
     gap, reason = -1, ""
-    after = {VERSION: -1, GZIP: -1}  # where each mark was last found
+    after = {mark: -1 for mark in marks}  # where each mark was last found
     while at < size:
         try:
-            if buffer.startswith(GZIP, at):
+            if GZIP in after and buffer.startswith(GZIP, at):
                 member, end = _inflate(buffer, at)
-                record, _ = parse_record(member, 0, True)
-                record.offset = at
+                inside: Iterator = salvage(member, (VERSION,))
             else:
-                record, end = parse_record(buffer, at, False)
+                record, end = parse_record(buffer, at)
+                inside = iter((record,))
         except Damaged as error:
             if gap < 0:
                 gap, reason = at, str(error)
@@ -172,10 +197,25 @@ def salvage(buffer: bytes) -> Iterator[Record | tuple[int, int, str]]:
                     after[mark] = size if found < 0 else found
             at = min(after.values())
             continue
-        if gap >= 0:
-            yield gap, at, reason
-            gap = -1
-        yield record
+        held = []  # gaps before a member's first record
+        good = False
+        for found in inside:
+            if isinstance(found, tuple):
+                found = (at, end, f"content {found[0]} to {found[1]}: {found[2]}")
+                if not good:
+                    held.append(found)
+                    continue
+            else:
+                if not good and gap >= 0:
+                    yield gap, at, reason
+                    gap = -1
+                if not good:
+                    yield from held
+                good = True
+                found.offset = at if len(marks) > 1 else found.offset
+            yield found
+        if not good and gap < 0:
+            gap, reason = at, held[0][2] if held else "an empty member"
         at = end
     if gap >= 0:
         yield gap, size, reason
@@ -222,7 +262,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     A gap has ``gap_reason`` and its bytes ``byte_start`` to ``byte_end``; a record has its
     fields, and its payload where asked for.  ``payload_bytes`` and ``payload_digest`` are of
     the full payload, also for revisits, whose own block has the headers alone.  A task
-    holds one archive at a time.  Empty files have no rows.
+    holds one archive and the content of one gzip member at a time.  Empty files have no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read(with_payload), READ_SCHEMA)

@@ -79,6 +79,37 @@ def test_salvage_members():
     assert outcome(b"") == ([], [])
 
 
+def test_salvage_many_records_in_a_member():
+    parts = [record(k, bytes([65 + k]) * 500) for k in range(5)]
+    member, alone = gzip.compress(b"".join(parts[:4])), gzip.compress(parts[4])
+    assert outcome(member + alone) == ([0, 1, 2, 3, 4], [])
+    first, middle = bytearray(parts[0]), bytearray(parts[2])
+    first[-10] ^= 1
+    middle[-10] ^= 1
+    damaged = gzip.compress(bytes(first) + parts[1] + bytes(middle) + parts[3] + b"tail")
+    assert outcome(damaged + alone) == ([1, 3, 4], [(0, len(damaged))] * 3)
+    assert outcome(b"junk" + damaged + alone) == ([1, 3, 4], [(0, 4)] + [(4, 4 + len(damaged))] * 3)
+    nothing = gzip.compress(b"no record")
+    assert outcome(nothing + alone) == ([4], [(0, len(nothing))])
+    assert outcome(gzip.compress(b"") + alone + b"x") == ([4], [(0, len(gzip.compress(b""))), (len(gzip.compress(b"") + alone), len(gzip.compress(b"") + alone) + 1)])
+
+
+def test_lenient_http_heads(spark, tmp_path):
+    def page(n: int, head: bytes, body: bytes) -> bytes:
+        block = head + body
+        sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{sha}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    heads = [b"HTTP/1.1 200 OK\r\nno colon here\r\nA: b\r\n\r\n", b"HTTP/1.1 200 OK\r\nX: one\r\n two\r\n\tthree\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\ncontent-length: 9\r\n\r\n", b"HTTP/1.0 200 OK\nA: b\n\n", b"HTTP/1.1 200 OK\r\n\r\n"]
+    data = b"".join(page(k, head, b"body\r\n\r\n") for k, head in enumerate(heads))
+    assert outcome(data) == ([0, 1, 2, 3, 4], [])
+    found = list(salvage(data))
+    assert found[1].http == {"x": "one two three"} and found[2].http == {"content-length": "4"} and all(r.payload == b"body\r\n\r\n" for r in found)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
+    read = read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in read) == [0, 1, 2, 3, 4] and all(r["gap_reason"] is None and bytes(r["payload"]) == b"body\r\n\r\n" for r in read)
+
+
 def test_urls(spark):
     urls = ["HTTP://Www.Example.NET/en/x?q#f", "http://example.net/EN/", "http://a.example.com/de/1", "http://example.com", "https://x.org/fr/y", "http://x.net", "no scheme", None, "a://b://c/d", "http://h?x", "http://org/fr/", "http://notnet/x", "http://bad.host/1", "http://bad.host/2"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, host string")
