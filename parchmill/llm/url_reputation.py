@@ -18,6 +18,52 @@ THRESHOLD = 0.5
 DEVIATIONS = 1.645
 #: Least and most pseudo-observations that a prior counts for.
 STRENGTH = (2.0, 1000.0)
+#: Public suffixes of several labels, a fixed selection of the public suffix list: second levels of country domains.
+_SECOND_LEVELS = {
+    "ae": "ac co gov mil net org sch",
+    "ar": "com edu gob gov int mil net org tur",
+    "at": "ac co gv or",
+    "au": "asn com edu gov id net org",
+    "bd": "com net org edu gov ac mil",
+    "br": "adm art blog com edu eco eng gov ind jus leg mil net org tv",
+    "cn": "ac com edu gov mil net org",
+    "co": "com edu gov mil net nom org",
+    "ec": "com edu gob gov mil net org",
+    "eg": "com edu eun gov mil name net org sci",
+    "es": "com edu gob nom org",
+    "fr": "asso com gouv nom prd tm",
+    "hk": "com edu gov idv net org",
+    "hu": "co",
+    "id": "ac co desa go mil my net or sch web",
+    "il": "ac co gov idf k12 muni net org",
+    "in": "ac co edu firm gen gov ind mil net nic org res",
+    "it": "edu gov",
+    "jp": "ac ad co ed go gr lg ne or",
+    "ke": "ac co go info me mobi ne or sc",
+    "kr": "ac co es go hs kg mil ms ne or pe re sc",
+    "mt": "com edu gov net org",
+    "mx": "com edu gob gov net org",
+    "my": "com edu gov mil name net org",
+    "ng": "com edu gov i mil mobi name net org sch",
+    "nz": "ac co cri geek gen govt health iwi maori mil net org parliament school",
+    "pe": "com edu gob mil net nom org",
+    "ph": "com edu gov ngo net org",
+    "pk": "com org net edu gov",
+    "pt": "com edu gov net nome org publ",
+    "qa": "com net org edu gov",
+    "sa": "com edu gov med net org pub sch",
+    "sg": "com edu gov net org per",
+    "th": "ac co go in mi net or",
+    "tr": "av bbs bel biz com dr edu gen gov info k12 kep mil name net org pol tel tv web",
+    "tw": "club com edu game gov idv mil net org",
+    "ua": "com edu gov in kiev kharkov lviv net odessa org",
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "uy": "com edu gub mil net org",
+    "ve": "com edu gob gov mil net org web",
+    "vn": "ac com edu gov health info int name net org pro",
+    "za": "ac co edu gov law mil net nom org school web",
+}
+SUFFIXES: tuple[str, ...] = tuple(f"{x}.{country}" for country, levels in _SECOND_LEVELS.items() for x in levels.split())
 
 
 def _lower(x: Column) -> Column:
@@ -43,13 +89,29 @@ def judged(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] =
     return rule, verdict
 
 
+def _name(host: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"\A.*@", ""), r":[0-9]*\z", ""), r"\.\z", "")
+
+
+def _labels(host: Column, more: int) -> Column:
+    """The public suffix of a host and ``more`` labels before it; an IP address is whole."""
+    name = _name(host)
+    address = name.startswith("[") | name.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
+    out = F.when(address, name)
+    for n in sorted({x.count(".") + 1 for x in SUFFIXES}, reverse=True):  # the longest match first
+        out = out.when(F.substring_index(name, ".", -n).isin([x for x in SUFFIXES if x.count(".") + 1 == n]), F.substring_index(name, ".", -n - more))
+    return out.otherwise(F.substring_index(name, ".", -1 - more))
+
+
 def registered(host: Column) -> Column:
-    """The registered domain: the last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the public suffix of a host and the label before it."""
+    return _labels(host, 1)
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix: the longest of ``SUFFIXES`` that ends the host, else its last label."""
+    return _labels(host, 0)
 
 
 def _strength(counts: DataFrame, key: str) -> tuple[float, float]:

@@ -139,3 +139,16 @@ def test_reputation(spark):
     assert none.where("verdict = 'allow'").count() == 120
     assert judge_urls(frame.where("false"), labels).count() == 0
     assert judge_urls(frame.union(frame), labels).groupBy("page_id").agg(F.count_distinct("verdict").alias("n")).where("n > 1").count() == 0
+
+
+def test_registered_domains(spark):
+    from parchmill.llm.url_reputation import registered, suffix
+
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com.au:8080": ("x.com.au", "com.au"), "www.a.com:80": ("a.com", "com"), "1.2.3.4:99": ("1.2.3.4", "1.2.3.4"), "[::1]:8080": ("[::1]", "[::1]"), "me@a.b.org.": ("b.org", "org"), "notco.uk": ("notco.uk", "uk"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in hosts.select("host", registered(F.col("host")).alias("d"), suffix(F.col("host")).alias("s")).collect()} == want
+    names = ["bad.co.uk"] * 40 + ["good.co.uk"] * 40 + ["new.bad.co.uk", "new.good.co.uk"]
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}") for k, h in enumerate(names)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, quality int")
+    share = {r["page_id"]: r["host_share"] for r in judge_urls(pages, labels).collect()}
+    assert share[80] > 0.6 and share[81] < 0.4  # hosts without labels follow their own domain
