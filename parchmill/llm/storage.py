@@ -2,28 +2,82 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), below a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder, which goes
+    when Python ends; a cluster has no folder that all executors see, so it is an error there.
+    """
+    base = spark.conf.get(SETTING, None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="parchmill-")
-        base = _own[app]
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="parchmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
+        spark.conf.set(SETTING, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: later failures restart from the files."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows; nothing happens where it is gone."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that one query writes on its way; ``drop`` deletes those that no later table reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+def ref(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(docs: DataFrame, added: list[str]) -> list[str]:
+    """The columns of ``docs`` that none of the added ones replaces; names are compared as Spark does, without case."""
+    new = {a.lower() for a in added}
+    return [c for c in docs.columns if c.lower() not in new]
+
+
+def boxed(docs: DataFrame, box: str = "__pm_row", **columns: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct, and new columns beside it, so that no name can clash."""
+    row = F.struct(*[ref(c) for c in docs.columns]) if docs.columns else F.struct(F.lit(None).alias("none"))
+    return docs.select(row.alias(box), *[value.alias(name) for name, value in columns.items()])
+
+
+def unboxed(docs: DataFrame, names: list[str], box: str = "__pm_row") -> list[Column]:
+    return [F.col(box)[n].alias(n) for n in names]
