@@ -8,39 +8,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .memory import give_back
+from .storage import Scratch
+
+
+#: Nodes that a task holds.
+NODES = 500_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one partition, as stars of their local components.  Memory: its distinct nodes."""
-    parent: dict[int, int] = {}
+    """Edges of one partition, as stars of local components; every ``NODES`` nodes are sent on."""
+    parent: dict = {}
+    kind = None
 
-    def root(x: int) -> int:
+    def root(x):
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = parent[up]
             x = up
         return x
 
+    def done() -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["u", "v"])
+
     for batch in batches:
+        kind = batch.schema.field(0).type
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, root(x)) for x in parent]
-    pairs = [(x, r) for x, r in pairs if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        if len(parent) > NODES:
+            yield done()
+    if parent:
+        yield done()
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (u, v: long) -> (node, root), root the smallest node reachable, for nodes with an edge to another.
+    """Edges (u, v: of one type with an order) -> (node, root), root the smallest node reachable, for nodes with an edge to another.
 
     Each round joins nodes with their smallest neighbour; a round's edges are written
-    to the shared folder.  It ends when a round changes nothing, after about the
-    logarithm of the longest path many rounds.  Hot nodes only meet in joins, which
-    adaptive execution splits.
+    to the shared folder, and those of the round before are deleted.  It ends when a round
+    changes nothing, after about the logarithm of the longest path many rounds.  Hot nodes
+    only meet in joins, which adaptive execution splits.
     """
-    edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v")
-    edges = materialise(edges.mapInArrow(_contract, "u long, v long"), "edges")
+    kind = edges.schema["u"].dataType.simpleString()
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.where("u != v").mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -49,7 +64,10 @@ def components(edges: DataFrame) -> DataFrame:
         # after a large star every edge points from the larger to the smaller node
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = materialise(small, "edges")
+        after_scratch = Scratch(edges.sparkSession)
+        edges = after_scratch.keep(small, "edges")
+        scratch.drop()
+        scratch = after_scratch
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.count_distinct("u")).first()
         if after == before and after[0] == after[2]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,39 +1,50 @@
 """Exact Jaccard self-join of shingle sets in the metric space of the Jaccard distance.
 
 The distance 1 - J is a metric.  Almost all texts lie at distance 1 from any other
-text, where the triangle inequality separates nothing, so the space is first cut by
-a global order of shingles (rarest first): two sets within the threshold share a
-shingle among the first ``n - ceil(t * n) + 1`` of each.  Texts whose first shingles
-occur in no other text are thereby alone.  For the others:
-
-1. each shared leading shingle elects a *pivot*, the member with the smallest key; keys
-   begin with the share of unique shingles, so that is a most central copy;
-2. a text enters the region of every pivot that its leading shingles elect, so that
-   any two linked texts meet in at least one region (replication over borders);
-3. in a region all distances to the pivot are computed.  The ball of the threshold
-   around it is linked at once, without pairs.  Each text outside the ball becomes
-   the pivot of the next level, and by the triangle inequality only meets texts
-   whose distance to the first pivot differs by the threshold at most; sizes must
-   agree likewise.  This recursion ends when no text outside a ball is left.
-
-Regions beyond ``region_size`` texts are dealt out in pairs of blocks.  Sets are held as
-64-bit hashes.  The order of shingles comes from counts over all texts, kept in
-tables of fixed size (a bitmap for "in two texts or more", the most frequent values
-of each range): it only steers the work, and any order gives the same result.
+text, where the triangle inequality separates nothing, so a global order of shingles
+(rarest first) first finds the texts that can be near at all: two sets within the
+threshold share a shingle among the first ``n - ceil(t * n) + 1`` of each.  Each shared
+leading shingle elects a *pivot*, the member with the smallest code (codes begin with the
+share of unique shingles, so that is a most central copy), and a text enters the
+region of every pivot that its leading shingles elect.  Any two linked texts thereby
+meet in a region.  A region is joined by rounds:
+
+1. The distances of all members to the region's pivots (one at first, ``PIVOTS``
+   later) are computed; the sets within ``r = 1 - threshold`` of a pivot are linked to it.
+   With that the pivots are done and leave the region.
+2. Each set goes to the Voronoi cell of its nearest pivot, and by the triangle inequality
+   also to the cell of every pivot p with d(x, p) <= d(x, nearest) + 2r: a set within r
+   of x that is at home there is no farther than that.
+3. The sets that are linked to the first pivot are one component, the *core* of the
+   region, and need no comparison among themselves.  A cell is done when it has no set
+   outside the core; else it keeps those sets, and of the core those whose distance
+   to the pivot is within r of one of them.
+4. A cell of few rows and bytes is compared in one task, set by set against those
+   outside the core; a larger one is the next round's region.  Where a round doesn't
+   make the regions smaller, the sets outside the core are dealt out in blocks, and
+   each block meets all members, which are dealt out likewise.
+
+Rows of a region are dealt over salts by its size, with the pivots' sets repeated in each, so
+no region, however hot, is one task.  Sets are held as 48-bit hashes and named by keys
+of 128 bits.  The order of shingles comes from counts over all texts, kept in tables of
+fixed size (a bitmap for "in two texts or more", the most frequent values of each range):
+it only steers the work, and any order gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialise
+from .memory import tidy
+from .storage import Scratch, boxed, ref, unboxed
 from .words import mix, row_sums, shingle_sets, text_chunks, words
 
 U = np.uint64
@@ -44,11 +55,15 @@ FOLD = 5
 #: A value in more texts than this is frequent; of each range the most frequent values are told apart.
 FREQUENT, TOLD = 16, 512
 #: Shingles collected in a task before their counts are sent.
-FLUSH = 4_000_000
-
-
+FLUSH = 2_000_000
 #: Keys that a task remembers, to send the set of a copy once.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
+#: Rows and bytes of sets up to which a region is compared in one task; also the size of blocks and salts.
+ROWS, BYTES = 250, 1 << 21
+#: Pivots of a region from the second round on.
+PIVOTS = 8
+#: Values looked up at a time when members meet pivots.
+LOOKUPS = 1 << 20
 
 
 def pack_set(shingles: np.ndarray) -> bytes:
@@ -63,8 +78,13 @@ def unpack_set(data: bytes) -> np.ndarray:
 
 
 def set_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set; 0 for the empty set."""
-    return mix(row_sums(mix(shingles ^ U(0x5851F42D4C957F2D)), bounds) ^ (np.diff(bounds).astype(U) << U(40)))
+    """A key of 16 bytes for each set, as two numbers."""
+    n = np.diff(bounds).astype(U) << U(40)
+    return np.stack([mix(row_sums(mix(shingles ^ U(salt)), bounds) ^ n) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+
+
+def binary_keys(keys: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys.astype("<u8")).tobytes())]).cast(pa.binary())
 
 
 def _count_blobs(width: int) -> Callable:
@@ -89,8 +109,7 @@ def _count_blobs(width: int) -> Callable:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 shingles, bounds = shingle_sets(words(data, offsets), width)
-                keys = set_keys(shingles, bounds).tolist()
-                new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)
+                new = np.array([not (k in seen or seen.add(k)) for k in set_keys(shingles, bounds)[:, 0].tolist()], bool)
                 fresh = (shingles[np.repeat(new, np.diff(bounds))] >> U(32)).astype(np.uint32)
                 held.append(fresh)
                 size += len(fresh)
@@ -173,11 +192,14 @@ class ShingleOrder:
         return np.where(self.often[at] == value, self.level[at], 1)
 
 
+DESCRIBED = "doc_id long, n long, key binary, code long, shingles binary, leading binary"
+
+
 def _describe(width: int, threshold: Fraction, order) -> Callable:
-    """(doc_id, text) -> (doc_id, key, n) and, where leading shingles are shared, the set and the leading ones.
+    """(doc_id, text) -> (doc_id, n, key) and, where leading shingles are shared, a code, the set and the leading ones.
 
-    Copies in one task send their set once.  A key is the share of unique shingles in eighths
-    of the leading ones and 60 bits of the set's hash.
+    Copies in one task send their set once.  A code is the share of unique shingles in
+    eighths of the leading ones and 60 bits of the key.
     """
     num, den = threshold.numerator, threshold.denominator
 
@@ -190,11 +212,13 @@ def _describe(width: int, threshold: Fraction, order) -> Callable:
                 shared = table.is_shared(shingles)
                 unique = row_sums((~shared).astype(np.int64), bounds)
                 leading = n - (num * n + den - 1) // den + 1
-                sets, prefixes = [None] * len(n), [None] * len(n)
+                sets, fronts = [None] * len(n), [None] * len(n)
                 share = np.minimum(8 * unique // np.maximum(leading, 1), 7).astype(U)
-                keys = ((share << U(60)) | (set_keys(shingles, bounds) >> U(4))).view(np.int64)
+                keys = set_keys(shingles, bounds)
+                codes = ((share << U(60)) | (keys[:, 0] >> U(4))).view(np.int64)
+                names = binary_keys(keys)
                 for d in np.flatnonzero((unique < leading) & (n > 0)).tolist():
-                    if (key := int(keys[d])) in seen:
+                    if (key := names[d].as_py()) in seen:
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -202,24 +226,24 @@ def _describe(width: int, threshold: Fraction, order) -> Callable:
                     own = shingles[bounds[d] : bounds[d + 1]]
                     common = own[shared[bounds[d] : bounds[d + 1]]]
                     front = common[np.argsort(table.levels(common), kind="stable")[: leading[d] - unique[d]]]
-                    sets[d], prefixes[d] = pack_set(own), front.tobytes()
+                    sets[d], fronts[d] = pack_set(own), front.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(keys), pa.array(n), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "key", "n", "shingles", "leading"],
+                    [batch.column(0).slice(first, end - first), pa.array(n), names, pa.array(codes), pa.array(sets, pa.binary()), pa.array(fronts, pa.binary())],
+                    names=["doc_id", "n", "key", "code", "shingles", "leading"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (shingle, key) for each leading shingle."""
+    """(key, n, code, leading) -> a row (shingle, key, n, code) for each leading shingle."""
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        fronts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        owners = np.repeat(key, [len(x) for x in fronts])
+        fronts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+        owners = np.repeat(np.arange(len(fronts)), [len(x) for x in fronts])
         every = np.concatenate(fronts) if fronts else np.zeros(0, np.int64)
         for a in range(0, len(every), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(every[a : a + (1 << 17)]), pa.array(owners[a : a + (1 << 17)])], names=["shingle", "key"])
+            own = pa.array(owners[a : a + (1 << 17)])
+            yield pa.RecordBatch.from_arrays([pa.array(every[a : a + (1 << 17)]), *(batch.column(k).take(own) for k in range(3))], names=["shingle", "key", "n", "code"])
 
 
 class _Forest:
@@ -236,68 +260,289 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def join_region(sets: list[np.ndarray], pivot: int, threshold: Fraction) -> list[int]:
-    """The root of each set's component under links of Jaccard similarity >= threshold.  Exact."""
-    num, den = threshold.numerator, threshold.denominator
-    reach = float(1 - threshold) + 1e-9
-    n = np.array([len(s) for s in sets], np.int64)
-    forest = _Forest(len(sets))
-    every = np.concatenate(sets)
-    inner = row_sums(np.isin(every, sets[pivot]).astype(np.int64), np.concatenate([[0], np.cumsum(n)]))
-    union = n + n[pivot] - inner
-    distance = 1 - inner / np.maximum(union, 1)
-    ball = den * inner >= num * union
-    for x in np.flatnonzero(ball).tolist():
-        forest.link(pivot, x)
-    outside = np.flatnonzero(~ball)
-    if len(outside):
-        owners = np.repeat(np.arange(len(sets)), n)
+class Probe:
+    """A few sets in memory, to be met by any number of others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate([*sets, np.zeros(0, U)])
+        owners = np.repeat(np.arange(len(sets)), self.n)
         order = np.argsort(every, kind="stable")
-        every, owners = every[order], owners[order]
-        place = np.argsort(distance, kind="stable")
-        sorted_distance = distance[place]
-        for x in outside.tolist():
-            window = place[np.searchsorted(sorted_distance, distance[x] - reach) : np.searchsorted(sorted_distance, distance[x] + reach, "right")]
-            window = window[(den * n[window] >= num * n[x]) & (den * n[x] >= num * n[window])]
-            if len(window) < 2:
-                continue
-            a, b = np.searchsorted(every, sets[x]), np.searchsorted(every, sets[x], "right")
-            many = b - a
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            inner = np.bincount(owners[at], minlength=len(sets))[window]
-            for y in window[den * inner >= num * (n[window] + n[x] - inner)].tolist():
-                forest.link(x, y)
-    return [forest.root(x) for x in range(len(sets))]
-
-
-def _join_regions(threshold: Fraction) -> Callable:
-    """Rows (pivot, i, j, key, shingles) sorted by region -> links (u, v) between keys."""
+        self.values, first = np.unique(every[order], return_index=True)
+        self.first, self.owners = np.append(first, len(every)), owners[order]
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections, a row for each of ``sets``."""
+        out = np.zeros((len(sets), len(self.n)), np.int64)
+        begin = 0
+        while begin < len(sets):
+            end, many = begin, 0
+            while end < len(sets) and (end == begin or (many + len(sets[end])) * len(self.n) <= LOOKUPS):
+                many += len(sets[end])
+                end += 1
+            every = np.concatenate(sets[begin:end])
+            rows = np.repeat(np.arange(end - begin), [len(x) for x in sets[begin:end]])
+            at = np.minimum(np.searchsorted(self.values, every), len(self.values) - 1)
+            hit = self.values[at] == every
+            at, rows = at[hit], rows[hit]
+            each = self.first[at + 1] - self.first[at]
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.first[at], each)
+            cells = np.repeat(rows, each) * len(self.n) + self.owners[place]
+            out[begin:end] = np.bincount(cells, minlength=(end - begin) * len(self.n)).reshape(-1, len(self.n))
+            begin = end
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tuple[tuple, list[tuple], Iterator[list[tuple]]]]:
+    """Rows sorted by ``names`` columns and then by kind (0: loaded, 1: streamed) -> (name, loaded rows, parts of the streamed ones)."""
+    held: list[tuple] = []
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    source = rows()
+
+    def next_row() -> tuple | None:
+        return held.pop() if held else next(source, None)
+
+    while (row := next_row()) is not None:
+        name, loaded = row[:names], []
+        while row is not None and row[:names] == name and row[names] == 0:
+            loaded.append(row[names + 1 :])
+            row = next_row()
+
+        def streamed(row=row) -> Iterator[list[tuple]]:
+            part, size = [], 0
+            while row is not None and row[:names] == name:
+                part.append(row[names + 1 :])
+                size += len(row[-1])
+                if size > BYTES:
+                    yield part
+                    part, size = [], 0
+                row = next_row()
+            if row is not None:
+                held.append(row)
+            if part:
+                yield part
+
+        parts = streamed()
+        yield name, loaded, parts
+        for _ in parts:  # what the caller hasn't read
+            pass
+
+
+ASSIGNED = "region long, pivot binary, key binary, n long, core boolean, home boolean, distance double, linked boolean"
+
+
+def _assign(threshold: Fraction) -> Callable:
+    """Rows (region, salt, kind, key, n, core, home, shingles) -> a row for each cell of each member."""
+    num, den = threshold.numerator, threshold.denominator
+    window = 2 * float(1 - threshold) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.bool_()]
+        names = [x.split()[0] for x in ASSIGNED.split(", ")]
+        out: list[list] = [[] for _ in kinds]
+
+        def done() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
+            for x in out:
+                x.clear()
+            return batch
+
+        for (region, _), loaded, parts in _groups(batches, 2):
+            pivots = {row[0]: row[-1] for row in loaded}
+            probe = Probe([unpack_set(x) for x in pivots.values()])
+            keys = list(pivots)
+            for part in parts:
+                if not keys:
+                    continue
+                inner = probe.common([unpack_set(row[-1]) for row in part])
+                n = np.array([row[1] for row in part], np.int64)
+                union = n[:, None] + probe.n[None, :] - inner
+                distance = 1 - inner / union
+                linked = den * inner >= num * union
+                nearest = distance.argmin(axis=1)
+                near = distance <= distance[np.arange(len(part)), nearest][:, None] + window
+                for x, p in zip(*(a.tolist() for a in np.nonzero(near))):
+                    key, size, core, home, _ = part[x]
+                    for column, value in zip(out, (region, keys[p], key, size, core, home and p == nearest[x], distance[x, p], linked[x, p])):
+                        column.append(value)
+                if len(out[0]) > 10_000:
+                    yield done()
+        yield done()
+
+    return tidy(run)
+
+
+def _compare(threshold: Fraction) -> Callable:
+    """Rows (region, block, salt, kind, key, n, core, home, shingles) -> links (u, v) of the loaded sets with the streamed ones.
+
+    A streamed set is linked to the first loaded one within the threshold, and the loaded ones
+    that it is within the threshold of are linked to each other.
+    """
+    num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, members = None, {}
+        u: list[bytes] = []
+        v: list[bytes] = []
 
         def done() -> pa.RecordBatch:
-            keys, u, v = list(members), [], []
-            if len(keys) > 1:
-                sets = [unpack_set(members[k]) for k in keys]
-                roots = join_region(sets, keys.index(region[0]) if region[0] in members else 0, threshold)
-                u, v = [k for k, r in zip(keys, roots) if keys[r] != k], [keys[r] for k, r in zip(keys, roots) if keys[r] != k]
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            batch = pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+            u.clear()
+            v.clear()
+            return batch
+
+        for _, loaded, parts in _groups(batches, 3):
+            own = {row[0]: row[-1] for row in loaded}
+            keys = list(own)
+            probe = Probe([unpack_set(x) for x in own.values()])
+            forest = _Forest(len(keys))
+            for part in parts:
+                if not keys:
+                    continue
+                inner = probe.common([unpack_set(row[-1]) for row in part])
+                n = np.array([row[1] for row in part], np.int64)
+                linked = den * inner >= num * (n[:, None] + probe.n[None, :] - inner)
+                for x in np.flatnonzero(linked.any(axis=1)).tolist():
+                    first, *more = np.flatnonzero(linked[x]).tolist()
+                    if part[x][0] != keys[first]:
+                        u.append(part[x][0])
+                        v.append(keys[first])
+                    for y in more:
+                        forest.link(first, y)
+                if len(u) > 10_000:
+                    yield done()
+            for y in range(len(keys)):
+                if (r := forest.root(y)) != y:
+                    u.append(keys[y])
+                    v.append(keys[r])
+        yield done()
+
+    return tidy(run)
+
+
+@dataclass
+class Limits:
+    """Rows and bytes that a task holds of a region."""
+
+    rows: int = ROWS
+    bytes: int = BYTES
+
+    def parts(self, rows: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(rows / F.lit(self.rows)), F.ceil(6 * shingles / F.lit(self.bytes)), F.lit(1)).cast("int")
+
+
+def _salted(key: Column, region: Column, salts: Column) -> Column:
+    return F.pmod(F.xxhash64(key, region), salts).cast("int")
+
+
+def _round(members: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: Fraction, limits: Limits) -> DataFrame:
+    """Members (region, key, n, core, home) and pivots (region, key) -> ASSIGNED rows."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    salts = sizes.select("region", limits.parts(F.col("rows"), F.col("shingles")).alias("salts"))
+    named = ["region", "salt", "kind", "key", "n", "core", "home"]
+    streamed = members.join(salts, "region").withColumn("salt", _salted(F.col("key"), F.col("region"), F.col("salts"))).withColumn("kind", F.lit(1)).select(*named)
+    nothing = [F.lit(0).cast("long").alias("n"), F.lit(False).alias("core"), F.lit(False).alias("home")]
+    loaded = pivots.join(salts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "key", *nothing)
+    rows = loaded.select(*named).unionByName(streamed).join(sets, "key").select(*named, "shingles")
+    return rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "kind").mapInArrow(_assign(threshold), ASSIGNED)
+
+
+def _next(assigned: DataFrame, reach: float) -> DataFrame:
+    """ASSIGNED rows of a round -> members of the cells that aren't done."""
+    with_core = assigned.where("linked and core").select("region", "pivot").distinct()
+    joined = assigned.where("linked and not core").join(with_core, ["region", "pivot"]).select("region", "key").distinct().withColumn("joins", F.lit(True))
+    pivots = assigned.select("region", F.col("pivot").alias("key")).distinct().withColumn("done", F.lit(True))
+    open_rows = assigned.join(joined, ["region", "key"], "left").join(pivots, ["region", "key"], "left").where("done is null")
+    rows = open_rows.select(F.xxhash64("region", "pivot").alias("region"), "key", "n", (F.col("core") | F.col("joins").isNotNull()).alias("core"), "home", "distance")
+    outside = F.when(~F.col("core"), F.col("distance"))
+    cells = rows.groupBy("region").agg(F.min(outside).alias("least"), F.max(outside).alias("most"), F.max("home").alias("homes"), F.count("*").alias("rows")).where("least is not null and homes and rows > 1")
+    kept = rows.join(cells.drop("rows"), "region").where(~F.col("core") | F.col("distance").between(F.col("least") - reach, F.col("most") + reach))
+    return kept.select("region", "key", "n", "core", "home")
+
+
+def _all_links(members: DataFrame, sets: DataFrame, threshold: Fraction, limits: Limits) -> DataFrame:
+    """Members -> links of the sets outside the core with all members of their region.
 
+    Both are dealt out: a region within the limits is one task, in any other each block of
+    the sets outside the core meets each part of the members.
+    """
+    outside = F.when(~F.col("core"), 1)
+    sizes = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.count(outside).alias("out_rows"), F.sum(F.when(~F.col("core"), F.col("n"))).alias("out_shingles"))
+    dealt = sizes.where("out_rows > 0 and rows > 1").select("region", limits.parts(F.col("rows"), F.col("shingles")).alias("salts"), limits.parts(F.col("out_rows"), F.col("out_shingles")).alias("blocks"))
+    rows = members.join(dealt, "region")
+    named = ["region", "block", "salt", "kind", "key", "n", "core", "home"]
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    streamed = rows.withColumn("salt", _salted(F.col("key"), F.col("region"), F.col("salts"))).withColumn("block", every("blocks")).withColumn("kind", F.lit(1))
+    loaded = rows.where(~F.col("core")).withColumn("block", _salted(F.col("key"), F.col("region"), F.col("blocks"))).withColumn("salt", every("salts")).withColumn("kind", F.lit(0))
+    met = loaded.select(*named).unionByName(streamed.select(*named)).join(sets, "key").select(*named, "shingles")
+    return met.repartition("region", "block", "salt").sortWithinPartitions("region", "block", "salt", "kind").mapInArrow(_compare(threshold), "u binary, v binary")
+
+
+def _links(members: DataFrame, sets: DataFrame, threshold: Fraction, limits: Limits, scratch: Scratch) -> DataFrame:
+    """Regions (region, key, n, first) -> links (u, v) between keys.  ``first`` marks a region's pivot."""
+    reach = float(1 - threshold) + 1e-9
+    links, before, pivots = [], None, members.where("first").select("region", "key")
+    members = members.select("region", "key", "n", F.col("first").alias("core"), F.lit(True).alias("home"))
+    while True:
+        assigned = scratch.keep(_round(members, pivots, sets, threshold, limits), "assigned")
+        links.append(assigned.where("linked and key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
+        members = scratch.keep(_next(assigned, reach), "cells")
+        sizes = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("large", limits.parts(F.col("rows"), F.col("shingles")) > 1)
+        total = sizes.where("large").agg(F.sum("rows")).first()[0] or 0
+        large = sizes.where("large").select("region")
+        if not total or before is not None and total > 0.7 * before:
+            links.append(_all_links(members, sets, threshold, limits))
+            return links[0] if len(links) == 1 else _union(links)
+        links.append(scratch.keep(_all_links(members.join(large, "region", "left_anti"), sets, threshold, limits), "links"))
+        members, before = scratch.keep(members.join(large, "region"), "regions"), total
+        turn = F.xxhash64("key", F.lit(before))
+        chosen = members.where(~F.col("core")).groupBy("region", F.pmod(turn, F.lit(PIVOTS)).alias("place")).agg(F.min(turn).alias("turn"))
+        pivots = scratch.keep(members.where(~F.col("core")).withColumn("turn", turn).withColumn("place", F.pmod("turn", F.lit(PIVOTS))).join(chosen, ["region", "place", "turn"]).select("region", "key").distinct(), "pivots")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.union(x)
+    return out
+
+
+def set_key(text: Column, width: int = 5) -> Column:
+    """The key of a text's set (null where it is empty), as the joins use it; the rows stay in the JVM."""
+
+    @F.arrow_udf("binary")
+    def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for *at, key, held in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if at != region:
-                    if members:
-                        yield done()
-                    region, members = at, {}
-                members[key] = held
-        if members:
-            yield done()
+            out = [pa.array([], pa.binary())]
+            for _, _, data, offsets in text_chunks(batch):
+                shingles, bounds = shingle_sets(words(data, offsets), width)
+                names = binary_keys(set_keys(shingles, bounds))
+                out.append(pa.array([k if n else None for k, n in zip(names.to_pylist(), np.diff(bounds).tolist())], pa.binary()))
+            yield pa.concat_arrays(out)
 
-    return run
+    return keyed.asNondeterministic()(text)  # evaluated once, wherever it is used
+
+
+def classes(texts: DataFrame, width: int, threshold: Fraction, limits: Limits, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text) -> their (doc_id, n, key), and (key, root) of the sets that are linked to others."""
+    spark = texts.sparkSession
+    blobs = texts.select("text").mapInArrow(_count_blobs(width), "part int, blob binary")
+    ranges = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_count_ranges, "part int, shared binary, often binary, level binary")
+    order = spark.sparkContext.broadcast(ShingleOrder(ranges.collect()))  # 1024 rows of fixed size
+    described = scratch.keep(texts.mapInArrow(_describe(width, threshold, order), DESCRIBED), "sets")
+    order.unpersist()
+    active = described.where("leading is not null")
+    entries = active.select("key", "n", "code", "leading").mapInArrow(_leading, "shingle long, key binary, n long, code long")
+    elected = entries.groupBy("shingle").agg(F.min("code").alias("region"), F.max("code").alias("last")).where("region < last").select("shingle", "region")
+    members = scratch.keep(entries.join(elected, "shingle").select("region", "key", "n", (F.col("code") == F.col("region")).alias("first")).distinct(), "members")
+    sets = active.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return described.select("doc_id", "n", "key"), components(_links(members, sets, threshold, limits, scratch)).withColumnRenamed("node", "key")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: Fraction | str = "4/5", region_size: int = 3000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: Fraction | str = "4/5", limits: Limits = Limits()) -> DataFrame:
     """Rows of ``docs`` -> (doc_id, n_shingles, component_id): connected near duplicates.
 
     Words are cut at ASCII white space with A-Z lower-cased; sets are of distinct
@@ -306,33 +551,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable by links.  Null and wordless texts have 0 shingles and only
     their own id.  One row for each input row; rows that repeat an id give repeated
     rows, null ids stay null and count only where no id is known.  An empty table gives
-    an empty table; other columns are ignored.
+    an empty table; other columns are ignored, whatever their names.  Very long texts are
+    read whole, a piece at a time.
     """
-    threshold = Fraction(threshold)
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blobs = texts.select("text").mapInArrow(_count_blobs(width), "part int, blob binary")
-    ranges = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_count_ranges, "part int, shared binary, often binary, level binary")
-    order = spark.sparkContext.broadcast(ShingleOrder(ranges.collect()))  # 1024 rows of fixed size
-    schema = "doc_id long, key long, n long, shingles binary, leading binary"
-    described = materialise(texts.mapInArrow(_describe(width, threshold, order), schema), "sets")
-
-    entries = described.where("leading is not null").select("key", "leading").mapInArrow(_leading, "shingle long, key long")
-    elected = entries.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").select("shingle", "pivot")
-    members = materialise(entries.join(elected, "shingle").select("key", "pivot").distinct(), "members")
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(region_size)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(blocks, "pivot")
-        .withColumn("own", block)
-        .select("key", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("key", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    sets = described.where("leading is not null").select("key", "shingles").hint("merge")
-    regions = dealt.join(sets, "key").select("pivot", "i", "j", "key", "shingles").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    roots = components(regions.mapInArrow(_join_regions(threshold), "u long, v long"))
-
-    ids = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).cast("string").alias("text"))
+    rows, roots = classes(texts, width, Fraction(threshold), limits, scratch)
+    ids = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    rows = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    kept = Scratch(docs.sparkSession).keep(out, "near-duplicates")  # small rows; the sets can go
+    scratch.drop()
+    return kept
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: Fraction | str = "4/5", limits: Limits = Limits()) -> DataFrame:
+    """Rows of ``docs`` without near duplicates: of each group of linked texts one row stays.
+
+    That is the row with the smallest id, null ids last; of rows with that id, the one whose set
+    has the smallest key, and of those with that set the one with the smallest hash over all
+    columns.  Rows without words are in no group and all stay.  An empty table gives an
+    empty table; all columns are kept, whatever their names.  Rows of one id with
+    unlike texts are judged apart.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).cast("string").alias("text"))
+    rows, roots = classes(texts, width, Fraction(threshold), limits, scratch)
+    kept_tables = Scratch(docs.sparkSession)
+    roots = kept_tables.keep(roots, "roots")
+    order = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), "key")
+    ids = rows.where("n > 0").groupBy("key", F.col("doc_id").alias("id")).agg(F.count("*").alias("many"))
+    named = ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = named.groupBy("root").agg(F.min(order).alias("best"))
+    judged = named.join(best, "root").withColumn("stays", order == F.col("best")).where("not stays or many > 1")
+    found = kept_tables.keep(judged.select(F.col("key").alias("f_key"), F.col("id").alias("f_id"), "stays"), "judged")  # rows that go, and repeated ones
+    scratch.drop()
+    marked = boxed(docs, id=ref(id_col).cast("long"), key=set_key(ref(text_col).cast("string"), width))
+    marked = marked.join(found, (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id")), "left")
+    kept = marked.where("stays is null").select(*unboxed(docs, docs.columns))
+    if found.where("stays").isEmpty():
+        return kept
+    repeated = marked.where("stays").groupBy("key", "id").agg(F.min_by("__pm_row", F.xxhash64("__pm_row")).alias("__pm_row"))
+    return kept.unionByName(repeated.select(*unboxed(docs, docs.columns)))

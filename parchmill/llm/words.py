@@ -73,6 +73,15 @@ class Words:
     hashes: np.ndarray
 
 
+def long_word(data: np.ndarray) -> int:
+    """The polynomial hash of a word of any length, a chunk at a time."""
+    power, total = powers(CHUNK_BYTES)[0], 0
+    for a in range(0, len(data), CHUNK_BYTES):
+        piece = data[a : a + CHUNK_BYTES]
+        total += int((CODES[piece] * power[: len(piece)]).sum()) * pow(BASE, a, 1 << 64)
+    return total % (1 << 64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
     if not n:
@@ -87,10 +96,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     begin[inner] = ~space[inner]
     stop[inner - 1] = ~space[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    power, inverse = powers(n)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum(CODES[data] * power[:n], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    hashes = np.zeros(len(starts), U)
+    first = 0
+    while first < len(starts):
+        # as many words as begin and end within a chunk, or one longer word
+        last = max(int(np.searchsorted(ends, starts[first] + CHUNK_BYTES, "right")), first + 1)
+        a, b = int(starts[first]), int(ends[last - 1])
+        if b - a > CHUNK_BYTES:
+            hashes[first] = long_word(data[a:b])
+        else:
+            power, inverse = powers(b - a)
+            prefix = np.zeros(b - a + 1, U)
+            np.cumsum(CODES[data[a:b]] * power[: b - a], out=prefix[1:])
+            own = starts[first:last] - a
+            hashes[first:last] = (prefix[ends[first:last] - a] - prefix[own]) * inverse[own]
+        first = last
+    hashes = mix(hashes)
     return Words(np.searchsorted(starts, offsets), starts, ends, hashes)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm.fingerprint import PrefixHash, fingerprints, likeness
 from parchmill.llm.mixing import mix_copies
-from parchmill.llm.ngram_join import join_region, near_duplicates, pack_set, unpack_set
+from parchmill.llm.ngram_join import Limits, Probe, near_duplicates, one_of_each, pack_set, unpack_set
 from parchmill.llm.quality import BASE, POLICIES, RULES, ablations, kept, ledger
 from parchmill.llm.words import shingle_sets, text_chunks, words
 
@@ -79,13 +79,28 @@ def brute_components(rows) -> dict[int, tuple[int, int]]:
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("region_size", [3000, 2])
-def test_near_duplicates(spark, region_size):
+@pytest.mark.parametrize("rows_in_task", [250, 2])
+def test_near_duplicates(spark, rows_in_task):
     rows = corpus()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows).repartition(5), region_size=region_size).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows).repartition(5), limits=Limits(rows_in_task, 4000 if rows_in_task == 2 else 1 << 21)).collect()}
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_hot_group(spark):
+    """One large group of copies at all distances from its pivot, over several rounds of cells and, at the end, blocks."""
+    r, base = random.Random(8), prose(1, 60)
+    rows = []
+    for k in range(160):
+        words_ = list(base)
+        for _ in range(r.randint(0, 9)):
+            words_[r.randrange(len(words_))] = "edit" + str(r.randrange(40))
+        rows.append((k, " ".join(words_), "s"))
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 3
+    for limits in (Limits(8, 1 << 20), Limits(1000, 2000)):
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(frame(spark, rows), limits=limits).collect()} == want
+
+
 def test_near_duplicates_edges(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     twice = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, None, None), (None, None, None)]
@@ -93,23 +108,23 @@ def test_near_duplicates_edges(spark):
     assert got == [(-1, 0, -1), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2)]
 
 
-def test_join_region():
+def test_probe():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        base = np.unique(rng.integers(0, 400, 60)).astype(np.uint64)
-        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, len(base)), replace=False), rng.integers(400, 900, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(25)]
-        got = join_region(sets, 4, Fraction(4, 5))
-        up = list(range(25))
-        changed = True
-        while changed:
-            changed = False
-            for a in range(25):
-                for b in range(25):
-                    i = len(np.intersect1d(sets[a], sets[b]))
-                    if 5 * i >= 4 * (len(sets[a]) + len(sets[b]) - i) and up[a] != up[b]:
-                        up[a] = up[b] = min(up[a], up[b])
-                        changed = True
-        assert [got[x] == got[y] for x in range(25) for y in range(25)] == [up[x] == up[y] for x in range(25) for y in range(25)]
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))).astype(np.uint64) for _ in range(40)]
+    assert (Probe(sets[:7]).common(sets) == [[len(np.intersect1d(a, b)) for b in sets[:7]] for a in sets]).all()
+
+
+def test_one_of_each(spark):
+    a, b, c = "one two three four five six seven", "another text that is not like it at all", "a third one of its own words here"
+    # a clash with every name that the operator uses inside
+    schema = "doc_id long, text string, key string, id string, f_key int, f_id int, stays int, found int, __pm_row int, many int"
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (7, None), (7, None), (8, " ")]
+    got = one_of_each(spark.createDataFrame([(i, t, "k", None, 1, 2, 3, 4, 5, 6) for i, t in rows], schema))
+    assert got.columns == [x.split()[0] for x in schema.split(", ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (7, None), (7, None), (8, " ")], key=str)
+    assert one_of_each(spark.createDataFrame([], schema)).count() == 0
+    alone = [(k, f"{w} {w}1 {w}2 {w}3 {w}4 {w}5") for k, w in enumerate("pqrst")]
+    assert one_of_each(spark.createDataFrame(alone + [(9, alone[0][1])], "doc_id long, text string")).count() == 5
 
 
 def test_shingles_and_packing():
