@@ -11,14 +11,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .memory import give_back
+from .storage import boxed, others, ref, unboxed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First and last code point of ranges, and their script.
@@ -40,8 +42,8 @@ SCRIPTS = (
 )
 #: The last letter of the first range: words up to it are Latin.
 LAST_LATIN = chr(SCRIPTS[0][1])
-#: Documents to learn from at most: those with the smallest hash of the id.
-TRAINING = 2000
+#: Documents to learn from at most, and their bytes.
+TRAINING, TRAINING_BYTES = 2000, 1 << 26
 #: Log-probability that a change of language costs.
 PENALTY = 8.0
 #: Share of a language's letters that a script needs.
@@ -219,18 +221,23 @@ def predict(text: str | None, scores: Scores, penalty: float = PENALTY) -> tuple
     return scores.model.languages[best], float(share[best] / letters.sum()), changes
 
 
-def _predict(model, penalty: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.value)
+def predicted(text: Column, model: Model, penalty: float = PENALTY) -> Column:
+    """A struct (lang_pred, score, n_spans) of a text column.  Only texts go to Python and only answers come back."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # as large as the trigrams of the bounded sample
+
+    @F.arrow_udf("lang_pred string, score double, n_spans long")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = Scores(shared.value)
         for batch in batches:
             found = []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch:
                 found.append(predict(text.as_py(), scores, penalty))
                 scores.trim()
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "score", "n_spans"])
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "n_spans"])
+        give_back()
 
-    return run
+    return judged.asNondeterministic()(text)  # evaluated once, wherever its fields are used
 
 
 def held_out(doc_id: Column) -> Column:
@@ -238,31 +245,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAINING) -> Model:
-    """Learn from whole texts that aren't held out: all, or ``most`` of them by smallest hash of the id.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAINING, most_bytes: int = TRAINING_BYTES) -> Model:
+    """Learn from whole texts that aren't held out: all, or those with the smallest hash of id and text.
 
-    Rows without text or language are not learned from; without any rows the model knows
-    no language and predicts ``und``.  The driver holds the sample, at most ``most`` texts.
+    The sample has ``most`` texts and ``most_bytes`` bytes at most, whatever the table's size; the driver
+    holds it.  Rows without text or language are not learned from, rows that repeat
+    id, text and language count once; without any rows the model knows no language and predicts ``und``.
     """
-    able = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    hashed = able.withColumn("h", F.xxhash64("doc_id"))
-    # ids first, so that only the sample's texts are gathered
-    chosen = [r["doc_id"] for r in hashed.select("h", "doc_id").orderBy("h", "doc_id").limit(most).collect()]
-    rows = able.where(F.col("doc_id").isin(chosen)).select("text", "lang").limit(2 * most).collect() if chosen else []
+    able = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).cast("string").alias("text"), ref(lang_col).cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    hashed = able.withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    # hashes first, so that only the sample's texts are gathered
+    first = hashed.groupBy("h").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h").limit(most).collect()
+    chosen, total = [], 0
+    for r in first:
+        if total + r["size"] <= most_bytes:
+            chosen.append(r["h"])
+            total += r["size"]
+    rows = hashed.where(F.col("h").isin(chosen)).select("text", "lang").distinct().collect() if chosen else []
     return train(sorted((r["text"], r["lang"]) for r in rows))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``lang_pred``, ``score`` and ``n_spans``.
+ADDED = ["lang_pred", "score", "n_spans"]
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``n_spans``, which replace columns of those names.
 
-    ``score`` is the share of letters in the predicted language.  Null texts and texts
-    without a letter are ``und`` with score 0.  Rows are judged one by one by their text
-    alone, so repeats get equal answers; an empty table gives an empty table.
+    ``score`` is the share of letters in the predicted language.  Null, empty and letterless texts
+    are ``und`` with score 0; very long ones are read whole.  Rows are judged one by
+    one by their text alone, so repeats get equal answers; ties go to the language that
+    comes first by name; an empty table gives an empty table.
     """
-    kept = docs.select(*[docs[c] for c in keep or []], F.col(text_col).cast("string").alias("__pm_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the trigrams of the bounded sample
-    schema = T.StructType(kept.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
-    return kept.mapInArrow(_predict(shared, penalty), schema)
+    found = boxed(docs, found=predicted(ref(text_col).cast("string"), model, penalty))
+    return found.select(*unboxed(docs, others(docs, ADDED)), *[F.col("found")[a].alias(a) for a in ADDED])
 
 
 def crc_fold(doc_id: int) -> int:
