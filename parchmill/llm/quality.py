@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import WORD
+from .storage import boxed, others, ref, unboxed
 
 #: White space between words, characters counted as symbols.
 SPACE = r"[\x20\x09-\x0D]"
@@ -69,25 +70,24 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def ledger(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` plus its measurements and ``failed_bits`` (bit k: rule k of RULES failed).
+    """``docs`` plus its measurements and ``failed_bits`` (bit k: rule k of RULES failed), which replace columns of those names.
 
-    Null and empty texts have no words, 0 in every measure and fail ``few_words``.  Rows
-    are judged one by one, so ties, repeats and empty tables need no care; with a
-    ``prefix`` the added names cannot meet columns of ``docs``.
+    Null and empty texts have no words, 0 in every measure and fail ``few_words``; very long
+    texts are measured whole.  Rows are judged one by one, so ties and repeats get
+    equal answers, and an empty table gives an empty table.  A ``prefix`` goes before the
+    added names, where the columns of ``docs`` must stay.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    columns, kept = docs.columns, docs
     # names of this module would shadow columns of docs, so these are carried in one struct
-    out = kept.select(F.struct(*[kept[c] for c in columns]).alias("__pm_row") if columns else F.lit(None).alias("__pm_row"), text.alias("__pm_text"))
+    out = boxed(docs, __pm_text=F.coalesce(ref(text_col).cast("string"), F.lit("")))
     for name, value in measurements(F.col("__pm_text")):
         out = out.withColumn(name, value)
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
     out = out.withColumn("failed_bits", bits)
+    added = [*MEASURES, "failed_bits"]
     # a filter on the ledger must not be pushed into the measures, which would evaluate them
     # anew inside each other; it isn't pushed through a generator
-    judged = F.inline(F.array(F.struct(*[F.col(m).alias(prefix + m) for m in (*MEASURES, "failed_bits")])))
-    measured = out.select("__pm_row", judged)
-    return measured.select(*[F.col("__pm_row")[c].alias(c) for c in columns], *[prefix + m for m in (*MEASURES, "failed_bits")])
+    measured = out.select("__pm_row", F.inline(F.array(F.struct(*[F.col(m) for m in added]))))
+    return measured.select(*unboxed(docs, others(docs, [prefix + m for m in added])), *[F.col(m).alias(prefix + m) for m in added])
 
 
 def kept(bits: Column, policy: str = CURRENT) -> Column:

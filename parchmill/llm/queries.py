@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fingerprint import fingerprints
 from .langid import fit, held_out, identify
-from .mixing import mix_copies
+from .mixing import draw, sized
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import BASE, kept, ledger
@@ -35,8 +35,9 @@ def op2_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    counted = materialise(sized(_table(spark, sf_dir, "documents")), "sizes")
+    mixed = draw(counted, counted)
+    return mixed.select(F.col("m_id").alias("doc_id"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
 
 
 def op4_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op7_pfor_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = identify(docs, fit(docs), keep=["doc_id"])
+    found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
@@ -107,8 +108,8 @@ ORACLE: dict[str, str] = {
                FROM w),
         r AS (SELECT *, (SELECT arg_min(level, lim / weight) FROM lv WHERE level * weight < lim) AS reached FROM lv),
         t AS (SELECT source, source_size, CASE WHEN level * weight < lim THEN reached * weight ELSE lim END AS target FROM r),
-        b AS (SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS band,
-                     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 19999) // 20000) AS salt FROM s),
+        a AS (SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS band FROM s),
+        b AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT % ((count(*) OVER (PARTITION BY source, band) + 19999) // 20000) AS salt FROM a),
         k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY band, salt, size, doc_id) AS rnk FROM b),
         j AS (SELECT k.doc_id, k.size, k.rnk, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS e,
                      ('0x' || substr(md5('17:' || coalesce(k.source, '') || ':' || (k.source IS NULL)::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
