@@ -2,26 +2,31 @@
 
 Tables are only appended to, a folder a run; state is resolved when read.  A run's rows
 are written before anything is derived from them, so a lost executor repeats a task and
-not the model's calls of the whole run.
+not the model's calls of the whole run.  A run that dies or is paused goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import looks_like_term
-from .functions.text import is_blank
+from .functions.text import checkpoint_key, is_blank
 from .operators import glossary, memory, models, validation
 from .operators.blocks import assemble, bilingual, mark_references, split_markdown
+from .operators.jobs import pause_counts
 from .operators.masking import mask_segments
+from .operators.render import system_prompt
 from .operators.segments import build_segments
 from .operators.tables import convert_tables
+from .storage import Scratch, remove
 
 SEGMENT = "doc_id long, seg_no int, kind string, source_text string, translation string, issues array<struct<code:string,severity:string,message:string>>, attempts int"
 LOG = "tm_id long, seq long, source string, target string, src_lang string, tgt_lang string, origin string, domain string, created_at double"
+CHECKPOINT = f"k string, seq long, t string, issues {validation.NO_ISSUES}, attempts int"
 TERMS = "seq long, term string, translation string, src_lang string, tgt_lang string, notes string"
 
 
@@ -36,9 +41,20 @@ class Engine:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def _next(self) -> int:
-        """A number above all earlier runs'."""
-        last = self._rows("memory", LOG).agg(F.max("seq")).first()[0] or 0
-        return max(last, self._rows("runs", "job_id string, seq long, status string, documents long").agg(F.max("seq")).first()[0] or 0) + 1
+        """A number of its own above all earlier ones: the first whose marker file this engine creates, so two writers never share one."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(f"{self.path}/numbers")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        number = max([0, *(int(x.getPath().getName()) for x in files.listStatus(folder) if x.getPath().getName().isdigit())]) + 1
+        while True:
+            try:
+                files.create(jvm.Path(folder, str(number)), False).close()  # fails where the file is there
+                return number
+            except Py4JJavaError:
+                if not files.exists(jvm.Path(folder, str(number))):
+                    raise
+                number += 1
 
     def prepare(self, docs: DataFrame) -> DataFrame:
         """Documents (doc_id, text) to masked segments."""
@@ -46,34 +62,105 @@ class Engine:
         segments = build_segments(mark_references(split_markdown(clean)), self.budget)
         return mask_segments(segments.drop("block_indices"))
 
-    def translate(self, docs: DataFrame, job_id: str) -> DataFrame:
+    def prompts(self, segments: DataFrame, context: DataFrame | None = None, examples: DataFrame | None = None) -> DataFrame:
+        """Masked segments plus ``system``: the instructions with the glossary's terms in the segment, a document's own
+        ``terms`` and ``summary`` (doc_id, summary, terms), and ``examples`` (doc_id, seg_no, examples)."""
+        stored = self.terms().select("seq", "term", "translation")
+        asked = segments.select(F.struct("doc_id", "seg_no").alias("text_id"), F.col("source_text").alias("text"))
+        hits = glossary.match(asked, stored).groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "translation"))), lambda t: F.struct(t["term"].alias("term"), t["translation"].alias("translation"))).alias("stored"))
+        rows = segments.withColumn("text_id", F.struct("doc_id", "seg_no")).join(hits, "text_id", "left").drop("text_id")
+        pairs = "array<struct<term:string,translation:string>>"
+        rows = rows.join(context.select("doc_id", "summary", F.col("terms").alias("own")), "doc_id", "left") if context is not None else rows.withColumn("summary", F.lit(None).cast("string")).withColumn("own", F.lit(None).cast(pairs))
+        shown = "array<struct<source:string,target:string>>"
+        rows = rows.join(examples.select("doc_id", "seg_no", "examples"), ["doc_id", "seg_no"], "left") if examples is not None else rows.withColumn("examples", F.lit(None).cast(shown))
+        terms = F.array_distinct(F.concat(F.coalesce("own", F.array().cast(pairs)), F.coalesce("stored", F.array().cast(pairs))))
+        system = system_prompt(self.source_lang, self.target_lang, terms, F.coalesce("examples", F.array().cast(shown)), F.col("summary"))
+        return rows.withColumn("system", system).drop("stored", "own", "summary", "examples")
+
+    def translate(self, docs: DataFrame, job_id: str, batches: int = 1, should_pause: Callable[[], bool] = lambda: False, review: Callable[[Column], Column] | None = None, judge: Callable[[Column], Column] | None = None) -> DataFrame:
         """Translate documents; returns (doc_id, seg_no, kind, source_text, translation, issues, attempts) as stored.
 
-        Only texts that neither the memory knows nor an earlier segment of this run has
-        reach the model.
+        Only texts that neither the memory knows, nor an earlier segment of this run or an
+        unfinished run of the same job has, reach the model.  The work is cut into ``batches``
+        by text; each is written to the job's checkpoint, and between two of them ``should_pause`` is asked.
+        A paused job keeps its checkpoint: the same call goes on from it.  The checkpoint
+        goes when no segment failed.  Segments with lost placeholders go out again without them, and those left in
+        the source language once more; then a reviewer and a judge see each segment, where given.
         """
         seq = self._next()
         pair = [F.lit(self.source_lang).alias("src_lang"), F.lit(self.target_lang).alias("tgt_lang")]
-        known = memory.exact_matches(self.prepare(docs).select("*", *pair), self.memory())
+        known = Scratch(self.spark).keep(memory.exact_matches(self.prepare(docs).select("*", *pair), self.memory()), "known")
         columns = [c.split()[0] for c in SEGMENT.replace("struct<code:string,severity:string,message:string>", "x").split(", ")]
         passed = known.where("kind != 'translate'").select("doc_id", "seg_no", "kind", "source_text", F.lit(None).cast("string").alias("translation"), F.array().cast(validation.NO_ISSUES).alias("issues"), F.lit(0).alias("attempts"))
-        exact = known.where("kind = 'translate' and exact_target is not null").select("doc_id", "seg_no", "kind", "source_text", F.col("exact_target").alias("translation"), validation.issue(F.lit(True), "tm_exact", "info", "reused exact translation-memory match").alias("issues"), F.lit(0).alias("attempts"))
+        exact = known.where("kind = 'translate' and exact_target is not null").select("doc_id", "seg_no", "kind", "source_text", F.col("exact_target").alias("translation"), validation.issue(F.lit(True), "tm_exact", "info", "known to the translation memory").alias("issues"), F.lit(0).alias("attempts"))
         new = known.where("kind = 'translate' and exact_target is null").select("doc_id", "seg_no", "kind", "source_text", "masked_text", "placeholders")
         _, placed = memory.deduplicate(new, ["doc_id", "seg_no"])
-        first = models.translate(placed.where("not is_copy").drop("first", "copies", "is_copy"), self.model, self.source_lang, self.target_lang, self.repairs)
-        done = first.select("doc_id", "seg_no", "kind", "source_text", "translation", "issues", "attempts")
-        done.write.parquet(f"{self.path}/calls/run={seq}")
-        done = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/calls/run={seq}")
+        placed = placed.withColumn("k", checkpoint_key(F.col("source_text"), *[F.lit(x) for x in (self.source_lang, self.target_lang)]))
+        firsts = placed.where("not is_copy").drop("first", "copies", "is_copy")
+        for number in range(batches):
+            before = self._rows(f"checkpoint/{job_id}", CHECKPOINT)
+            todo = memory.pending(firsts, before).where(F.pmod(F.xxhash64("k"), F.lit(batches)) == number)
+            if number and should_pause():
+                left = memory.pending(firsts, before)
+                said = validation.issue(F.lit(True), "paused", "info", "the job was paused before this segment")
+                rows = left.select("doc_id", "seg_no", "kind", "source_text", F.lit(None).cast("string").alias("translation"), said.alias("issues"), F.lit(0).alias("attempts"))
+                stored = passed.unionByName(exact).unionByName(rows).unionByName(self._resumed(firsts, before))
+                self._put(stored.select(*columns), job_id, seq)
+                return self._end(job_id, seq, "paused")
+            self._checkpoint(todo, job_id, seq, number)
+        done = self._resumed(firsts, self._rows(f"checkpoint/{job_id}", CHECKPOINT), seq)
+        if review is not None or judge is not None:
+            done = self._judged(done, firsts, review, judge)
         fine = validation.is_ok(F.col("issues"))
-        reused = F.when(fine, validation.issue(F.lit(True), "dedup", "info", "reused translation of an identical segment from this run")).otherwise(F.col("issues"))
+        reused = F.when(fine, validation.issue(F.lit(True), "dedup", "info", "translated once for equal segments of this run")).otherwise(F.col("issues"))
         copies = placed.where("is_copy").select("doc_id", "seg_no", "kind", "source_text").join(done.select("source_text", "translation", reused.alias("issues"), F.when(fine, 0).otherwise(F.col("attempts")).alias("attempts")), "source_text")
-        rows = passed.unionByName(exact).unionByName(done).unionByName(copies).select(*columns)
-        rows.write.parquet(f"{self.path}/segments/{job_id}")
+        self._put(passed.unionByName(exact).unionByName(done.select(*columns)).unionByName(copies).select(*columns), job_id, seq)
         stored = self.segments(job_id)
         self._learn(stored, seq)
-        status = self.report(job_id).agg(F.when(F.max("segments_failed") == 0, "completed").otherwise("partial").alias("status"), F.count("*").alias("documents"))
-        status.select(F.lit(job_id).alias("job_id"), F.lit(seq).cast("long").alias("seq"), "status", "documents").write.mode("append").parquet(f"{self.path}/runs")
-        return stored
+        status = self.report(job_id).agg(F.when(F.coalesce(F.max("segments_failed"), F.lit(0)) == 0, "completed").otherwise("partial")).first()[0]
+        if status == "completed":
+            remove(self.spark, f"{self.path}/checkpoint/{job_id}")
+        return self._end(job_id, seq, status)
+
+    def _checkpoint(self, todo: DataFrame, job_id: str, seq: int, number: int) -> None:
+        """Translate the segments of a batch and write them to the job's checkpoint."""
+        pair = (self.source_lang, self.target_lang)
+        first = models.translate(todo, self.model, *pair, self.repairs)
+        again = models.retranslate_residual(models.rescue(first, self.model, *pair), self.model, *pair)
+        rows = again.select("k", F.lit(seq).cast("long").alias("seq"), F.col("translation").alias("t"), "issues", "attempts")
+        rows.write.mode("overwrite").parquet(f"{self.path}/checkpoint/{job_id}/run={seq}-{number}")
+
+    def _resumed(self, firsts: DataFrame, checkpoint: DataFrame, seq: int = -1) -> DataFrame:
+        """Segments with their translations of the checkpoint; those of earlier runs are marked and cost no calls now."""
+        last = checkpoint.groupBy("k").agg(F.max_by(F.struct("seq", "t", "issues", "attempts"), "seq").alias("c"))
+        old = F.col("c.seq") != seq
+        issues = F.when(old & validation.is_ok(F.col("c.issues")), validation.issue(F.lit(True), "resumed", "info", "kept from an earlier run of the job")).otherwise(F.col("c.issues"))
+        return firsts.join(last, "k").select("doc_id", "seg_no", "kind", "source_text", F.col("c.t").alias("translation"), issues.alias("issues"), F.when(old, 0).otherwise(F.col("c.attempts")).alias("attempts"))
+
+    def _judged(self, done: DataFrame, firsts: DataFrame, review: Callable[[Column], Column] | None, judge: Callable[[Column], Column] | None) -> DataFrame:
+        """Segments after a reviewer (a JSON verdict) and a judge (a JSON score), each asked once a segment that is fine."""
+        rows = done.join(firsts.select("doc_id", "seg_no", "masked_text", "placeholders"), ["doc_id", "seg_no"])
+        said = F.concat(F.col("source_text"), F.lit("\n---\n"), F.coalesce("translation", F.lit("")))
+        if review is not None:
+            rows = Scratch(self.spark).keep(rows.withColumn("verdict", review(said)), "verdicts")
+            rows = models.apply_review(rows, self.source_lang, self.target_lang).drop("verdict")
+        if judge is not None:
+            rows = Scratch(self.spark).keep(rows.withColumn("answer", judge(said)), "scores")
+            rows = models.judge(rows).drop("answer", "score")
+        return rows.select(*done.columns)
+
+    def _put(self, rows: DataFrame, job_id: str, seq: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/segments/{job_id}/run={seq}")
+
+    def _end(self, job_id: str, seq: int, status: str) -> DataFrame:
+        rows = self.segments(job_id)
+        ended = rows.agg(F.lit(job_id).alias("job_id"), F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"), F.count_distinct("doc_id").alias("documents"))
+        ended.write.mode("append").parquet(f"{self.path}/runs")
+        return rows
+
+    def pending(self, job_id: str) -> dict[str, int]:
+        """How many segments of a job are done and pending."""
+        return pause_counts(self.segments(job_id).withColumn("job_id", F.lit(job_id))).select("done", "pending").first().asDict()
 
     def _learn(self, stored: DataFrame, seq: int) -> None:
         pairs = validation.learnable(stored).where(~validation.has_code(F.col("issues"), "dedup")).groupBy("source_text").agg(F.min("translation").alias("target"))
@@ -104,7 +191,11 @@ class Engine:
         return glossary.listed(glossary.upsert(self._rows("glossary", TERMS)), self.source_lang, self.target_lang)
 
     def segments(self, job_id: str) -> DataFrame:
-        return self.spark.read.schema(SEGMENT).parquet(f"{self.path}/segments/{job_id}")
+        """The segments of the job's last run."""
+        rows = self.spark.read.schema(SEGMENT).option("recursiveFileLookup", "true").parquet(f"{self.path}/segments/{job_id}")
+        run = F.regexp_extract(F.col("_metadata.file_path"), "/run=([0-9]+)/", 1).cast("long")
+        last = rows.select(run.alias("run")).agg(F.max("run")).first()[0]
+        return rows.where(run == last) if last is not None else rows
 
     def report(self, job_id: str) -> DataFrame:
         return validation.document_report(self.segments(job_id))

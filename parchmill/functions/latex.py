@@ -42,11 +42,11 @@ def formula_problems(formula: Column) -> Column:
     # an odd run of backslashes at the end leaves the last one without a character
     trailing = F.length(F.regexp_extract(formula, r"(\\*)\z", 1)) % 2 == 1
     found = F.concat(
-        F.array_repeat(F.lit("unbalanced closing brace"), state["negative"]),
-        F.when(state["depth"] > 0, F.array(F.concat(state["depth"].cast("string"), F.lit(" unclosed brace(s)")))).otherwise(F.array().cast("array<string>")),
-        F.when(trailing, F.array(F.lit("trailing backslash"))).otherwise(F.array().cast("array<string>")),
-        F.when(~F.array_sort(begins).eqNullSafe(F.array_sort(ends)), F.array(F.concat(F.lit("begin/end mismatch: "), _listed(begins), F.lit(" vs "), _listed(ends)))).otherwise(F.array().cast("array<string>")),
-        F.when(is_blank(formula), F.array(F.lit("empty formula"))).otherwise(F.array().cast("array<string>")),
+        F.array_repeat(F.lit("a closing brace without an opening one"), state["negative"]),
+        F.when(state["depth"] > 0, F.array(F.concat(F.lit("braces left open: "), state["depth"].cast("string")))).otherwise(F.array().cast("array<string>")),
+        F.when(trailing, F.array(F.lit("a backslash at the end"))).otherwise(F.array().cast("array<string>")),
+        F.when(~F.array_sort(begins).eqNullSafe(F.array_sort(ends)), F.array(F.concat(F.lit("environments begin as "), _listed(begins), F.lit(" and end as "), _listed(ends)))).otherwise(F.array().cast("array<string>")),
+        F.when(is_blank(formula), F.array(F.lit("nothing in the formula"))).otherwise(F.array().cast("array<string>")),
     )
     return found
 
@@ -67,8 +67,8 @@ def document_issues(markdown: Column) -> Column:
     judged = F.transform(formula_bodies(markdown), lambda b: F.struct(b.alias("body"), formula_problems(b).alias("problems")))
     broken = F.slice(F.filter(judged, lambda x: F.size(x["problems"]) > 0), 1, REPORTED)
     snippet = lambda b: F.substring(F.replace(strip(b), F.lit("\n"), F.lit(" ")), 1, 80)
-    formulas = F.transform(broken, lambda x: F.struct(F.lit("latex_syntax").alias("code"), F.concat(F.lit("formula '"), snippet(x["body"]), F.lit("…': "), F.array_join(x["problems"], "; ")).alias("message")))
-    odd = F.when(occurrences(markdown, "$$") % 2 == 1, F.array(F.struct(F.lit("latex_delimiters").alias("code"), F.lit("odd number of $$ in document").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>"))
+    formulas = F.transform(broken, lambda x: F.struct(F.lit("latex_syntax").alias("code"), F.concat(F.lit("in "), snippet(x["body"]), F.lit(": "), F.array_join(x["problems"], "; ")).alias("message")))
+    odd = F.when(occurrences(markdown, "$$") % 2 == 1, F.array(F.struct(F.lit("latex_delimiters").alias("code"), F.lit("a $$ in the document has no partner").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>"))
     return F.concat(formulas, odd)
 
 

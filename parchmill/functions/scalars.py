@@ -118,3 +118,21 @@ def prompt_characters(parts: Column) -> Column:
 def rotate(items: Column, start: Column) -> Column:
     """Items from a place on, then those before it."""
     return F.concat(F.slice(items, start + 1, F.size(items)), F.slice(items, 1, start))
+
+
+def options_problems(options: Column, known: dict[str, tuple]) -> Column:
+    """What is wrong with a JSON object of options, as an array of names in the order of ``known``, then ``unknown`` and ``json``.
+
+    ``known`` has (kind, low, high) by name; kinds are flag, int and text.  Values may be given as text.
+    """
+    parsed = F.try_parse_json(options)
+    whole = F.startswith(F.coalesce(F.schema_of_variant(parsed), F.lit("")), F.lit("OBJECT"))
+    found = []
+    for name, (kind, low, high) in known.items():
+        said = F.try_variant_get(parsed, f"$.{name}", "string")
+        good = strict_flag(said).isNotNull() if kind == "flag" else strict_int(said, low, high).isNotNull() if kind == "int" else F.length(said).between(low or 0, high or 1_000_000)
+        found.append(F.when(whole & said.isNotNull() & ~F.coalesce(good, F.lit(False)), F.lit(name)))
+    keys = F.json_object_keys(options)
+    found.append(F.when(whole & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0), F.lit("unknown")))
+    found.append(F.when(~whole, F.lit("json")))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())

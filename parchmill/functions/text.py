@@ -96,14 +96,34 @@ def strip_placeholders(text: Column) -> Column:
     return F.regexp_replace(text, PLACEHOLDER, " ")
 
 
+def without(text: Column, characters: str) -> Column:
+    """The text without the characters of a class."""
+    return F.regexp_replace(text, characters + "+", "")
+
+
+def shorter(longer: Column, rest: Column) -> Column:
+    return (F.length(longer) - F.length(rest)).cast("long")
+
+
+def count_characters(text: Column, characters: str) -> Column:
+    """How many characters a class has: a run at a time, where regexp_count makes a string of each."""
+    return shorter(text, without(text, characters))
+
+
 def quality_counts(text: Column) -> dict[str, Column]:
-    """Integer counts behind the ratios: characters that aren't white space, and classes of them."""
+    """Integer counts behind the ratios: characters that aren't white space, and classes of them.
+
+    Letters are taken off first; the other classes are disjoint from them and looked for in the rest.
+    """
+    solid = without(text, SPACE)
+    rest = without(solid, r"\p{L}")
+    letters = shorter(solid, rest)
     return {
-        "n_nonspace": count(text, NOT_SPACE),
-        "n_suspicious": count(text, SUSPICIOUS),
-        "n_letters": count(text, r"\p{L}"),
-        "n_meaningful": count(text, rf"[\p{{L}}\p{{Nd}}{OTHER_DIGITS}]"),
-        "n_mojibake": count(text, MOJIBAKE),
+        "n_nonspace": F.length(solid).cast("long"),
+        "n_suspicious": count_characters(rest, SUSPICIOUS),
+        "n_letters": letters,
+        "n_meaningful": letters + count_characters(rest, rf"[\p{{Nd}}{OTHER_DIGITS}]"),
+        "n_mojibake": F.when(text.rlike(MOJIBAKE), count(text, MOJIBAKE)).otherwise(F.lit(0).cast("long")),
     }
 
 
@@ -130,7 +150,12 @@ def garbage_markdown(text: Column, garbled: Column) -> Column:
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    return {f"n_{name}": count(text, pattern) for name, pattern in SCRIPTS.items()}
+    """Letters of each script; the scripts share none, so each is looked for in what the ones before leave."""
+    counts, rest = {}, text
+    for name in sorted(SCRIPTS, key=lambda n: n != "latin"):
+        left = without(rest, SCRIPTS[name])
+        counts[f"n_{name}"], rest = shorter(rest, left), left
+    return {f"n_{name}": counts[f"n_{name}"] for name in SCRIPTS}
 
 
 def script_total() -> Column:
@@ -199,7 +224,7 @@ def clean_ocr_artifacts(text: Column) -> Column:
 
 
 def letter_count(text: Column) -> Column:
-    return count(text, LETTERS)
+    return count_characters(text, LETTERS)
 
 
 def content_preserved(before: Column, after: Column) -> Column:
@@ -263,7 +288,8 @@ def heading_count(text: Column) -> Column:
 
 
 def table_rows(text: Column) -> Column:
-    return F.filter(lines(text), lambda x: F.startswith(strip(x), F.lit("|")))
+    rows = F.filter(lines(text), lambda x: x.rlike(rf"\A{SPACE}*\|"))
+    return F.when(F.contains(text, F.lit("|")), rows).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def table_columns(text: Column) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ TOKEN = r"([\p{L}\p{N}]+)"
 _TOKENS = re.compile(r"[^\W_]+")
 
 
+def choose_embedder(name: str, configured: dict[str, bool], local: str = "hash") -> str:
+    """The embedder of a setting: a name as it is; ``auto`` is the first configured one, else the local hash."""
+    return name if name != "auto" else next((k for k, there in configured.items() if there), local)
+
+
 def by_index(items: Column) -> Column:
     """Vectors of struct(index, embedding) items in the order of their indices."""
     return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["index"].alias("index"), x["embedding"].alias("embedding")))), lambda x: x["embedding"])
@@ -57,16 +62,14 @@ def hashed_buckets(df: DataFrame, key: str, text: str, dim: int = 512, digest: s
     return grams.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).cast("long").alias("weight"))
 
 
-def hash_vector(text: str | None, dim: int = 512) -> list[float]:
-    """The same sums as a unit vector, for one text in Python."""
-    vector = [0.0] * dim
-    for token in _TOKENS.findall((text or "").lower()):
-        padded = f"^{token}$"
-        for i in range(len(padded) - 2):
-            digest = hashlib.md5(padded[i : i + 3].encode()).digest()
-            vector[int.from_bytes(digest[:4], "little") % dim] += 1.0 if digest[4] % 2 else -1.0
-    length = math.sqrt(sum(x * x for x in vector)) or 1.0
-    return [x / length for x in vector]
+def hash_vector(text: str | None, dim: int = 512) -> np.ndarray:
+    """The same sums as a unit vector, for one text in Python; a text without tokens is the zero vector."""
+    marked = [f"^{token}$" for token in _TOKENS.findall((text or "").lower())]
+    digests = b"".join(hashlib.md5(word[i : i + 3].encode()).digest() for word in marked for i in range(len(word) - 2))
+    table = np.frombuffer(digests, np.dtype([("bucket", "<u4"), ("parity", "u1"), ("rest", "V11")]))
+    sums = np.bincount(table["bucket"] % dim, weights=(table["parity"] & 1) * 2.0 - 1.0, minlength=dim).astype(float)
+    length = np.linalg.norm(sums)
+    return sums / length if length else sums
 
 
 def hashed_embedding(text: Column, dim: int = 512) -> Column:

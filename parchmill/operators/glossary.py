@@ -7,6 +7,8 @@ term must be a whole run of the text.  Only those pairs are checked by expressio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,11 @@ def delete(entries: DataFrame, removed: DataFrame) -> DataFrame:
     return entries.join(removed.select(*KEY), KEY, "left_anti")
 
 
-def read_csv_rows(lines: DataFrame) -> DataFrame:
-    """CSV records (_c0, _c1, ...) -> (term, translation, notes); comments and short records are left out."""
+def read_csv_rows(lines: DataFrame, *keep: str) -> DataFrame:
+    """CSV records (_c0, _c1, ...) -> (term, translation, notes) and columns to keep; comments and short records are left out."""
     notes = F.col("_c2") if "_c2" in lines.columns else F.lit(None).cast("string")
     good = lines.where(F.col("_c0").isNotNull() & F.col("_c1").isNotNull() & ~F.startswith(strip(F.col("_c0")), F.lit("#")))
-    return good.select(strip(F.col("_c0")).alias("term"), strip(F.col("_c1")).alias("translation"), F.nullif(strip(F.coalesce(notes, F.lit(""))), F.lit("")).alias("notes"))
+    return good.select(*keep, strip(F.col("_c0")).alias("term"), strip(F.col("_c1")).alias("translation"), F.nullif(strip(F.coalesce(notes, F.lit(""))), F.lit("")).alias("notes"))
 
 
 def bounded(term: Column, text: Column, edge: str) -> Column:
@@ -44,22 +46,30 @@ def bounded(term: Column, text: Column, edge: str) -> Column:
     return F.rlike(text, F.concat(F.lit(f"(?<![{edge}])\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{edge}])")))
 
 
-def _candidates(texts: DataFrame, entries: DataFrame, run: str) -> DataFrame:
-    """Pairs that share the term's first run; terms without a run meet every text on the empty run."""
-    first = F.regexp_extract(F.col("t_low"), run, 1)
-    terms = entries.withColumn("t_low", F.lower("term")).withColumn("__run", first)
-    odd = terms.where("__run = ''").limit(1).count() > 0
-    runs = F.array_distinct(F.regexp_extract_all(F.col("x_low"), F.lit(run), F.lit(1)))
-    if odd:
-        runs = F.array_append(runs, F.lit(""))
-    lowered = texts.withColumn("x_low", F.lower("text"))
-    return lowered.select("text_id", "x_low", F.explode(runs).alias("__run")).join(terms, "__run")
+def _hits(texts: DataFrame, entries: DataFrame, run: str, test: Callable[[Column, Column], Column]) -> DataFrame:
+    """(text_id, seq, term, translation) of the terms that pass ``test`` on the lowered term and text.
+
+    Distinct runs of a text meet the terms' first runs without the text; a text's candidates are
+    then gathered (a glossary's worth at most) and tested where the text is, once.
+    """
+    terms = entries.select("seq", "term", "translation", F.lower("term").alias("low")).withColumn("run", F.regexp_extract("low", run, 1))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(run), F.lit(1)))
+    # terms without a run meet every text, on the empty run
+    pairs = texts.select("text_id", F.explode(F.array_append(runs, F.lit(""))).alias("run")).join(terms, "run")
+    found = pairs.groupBy("text_id").agg(F.collect_set(F.struct("seq", "term", "translation", "low")).alias("terms"))
+    met = texts.select("text_id", F.lower("text").alias("x_low")).join(found, "text_id")
+    passed = met.select("text_id", F.explode(F.filter("terms", lambda t: test(t["low"], F.col("x_low")))).alias("t"))
+    return passed.select("text_id", "t.seq", "t.term", "t.translation")
+
+
+def _word_test(edge: str) -> Callable[[Column, Column], Column]:
+    return lambda term, text: F.contains(text, term) & bounded(term, text, edge)
 
 
 def match(texts: DataFrame, entries: DataFrame, limit: int = 30) -> DataFrame:
     """(text_id, text) x (seq, term, translation) -> (text_id, rank, seq, term, translation): the first terms in glossary order."""
-    hits = _candidates(texts, entries, RUN).where(bounded(F.col("t_low"), F.col("x_low"), WORD + "-"))
     rank = F.row_number().over(Window.partitionBy("text_id").orderBy("seq"))
+    hits = _hits(texts, entries, RUN, _word_test(WORD + "-"))
     return hits.select("text_id", rank.alias("rank"), "seq", "term", "translation").where(F.col("rank") <= limit)
 
 
@@ -70,12 +80,14 @@ def match_document_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     another character needs a word character before it.
     """
     entries = terms.withColumn("term", strip(F.col("term"))).where("term != ''")
-    quoted = F.replace(F.col("t_low"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     edge = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-    hit = F.rlike(F.col("x_low"), F.concat(F.lit(edge + "\\Q"), quoted, F.lit("\\E" + edge)))
+
+    def test(term: Column, text: Column) -> Column:
+        quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        return F.contains(text, term) & F.rlike(text, F.concat(F.lit(edge + "\\Q"), quoted, F.lit("\\E" + edge)))
+
     # a term of other characters at its ends may sit inside longer runs, so runs are of word characters only
-    pairs = _candidates(texts, entries, rf"([{WORD}]+)")
-    return pairs.where(hit).select("text_id", "seq", "term", "translation")
+    return _hits(texts, entries, rf"([{WORD}]+)", test)
 
 
 def merge_terms(hits: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
 """Job rows from event logs, progress, limits and stalls as window plans.
 
 Each rule that a service keeps in mutable state is a closed form over an ordered window
-here, or an Arrow fold over one key's rows where it has none.
+here, or a fold over one key's sorted rows where it has none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stages in order with their relative weights.
 STAGES = (
@@ -35,11 +36,18 @@ def newest(rows: DataFrame, owner: str | None, limit: int) -> DataFrame:
 
 
 def page(segments: DataFrame, job: str, order: str, offset: int = 0, limit: int = 50, only_failed: bool = False, key: str = "job_id") -> DataFrame:
-    """Some segments of a job in order, each with how many there are before paging."""
+    """Some segments of a job in order, each with how many there are before paging; the other columns settle ties."""
     chosen = segments.where(F.col(key) == job)
     chosen = chosen.where(~F.col("ok")) if only_failed else chosen
     total = F.count("*").over(Window.partitionBy(key))
-    return chosen.withColumn("total", total).orderBy(order).offset(max(0, offset)).limit(min(max(1, limit), 200))
+    return chosen.withColumn("total", total).orderBy(order, *[c for c in chosen.columns if c != order]).offset(max(0, offset)).limit(min(max(1, limit), 200))
+
+
+def with_segments(jobs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Jobs with what their segments sum up to; a job without segments has zeros."""
+    sums = segments.groupBy("job_id").agg(F.count("*").alias("segments"), F.count_if(~F.col("ok")).alias("failed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return jobs.join(sums, "job_id", "left").select(*jobs.columns, zero("segments"), zero("failed"))
 
 
 def replace_children(children: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -122,32 +130,38 @@ def changes(rows: DataFrame, key: str, order: list[str], payload: str, status: s
     return seen.where((F.col("__n") <= most) & first_or_new).drop("__n", "__b")
 
 
-def _fold(rows: DataFrame, key: str, order: list[str], step: Callable[[pd.DataFrame], list], out: str, kind: str) -> DataFrame:
-    """Rows plus a column from a fold over each key's rows in order, in an Arrow UDF over arrays."""
-    own = [c for c in rows.columns if c != key]
+def _fold(rows: DataFrame, key: str, order: list[str], needs: list[str], start: Callable[[], dict], step: Callable[..., object], out: str, kind: str) -> DataFrame:
+    """Rows plus a column from a fold over each key's rows in order.
+
+    Rows are dealt out by key, sorted and streamed; a task holds a batch and the state of one key,
+    however many rows the key has.
+    """
+    schema = rows.schema.add(T.StructField(out, T._parse_datatype_string(kind)))
 
-    @F.pandas_udf(f"array<{kind}>")
-    def run(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda g: step(pd.DataFrame(list(g))))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), {}
+        for frame in frames:
+            found = []
+            for owner, *values in zip(frame[key], *(frame[c] for c in needs)):
+                if owner != current:
+                    current, state = owner, start()
+                found.append(step(state, *values))
+            yield frame.assign(**{out: found})
 
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in own if c not in order]))).alias("g"))
-    zipped = ordered.select(key, F.explode(F.arrays_zip("g", run("g").alias("r"))).alias("z"))
-    return zipped.select(key, "z.g.*", F.col("z.r").alias(out))
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def upload_quota(uploads: DataFrame, key: str, order: list[str], at: str, window: int = 3600, most: int = 20) -> DataFrame:
     """Uploads plus ``allowed``: so many in a fixed window, which the first upload after the last window opens."""
 
-    def step(rows: pd.DataFrame) -> list[bool]:
-        out, opened, used = [], None, 0
-        for t in rows[at]:
-            if opened is None or t >= opened + window:
-                opened, used = t, 0
-            out.append(used < most)
-            used += out[-1]
-        return out
+    def step(state: dict, t) -> bool:
+        if "opened" not in state or t >= state["opened"] + window:
+            state |= {"opened": t, "used": 0}
+        allowed = state["used"] < most
+        state["used"] += allowed
+        return bool(allowed)
 
-    return _fold(uploads, key, order, step, "allowed", "boolean")
+    return _fold(uploads, key, order, [at], dict, step, "allowed", "boolean")
 
 
 def provider_choice(calls: DataFrame, key: str, order: list[str], at: str, up: str, retry: float = 300.0) -> DataFrame:
@@ -158,20 +172,23 @@ def provider_choice(calls: DataFrame, key: str, order: list[str], at: str, up: s
     provider was left, it is asked first again.
     """
 
-    def step(rows: pd.DataFrame) -> list[int]:
-        out, active, left = [], 0, 0.0
-        for t, able in zip(rows[at], rows[up]):
-            if active and t - left >= retry:
-                active = 0
-            able = list(able)
-            turn = [*range(active, len(able)), *range(active)]
-            chosen = next((i for i in turn if able[i]), -1)
-            if chosen not in (-1, active):
-                active, left = chosen, t if chosen else 0.0
-            out.append(chosen)
-        return out
-
-    return _fold(calls, key, order, step, "served_by", "int")
+    def step(state: dict, t, able) -> int:
+        if state["active"] and t - state["left"] >= retry:
+            state["active"] = 0
+        turn = [*range(state["active"], len(able)), *range(state["active"])]
+        chosen = next((i for i in turn if able[i]), -1)
+        if chosen not in (-1, state["active"]):
+            state |= {"active": chosen, "left": t if chosen else 0.0}
+        return chosen
+
+    return _fold(calls, key, order, [at, up], lambda: {"active": 0, "left": 0.0}, step, "served_by", "int")
+
+
+def pause_counts(segments: DataFrame, key: str = "job_id") -> DataFrame:
+    """Segments (job_id, kind, translation) -> how many of the translated kind are done and pending, as told on a pause."""
+    wanted = F.col("kind") == "translate"
+    done = F.coalesce("translation", F.lit("")) != ""
+    return segments.groupBy(key).agg(F.count_if(wanted & done).alias("done"), F.count_if(wanted & ~done).alias("pending"))
 
 
 def running_eta(job: Column, elapsed: Column, progress: Column) -> Column:

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_key, is_blank
 from ..functions.vectors import cosine
+from ..storage import Scratch
 
 KEY = ["source_hash", "src_lang", "tgt_lang"]
-#: Bytes of query vectors held by a task at a time; more queries take more passes over the memory.
-QUERY_BYTES = 64 << 20
+#: Queries that a task holds, and rows of the memory that it streams past them.
+BLOCK_ROWS, PART_ROWS = 4000, 100_000
 
 
 def keyed(log: DataFrame) -> DataFrame:
@@ -51,71 +52,79 @@ def stats(state: DataFrame, *groups: str) -> DataFrame:
     return state.groupBy(*groups).agg(F.count("*").alias("segments"), F.count_if(F.col("origin") == "human").alias("human_corrections"))
 
 
-def _top_of_block(ids: np.ndarray, vectors: np.ndarray, domains: np.ndarray, k: int, least: float) -> Callable:
-    """Memory rows of a partition -> for each query of a block its best k of that partition."""
+def candidates(state: DataFrame, src_lang: str, tgt_lang: str, embedder: str | None = None, dim: int | None = None) -> DataFrame:
+    """The rows of a memory that a search may find: those of a language pair, of an embedder and of its dimension."""
+    rows = state.where((F.col("src_lang") == src_lang) & (F.col("tgt_lang") == tgt_lang) & F.col("embedding").isNotNull())
+    rows = rows.where(F.col("embedder") == embedder) if embedder is not None else rows
+    return rows.where(F.size("embedding") == dim) if dim is not None else rows
+
+
+def _search(k: int, least: float) -> Callable:
+    """Rows (block, part, kind, id, embedding, domain, human) sorted -> for each query of a block its best k of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
+        at, block, held = None, {}, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for frame in held.values():
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
         for batch in batches:
             frame = batch.to_pandas()
-            if not len(frame):
-                continue
-            fits = frame["embedding"].map(lambda v: v is not None and len(v) == vectors.shape[1]).to_numpy(bool)
-            matrix = np.zeros((len(frame), vectors.shape[1]))
-            if fits.any():
-                matrix[fits] = np.vstack(frame["embedding"][fits].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(matrix, axis=1)
-            norms[norms == 0] = 1.0
-            similarity = (vectors @ matrix.T) / norms
-            domain = frame["domain"].fillna("").to_numpy(object)
-            open_ = (domain == "")[None, :] | (domains[:, None] == "") | (domains[:, None] == domain[None, :])
-            q, m = np.nonzero((similarity >= least - 1e-12) & open_)
-            found = pd.DataFrame({"query_id": ids[q], "tm_id": frame["tm_id"].to_numpy()[m], "human": (frame["origin"].to_numpy(object)[m] == "human"), "similarity": similarity[q, m]})
-            held = found if held is None else pd.concat([held, found])
-            held = held.sort_values(["query_id", "human", "similarity", "tm_id"], ascending=[True, False, False, True]).groupby("query_id").head(k)
-        if held is not None and len(held):
-            yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+            for name, rows in frame.groupby(["block", "part"], sort=False):
+                if name != at:
+                    yield from done()
+                    at, block, held = name, {}, {}
+                for dim, members in rows[rows["kind"] == 0].groupby(rows["embedding"].map(len)):
+                    block.setdefault(dim, []).append(members)
+                for dim, members in rows[rows["kind"] == 1].groupby(rows["embedding"].map(len)):
+                    if dim not in block:
+                        continue
+                    own = block[dim] = [pd.concat(block[dim])]
+                    if (found := _best(own[0], members, held.get(dim), k, least)) is not None:
+                        held[dim] = found
+        yield from done()
 
     return run
 
 
-def nearest(queries: DataFrame, state: DataFrame, k: int = 3, least: float = 0.82) -> DataFrame:
+def _unit(rows: pd.Series) -> np.ndarray:
+    matrix = np.vstack(rows.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, held: pd.DataFrame | None, k: int, least: float) -> pd.DataFrame | None:
+    """The best k rows of each query among those held and new ones of the same dimension."""
+    similarity = _unit(queries["embedding"]) @ _unit(rows["embedding"]).T
+    mine, theirs = queries["domain"].to_numpy(object), rows["domain"].to_numpy(object)
+    open_ = (theirs == "")[None, :] | (mine == "")[:, None] | (mine[:, None] == theirs[None, :])
+    q, m = np.nonzero((similarity >= least - 1e-12) & open_)
+    found = pd.DataFrame({"query_id": queries["id"].to_numpy()[q], "tm_id": rows["id"].to_numpy()[m], "human": rows["human"].to_numpy()[m], "similarity": similarity[q, m]})
+    found = found if held is None else pd.concat([held, found])
+    return found.sort_values(["query_id", "human", "similarity", "tm_id"], ascending=[True, False, False, True]).groupby("query_id").head(k) if len(found) else held
+
+
+def nearest(queries: DataFrame, state: DataFrame, k: int = 3, least: float = 0.82, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """Exact top k by cosine: (query_id, tm_id, human, similarity, rank).
 
-    ``queries``: (query_id, embedding, domain: empty for any); ``state``: (tm_id, embedding, domain,
-    origin) of one language pair and embedder.  Human rows come first, then the most
-    similar, then the smallest id.  The queries are a stated set: blocks of bounded bytes
-    go to all tasks, each keeps its best k, and only those meet in a shuffle.
+    ``queries``: (query_id, embedding, domain: empty for any), a stated set with one row an id; ``state``:
+    (tm_id, embedding, domain, origin).  Human rows come first, then the most similar,
+    then the smallest id.  Queries are dealt over blocks and the memory over parts, by
+    hashes of their ids; each block meets each part in one task, which holds the block,
+    streams the part and keeps its best k, and only those meet in a shuffle.  Empty vectors find
+    nothing; vectors of other dimensions don't meet.
     """
-    rows = queries.select("query_id", F.coalesce("domain", F.lit("")).alias("domain"), F.col("embedding").cast("array<double>").alias("embedding"))
-    spark = queries.sparkSession
-    parts, block, size = [], [], 0
-
-    def search() -> None:
-        by_dim: dict[int, list] = {}
-        for r in block:
-            by_dim.setdefault(len(r["embedding"]), []).append(r)
-        for members in by_dim.values():
-            vectors = np.array([r["embedding"] for r in members], np.float64)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            norms[norms == 0] = 1.0
-            ids, domains = np.array([r["query_id"] for r in members], np.int64), np.array([r["domain"] for r in members], object)
-            step = state.select("tm_id", "embedding", "domain", "origin").mapInArrow(_top_of_block(ids, vectors / norms, domains, k, least), "query_id long, tm_id long, human boolean, similarity double")
-            parts.append(step)
-
-    for row in rows.toLocalIterator():
-        if not row["embedding"]:
-            continue
-        block.append(row)
-        size += 8 * len(row["embedding"])
-        if size >= QUERY_BYTES:
-            search()
-            block, size = [], 0
-    if block:
-        search()
-    found = parts[0] if parts else spark.createDataFrame([], "query_id long, tm_id long, human boolean, similarity double")
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    shape = lambda df, name, human: df.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce("domain", F.lit("")).alias("domain"), human.alias("human")).where("size(embedding) > 0")
+    asked, kept = shape(queries, "query_id", F.lit(False)), shape(state, "tm_id", F.coalesce(F.col("origin") == "human", F.lit(False)))
+    blocks, parts = (max(1, -(-df.count() // rows)) for df, rows in ((asked, block_rows), (kept, part_rows)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["block", "part", "kind", "id", "embedding", "domain", "human"]
+    loaded = asked.withColumn("block", dealt(blocks)).withColumn("part", every(parts)).withColumn("kind", F.lit(0)).select(*columns)
+    streamed = kept.withColumn("part", dealt(parts)).withColumn("block", every(blocks)).withColumn("kind", F.lit(1)).select(*columns)
+    met = loaded.unionByName(streamed).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    found = met.mapInArrow(_search(k, least), "query_id long, tm_id long, human boolean, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("human"), F.desc("similarity"), "tm_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -177,6 +186,18 @@ def chat_rows(state: DataFrame, system: str, human_weight: int = 3) -> DataFrame
     return state.select("*", F.explode(times).alias("copy")).select("tm_id", "copy", example.alias("value"))
 
 
+def numbered(rows: DataFrame, order: str, name: str = "total") -> DataFrame:
+    """``rows`` plus their place in an order, from 1, without one task for all: ranges of the order are numbered apart.
+
+    The ranges are written first, so that a repeated task finds them as they were.
+    """
+    ranged = Scratch(rows.sparkSession).keep(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranged.withColumn("__place", place).join(starts, "__range").select(*rows.columns, (F.col("__before") + F.col("__place")).alias(name))
+
+
 def export_due(total, last, every: int):
     """Whether the memory has passed another multiple of ``every`` since the last export."""
     return (F.floor(total / every) > F.floor(last / every)) if every > 0 else F.lit(False)

@@ -1,12 +1,15 @@
 """Text models inside plans: the interface, a deterministic model, and loops of bounded length.
 
 A model takes a column of prompts to a column of answers.  In tests it is a Catalyst
-expression; a real one is an iterator UDF that loads its client once a worker.  Only rows
-that need a call reach it, and loops are unrolled into a fixed number of passes.
+expression; a real one is an iterator UDF that loads its client once a worker.  A UDF inside
+``when`` or ``coalesce`` is evaluated for all rows, so rows that need a call are filtered
+out first, and each pass is written to the shared folder before the next one reads it: a
+segment is asked as often as its ``attempts`` say (and again only where a task is repeated).
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -19,6 +22,7 @@ from ..functions.semi import object_variant
 from ..functions.semi import score as parsed_score
 from ..functions.text import content_preserved, contains_normalized, is_blank, letter_count, residual_source_ratio, strip, strip_fence
 from ..functions.vectors import cosine
+from ..storage import Scratch
 from .masking import placeholder_issues, unmask
 from .validation import has_code, is_ok, issue, segment_issues
 
@@ -45,37 +49,63 @@ def canned(answers: dict[str, str], otherwise: Model = transliterate) -> Model:
     return (lambda p: F.coalesce(F.element_at(table, p), otherwise(p))) if answers else otherwise
 
 
-def from_client(make: Callable[[], Client]) -> Model:
-    """A model from a client factory; each worker makes one client for all its batches.  A failed call is null."""
+def from_client(*makes: Callable[[], Client]) -> Model:
+    """A model from client factories: the first client that answers a prompt, each asked only where those before it failed.
+
+    A worker makes a client when it first asks it.  A failed call is null.
+    """
 
     @F.pandas_udf("string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client = make()
+        clients: dict[int, Client] = {}
 
         def ask(prompt: str | None) -> str | None:
-            try:
-                return None if prompt is None else client.chat(prompt)
-            except Exception:  # noqa: BLE001 - one failed call must not fail the job; it falls through to the next model
-                return None
+            for k, make in enumerate(makes if prompt is not None else ()):
+                try:
+                    if k not in clients:
+                        clients[k] = make()
+                    if (said := clients[k].chat(prompt)) is not None:
+                        return said
+                except Exception:  # noqa: BLE001 - one failed call must not fail the job; the next client is asked
+                    continue
+            return None
 
         for batch in batches:
             yield batch.map(ask)
 
-    return lambda prompt: call(prompt)
+    once = call.asNondeterministic()  # never evaluated twice for one row of a plan
+    return lambda prompt: once(prompt)
 
 
-def from_embedder(make: Callable[[], Embedder]) -> Model:
+def from_embedder(make: Callable[[], Embedder], tries: int = 3, wait: float = 1.0) -> Model:
+    """A model from an embedder factory; a batch is tried some times, and must give a vector for each text."""
+
     @F.pandas_udf("array<double>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make()
+
+        def ask(texts: list[str]) -> list[list[float]]:
+            for left in range(tries, 0, -1):
+                try:
+                    found = embedder.embed(texts)
+                    if len(found) != len(texts):
+                        raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+                    return found
+                except Exception:
+                    if left == 1:
+                        raise
+                    time.sleep(wait * 2 ** (tries - left))
+            return []
+
         for batch in batches:
-            yield pd.Series(embedder.embed(batch.fillna("").tolist()))
+            yield pd.Series(ask(batch.fillna("").tolist()) if len(batch) else [], dtype=object)
 
-    return lambda text: call(text)
+    once = call.asNondeterministic()
+    return lambda text: once(text)
 
 
 def chain(*models: Model) -> Model:
-    """The first model that answers."""
+    """The first of some models that are Catalyst expressions; clients go into one :func:`from_client`."""
     return lambda prompt: F.coalesce(*[m(prompt) for m in models])
 
 
@@ -94,41 +124,67 @@ def translate(segments: DataFrame, model: Model, source_lang: str, target_lang:
     """Translate masked segments; failing ones are asked again with their issues, ``repairs`` times at most.
 
     ``attempts`` counts the calls.  A segment whose answer repeats and still fails isn't
-    asked again.  Each pass only sends the rows that fail.
+    asked again.  Each pass only sends the rows that fail, and is written before it is judged.
     """
-    state = finalize(segments.withColumn("raw", model(F.col("masked_text"))).withColumn("attempts", F.lit(1)).withColumn("__stuck", F.lit(False)), source_lang, target_lang)
+    scratch = Scratch(segments.sparkSession)
+
+    def called(rows: DataFrame, prompt: Column, attempts: Column) -> DataFrame:
+        return scratch.keep(rows.withColumn("raw", model(prompt)).withColumn("attempts", attempts), "answers")
+
+    first = called(segments, F.col("masked_text"), F.lit(1)).withColumn("__stuck", F.lit(False))
+    state = scratch.keep(finalize(first, source_lang, target_lang), "judged")
+    settled = []
     for _ in range(repairs):
         again = ~is_ok(F.col("issues")) & ~F.col("__stuck")
+        failing = state.where(again)
+        if failing.isEmpty():
+            break
+        settled.append(state.where(~again))
         prompt = F.concat(F.array_join(F.transform("issues", lambda i: F.concat(F.lit("- "), i["message"])), "\n"), F.lit("\n"), F.col("masked_text"), F.lit("\n"), F.coalesce("raw", F.lit("")))
-        fine, failing = state.where(~again), state.where(again)
-        asked = failing.withColumn("__before", F.col("raw")).withColumn("raw", model(prompt)).withColumn("attempts", F.col("attempts") + 1)
+        asked = called(failing.withColumn("__prompt", prompt).withColumn("__before", F.col("raw")), F.col("__prompt"), F.col("attempts") + 1).drop("__prompt")
         judged = finalize(asked.drop("issues", "translation"), source_lang, target_lang).withColumn("__stuck", strip(F.col("raw")).eqNullSafe(strip(F.col("__before")))).drop("__before")
-        state = fine.unionByName(judged)
+        state = scratch.keep(judged, "judged")
+    for rows in settled:
+        state = state.unionByName(rows)
     return state.drop("__stuck", "raw")
 
 
+def _asked_again(rows: DataFrame, flag: Column, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with those that ``flag`` marks replaced by what ``again`` makes of them; the others are left alone."""
+    scratch = Scratch(rows.sparkSession)
+    kept = scratch.keep(rows.withColumn("__flag", F.coalesce(flag, F.lit(False))), "flagged")
+    return kept.where(~F.col("__flag")).drop("__flag").unionByName(scratch.keep(again(kept.where("__flag").drop("__flag")), "again").select(*rows.columns))
+
+
 def rescue(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
     """Failing segments with lost placeholders again, unmasked; taken where every protected part survives and no error is left."""
+
+    def unmasked(flagged: DataFrame) -> DataFrame:
+        said = Scratch(rows.sparkSession).keep(flagged.withColumn("__raw", model(F.col("source_text"))), "answers")
+        tried = said.withColumn("__r", strip_fence(strip(F.col("__raw"))))
+        whole = F.forall("placeholders", lambda p: contains_normalized(F.col("__r"), p["original"]))
+        tried = tried.withColumn("__c", segment_issues(F.col("source_text"), F.col("__r"), source_lang, target_lang))
+        tried = tried.withColumn("__ok", F.coalesce(~is_blank(F.col("__r")) & whole & is_ok(F.col("__c")), F.lit(False)))
+        note = issue(F.lit(True), "unmasked_rescue", "info", "translated without placeholders, all protected parts are there")
+        out = tried.withColumn("translation", F.when(F.col("__ok"), F.col("__r")).otherwise(F.col("translation"))).withColumn("issues", F.when(F.col("__ok"), F.concat("__c", note)).otherwise(F.col("issues")))
+        return out.withColumn("attempts", F.col("attempts") + 1)
+
     lost = ~is_ok(F.col("issues")) & has_code(F.col("issues"), "placeholder_missing", "placeholder_unknown") & (F.size("placeholders") > 0)
-    flagged = rows.withColumn("__l", lost)
-    tried = flagged.withColumn("__r", F.when(F.col("__l"), strip_fence(strip(model(F.col("source_text"))))))
-    whole = F.forall("placeholders", lambda p: contains_normalized(F.col("__r"), p["original"]))
-    checks = segment_issues(F.col("source_text"), F.col("__r"), source_lang, target_lang)
-    tried = tried.withColumn("__c", checks).withColumn("__ok", F.coalesce(F.col("__l") & ~is_blank(F.col("__r")) & whole & is_ok(F.col("__c")), F.lit(False)))
-    note = issue(F.lit(True), "unmasked_rescue", "info", "placeholders kept breaking; re-translated without masking, protected content verified verbatim")
-    out = tried.withColumn("translation", F.when(F.col("__ok"), F.col("__r")).otherwise(F.col("translation"))).withColumn("issues", F.when(F.col("__ok"), F.concat("__c", note)).otherwise(F.col("issues")))
-    return out.withColumn("attempts", F.col("attempts") + F.col("__l").cast("int")).drop("__l", "__r", "__c", "__ok")
+    return _asked_again(rows, lost, unmasked)
 
 
 def retranslate_residual(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
     """Segments left in the source language again; taken where less of it is left, the flag is gone and placeholders are whole."""
-    flagged = has_code(F.col("issues"), "untranslated") & (F.coalesce("translation", F.lit("")) != "")
-    old = rows.withColumn("__t", F.col("translation")).withColumn("__i", F.col("issues")).withColumn("__f", flagged)
-    new = finalize(old.withColumn("raw", F.when(F.col("__f"), model(F.col("masked_text")))).drop("translation", "issues"), source_lang, target_lang)
-    left = lambda c: residual_source_ratio(F.col(c), source_lang, target_lang)
-    better = F.col("__f") & (left("translation") < left("__t")) & ~has_code(F.col("issues"), "untranslated", "placeholder_missing", "placeholder_unknown") & ~is_blank(F.col("translation"))
-    out = new.withColumn("__b", F.coalesce(better, F.lit(False))).withColumn("attempts", F.col("attempts") + F.col("__b").cast("int"))
-    return out.withColumn("translation", F.when(F.col("__b"), F.col("translation")).otherwise(F.col("__t"))).withColumn("issues", F.when(F.col("__b"), F.col("issues")).otherwise(F.col("__i"))).drop("__t", "__i", "__f", "__b", "raw")
+
+    def anew(flagged: DataFrame) -> DataFrame:
+        said = flagged.withColumn("raw", model(F.col("masked_text"))).withColumn("__t", F.col("translation")).withColumn("__i", F.col("issues")).drop("translation", "issues")
+        new = finalize(Scratch(rows.sparkSession).keep(said, "answers"), source_lang, target_lang)
+        left = lambda c: residual_source_ratio(F.col(c), source_lang, target_lang)
+        better = (left("translation") < left("__t")) & ~has_code(F.col("issues"), "untranslated", "placeholder_missing", "placeholder_unknown") & ~is_blank(F.col("translation"))
+        out = new.withColumn("__b", F.coalesce(better, F.lit(False))).withColumn("attempts", F.col("attempts") + F.col("__b").cast("int"))
+        return out.withColumn("translation", F.when(F.col("__b"), F.col("translation")).otherwise(F.col("__t"))).withColumn("issues", F.when(F.col("__b"), F.col("issues")).otherwise(F.col("__i")))
+
+    return _asked_again(rows, has_code(F.col("issues"), "untranslated") & (F.coalesce("translation", F.lit("")) != ""), anew)
 
 
 def apply_review(rows: DataFrame, source_lang: str, target_lang: str, verdict: str = "verdict") -> DataFrame:
@@ -144,10 +200,10 @@ def apply_review(rows: DataFrame, source_lang: str, target_lang: str, verdict: s
     note = lambda c, s, m: issue(F.lit(True), c, s, m)
     checks = segment_issues(F.col("source_text"), F.col("restored"), source_lang, target_lang, F.col("masked_text"))
     issues = (
-        F.when(F.col("__v").isNull(), F.concat("issues", note("review_unparsed", "warning", "reviewer returned unparsable output")))
-        .when(F.col("__ok"), F.concat("issues", note("reviewed_ok", "info", "approved by reviewer")))
-        .when(take, F.concat(checks, note("reviewed_revised", "info", F.concat(F.lit("revised by reviewer: "), F.left(F.col("__n"), F.lit(300))))))
-        .when(given, F.concat("issues", note("review_rejected", "warning", "reviewer revision dropped placeholders; kept original")))
+        F.when(F.col("__v").isNull(), F.concat("issues", note("review_unparsed", "warning", "the review has no readable verdict")))
+        .when(F.col("__ok"), F.concat("issues", note("reviewed_ok", "info", "the review agrees")))
+        .when(take, F.concat(checks, note("reviewed_revised", "info", F.concat(F.lit("the review changed it: "), F.left(F.col("__n"), F.lit(300))))))
+        .when(given, F.concat("issues", note("review_rejected", "warning", "the revision lost protected parts and was not taken")))
         .otherwise(F.col("issues"))
     )
     taken = ~F.col("__v").isNull() & ~F.col("__ok") & take
@@ -157,14 +213,14 @@ def apply_review(rows: DataFrame, source_lang: str, target_lang: str, verdict: s
 def judge(rows: DataFrame, answer: str = "answer", threshold: float = 70.0) -> DataFrame:
     """A judge's answer as ``score``, and a warning below the threshold."""
     scored = rows.withColumn("score", parsed_score(F.col(answer)))
-    low = issue(F.col("score") < threshold, "low_quality_score", "warning", F.format_string(f"judge score %.0f/100 (threshold {threshold:.0f})", F.col("score")))
+    low = issue(F.col("score") < threshold, "low_quality_score", "warning", F.format_string(f"score %.0f is under {threshold:.0f}", F.col("score")))
     return scored.withColumn("issues", F.concat("issues", low))
 
 
 def back_translation(rows: DataFrame, a: str, b: str, least: float = 0.5) -> DataFrame:
     """Vectors of a source and of its back-translation: a warning where they are far apart."""
     near = rows.withColumn("similarity", cosine(F.col(a), F.col(b)))
-    return near.withColumn("issues", F.concat("issues", issue(F.col("similarity") < least, "backtranslation", "warning", F.format_string(f"back-translation similarity %.2f below {least}; possible meaning loss", F.col("similarity")))))
+    return near.withColumn("issues", F.concat("issues", issue(F.col("similarity") < least, "backtranslation", "warning", F.format_string(f"its back-translation is like the source by %.2f only, less than {least}", F.col("similarity")))))
 
 
 def repair_formula(formula: Column, fixed: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEGMENT_LANGUAGE_SCRIPT, count, heading_count, is_blank, length_scale, occurrences, residual_source_ratio, strip_placeholders, table_columns, table_rows
+from ..functions.text import SEGMENT_LANGUAGE_SCRIPT, count, heading_count, is_blank, length_scale, occurrences, residual_source_ratio, strip_placeholders, table_rows
 
+#: Sources up to this length aren't checked for words left in the source language.
+LONG_SOURCE = 200
 ISSUE = "struct<code:string,severity:string,message:string>"
 NO_ISSUES = f"array<{ISSUE}>"
 #: Codes that other stages add, with their severity.
@@ -25,34 +27,54 @@ def issue(when: Column, code: str, severity: str, message: Column | str) -> Colu
     return F.when(F.coalesce(when, F.lit(False)), found).otherwise(F.array().cast(NO_ISSUES))
 
 
-def segment_issues(source: Column, translation: Column, source_lang: str, target_lang: str, masked: Column | None = None, shortest: float = 0.4, longest: float = 3.5, residual: float = 0.35) -> Column:
-    """Issues of a translation in a fixed order; a blank one has no issue but that."""
+#: Measures of a pair of texts that the checks read; each is evaluated once.
+MEASURES = ("blank", "ratio", "n_source", "residual", "headings_before", "headings_after", "rows_before", "rows_after", "columns_before", "columns_after", "dollars", "begins", "ends")
+
+
+def pair_measures(source: Column, translation: Column, source_lang: str, target_lang: str, masked: Column | None = None) -> Column:
+    """A struct of ``MEASURES``."""
     said = F.coalesce(translation, F.lit(""))
     base = F.coalesce(F.nullif(masked, F.lit("")), source) if masked is not None else source
-    ratio = F.length(said) / F.greatest(F.length(strip_placeholders(base)), F.lit(1)) * length_scale(source_lang, target_lang)
+    bars = lambda rows: F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(r) - F.length(F.replace(r, F.lit("|"), F.lit(""))))), F.lit(0))
+    before, after = table_rows(source), table_rows(said)
+    values = (
+        is_blank(said),
+        F.length(said) / F.greatest(F.length(strip_placeholders(base)), F.lit(1)) * length_scale(source_lang, target_lang),
+        F.length(source),
+        F.when(F.length(source) > LONG_SOURCE, residual_source_ratio(said, source_lang, target_lang)).otherwise(F.lit(0.0)),
+        heading_count(source), heading_count(said),
+        F.size(before), F.size(after), bars(before), bars(after),
+        occurrences(said, "$$"), count(said, r"\\begin\{"), count(said, r"\\end\{"),
+    )
+    return F.struct(*[v.alias(name) for name, v in zip(MEASURES, values)])
+
+
+def issues_of(m: Column, source_lang: str, target_lang: str, shortest: float = 0.4, longest: float = 3.5, residual: float = 0.35) -> Column:
+    """Issues from :func:`pair_measures` in a fixed order; a blank translation has no issue but that."""
     a, b = SEGMENT_LANGUAGE_SCRIPT.get(source_lang), SEGMENT_LANGUAGE_SCRIPT.get(target_lang)
-    left = residual_source_ratio(said, source_lang, target_lang)
-    headings = [heading_count(x) for x in (source, said)]
-    rows = [F.size(table_rows(x)) for x in (source, said)]
-    columns = [table_columns(x) for x in (source, said)]
-    begins, ends = count(said, r"\\begin\{"), count(said, r"\\end\{")
-    change = lambda what, x: F.concat(F.lit(what + " changed: "), x[0].cast("string"), F.lit(" -> "), x[1].cast("string"))
+    counts = lambda what, x, y: F.concat(F.lit(f"{what}: "), x.cast("string"), F.lit(" before, "), y.cast("string"), F.lit(" after"))
     found = F.concat(
-        issue(ratio < shortest, "too_short", "error", F.format_string("translation suspiciously short (ratio %.2f); possible omitted content", ratio)),
-        issue(ratio > longest, "too_long", "error", F.format_string("translation suspiciously long (ratio %.2f); possible added content or repetition loop", ratio)),
-        issue((F.length(source) > 200) & (left > residual), "untranslated", "error", F.format_string("%.0f%% of words still in source language; text appears (partially) untranslated", left * 100)) if a and b and a != b else F.array().cast(NO_ISSUES),
-        issue(headings[0] != headings[1], "heading_mismatch", "warning", change("heading count", headings)),
-        issue((rows[0] > 0) & (rows[0] != rows[1]), "table_rows", "error", change("table row count", rows)),
-        issue((rows[0] > 0) & (rows[0] == rows[1]) & (columns[0] != columns[1]), "table_cols", "warning", change("table column count", columns)),
-        issue(occurrences(said, "$$") % 2 == 1, "math_delimiters", "warning", "odd number of $$ delimiters in translation"),
-        issue(begins != ends, "latex_env", "warning", F.concat(F.lit("\\begin/\\end mismatch in translation ("), begins.cast("string"), F.lit("/"), ends.cast("string"), F.lit(")"))),
+        issue(m["ratio"] < shortest, "too_short", "error", F.format_string("length ratio %.2f is low: something may be left out", m["ratio"])),
+        issue(m["ratio"] > longest, "too_long", "error", F.format_string("length ratio %.2f is high: something may be added or repeated", m["ratio"])),
+        issue((m["n_source"] > LONG_SOURCE) & (m["residual"] > residual), "untranslated", "error", F.format_string("%.0f%% of the words have the source's script", m["residual"] * 100)) if a and b and a != b else F.array().cast(NO_ISSUES),
+        issue(m["headings_before"] != m["headings_after"], "heading_mismatch", "warning", counts("headings", m["headings_before"], m["headings_after"])),
+        issue((m["rows_before"] > 0) & (m["rows_before"] != m["rows_after"]), "table_rows", "error", counts("table rows", m["rows_before"], m["rows_after"])),
+        issue((m["rows_before"] > 0) & (m["rows_before"] == m["rows_after"]) & (m["columns_before"] != m["columns_after"]), "table_cols", "warning", counts("table columns", m["columns_before"], m["columns_after"])),
+        issue(m["dollars"] % 2 == 1, "math_delimiters", "warning", "a $$ has no partner"),
+        issue(m["begins"] != m["ends"], "latex_env", "warning", counts("\\begin and \\end", m["begins"], m["ends"])),
     )
-    return F.when(is_blank(said), issue(F.lit(True), "empty_translation", "error", "translation is empty")).otherwise(found)
+    return F.when(m["blank"], issue(F.lit(True), "empty_translation", "error", "nothing was translated")).otherwise(found)
+
+
+def segment_issues(source: Column, translation: Column, source_lang: str, target_lang: str, masked: Column | None = None, shortest: float = 0.4, longest: float = 3.5, residual: float = 0.35) -> Column:
+    """The issues as one expression: the measures pass through an array, so that each is evaluated once a row."""
+    measured = F.array(pair_measures(source, translation, source_lang, target_lang, masked))
+    return F.get(F.transform(measured, lambda m: issues_of(m, source_lang, target_lang, shortest, longest, residual)), 0)
 
 
 def placeholder_residual(translation: Column) -> Column:
     """A placeholder that was left in a final text."""
-    return issue(translation.rlike("⟦PH[0-9]+⟧"), "placeholder_residual", "error", "placeholder left in translation")
+    return issue(translation.rlike("⟦PH[0-9]+⟧"), "placeholder_residual", "error", "a placeholder is left in the text")
 
 
 def has(issues: Column, *severities: str) -> Column:
@@ -74,6 +96,12 @@ def final_text(kind: Column, source: Column, translation: Column, issues: Column
     return F.coalesce(F.nullif(corrected, F.lit("")), given) if corrected is not None else given
 
 
+def segment_view(rows: DataFrame) -> DataFrame:
+    """A segment as an interface shows it: no masks and no report, its final text, codes and whether it is fine."""
+    final = final_text(F.col("kind"), F.col("source_text"), F.col("translation"), F.col("issues"))
+    return rows.select("doc_id", "seg_no", "kind", "source_text", "translation", final.alias("final_text"), F.transform("issues", lambda i: i["code"]).alias("codes"), is_ok(F.col("issues")).alias("ok"), "attempts")
+
+
 def needs_review(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") == "translate") & has(F.col("issues"), "warning", "error"))
 

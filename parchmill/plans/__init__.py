@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import documents, jobs, memory, sources  # noqa: E402, F401
+from . import documents, jobs, memory, rules, sources  # noqa: E402, F401

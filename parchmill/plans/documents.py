@@ -280,15 +280,15 @@ def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    SELECT doc_id, md5(left(text, 200)) AS cleaned_md5, md5(trim(left(text, 100), ' ' || chr(10))) AS fence_md5, md5(trim(left(text, 50), ' ' || chr(10))) AS math_md5,
-        md5(left(text, 80)) AS bare_md5, CASE WHEN doc_id % 2 = 0 THEN 'https://ex.org/' || doc_id ELSE '' END AS url FROM documents""")
+    SELECT doc_id, md5(text) AS cleaned_md5, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS fence_md5, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS math_md5,
+        md5(text) AS bare_md5, CASE WHEN doc_id % 2 = 0 THEN 'https://ex.org/' || doc_id ELSE '' END AS url FROM documents""")
 def clean_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise added to texts and taken off again: the SQL side hashes the texts before."""
+    """Noise added to whole texts, at both ends and at each line end, and taken off again: the SQL side hashes the texts before."""
     t = F.col("text")
-    noisy = F.concat(F.lit("<|im_end|>"), F.left(t, F.lit(200)), F.lit("</s>None None None"))
-    fenced = F.concat(F.lit("```markdown\n"), F.left(t, F.lit(100)), F.lit("\n```"))
-    formula = F.concat(F.lit(" $$"), F.left(t, F.lit(50)), F.lit("$$ "))
-    control = F.concat(F.lit("\x01"), F.left(t, F.lit(80)), F.lit("\x0c"))
+    noisy = F.concat(F.lit("<|im_end|>"), F.replace(t, F.lit("\n"), F.lit("</s>\n<pad>")), F.lit("</s>None None None"))
+    fenced = F.concat(F.lit("```markdown\n"), t, F.lit("\n```"))
+    formula = F.concat(F.lit(" $$"), t, F.lit("$$ "))
+    control = F.concat(F.lit("\x01"), F.replace(t, F.lit("\n"), F.lit("\x0b\n\x1f")), F.lit("\x0c"))
     link = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("https://ex.org/")).otherwise(F.lit("javascript:")), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean_ocr_artifacts(noisy)).alias("cleaned_md5"), F.md5(strip_fence(fenced)).alias("fence_md5"), F.md5(strip_math_delimiters(formula)).alias("math_md5"), F.md5(drop_controls(control)).alias("bare_md5"), safe_url(link).alias("url"))
 

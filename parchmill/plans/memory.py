@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import checkpoint_key, content_key
@@ -11,22 +11,24 @@ from ..operators import glossary, memory
 from . import register, table
 from .overlays import TM_SQL, tm_log, tm_vectors
 
-LOG_SQL = f"{TM_SQL}, k AS (SELECT *, sha256(trim(word)) AS h FROM tm WHERE trim(word) <> '' AND trim(target) <> '')"
+BLANKS = "' ' || chr(10) || chr(9) || chr(13)"
+LOG_SQL = f"{TM_SQL}, k AS (SELECT *, sha256(trim(source, {BLANKS})) AS h FROM rp WHERE trim(source, {BLANKS}) <> '' AND trim(target, {BLANKS}) <> '')"
 STATE_SQL = f"{LOG_SQL}, st AS (SELECT * FROM (SELECT *, lead(tm_id) OVER (PARTITION BY h ORDER BY tm_id) AS later FROM k) WHERE later IS NULL OR origin = 'human')"
 BEST_SQL = f"{STATE_SQL}, best AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY h ORDER BY origin = 'human' DESC, tm_id DESC) = 1)"
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.resolve(tm_log(spark, sf_dir, short=True))
+    return memory.resolve(tm_log(spark, sf_dir, repeats=True))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of all user turns as texts to translate."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.substring_index("text", " ", 1).alias("source_text"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"))
+    """All turns as texts to translate, and each third one a second time."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("source_text"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"))
+    return turns.unionByName(turns.where("query_id % 3 = 0").withColumn("query_id", F.col("query_id") + 1_000_000_000))
 
 
-QUERIES_SQL = "q AS (SELECT conv_id * 100 + turn AS query_id, split_part(text, ' ', 1) AS source_text FROM conversations WHERE role = 'user')"
+QUERIES_SQL = """turns AS (SELECT conv_id * 100 + turn AS query_id, text AS source_text FROM conversations),
+    q AS (SELECT * FROM turns UNION ALL SELECT query_id + 1000000000, source_text FROM turns WHERE query_id % 3 = 0)"""
 
 
 @register(f"WITH {STATE_SQL} SELECT tm_id, origin, h AS source_hash FROM st")
@@ -34,7 +36,7 @@ def tm_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(spark, sf_dir).select("tm_id", "origin", "source_hash")
 
 
-@register(f"WITH {BEST_SQL}, {QUERIES_SQL} SELECT query_id, tm_id AS exact_id, md5(target) AS target_md5 FROM q LEFT JOIN best ON best.h = sha256(trim(source_text))")
+@register(f"WITH {BEST_SQL}, {QUERIES_SQL} SELECT query_id, tm_id AS exact_id, md5(target) AS target_md5 FROM q LEFT JOIN best ON best.h = sha256(trim(source_text, {BLANKS}))")
 def tm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.exact_matches(_queries(spark, sf_dir), _state(spark, sf_dir)).select("query_id", "exact_id", F.md5("exact_target").alias("target_md5"))
 
@@ -68,7 +70,7 @@ def hash_embedding_128(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
     WITH v AS (SELECT vec_id, embedding, CASE WHEN label < 3 THEN '' ELSE 'd' || label END AS domain, vec_id % 10 = 0 AS human FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, m.vec_id AS tm_id, m.human, list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS similarity
-          FROM v q JOIN v m ON q.vec_id < 50 AND (m.domain = '' OR q.domain = '' OR m.domain = q.domain))
+          FROM v q JOIN v m ON q.vec_id % 100 = 0 AND (m.domain = '' OR q.domain = '' OR m.domain = q.domain))
     SELECT query_id, tm_id, human, round(similarity, 6) AS similarity, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY human DESC, similarity DESC, tm_id)::INT AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 3""")
 def tm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +115,10 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    WITH l AS (SELECT conv_id * 100 + turn AS seq, lower(split_part(text, ' ', 1)) AS term, role AS translation FROM conversations)
+    WITH l AS (SELECT conv_id * 100 + turn AS seq, unnest(string_split(lower(text), ' ')) AS term, role || turn AS translation FROM conversations)
     SELECT term, min(seq) AS seq, arg_max(translation, seq) AS translation FROM l GROUP BY term""")
 def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.lower(F.substring_index("text", " ", 1)).alias("term"), F.col("role").alias("translation"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"), F.lit(None).cast("string").alias("notes"))
+    log = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.explode(F.split(F.lower("text"), " ")).alias("term"), F.concat("role", F.col("turn").cast("string")).alias("translation"), F.lit("en").alias("src_lang"), F.lit("ru").alias("tgt_lang"), F.lit(None).cast("string").alias("notes"))
     return glossary.upsert(log).select("term", "seq", "translation")
 
 
@@ -135,27 +137,37 @@ def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {BEST_SQL}, {QUERIES_SQL}, e AS (SELECT q.query_id, best.tm_id AS exact_id FROM q LEFT JOIN best ON best.h = sha256(trim(source_text))),
-    x AS (SELECT query_id, query_id % 50 AS vec FROM e WHERE exact_id IS NULL),
+    WITH {BEST_SQL}, {QUERIES_SQL}, e AS (SELECT q.query_id, q.source_text, best.tm_id AS exact_id FROM q LEFT JOIN best ON best.h = sha256(trim(source_text, {BLANKS}))),
     v AS (SELECT vec_id, embedding, vec_id % 10 = 0 AS human FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    x AS (SELECT query_id, 100 * (query_id % (SELECT (n + 99) // 100 FROM n)) AS vec FROM e WHERE exact_id IS NULL),
     s AS (SELECT a.vec_id AS vec, b.vec_id AS tm_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.human DESC, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
-          FROM v a JOIN v b ON a.vec_id < 50 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2)
-    SELECT e.query_id, e.exact_id, coalesce((SELECT string_agg(tm_id::VARCHAR, ',' ORDER BY rank) FROM x JOIN s ON s.vec = x.vec AND rank <= 3 WHERE x.query_id = e.query_id), '') AS examples FROM e""")
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2),
+    ex AS (SELECT query_id, string_agg(tm_id::VARCHAR, ',' ORDER BY rank) AS examples FROM x JOIN s ON s.vec = x.vec AND rank <= 3 GROUP BY query_id),
+    terms AS (SELECT min(item_id)::INT AS seq, lower(split_part(text, ' ', 3)) AS term FROM benchmark GROUP BY 2),
+    low AS (SELECT query_id, lower(source_text) AS text FROM e WHERE exact_id IS NULL),
+    cut AS (SELECT query_id, seq, term, string_split(text, term) AS p FROM low, terms WHERE contains(text, term)),
+    hits AS (SELECT query_id, seq, term FROM cut WHERE len(list_filter(range(1, len(p)), lambda i: CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\\p{{L}}\\p{{N}}_-]') END AND CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\\p{{L}}\\p{{N}}_-]') END)) > 0),
+    tr AS (SELECT query_id, string_agg(term, ',' ORDER BY seq) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS rank FROM hits) WHERE rank <= 30 GROUP BY query_id)
+    SELECT e.query_id, e.exact_id, coalesce(ex.examples, '') AS examples, coalesce(tr.terms, '') AS terms FROM e LEFT JOIN ex ON ex.query_id = e.query_id LEFT JOIN tr ON tr.query_id = e.query_id""")
 def rag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact match, else examples by the vector that the query's number points to."""
+    """Exact match, else examples by the vector that the query's number points to, and glossary terms of the text."""
     queries = _queries(spark, sf_dir)
     vectors, rows = tm_vectors(spark, sf_dir)
     near = memory.nearest(vectors.withColumn("domain", F.lit("")), rows, k=3, least=0.2)
-    neighbours = queries.select("query_id", (F.col("query_id") % 50).alias("vec")).join(near.withColumnRenamed("query_id", "vec"), "vec").select("query_id", "rank", "tm_id")
-    no_terms = neighbours.where("false").select("query_id", "rank", F.lit("").alias("term"))
-    found = memory.retrieve(queries, _state(spark, sf_dir), no_terms, neighbours)
-    return found.select("query_id", "exact_id", F.array_join("examples", ",").alias("examples"))
+    count = table(spark, sf_dir, "embeddings").agg(F.ceil(F.count("*") / 100).alias("many"))  # one row
+    pointed = queries.select("query_id").join(F.broadcast(count)).select("query_id", (100 * (F.col("query_id") % F.col("many"))).alias("vec"))
+    neighbours = pointed.join(near.withColumnRenamed("query_id", "vec"), "vec").select("query_id", "rank", "tm_id")
+    terms = table(spark, sf_dir, "benchmark").select(F.lower(F.get(F.split("text", " "), 2)).alias("term"), "item_id").groupBy("term").agg(F.min("item_id").cast("int").alias("seq")).withColumn("translation", F.col("term"))
+    hits = glossary.match(queries.select(F.col("query_id").alias("text_id"), F.col("source_text").alias("text")), terms).select(F.col("text_id").alias("query_id"), "rank", "term")
+    found = memory.retrieve(queries, _state(spark, sf_dir), hits, neighbours)
+    return found.select("query_id", "exact_id", F.array_join("examples", ",").alias("examples"), F.array_join("terms", ",").alias("terms"))
 
 
 @register(f"""
     WITH {BEST_SQL}, {QUERIES_SQL}, f AS (SELECT query_id, source_text, min(query_id) OVER (PARTITION BY source_text) AS first FROM q)
     SELECT query_id, CASE WHEN query_id > first THEN 'run_cache' WHEN query_id % 7 = 0 THEN 'checkpoint' WHEN best.tm_id IS NOT NULL THEN 'memory' ELSE 'model' END AS origin
-    FROM f LEFT JOIN best ON best.h = sha256(trim(source_text))""")
+    FROM f LEFT JOIN best ON best.h = sha256(trim(source_text, {BLANKS}))""")
 def translation_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = memory.exact_matches(_queries(spark, sf_dir), _state(spark, sf_dir))
     _, placed = memory.deduplicate(queries, ["query_id"])
@@ -173,8 +185,8 @@ def segment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {QUERIES_SQL}, c AS (SELECT substr(sha256('en>ru' || chr(0) || trim(source_text)), 1, 24) AS k FROM q WHERE query_id % 3 = 0)
-    SELECT query_id FROM q WHERE substr(sha256('en>ru' || chr(0) || trim(source_text)), 1, 24) NOT IN (SELECT k FROM c)""")
+    WITH {QUERIES_SQL}, c AS (SELECT substr(sha256('en>ru' || chr(0) || trim(source_text, {BLANKS})), 1, 24) AS k FROM q WHERE query_id % 3 = 0)
+    SELECT query_id FROM q WHERE substr(sha256('en>ru' || chr(0) || trim(source_text, {BLANKS})), 1, 24) NOT IN (SELECT k FROM c)""")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _queries(spark, sf_dir).withColumn("k", checkpoint_key(F.col("source_text"), F.col("src_lang"), F.col("tgt_lang")))
     return memory.pending(keyed, keyed.where("query_id % 3 = 0")).select("query_id")
@@ -202,6 +214,5 @@ def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {TM_SQL}, n AS (SELECT tm_id, row_number() OVER (ORDER BY tm_id) AS total FROM tm)
     SELECT tm_id, total // 25 > (total - 1) // 25 AS due FROM n""")
 def export_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.row_number().over(Window.orderBy("tm_id"))
-    counted = tm_log(spark, sf_dir).select("tm_id").withColumn("total", total)
+    counted = memory.numbered(tm_log(spark, sf_dir).select("tm_id"), "tm_id")
     return counted.select("tm_id", memory.export_due(F.col("total"), F.col("total") - 1, 25).alias("due"))

@@ -6,7 +6,7 @@ pairs, a translation log and a job log are derived from them by row numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.models import CYRILLIC, LATIN
@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+def docs_md(spark: SparkSession, sf_dir: str, text: Column | str = "text") -> DataFrame:
     """(doc_id, lang, text): documents with headings, bibliographies, tables, formulas, code and links by line number."""
 
     def item(line, i):
@@ -35,7 +35,7 @@ def docs_md(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", F.array_join(F.transform(F.split("text", "\n"), item), "\n\n").alias("text"))
+    return docs.select("doc_id", "lang", F.array_join(F.transform(F.split(text, "\n"), item), "\n\n").alias("text"))
 
 
 ITEMS_SQL = """
@@ -98,37 +98,48 @@ PAIRS_SQL = f"""
 """
 
 
-def tm_log(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
-    """The translation log: user turns with the assistant's answer; sources cut to their first word where repeats are wanted."""
+def tm_log(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """The translation log: user turns with the assistant's answer.
+
+    With ``repeats``, each is logged a second time, and each fifth a third time, as whole copies with
+    later numbers and answers of their own.
+    """
     turns = _read(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     following = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("target", F.lead("text").over(w))
     rows = following.where("role = 'user' and next_role = 'assistant'")
-    source = F.substring_index("text", " ", 1) if short else F.col("text")
-    return rows.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("tm_id"),
-        source.alias("source"),
+    number = F.col("conv_id") * 100 + F.col("turn")
+    log = rows.select(
+        number.alias("tm_id"),
+        F.col("text").alias("source"),
         "target",
         F.lit("en").alias("src_lang"),
         F.lit("ru").alias("tgt_lang"),
         F.when(F.col("conv_id") % 5 == 0, "human").otherwise("auto").alias("origin"),
-        (F.col("conv_id") * 100 + F.col("turn")).cast("double").alias("created_at"),
     )
+    if repeats:
+        times = F.when(F.col("tm_id") % 5 == 0, 3).otherwise(2)
+        copies = log.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+        answer = F.when(F.col("copy") == 0, F.col("target")).otherwise(F.concat("target", F.lit(" "), F.col("copy").cast("string")))
+        log = copies.withColumn("target", answer).withColumn("tm_id", F.col("tm_id") + 1_000_000_000 * F.col("copy")).withColumn("origin", F.when(F.col("tm_id") % 7 == 0, "human").otherwise(F.col("origin"))).drop("copy")
+    return log.withColumn("created_at", F.col("tm_id").cast("double"))
 
 
 TM_SQL = """
-    tm AS (SELECT conv_id * 100 + turn AS tm_id, text AS source, split_part(text, ' ', 1) AS word, target, CASE WHEN conv_id % 5 = 0 THEN 'human' ELSE 'auto' END AS origin FROM (
+    tm AS (SELECT conv_id * 100 + turn AS tm_id, text AS source, target, CASE WHEN conv_id % 5 = 0 THEN 'human' ELSE 'auto' END AS origin FROM (
         SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS target FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-        WHERE role = 'user' AND next_role = 'assistant')
+        WHERE role = 'user' AND next_role = 'assistant'),
+    rp AS (SELECT tm_id + 1000000000 * c AS tm_id, source, CASE WHEN c = 0 THEN target ELSE target || ' ' || c END AS target, CASE WHEN (tm_id + 1000000000 * c) % 7 = 0 THEN 'human' ELSE origin END AS origin
+        FROM tm, (SELECT unnest([0, 1, 2]) AS c) WHERE c < 2 OR tm_id % 5 = 0)
 """
 
 
 def tm_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, memory) from the embeddings: the first 50 are queries with their own domain."""
+    """(queries, memory) from the embeddings: all rows, with those whose id is divisible by 100 as queries with their own domain."""
     rows = _read(spark, sf_dir, "embeddings")
     domain = F.when(F.col("label") < 3, "").otherwise(F.concat(F.lit("d"), F.col("label").cast("string")))
     memory = rows.select(F.col("vec_id").alias("tm_id"), "embedding", domain.alias("domain"), F.when(F.col("vec_id") % 10 == 0, "human").otherwise("auto").alias("origin"))
-    return rows.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding", domain.alias("domain")), memory
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", domain.alias("domain")), memory
 
 
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semi
 from ..sources import readers
+from ..storage import shared_dir
 from ..streaming import streams
 from . import register, table
 from .overlays import BAD_SQL, JOBS_SQL, docs_bad, job_log
@@ -48,14 +47,14 @@ def ocr_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-    WITH c AS (SELECT conv_id * 100 + turn AS line, substr(sha256('en>ru' || chr(0) || split_part(text, ' ', 1)), 1, 24) AS k, role AS t FROM conversations WHERE (conv_id * 100 + turn) % 11 > 0)
+    WITH c AS (SELECT conv_id * 100 + turn + 1000000000 * c AS line, substr(sha256('en>ru' || chr(0) || text), 1, 24) AS k, role || c AS t FROM conversations, (SELECT unnest([0, 1]) AS c) WHERE (conv_id * 100 + turn + 1000000000 * c) % 11 > 0)
     SELECT k, arg_max(t, line) AS t FROM c GROUP BY k""")
 def checkpoint_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines of which some are torn."""
-    line = F.col("conv_id") * 100 + F.col("turn")
-    key = F.substring(F.sha2(F.concat(F.lit("en>ru\0"), F.substring_index("text", " ", 1)), 256), 1, 24)
-    whole = F.to_json(F.struct(key.alias("k"), F.col("role").alias("t")))
-    lines = table(spark, sf_dir, "conversations").select(line.alias("line"), F.when(line % 11 > 0, whole).otherwise(F.left(whole, F.lit(20))).alias("value"))
+    """JSON lines, each text twice, of which some are torn."""
+    line = F.col("conv_id") * 100 + F.col("turn") + 1_000_000_000 * F.col("c")
+    key = F.substring(F.sha2(F.concat(F.lit("en>ru\0"), F.col("text")), 256), 1, 24)
+    whole = F.to_json(F.struct(key.alias("k"), F.concat("role", F.col("c").cast("string")).alias("t")))
+    lines = table(spark, sf_dir, "conversations").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).select(line.alias("line"), F.when(line % 11 > 0, whole).otherwise(F.left(whole, F.lit(20))).alias("value"))
     return readers.read_checkpoint(lines)
 
 
@@ -102,10 +101,9 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, plan, mode: str = "append") -> DataFrame:
-    """Rows written to files in one part, streamed through a plan to its end, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parchmill-stream-")
-    name = f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-    rows.coalesce(1).write.parquet(f"{name}/in")
+    """Rows written to files, streamed through a plan to its end, and read back; a batch takes all files that are there."""
+    name = shared_dir(spark, "stream")
+    rows.write.parquet(f"{name}/in")
     stream = plan(spark.readStream.schema(rows.schema).parquet(f"{name}/in"))
     streams.drain(stream, f"{name}/out", f"{name}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{name}/out")

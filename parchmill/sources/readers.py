@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import re
+import io
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import is_garbled, quality_counts, strip, strip_fence
 
 #: Parsers by preference, the namespace of TEI, endings of image files.
 PARSERS = ("mineru_local", "mineru_api", "nougat", "marker", "docling", "grobid", "pymupdf")
 LAST_RESORT = "vlm_ocr"
-TEI = {"tei": "http://www.tei-c.org/ns/1.0"}
+TEI = "{http://www.tei-c.org/ns/1.0}"
+#: Parts of a TEI document: the end of the path to them, and what goes before them in Markdown.
+TEI_PARTS = (
+    ("title", ("titleStmt", "title"), "# "),
+    ("abstract", ("profileDesc", "abstract"), "## Abstract\n\n"),
+    ("head", ("text", "body", "div", "head"), "## "),
+    ("paragraph", ("text", "body", "div", "p"), ""),
+)
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".bmp")
 
 
@@ -38,17 +46,30 @@ def fallback_parsers(parsers: DataFrame, exclude: str) -> DataFrame:
 
 
 def tei_parts(xml: str | None) -> list[str] | None:
-    """Markdown parts of a TEI document: title, abstract, heads and paragraphs of the body's own divisions."""
+    """Markdown parts of a TEI document, read as a stream: title, abstract, heads and paragraphs of the body's own divisions.
+
+    A part is known by the end of its path; the first title, abstract and head of a division count.
+    """
+    leads = {part: lead for part, _, lead in TEI_PARTS}
+    found: dict[str, list[tuple[str, str]]] = {part: [] for part in ("title", "abstract", "body")}
+    path: list[str] = []
+    headed = False
     try:
-        root = ET.fromstring(xml or "")
+        for event, element in ET.iterparse(io.BytesIO((xml or "").encode("utf-8", "surrogatepass")), ("start", "end")):
+            if event == "start":
+                path.append(element.tag.removeprefix(TEI))
+                headed = headed and path[-3:] != ["text", "body", "div"]
+                continue
+            part = next((name for name, end, _ in TEI_PARTS if path[-len(end) :] == list(end)), None)
+            path.pop()
+            if part is None or part in ("title", "abstract") and found[part] or part == "head" and headed:
+                continue
+            headed = headed or part == "head"
+            found.get(part, found["body"]).append((part, " ".join("".join(element.itertext()).split())))
     except ET.ParseError:
         return None
-    said = lambda e: re.sub(r"\s+", " ", "".join(e.itertext())).strip() if e is not None else ""
-    found = [("# ", said(root.find(".//tei:titleStmt/tei:title", TEI))), ("## Abstract\n\n", said(root.find(".//tei:profileDesc/tei:abstract", TEI)))]
-    for div in root.findall(".//tei:text/tei:body/tei:div", TEI):
-        found.append(("## ", said(div.find("tei:head", TEI))))
-        found += [("", said(p)) for p in div.findall("tei:p", TEI)]
-    return [lead + text for lead, text in found if text]
+    ordered = [*found["title"], *found["abstract"], *found["body"]]
+    return [leads[part] + text for part, text in ordered if text]
 
 
 @F.pandas_udf(T.StringType())
@@ -58,35 +79,55 @@ def tei_markdown(xml: pd.Series) -> pd.Series:
     return parts.map(lambda p: None if p is None else "\n\n".join(p) + "\n")
 
 
-class PagesReader(DataSourceReader):
-    """Text files of pages, split at form feeds: one input partition a file."""
+class Parser(Protocol):
+    """What a backend offers: whether it can run where a worker runs, and a file's bytes as Markdown."""
+
+    def available(self) -> bool: ...
+
+    def parse(self, content: bytes) -> str: ...
+
 
-    def __init__(self, path: str):
-        self.path = path
+class PlainText:
+    """The simplest parser: UTF-8 text whose pages end at form feeds."""
 
-    def partitions(self) -> list[InputPartition]:
-        import glob
+    def available(self) -> bool:
+        return True
 
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+    def parse(self, content: bytes) -> str:
+        pages = (page.strip() for page in content.decode("utf-8", "replace").split("\f"))
+        return "\n\n".join(page for page in pages if page)
+
+
+def parse_files(files: DataFrame, *makes: Callable[[], Parser]) -> DataFrame:
+    """Files (path, content) plus ``markdown`` and ``backend``: of the first parser that is available and gives any text.
+
+    A worker makes each parser once.  Both are null where none does; an error of a parser is no text.
+    """
 
-    def read(self, partition: InputPartition):
-        with open(partition.value, encoding="utf-8", errors="replace") as file:
-            for number, text in enumerate(file.read().split("\f"), 1):
-                yield partition.value, number, text.strip()
+    @F.pandas_udf("markdown string, backend string")
+    def run(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parsers = [p for p in (make() for make in makes) if p.available()]
 
+        def one(content: bytes | None) -> tuple[str | None, str | None]:
+            for parser in parsers if content is not None else ():
+                try:
+                    if (said := parser.parse(bytes(content))).strip():
+                        return said, type(parser).__name__
+                except Exception:  # noqa: BLE001 - one broken file must not fail the job; the next parser is asked
+                    continue
+            return None, None
 
-class PagesSource(DataSource):
-    """``spark.read.format("text_pages").load(glob)`` for files on a disk that all executors mount."""
+        for batch in contents:
+            yield pd.DataFrame([one(x) for x in batch], columns=["markdown", "backend"], dtype=object)
 
-    @classmethod
-    def name(cls) -> str:
-        return "text_pages"
+    found = files.withColumn("__parsed", run.asNondeterministic()("content"))
+    return found.select(*files.columns, "__parsed.markdown", "__parsed.backend")
 
-    def schema(self) -> str:
-        return "path string, page int, text string"
 
-    def reader(self, schema: T.StructType) -> PagesReader:
-        return PagesReader(self.options["path"])
+def text_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of any file system as (path, page, text): pages end at form feeds and are stripped."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", F.posexplode(F.split("value", "\f")).alias("page", "text")).select("path", (F.col("page") + 1).alias("page"), strip(F.col("text")).alias("text"))
 
 
 def text_layer(pages: DataFrame) -> DataFrame:
@@ -107,8 +148,12 @@ def scan_stats(pages: DataFrame, sample: int = 10) -> DataFrame:
     text = strip(F.col("text"))
     own = pages.select("doc_id", "page", text.alias("text"), F.length(text).alias("n"), "image_share")
     image_page = (F.col("n") < 50) & (F.col("image_share") > 0.5)
-    head = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("page", "text"))), 1, sample), lambda p: p["text"]), "\n")
-    sums = own.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n").cast("long").alias("text_chars"), F.count_if(image_page).alias("image_pages"), head.alias("head"))
+    sums = own.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n").cast("long").alias("text_chars"), F.count_if(image_page).alias("image_pages"))
+    # only the pages that are judged are gathered with their texts
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    first = own.select("doc_id", "page", "text").withColumn("place", place).where(F.col("place") <= sample)
+    heads = first.groupBy("doc_id").agg(F.expr("listagg(text, '\\n') within group (order by page)").alias("head"))
+    sums = sums.join(heads, "doc_id")
     counted = sums.select("*", *[c.alias(k) for k, c in quality_counts(F.col("head")).items()])
     scanned = (F.col("image_pages") / F.col("pages") >= 0.5) & (F.col("text_chars") / F.col("pages") < 100)
     found = counted.withColumn("is_scanned", scanned).withColumn("is_garbled", is_garbled())
@@ -123,7 +168,7 @@ def page_texts(pages: DataFrame, first: str = "first_try", again: str = "retry",
     given = lambda c: F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
     healthy = F.when((F.length(given(layer)) >= 40) & ~F.coalesce(F.col(layer_garbled), F.lit(False)), given(layer))
     outcome = F.when(given(first).isNotNull(), "ok").when(given(again).isNotNull(), "retried").when(healthy.isNotNull(), "rescued").otherwise("lost")
-    lost = F.concat(F.lit("<!-- OCR returned nothing for page "), F.col("page").cast("string"), F.lit(" -->"))
+    lost = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(": no text was read -->"))
     return pages.withColumn("text", strip_fence(F.coalesce(given(first), given(again), healthy, lost), guard=False)).withColumn("outcome", outcome)
 
 
@@ -154,14 +199,16 @@ def parse_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(known, ["content_hash", "backend", "__n"], "left").drop("__n")
 
 
-def collect_assets(spark: SparkSession, path: str) -> DataFrame:
-    """Image files below a path: (path, rel_path, kind, bytes), each once."""
+def collect_assets(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) -> DataFrame:
+    """Files with some endings below a path: (path, rel_path, kind, bytes), each once; ``rel_path`` begins below the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ends: Column = F.lit(False)
-    for e in IMAGES:
+    for e in endings:
         ends = ends | F.endswith(F.lower("path"), F.lit(e))
-    root = path.rstrip("/") + "/"
-    return files.where(ends).select("path", F.substring_index("path", root, -1).alias("rel_path"), F.lit("image").alias("kind"), F.col("length").alias("bytes")).dropDuplicates(["rel_path"])
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm).toString().rstrip("/") + "/"
+    below = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
+    return files.where(ends).select("path", below.alias("rel_path"), F.lit("image").alias("kind"), F.col("length").alias("bytes")).dropDuplicates(["rel_path"])
 
 
 def scan_notes(stats: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,13 +35,17 @@ def sessions(rows: DataFrame, at: str, key: str, gap: str, late: str = "1 hour")
 
 
 class Quota(StatefulProcessor):
-    """So many uploads of a key in a fixed window from its first one."""
+    """So many uploads of a key in a fixed window from its first one.
+
+    State of idle keys is dropped by a processing-time TTL, longer than the window: an expired key
+    is as one that was never seen, so the answers are the same.
+    """
 
     def __init__(self, seconds: int = 3600, most: int = 20):
         self.seconds, self.most = seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "opened long, used long")
+        self.state = handle.getValueState("window", "opened long, used long", 2000 * self.seconds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened, used = self.state.get() if self.state.exists() else (None, 0)
@@ -58,6 +63,94 @@ class Quota(StatefulProcessor):
         pass
 
 
+class Watchdog(StatefulProcessor):
+    """A stall for each time that a key is silent for ``seconds``: told by a timer on event time, whether or not it goes on later.
+
+    Each beat puts the key's timer anew; when the watermark passes it, the stall is told.
+    """
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        beats = sorted(int(t.value // 1_000_000) for frame in rows for t in frame["ts"])
+        before = self.last.get()[0] if self.last.exists() else None
+        stalled = []
+        for at in beats:
+            if before is not None and at - before >= 1000 * self.seconds:
+                stalled.append(before)
+            before = at if before is None else max(before, at)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update((before,))
+        self.handle.registerTimer(before + 1000 * self.seconds)
+        yield pd.DataFrame({"owner": [key[0]] * len(stalled), "stalled_at": stalled, "resumed": [True] * len(stalled)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"owner": [key[0]], "stalled_at": [before], "resumed": [False]})
+
+    def close(self) -> None:
+        pass
+
+
+class SharedLimit(StatefulProcessor):
+    """Slots and cooldowns of a provider that all workers share, kept by key.
+
+    A call waits for the slot after the last one and for the end of a cooldown; a refusal opens or
+    doubles the cooldown, a success ends the doubling.  Times are milliseconds.
+    """
+
+    def __init__(self, interval: int, base: int, most: int):
+        self.interval, self.base, self.most = interval, base, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("limit", "slot long, gate long, refusals long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        slot, gate, refusals = self.state.get() if self.state.exists() else (None, 0, 0)
+        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        slots = []
+        for at, outcome in zip(frame["at"].tolist(), frame["outcome"].tolist()):
+            slot = max(at, gate) if slot is None else max(at, gate, slot + self.interval)
+            slots.append(slot)
+            if outcome == "refused":
+                refusals = min(refusals + 1, 40)
+                gate = max(gate, slot + min(self.base * 2 ** (refusals - 1), self.most))
+            elif outcome == "success":
+                refusals = 0
+        self.state.update((int(slot), int(gate), int(refusals)))
+        yield frame.assign(slot=slots)[["owner", "event_id", "at", "slot"]]
+
+    def close(self) -> None:
+        pass
+
+
+class Snapshot:
+    """A table that is read once and kept for ``seconds``, or until something is written.
+
+    ``read`` makes the frame; the driver keeps its plan over files, not its rows.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.read, self.seconds, self.clock = read, seconds, clock
+        self._held: tuple[float, DataFrame] | None = None
+
+    def get(self) -> DataFrame:
+        now = self.clock()
+        if self._held is None or now - self._held[0] >= self.seconds:
+            self._held = (now, self.read())
+        return self._held[1]
+
+    def invalidate(self) -> None:
+        self._held = None
+
+
 class Changes(StatefulProcessor):
     """Rows of a key whose payload differs from the one before."""
 
@@ -80,7 +173,17 @@ class Changes(StatefulProcessor):
 
 def quota(uploads: DataFrame, seconds: int = 3600, most: int = 20) -> DataFrame:
     """Uploads (owner, event_id, at) plus ``allowed``."""
-    return uploads.groupBy("owner").transformWithStateInPandas(Quota(seconds, most), "owner long, event_id long, at long, allowed boolean", "append", "none")
+    return uploads.groupBy("owner").transformWithStateInPandas(Quota(seconds, most), "owner long, event_id long, at long, allowed boolean", "append", "processingTime")
+
+
+def watchdog(beats: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Beats (owner, ts) -> (owner, stalled_at, resumed): a row for each silence of ``seconds``; ``stalled_at`` in milliseconds."""
+    return beats.select("owner", "ts").withWatermark("ts", late).groupBy("owner").transformWithStateInPandas(Watchdog(seconds), "owner long, stalled_at long, resumed boolean", "append", "eventTime")
+
+
+def shared_limit(calls: DataFrame, interval: int, base: int = 15_000, most: int = 120_000) -> DataFrame:
+    """Calls (owner, event_id, at, outcome) -> the time at which each may go out."""
+    return calls.groupBy("owner").transformWithStateInPandas(SharedLimit(interval, base, most), "owner long, event_id long, at long, slot long", "append", "none")
 
 
 def change_feed(rows: DataFrame) -> DataFrame:

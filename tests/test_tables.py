@@ -76,8 +76,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     assert sorted(r["rel_path"] for r in readers.collect_assets(spark, f"file:{tmp_path}").collect()) == ["a.png", "sub/b.JPG"]
     (tmp_path / "d.txt").write_text("one\ftwo")
-    spark.dataSource.register(readers.PagesSource)
-    assert [tuple(r)[1:] for r in spark.read.format("text_pages").load(f"{tmp_path}/d.txt").orderBy("page").collect()] == [(1, "one"), (2, "two")]
+    assert [tuple(r)[1:] for r in readers.text_pages(spark, f"file:{tmp_path}/d.txt").orderBy("page").collect()] == [(1, "one"), (2, "two")]
     pages = spark.createDataFrame([(1, 1, " a ", [(7, "images/x.png")]), (1, 2, "", [(7, "images/x.png")]), (1, 3, "b", [])], "doc_id long, page int, text string, images array<struct<xref:int,path:string>>")
     assert readers.text_layer(pages).first()["markdown"] == "a\n\n![figure page 1](images/x.png)\n\nb"
 

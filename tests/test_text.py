@@ -65,7 +65,7 @@ def test_content_preserved(spark):
 
 @pytest.mark.parametrize(
     ("formula", "problems"),
-    [(r"\frac{a}{b} + \sqrt{x}", []), (r"\frac{a}{b", ["1 unclosed brace(s)"]), ("a}", ["unbalanced closing brace"]), ("}{", ["unbalanced closing brace", "1 unclosed brace(s)"]), (r"\{a", []), ("a\\", ["trailing backslash"]), ("  ", ["empty formula"]), (r"\begin{a}x\end{b}", ["begin/end mismatch: ['a'] vs ['b']"])],
+    [(r"\frac{a}{b} + \sqrt{x}", []), (r"\frac{a}{b", ["braces left open: 1"]), ("a}", ["a closing brace without an opening one"]), ("}{", ["a closing brace without an opening one", "braces left open: 1"]), (r"\{a", []), ("a\\", ["a backslash at the end"]), ("  ", ["nothing in the formula"]), (r"\begin{a}x\end{b}", ["environments begin as ['a'] and end as ['b']"])],
 )
 def test_formulas(spark, formula, problems):
     assert values(spark, latex.formula_problems, formula) == [problems]
@@ -75,7 +75,7 @@ def test_latex_documents(spark):
     clean = "Text $a+b$ and $$\\frac{1}{2}$$ \\begin{align}x\\end{align}"
     got = values(spark, latex.document_issues, clean, "a $$\\frac{a$$ b", "odd $$", "")
     assert [[i["code"] for i in x] for x in got] == [[], ["latex_syntax"], ["latex_delimiters"], []]
-    assert got[1][0]["message"] == "formula '\\frac{a…': 1 unclosed brace(s)"
+    assert got[1][0]["message"] == "in \\frac{a: braces left open: 1"
 
 
 def test_json(spark):
