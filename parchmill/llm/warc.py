@@ -17,16 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import Scratch, ref
 
 #: Fixed value: the date written to records, so that a rerun writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file at most, so that a reader can hold one file.
-RECORDS = 4000
+#: Bytes of payload in a file, so that a reader can hold it; a larger record has a file of its own.
+FILE_BYTES = 1 << 26
+#: Bytes that a gzip member may have inside; a larger one is quarantined.
+MEMBER_BYTES = 1 << 30
 #: Rows up to which decisions are broadcast (about 60 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Headers that a record has once.
@@ -51,15 +53,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     all responses.  Null html is an empty payload; rows that repeat the smallest id are
     responses all; null ids order last.  Only ids and digests are shuffled to find
     equal payloads; html is shuffled only when there are too many revisits to
-    broadcast.  Line ends in urls are percent-encoded.
+    broadcast.  Line ends in urls are percent-encoded; null urls are empty.  Files hold about
+    ``FILE_BYTES`` at most, or one larger record; an empty table writes empty files.  Other columns
+    are ignored, whatever their names.
     """
-    payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    payload = F.coalesce(ref(html_col).cast("string"), F.lit(""))
+    rows = pages.select(ref(id_col).cast("long").alias("page_id"), F.coalesce(ref(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
     key = F.coalesce("page_id", F.lit((1 << 63) - 1))
-    ids = materialise(rows.select(key.alias("key"), "digest", "size"), "digests")
+    scratch = Scratch(pages.sparkSession)
+    ids = scratch.keep(rows.select(key.alias("key"), "digest", "size"), "digests")
     firsts = ids.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    decisions = materialise(ids.join(firsts, "digest").where("key > first").select("key", "digest", "first").distinct(), "revisits")
+    decisions = scratch.keep(ids.join(firsts, "digest").where("key > first").select("key", "digest", "first").distinct(), "revisits")
     if decisions.count() <= BROADCAST_ROWS:
         decisions = F.broadcast(decisions)
     marked = rows.withColumn("key", key).join(decisions, ["key", "digest"], "left")
@@ -82,7 +87,29 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     ]
     # the sink ends each row with a newline, the last byte of a record
     record = F.concat(F.concat_ws(end, *lines), F.lit(end + end), http, F.when(revisit, F.lit("")).otherwise(F.col("payload")), F.lit(end + "\r"))
-    marked.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(path)
+    marked = marked.select("size", "key", "digest", record.alias("value"))
+    # files of bounded bytes: pages up to a size that nearly all have go by number; the few larger
+    # ones are dealt by size class, and numbered in it
+    classes = {r["c"]: r["n"] for r in ids.groupBy(_size_class(F.col("size")).alias("c")).agg(F.count("*").alias("n")).collect()}  # 32 rows at most
+    rows_in_all, common = sum(classes.values()), 10
+    while sum(n for c, n in classes.items() if c > common) * 100 > rows_in_all:
+        common += 1
+    small = marked.where(_size_class(F.col("size")) <= common)
+    small.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_BYTES >> common)).text(f"{path}/small")
+    large = {c: n for c, n in classes.items() if c > common}
+    if large:
+        salts = F.element_at(F.create_map(*[F.lit(x) for c, n in large.items() for x in (c, max(1, n * (1 << c) // (8 * FILE_BYTES)))]), F.col("class"))
+        dealt = marked.withColumn("class", _size_class(F.col("size"))).where(F.col("class") > common).withColumn("salt", F.pmod(F.xxhash64("key", "digest"), salts).cast("int"))
+        place = F.row_number().over(Window.partitionBy("class", "salt").orderBy("key", "digest")) - 1
+        in_file = F.greatest(F.floor(F.lit(FILE_BYTES) / F.pow(F.lit(2.0), F.col("class"))), F.lit(1))
+        dealt = dealt.withColumn("file", F.floor(place / in_file).cast("int"))
+        dealt.select("class", "salt", "file", "value").write.partitionBy("class", "salt", "file").option("lineSep", "\n").text(f"{path}/large")
+    scratch.drop()
+
+
+def _size_class(size: Column) -> Column:
+    """The power of two that a size is not above."""
+    return F.when(size > 1, F.ceil(F.log2(size.cast("double")))).otherwise(F.lit(0)).cast("int")
 
 
 @dataclass
@@ -130,17 +157,22 @@ def _http(head: bytes) -> dict[str, str]:
     return out
 
 
+def _length(text: str | None) -> int | None:
+    """A length in ASCII digits, as many as any file needs; else null."""
+    return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
+
+
 def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at a version line, and where it ends; raises Damaged on any failed check."""
     line, head = buffer.find(b"\r\n", at), buffer.find(b"\r\n\r\n", at)
     if not buffer.startswith(VERSION, at) or line < 0 or head < 0 or not re.fullmatch(rb"WARC/1\.[0-9]", buffer[at:line]):
         raise Damaged("no version line")
     headers = _headers(buffer[line + 2 : head]) if head > line else {}
-    length = headers.get("content-length", "")
-    if not length.isdigit() or "warc-type" not in headers:
+    length = _length(headers.get("content-length"))
+    if length is None or "warc-type" not in headers:
         raise Damaged("no length or type")
     start = head + 4
-    end = start + int(length)
+    end = start + length
     if buffer[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the block does not end where its length says")
     record = Record(at, headers, buffer[start:end])
@@ -156,21 +188,27 @@ def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
     return record, end + 4
 
 
-def _inflate(buffer: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a position, and where the member ends."""
-    inflate, parts = zlib.decompressobj(31), []
+def _inflate(buffer: bytes, at: int, most: int) -> tuple[bytes, int]:
+    """The content of the gzip member at a position, up to a size, and where the member ends."""
+    inflate, content = zlib.decompressobj(31), bytearray()
     while not inflate.eof:
-        if at >= len(buffer):
-            raise Damaged("the member is cut off")
+        waiting = inflate.unconsumed_tail
+        data = waiting or buffer[at : at + 65536]
         try:
-            parts.append(inflate.decompress(buffer[at : at + 65536]))
+            piece = inflate.decompress(data, 1 << 20)
         except zlib.error as error:
             raise Damaged(f"member: {error}") from None
-        at = min(at + 65536, len(buffer))
-    return b"".join(parts), at - len(inflate.unused_data)
+        content += piece
+        if len(content) > most:
+            raise Damaged(f"the member's content is over {most} bytes")
+        if not (data or piece or inflate.eof):
+            raise Damaged("the member is cut off")
+        if not waiting:
+            at = min(at + 65536, len(buffer))
+    return bytes(content), at - len(inflate.unused_data)
 
 
-def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP)) -> Iterator[Record | tuple[int, int, str]]:
+def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP), most: int = MEMBER_BYTES) -> Iterator[Record | tuple[int, int, str]]:
     """Records of an archive, and a (start, end, reason) for each gap of bytes that fail.
 
     A gzip member holds any number of records, all with the member's offset; a gap among
@@ -183,7 +221,7 @@ def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP)) -> Iterat
     while at < size:
         try:
             if GZIP in after and buffer.startswith(GZIP, at):
-                member, end = _inflate(buffer, at)
+                member, end = _inflate(buffer, at, most)
                 inside: Iterator = salvage(member, (VERSION,))
             else:
                 record, end = parse_record(buffer, at)
@@ -225,8 +263,9 @@ READ_SCHEMA = "file string, byte_start long, byte_end long, gap_reason string, p
 
 
 def _page(name: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", name or "")
+    value = int(found[1]) if found else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
 
 def _read(with_payload: bool):
@@ -242,8 +281,8 @@ def _read(with_payload: bool):
                     else:
                         h = found.headers
                         revisit = h["warc-type"] == "revisit"
-                        length = found.http.get("content-length", "")
-                        many = int(length) if revisit and length.isdigit() else len(found.payload)
+                        length = _length(found.http.get("content-length"))
+                        many = length if revisit and length is not None else len(found.payload)
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(found.payload).digest()).decode()
                         rows.append((name, found.offset, None, None, _page(h.get("warc-record-id")), h.get("warc-target-uri"), h["warc-type"], many, digest, _page(h.get("warc-refers-to")), found.payload if with_payload else None))
                         held += len(found.payload) if with_payload else 0
@@ -264,5 +303,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     the full payload, also for revisits, whose own block has the headers alone.  A task
     holds one archive and the content of one gzip member at a time.  Empty files have no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(_read(with_payload), READ_SCHEMA)

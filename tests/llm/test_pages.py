@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,52 @@ def test_salvage_many_records_in_a_member():
     assert outcome(gzip.compress(b"") + alone + b"x") == ([4], [(0, len(gzip.compress(b""))), (len(gzip.compress(b"") + alone), len(gzip.compress(b"") + alone) + 1)])
 
 
+def test_salvage_never_raises():
+    r = random.Random(4)
+    whole = b"".join(record(k, bytes([65 + k]) * 40) for k in range(4))
+    for said in ("²", "9" * 5000, "-1", "+4", "4 4", "", "1e3", "９"):
+        bad = whole.replace(b"Content-Length: 40", b"Content-Length: " + said.encode(), 1)
+        got, gaps = outcome(bad)
+        assert got == [1, 2, 3] and len(gaps) == 1, said
+    packed = b"".join(gzip.compress(record(k, bytes([65 + k]) * 400)) for k in range(4))
+    for data in (whole, packed):
+        for _ in range(400):
+            broken = bytearray(data)
+            for _ in range(r.randint(1, 12)):
+                at = r.randrange(len(broken))
+                broken[at : at + r.choice([0, 1, 1, 3])] = bytes(r.randrange(256) for _ in range(r.choice([0, 1, 1, 5])))
+            found = list(salvage(bytes(broken)))
+            places = [g[:2] for g in found if isinstance(g, tuple)]
+            assert all(0 <= a < b <= len(broken) for a, b in places)
+
+
+def test_large_members_are_quarantined():
+    bomb, good = gzip.compress(record(1, b"\0" * 3_000_000)), gzip.compress(record(2, b"x"))
+    found = list(salvage(good + bomb + good, most=1 << 20))
+    assert [r if isinstance(r, tuple) else r.headers["warc-record-id"] for r in found] == ["<urn:page:2>", (len(good), len(good) + len(bomb), "the member's content is over 1048576 bytes"), "<urn:page:2>"]
+    assert outcome(bomb) == ([1], [])
+
+
+def test_damaged_http_length_of_a_revisit(spark, tmp_path):
+    block = "HTTP/1.1 200 OK\r\nContent-Length: ²\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:{'9' * 30}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    rows = read_archives(spark, str(tmp_path)).collect()
+    assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(None, 0)]
+
+
+def test_files_are_bounded(spark, monkeypatch):
+    from parchmill.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 14)
+    rows = [(k, "u", f"{k} " + "x" * (10 if k % 150 else 9000 + 100 * k), "", 0) for k in range(1500)]
+    path = shared_dir(spark, "warc")
+    write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()
+    assert max(r["length"] for r in files) < 180_000 and len(files) > 20  # the largest record alone is 145 kB
+    read = read_archives(spark, path).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in read) == sorted((r[0], len(r[2])) for r in rows)
+
+
 def test_lenient_http_heads(spark, tmp_path):
     def page(n: int, head: bytes, body: bytes) -> bytes:
         block = head + body
@@ -152,3 +199,23 @@ def test_registered_domains(spark):
     labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, quality int")
     share = {r["page_id"]: r["host_share"] for r in judge_urls(pages, labels).collect()}
     assert share[80] > 0.6 and share[81] < 0.4  # hosts without labels follow their own domain
+
+
+def test_posterior_decides(spark):
+    """A host that is surely worse than the average is blocked, whatever the average; a threshold is a parameter."""
+    rows = [(k, f"http://h{k % 10}.example.com/{k}") for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0 if k % 10 == 3 and k % 3 or k % 17 == 0 else 1) for k in range(2000)], "doc_id long, quality int")
+    blocked = {r["host"] for r in judge_urls(pages, labels).where("verdict = 'block'").collect()}
+    assert blocked == {"h3.example.com"}
+    assert judge_urls(pages, labels, threshold=0.9).where("verdict = 'block'").count() == 0
+
+
+def test_url_edges(spark):
+    """Clashing names, null and very long urls, repeated pages and ids without labels."""
+    schema = "page_id long, url string, host string, path string, rule string, verdict string, seen int, bad int, bound double, share double, mean double"
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://a.net/y"), (2, None), (3, "http://h.org/" + "p" * 500_000)]
+    pages = spark.createDataFrame([(k, u, "h", "p", "r", "v", 1, 1, 1.0, 1.0, 1.0) for k, u in rows], schema)
+    labels = spark.createDataFrame([(1, 0, 5), (None, 0, 5), (3, None, 5)], "doc_id long, quality int, page_id int")
+    got = judge_urls(pages, labels).collect()
+    assert sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["rule"]) for r in got) == [(0, "a.net", 2, "net/"), (1, "a.net", 2, "net/"), (1, "a.net", 2, "net/"), (2, "", 0, None), (3, "h.org", 500_001, None)]
