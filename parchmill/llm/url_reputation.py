@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise, ref
+
 #: Rules: verdict, host, path.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "net", "/"),
@@ -12,8 +14,6 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: A host is blocked when the lower bound of its share of bad pages is above this.
-THRESHOLD = 0.5
 #: Standard deviations below the posterior mean at which the bound lies.
 DEVIATIONS = 1.645
 #: Least and most pseudo-observations that a prior counts for.
@@ -94,87 +94,92 @@ def _name(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"\A.*@", ""), r":[0-9]*\z", ""), r"\.\z", "")
 
 
-def _labels(host: Column, more: int) -> Column:
+def _labels(host: Column, more: int, suffixes: tuple[str, ...]) -> Column:
     """The public suffix of a host and ``more`` labels before it; an IP address is whole."""
     name = _name(host)
     address = name.startswith("[") | name.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
     out = F.when(address, name)
-    for n in sorted({x.count(".") + 1 for x in SUFFIXES}, reverse=True):  # the longest match first
-        out = out.when(F.substring_index(name, ".", -n).isin([x for x in SUFFIXES if x.count(".") + 1 == n]), F.substring_index(name, ".", -n - more))
+    for n in sorted({x.count(".") + 1 for x in suffixes}, reverse=True):  # the longest match first
+        out = out.when(F.substring_index(name, ".", -n).isin([x for x in suffixes if x.count(".") + 1 == n]), F.substring_index(name, ".", -n - more))
     return out.otherwise(F.substring_index(name, ".", -1 - more))
 
 
-def registered(host: Column) -> Column:
+def registered(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The registered domain: the public suffix of a host and the label before it."""
-    return _labels(host, 1)
+    return _labels(host, 1, suffixes)
+
+
+def suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: the longest of ``suffixes`` that ends the host, else its last label."""
+    return _labels(host, 0, suffixes)
 
 
-def suffix(host: Column) -> Column:
-    """The public suffix: the longest of ``SUFFIXES`` that ends the host, else its last label."""
-    return _labels(host, 0)
+LEVELS = ("suffix", "domain", "host")
 
 
-def _strength(counts: DataFrame, key: str) -> tuple[float, float]:
-    """Moment estimates over the units of a level: the mean share of bad pages and the prior's pseudo-observations.
+def _strengths(counts: DataFrame) -> dict[str, tuple[float, float]]:
+    """Moment estimates over the units of each level: the mean share of bad pages and the prior's pseudo-observations.
 
     With shares p_i of n_i pages around the mean m, the variance between units is
     what exceeds the binomial part; the strength is m(1 - m) over it, less 1.
     """
-    units = counts.groupBy(key).agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
-    row = units.agg(F.sum("bad"), F.sum("seen"), F.sum(F.col("seen") * F.col("seen")), F.sum(F.col("bad") * F.col("bad") / F.col("seen")), F.count("*")).first()  # one row
-    bad, seen, squares, weighed, many = (float(x or 0) for x in row)
-    if not seen:
-        return 0.0, STRENGTH[1]
-    mean = bad / seen
-    spread = weighed - seen * mean * mean
-    within = mean * (1 - mean)
-    size = seen - squares / seen
-    between = (spread - (many - 1) * within) / size if size > 0 else 0.0
-    strength = within / between - 1 if between > 0 else STRENGTH[1]
-    return mean, min(max(strength, STRENGTH[0]), STRENGTH[1])
-
-
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, bad: 0 or 1, null where unlabelled) -> (host, seen, bad, share, bound), one row a host.
+    units = counts.where("seen > 0").select("seen", "bad", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("unit")) for x in LEVELS])).alias("u"))
+    units = units.groupBy("u.level", "u.unit").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
+    sums = units.groupBy("level").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"), F.sum(F.col("seen") * F.col("seen")).alias("squares"), F.sum(F.col("bad") * F.col("bad") / F.col("seen")).alias("weighed"), F.count("*").alias("many"))
+    out = dict.fromkeys(LEVELS, (0.0, STRENGTH[1]))
+    for row in sums.collect():  # three rows
+        bad, seen, squares, weighed, many = (float(row[c]) for c in ("bad", "seen", "squares", "weighed", "many"))
+        mean = bad / seen
+        within, size = mean * (1 - mean), seen - squares / seen
+        between = (weighed - seen * mean * mean - (many - 1) * within) / size if size > 0 else 0.0
+        strength = within / between - 1 if between > 0 else STRENGTH[1]
+        out[row["level"]] = mean, min(max(strength, STRENGTH[0]), STRENGTH[1])
+    return out
+
+
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, bad: 0 or 1, null where unlabelled) -> (host, seen, bad, share, bound, mean), one row a host.
 
     Priors run from all pages to the suffix, the registered domain and the host: at each
     level the parent's posterior mean counts as many pages as the moment estimate of
     that level says.  ``share`` is the host's posterior mean, ``bound`` that many
-    deviations below it.  A host without labels has its domain's share.
+    deviations below it, ``mean`` the share of all labelled pages.  A host without labels has
+    its domain's share.  Outcomes are read once: hosts are counted and written, and all
+    levels are sums over them.
     """
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    counts = counts.withColumn("domain", registered(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
-    labelled = counts.where("seen > 0")
-    mean, of_suffix = _strength(labelled, "suffix")
-    _, of_domain = _strength(labelled, "domain")
-    _, of_host = _strength(labelled, "host")
+    counts = materialise(counts.withColumn("domain", registered(F.col("host"), suffixes)).withColumn("suffix", suffix(F.col("host"), suffixes)), "hosts")
+    (mean, of_suffix), (_, of_domain), (_, of_host) = (_strengths(counts)[x] for x in LEVELS)
 
     def posterior(prior: Column, strength: float, bad: Column, seen: Column) -> Column:
         return (prior * F.lit(strength) + bad) / (F.lit(strength) + seen)
 
     domains = counts.groupBy("suffix", "domain").agg(F.sum("bad").alias("d_bad"), F.sum("seen").alias("d_seen"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_seen").alias("s_seen"))
-    domains = domains.join(suffixes, "suffix").withColumn("s_share", posterior(F.lit(mean), of_suffix, F.col("s_bad"), F.col("s_seen"))).withColumn("d_share", posterior(F.col("s_share"), of_domain, F.col("d_bad"), F.col("d_seen"))).select("domain", "d_share")
+    of_suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_seen").alias("s_seen"))
+    domains = domains.join(of_suffixes, "suffix").withColumn("s_share", posterior(F.lit(mean), of_suffix, F.col("s_bad"), F.col("s_seen"))).withColumn("d_share", posterior(F.col("s_share"), of_domain, F.col("d_bad"), F.col("d_seen"))).select("domain", "d_share")
     hosts = counts.join(domains, "domain")
     share = posterior(F.col("d_share"), of_host, F.col("bad"), F.col("seen"))
     deviation = F.sqrt(share * (1 - share) / (F.lit(of_host + 1) + F.col("seen")))
-    return hosts.select("host", "seen", "bad", share.alias("share"), (share - F.lit(DEVIATIONS) * deviation).alias("bound"))
+    return hosts.select("host", "seen", "bad", share.alias("share"), (share - F.lit(DEVIATIONS) * deviation).alias("bound"), F.lit(mean).alias("mean"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_id: str = "doc_id", good_col: str = "quality", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", outcome_id: str = "doc_id", good_col: str = "quality", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Rows of ``pages`` -> (page_id, host, path, rule, verdict, host_share, host_bound).
 
     ``outcomes`` labels some pages by id (``good_col`` 1 good, 0 bad; others unlabelled).  An
     explicit rule decides first; else a host is blocked when the lower bound of its
-    share of bad pages is above ``threshold``.  A null url, or one without ``://``, has an
+    share of bad pages is above ``threshold`` or, without one, above the share of all
+    labelled pages: when it is surely worse than the average.  A null url, or one without ``://``, has an
     empty host, which has a reputation like any other.  Several labels of one page
-    count once, as bad if any says so; repeated pages are judged and count each;
-    empty tables give empty tables, and without labels every page is allowed.
+    count once, as bad if any says so; repeated pages are judged and count each; null ids have no
+    label; empty tables give empty tables, and without labels every page is allowed.  Other
+    columns are ignored, whatever their names; urls of any length are read whole.
     """
-    host, path = parse(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = outcomes.select(F.col(outcome_id).cast("long").alias("page_id"), F.when(F.col(good_col) == 0, 1).when(F.col(good_col) == 1, 0).alias("bad")).where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = reputations(rows.join(labels, "page_id", "left").select("host", "bad"))
+    host, path = parse(ref(url_col).cast("string"))
+    rows = pages.select(ref(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    labels = outcomes.select(ref(outcome_id).cast("long").alias("page_id"), F.when(ref(good_col) == 0, 1).when(ref(good_col) == 1, 0).alias("bad")).where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    known = reputations(rows.join(labels, "page_id", "left").select("host", "bad"), suffixes)
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
     found = rows.join(known, "host")
-    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") > F.lit(threshold), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.col("share").alias("host_share"), F.col("bound").alias("host_bound"))
+    worse = F.col("bound") > (F.lit(threshold) if threshold is not None else F.col("mean"))
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(worse, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.col("share").alias("host_share"), F.col("bound").alias("host_bound"))
