@@ -12,7 +12,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import BASE, kept, ledger
 from .storage import materialise, shared_dir
-from .token_rollup import Rollup, count_tokens, deletes, inserts
+from .token_rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .token_store import token_table, write_tokens
 from .tokens import default_vocabulary
 from .url_reputation import judge_urls
@@ -72,17 +72,25 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter with word counts and with token counts; those under ten words are taken out and put in again, in batches that are replayed."""
+    """Totals of all documents by words and by tokens.
+
+    Words enter as an estimate of the tokens too, which a later batch revises to the true counts; documents
+    under ten words are taken out and put in again.  Batches are replayed, before and after
+    compaction, which changes nothing.
+    """
     docs = _table(spark, sf_dir, "documents")
-    words = materialise(count_tokens(docs, "words-1"), "counts")  # counted once, used by three batches
+    words = materialise(count_tokens(docs, "words-1"), "counts")  # counted once, used by several batches
     tokens = count_tokens(docs, "byte-bpe-50k", default_vocabulary())
+    estimate = words.withColumn("tokenizer", F.lit("byte-bpe-50k"))
     short = words.where("n_tokens < 10")
     rollup = Rollup(spark, shared_dir(spark, "rollup"))
-    rollup.commit("0001", inserts(words))
-    rollup.commit("0002", inserts(tokens))
-    for _ in range(2):  # a replay changes nothing
-        rollup.commit("0003", deletes(short))
-        rollup.commit("0004", inserts(short))
+    rollup.commit("0001", inserts(words).unionByName(inserts(estimate)))
+    rollup.commit("0002", revisions(estimate, tokens))
+    rollup.commit("0003", deletes(short))
+    rollup.commit("0003", deletes(short))
+    rollup.compact()
+    rollup.commit("0002", inserts(words))
+    rollup.commit("0004", inserts(short))
     return rollup.totals()
 
 
@@ -167,7 +175,7 @@ def _reputation_sql() -> str:
                      WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
                      WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
               FROM p JOIN r USING (host))
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(share, 6) AS host_share FROM v"""
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > (SELECT mean FROM ss) THEN 'block' ELSE 'allow' END AS verdict, round(share, 6) AS host_share FROM v"""
 
 
 ORACLE["op9_host_reputation"] = _reputation_sql()

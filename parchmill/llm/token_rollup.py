@@ -1,19 +1,32 @@
 """Token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are sums of signed deltas: an insert
-adds a document's tokens, a delete takes them away, a revised count does both.  Each
-batch is reduced to one row a group before it is stored in a folder named by its id, so
-a batch that is committed again replaces itself and totals stay right.
+adds a document's tokens, a delete takes them away, a revised count does both.  A
+rollup is a folder:
+
+- ``totals/VERSION``: the sums after a commit, a row a group;
+- ``commits/VERSION``: a small file with the batch's id, created exactly once;
+- ``ledger/VERSION``: ids of all batches up to a version, which compaction gathers.
+
+A commit adds a batch's sums to the totals of the version before, writes them as a new version and
+then creates that version's commit file, which fails if it is there: of two
+writers one starts again on the other's totals.  Until the file is there readers see the version
+before, so a crash leaves totals as they were.  A batch whose id was committed, before
+compaction or after, changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import small_batches, tidy
+from .storage import materialise, ref, remove
 from .tokens import encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -27,14 +40,20 @@ def _counts(vocabulary: str) -> Callable:
             many = [len(encode(x.as_py())) // 4 for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(many, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, version: str, vocabulary: str | None = None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` -> (doc_id, source, lang, tokenizer, n_tokens); words where no vocabulary is given.  Null text: 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.col(text_col).cast("string").alias("text"))
+    """Rows of ``docs`` -> (doc_id, source, lang, tokenizer, n_tokens); words where no vocabulary is given.
+
+    Null and empty texts have 0; very long ones are counted whole.  Rows are counted one by one, so repeats
+    count each, and an empty table gives an empty table; nulls in a key stay; other columns are
+    ignored, whatever their names.
+    """
+    rows = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(source_col).cast("string").alias("source"), ref(lang_col).cast("string").alias("lang"), F.lit(version).alias("tokenizer"), ref(text_col).cast("string").alias("text"))
     if vocabulary is None:
         return rows.select("doc_id", *KEYS, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"))
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(_counts(vocabulary), "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 
@@ -53,29 +72,107 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def summed(rows: DataFrame) -> DataFrame:
+    """One row a group; sums are taken before and after one shuffle, so a hot source costs a row a task."""
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
 class Rollup:
     """A rollup below one folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def commit(self, batch_id: str, deltas: DataFrame) -> None:
-        """Store a batch.  Its deltas are summed by group before and after one shuffle, so a hot
-        source costs a row a task; the folder is replaced whole, so a batch counts once."""
-        summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def batches(self) -> DataFrame:
-        return self.spark.read.schema(GROUP + ", batch string").parquet(self.path)
+        self._fs = spark._jvm.org.apache.hadoop.fs
+        self._files = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._fs.Path(f"{self.path}/{name}")
+
+    def _listed(self, name: str) -> list[str]:
+        there = self._files.exists(self._at(name))
+        return sorted(x.getPath().getName() for x in self._files.listStatus(self._at(name))) if there else []
+
+    def version(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        return max([0, *(int(x) for x in self._listed("commits") if x.isdigit()), *(int(x) for x in self._listed("ledger") if x.isdigit())])
+
+    def _read(self, version: int) -> DataFrame:
+        if not version:
+            return self.spark.createDataFrame([], GROUP)
+        commit = f"commits/{version:012d}"
+        folder = self._text(commit)[1] if self._files.exists(self._at(commit)) else f"{version:012d}"
+        return self.spark.read.schema(GROUP).parquet(f"{self.path}/totals/{folder}")
+
+    def _text(self, name: str) -> list[str]:
+        stream = self._files.open(self._at(name))
+        try:
+            return self.spark._jvm.java.lang.String(stream.readAllBytes(), "UTF-8").split("\n")
+        finally:
+            stream.close()
+
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch is in the totals: one file a commit since the last compaction, and its table of ids before."""
+        if any(self._text(f"commits/{x}")[0] == batch_id for x in self._listed("commits") if x.isdigit()):
+            return True
+        ledgers = [x for x in self._listed("ledger") if x.isdigit()]
+        return bool(ledgers) and not self.spark.read.schema("batch string").parquet(f"{self.path}/ledger/{ledgers[-1]}").where(F.col("batch") == batch_id).isEmpty()
+
+    def commit(self, batch_id: str, deltas: DataFrame) -> bool:
+        """Add a batch to the totals, once: false where a batch of that id was committed before.
+
+        The batch is summed once, also where another writer comes between.  Ids have no line ends.
+        """
+        if "\n" in batch_id:
+            raise ValueError("a batch id with a line end")
+        if self.committed(batch_id):
+            return False
+        batch = materialise(summed(deltas), "batch")
+        while True:
+            last = self.version()
+            if self.committed(batch_id):
+                return False
+            folder = f"{last + 1:012d}-{uuid.uuid4().hex}"
+            summed(self._read(last).unionByName(batch)).where("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/totals/{folder}")
+            if self._create(f"commits/{last + 1:012d}", f"{batch_id}\n{folder}"):
+                return True
+            remove(self.spark, f"{self.path}/totals/{folder}")
+
+    def _create(self, name: str, text: str) -> bool:
+        try:
+            stream = self._files.create(self._at(name), False)
+        except Py4JJavaError:
+            if self._files.exists(self._at(name)):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all batches; groups without documents and tokens are left out.
-        Nulls in a key form a group of their own."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs != 0 or n_tokens != 0")
-
-    def compact(self, path: str) -> "Rollup":
-        """All batches as one batch in another folder."""
-        new = Rollup(self.spark, path)
-        new.commit("compacted", self.batches().drop("batch"))
-        return new
+        """(source, lang, tokenizer, n_docs, n_tokens) as the last commit left them; groups without documents and tokens are left out.
+        Nulls in a key form a group of their own; a rollup without commits has no rows."""
+        return self._read(self.version())
+
+    def compact(self) -> None:
+        """Gather the ids of all batches in one table and delete what only earlier versions need.  Totals stay, and so does every id.
+
+        The new ledger is there before any commit file goes.  One writer compacts at a time, while none commits.
+        """
+        last = self.version()
+        commits = [x for x in self._listed("commits") if x.isdigit()]
+        if not commits:
+            return
+        ledgers = [x for x in self._listed("ledger") if x.isdigit()]
+        ids = self.spark.createDataFrame([(self._text(f"commits/{x}")[0],) for x in commits], "batch string")
+        if ledgers:
+            ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/ledger/{ledgers[-1]}"))
+        ids.write.parquet(f"{self.path}/ledger/.{last:012d}")
+        summed(self._read(last)).write.mode("overwrite").parquet(f"{self.path}/totals/{last:012d}")
+        self._files.rename(self._at(f"ledger/.{last:012d}"), self._at(f"ledger/{last:012d}"))
+        for x in commits:
+            remove(self.spark, f"{self.path}/commits/{x}")
+        for x in ledgers:
+            remove(self.spark, f"{self.path}/ledger/{x}")
+        for x in self._listed("totals"):
+            if x != f"{last:012d}":
+                remove(self.spark, f"{self.path}/totals/{x}")

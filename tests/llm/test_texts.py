@@ -253,6 +253,29 @@ def test_mix_edges(spark):
     assert mix_copies(frame(spark, [(1, None, "a"), (2, "", None)]).select("doc_id", "text", "source")).agg(F.sum("mix_copies")).first()[0] == 0
 
 
+def test_mix_clashes(spark):
+    """Every name that the operator uses inside or adds may be there already."""
+    names = ["mix_size", "mix_copies", "g_source", "g_band", "g_before", "mix_target", "m_id", "m_size", "m_source", "m_band", "m_salt", "b_source", "s_rows", "source_size", "target", "weight", "__pm_row"]
+    rows = [(k, "w " * (k % 9), "ab"[k % 2]) for k in range(40)] + [(None, None, None), (7, "x " * 100_000, "a")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mix_copies(docs)
+    assert out.columns == ["doc_id", "text", "source", *[n for n in names if n not in ("mix_size", "mix_copies", "mix_target")], "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    plain = mix_copies(docs.select("doc_id", "text", "source"))
+    key = lambda f: sorted(((r["doc_id"], r["mix_size"], r["mix_copies"]) for r in f.collect()), key=str)
+    assert key(out) == key(plain) and out.count() == len(rows)
+
+
+def test_mix_bands_of_many_salts(spark, monkeypatch):
+    from parchmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROWS", 3)
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 4), "ab"[k % 3 == 0]) for k in range(300)], "doc_id long, text string, source string")
+    rows = mix_copies(docs).collect()
+    for source in "ab":
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["mix_size"] * r["mix_copies"] for r in own) - own[0]["mix_target"]) <= 8
+
+
 def brute_measures(text: str | None) -> dict[str, int]:
     t = text or ""
     for c in "\t\x0b\x0c\r":
@@ -279,6 +302,8 @@ def test_quality(spark):
     assert passed == sum(not r["m_failed_bits"] & (POLICIES["2"] | BASE) for r in got.values())
     assert got[9004]["m_failed_bits"] & 0b1100000 and got[9002]["m_failed_bits"] & 0b1100
     assert ledger(frame(spark, [])).count() == 0
+    # without a prefix the ledger's columns replace those of its names
+    assert ledger(frame(spark, rows)).columns == [c for c in marked.columns if not c.startswith("m_") and c not in ("n_words", "failed_bits")] + [c[2:] for c in marked.columns if c.startswith("m_")]
 
 
 def test_ablations(spark):

@@ -140,7 +140,7 @@ def test_token_files(spark, encode):
 
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = langid.identify(docs, langid.fit(docs), keep=["doc_id", "lang"]).withColumn("h", langid.held_out(F.col("doc_id"))).collect()
+    found = langid.identify(docs.select("doc_id", "lang", "text"), langid.fit(docs)).withColumn("h", langid.held_out(F.col("doc_id"))).collect()
     assert all(r["h"] == (langid.crc_fold(r["doc_id"]) == 0) for r in found)
     test = [r for r in found if r["h"]]
     assert len(test) > 100 and sum(r["lang"] == r["lang_pred"] for r in test) >= 0.97 * len(test)
@@ -149,14 +149,28 @@ def test_language(spark):
 
 def test_language_edges(spark):
     model = langid.train([("the cat and the dog with that thing", "en"), ("der hund und die katze nicht mit dem", "de"), ("и собака это не кошка", "ru")] * 5)
-    docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "123 !? ²", 0.5), (4, "the dog and the cat", 0.5), (5, "собака", 0.5), (6, "漢字", 0.5), (None, "die katze", 0.5)], "doc_id long, text string, score double")
-    got = {r["doc_id"]: r for r in langid.identify(docs.withColumnRenamed("score", "other"), model, keep=["doc_id"]).collect()}
-    assert {k: got[k]["lang_pred"] for k in (1, 2, 3, 4, 5, None)} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "ru", None: "de"}
-    assert got[3]["score"] == 0 and got[6]["lang_pred"] in model.languages and got[6]["score"] == 0
+    # a clash with every name that the operator uses inside or adds
+    schema = "doc_id long, text string, lang string, score double, lang_pred string, n_spans string, found int, __pm_row int"
+    rows = [(1, None), (2, ""), (3, "123 !? ²"), (4, "the dog and the cat"), (5, "собака"), (6, "漢字"), (None, "die katze"), (8, "the dog with the cat " * 50_000), (4, "the dog and the cat")]
+    docs = spark.createDataFrame([(k, t, None, 0.5, "x", "y", 1, 2) for k, t in rows], schema)
+    found = langid.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "found", "__pm_row", "lang_pred", "score", "n_spans"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {k: got[k]["lang_pred"] for k in (1, 2, 3, 4, 5, None, 8)} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "ru", None: "de", 8: "en"}
+    assert got[3]["score"] == 0 and got[6]["lang_pred"] in model.languages and got[6]["score"] == 0 and found.count() == len(rows)
     mixed = "the cat and the dog with that thing " * 6 + "der hund und die katze nicht mit dem " * 6 + "и собака это не кошка"
     assert [s[2] for s in langid.spans(mixed, langid.Scores(model))] == ["en", "de", "ru"]
-    none = docs.where("false").withColumnRenamed("score", "lang")
-    assert langid.identify(docs, langid.fit(none), keep=["doc_id"]).where("lang_pred != 'und'").count() == 0
+    none = docs.where("false")
+    assert langid.identify(docs, langid.fit(none)).where("lang_pred != 'und'").count() == 0 and langid.identify(none, model).count() == 0
+
+
+def test_language_sample(spark):
+    rows = [(k % 40, f"text {k % 80} of a language", "en" if k % 2 else "de") for k in range(400)] + [(900, "x" * 100_000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == langid.fit(docs.repartition(7)).languages == ["de", "en", "fr"]
+    few = [langid.fit(d, most=5).trigrams for d in (docs, docs.repartition(7))]
+    assert few[0].keys() == few[1].keys() and all((few[0][k] == few[1][k]).all() for k in few[0])
+    assert langid.fit(docs, most_bytes=50_000).languages == ["de", "en"]
 
 
 def test_viterbi():
@@ -197,10 +211,53 @@ def test_rollup(spark, encode):
     rollup.commit("3", deletes(words.where("doc_id = 3")))
     want = {("s", "en", "w"): (2, 2), ("s", "en", "t"): (1, len(ids_of(encode, "a b")))}
     assert key(rollup.totals()) == want
-    assert key(rollup.compact(shared_dir(spark, "rollup")).totals()) == want
+    rollup.compact()
+    assert key(rollup.totals()) == want
+    again = Rollup(spark, rollup.path)
+    assert not any(again.commit(x, inserts(words)) for x in "123") and key(again.totals()) == want  # replays after compaction
+    assert again.commit("4", inserts(words.where("doc_id = 2").limit(1))) and key(again.totals())["s", "en", "w"] == (3, 3)
+    again.compact()
+    assert not any(again.commit(x, inserts(words)) for x in "1234")
     none = Rollup(spark, shared_dir(spark, "rollup"))
-    none.commit("1", inserts(words.where("false")))
-    assert none.totals().count() == 0
+    assert none.totals().count() == 0 and none.commit("1", inserts(words.where("false"))) and none.totals().count() == 0
+    with pytest.raises(ValueError):
+        none.commit("a\nb", inserts(words))
+
+
+def test_rollup_crash_and_race(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", "en", "w", 1, 5)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    total = lambda r: [(x["n_docs"], x["n_tokens"]) for x in r.totals().collect()]
+    rollup = Rollup(spark, shared_dir(spark, "rollup"))
+    rollup.commit("1", rows)
+
+    def dies(self, name, text):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "_create", dies)
+        with pytest.raises(RuntimeError):
+            rollup.commit("2", rows)
+    assert total(rollup) == [(1, 5)] and not rollup.committed("2")  # totals without their commit file aren't seen
+    create = Rollup._create
+
+    def late(self, name, text):  # another writer comes between
+        m.setattr(Rollup, "_create", create)
+        Rollup(spark, rollup.path).commit("3", rows)
+        return create(self, name, text)
+
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "_create", late)
+        assert rollup.commit("2", rows)
+    assert total(rollup) == [(3, 15)] and rollup.version() == 3
+
+
+def test_count_tokens_edges(spark, encode):
+    schema = "doc_id long, text string, source string, lang string, tokenizer string, n_tokens string, n_docs int"
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, None, None, None), (2, "", "s", "en"), (3, "word " * 200_000, "s", "en")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], schema)
+    assert sorted(r["n_tokens"] for r in count_tokens(docs, "w").collect()) == [0, 0, 2, 2, 200_000]
+    assert sorted(r["n_tokens"] for r in count_tokens(docs, "t", default_vocabulary()).collect()) == [0, 0, len(ids_of(encode, "a b")), len(ids_of(encode, "a b")), len(ids_of(encode, "word " * 200_000))]
+    assert count_tokens(docs.where("false"), "t", default_vocabulary()).count() == 0
 
 
 def test_rollup_query(spark, tmp_path):
@@ -243,9 +300,28 @@ def test_pipeline(spark, small, encode):
 
 
 def test_pipeline_odd_rows(spark, tmp_path):
-    rows = [(1, None, None, None, 0, "x"), (2, "", "en", "a", 0, "x"), (None, "text " * 30, None, None, 3, None)] + [(k, " ".join(f"word{j * k % 97}x" for j in range(60)), "en", None if k % 2 else "b", 4, "y") for k in range(3, 20)] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mix_copies string")
-    for frame_ in (docs, docs.where("false")):
-        path = f"{tmp_path}/{frame_.count()}"
-        frame_.write.parquet(f"{path}/documents.parquet")
-        assert corpus_pipeline.run(spark, path).count() >= 0
+    """Nulls in any column, empty, repeated and very long texts, clashing names: what each stage must leave."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_copies string, lang_pred string, score int, n_words int, key string, found int, m_size int, failed_bits int, component_id long, g_source string, g_band int, mix_target int"
+    clash = ("y", "z", 1, 2, "k", 3, 4, 5, 6, "g", 7, 8)
+    prose = lambda k: " ".join(f"word{j * k % 997}x" for j in range(60))
+    rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, "text " * 30, None, None, 3)]
+    good = [(k, prose(k), "en", None if k % 2 else "b", 4) for k in range(3, 20)] + [(None, prose(31), None, "b", None), (40, prose(3), "en", "b", 1), (50, prose(53), "en", "b", 1), (50, prose(59), "en", "b", 1)]
+    long_ = [(60, " ".join(f"w{j}q" for j in range(60_000)), "en", "b", 1)]
+    docs = spark.createDataFrame([(*r, *clash) for r in rows + good * 2 + long_], schema)
+    left = docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = materialise(stage(spark, left, str(tmp_path)), name)
+        assert left.columns == docs.columns and left.schema.simpleString() == docs.schema.simpleString()
+        kept.append(sorted(((r["doc_id"], r["text"][:40]) for r in left.collect()), key=str))
+        assert all(tuple(r)[5:] == clash for r in left.collect())
+    key = lambda found: sorted(((k, t[:40]) for k, t, *_ in found), key=str)
+    every = [(None, "text " * 30), *[r[:2] for r in good * 2 + long_]]
+    assert kept[0] == key(every)
+    assert kept[1] == key([r[:2] for r in good * 2 + long_])  # the repeated word goes
+    assert kept[2] == key([r[:2] for r in good + long_ if r[0] != 40])  # a copy of 3; both texts of 50 stay
+    assert set(kept[3]) <= set(kept[2]) and max(kept[3].count(x) for x in kept[3]) <= 2
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(kept[3])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
