@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import small_batches, tidy
 from .ordering import bucket_of, id_bounds
+from .storage import ref
 
 U = np.uint64
 #: Two primes below 2**31 and a base for each.
@@ -208,13 +210,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the next document in descending id order (after the last: the first document).
     Null texts are empty; a null id orders last and stays null; rows of equal ids are
     ordered by a hash of the text; a lone row is its own next.  Equal texts have equal
-    fingerprints.  Other columns are ignored; an empty table gives an empty table.
+    fingerprints.  Very long texts are hashed whole; other columns are ignored, whatever
+    their names; an empty table gives an empty table.
 
     Ids alone are read first for bucket bounds and the first row of each bucket.  Each
     text is then dealt to its bucket once; the first row of a bucket also goes to the
     bucket before it, where it ends the chain.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col).cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     place = F.coalesce("doc_id", F.lit(LEAST))
     keys = rows.select(place.alias("place"))
     bounds = id_bounds(keys, "place")
@@ -245,4 +249,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "text", "place", F.explode(F.when(F.col("head").isNull(), F.array(F.struct("bucket", F.lit(0).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("extra")), F.struct(F.col("head").alias("bucket"), F.lit(1).alias("extra"))))).alias("to")
     )
     ordered = dealt.select("to.bucket", "to.extra", "doc_id", "text", "place").repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc("place"), F.xxhash64("text"))
-    return ordered.select("bucket", "extra", "doc_id", "text").mapInArrow(_walk, SCHEMA)
+    return ordered.select("bucket", "extra", "doc_id", "text").mapInArrow(tidy(_walk), SCHEMA)

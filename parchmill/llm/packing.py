@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .memory import small_batches, tidy
+from .storage import materialise, ref
 from .tokens import encoder
 
 #: Rows aimed at in a group that is ranked in one task.
-ROWS = 50_000
+ROWS = 1000
 
 
 @dataclass
@@ -121,7 +122,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable:
                     start, piece = stop, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return tidy(run)
 
 
 def _place(patterns: list[Pattern]) -> Callable:
@@ -148,17 +149,20 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ``capacity`` are cut into pieces of that length, of which the first may be shorter.
     Pieces are packed into sequences without gaps.  Repeated rows are pieces of their
     own; null ids stay null; an empty table gives an empty table; other columns are
-    ignored.  The pattern table has a few rows for each length at most.
+    ignored, whatever their names.  The pattern table has a few rows for each length at
+    most; pieces of one length are ranked in as many groups as their number needs.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
+    small_batches(spark)
     pieces = materialise(texts.mapInArrow(_pieces(vocabulary, end_id, capacity), PIECES), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     patterns = pack_lengths(histogram, capacity)
-    salts = max(1, -(-sum(histogram.values()) // ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = spark.createDataFrame([(length, -(-count // ROWS)) for length, count in histogram.items()], "length long, salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")).cast("int")).drop("salts")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(within).cast("long") - 1)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     slotted = ranked.join(starts, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("slot"))
-    return slotted.mapInArrow(_place(patterns), PIECES + ", sequence_id long, offset long")
+    return slotted.mapInArrow(tidy(_place(patterns)), PIECES + ", sequence_id long, offset long")

@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .memory import small_batches, tidy
+from .storage import materialise, ref
 from .tokens import encoder
 
 MAGIC = b"PMTKPFR1"
@@ -37,6 +38,8 @@ HEADER = struct.Struct("<QqIQII")
 BLOCK = struct.Struct("<IBH")
 #: Ids in a block, the percentile that sets its width, and ids after which a segment ends.
 BLOCK_IDS, PERCENTILE, SEGMENT_IDS = 1024, 95, 1 << 20
+#: Segments in a file, so that a reader can hold one: about 16 MB, unless a document alone is longer.
+FILE_SEGMENTS = 8
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
@@ -82,11 +85,11 @@ def encode_segment(number: int, doc_ids: list[int | None], counts: list[int], id
     return MAGIC + head + body + struct.pack("<I", zlib.crc32(head + body))
 
 
-def decode_segments(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
+def decode_segments(data: bytes | memoryview) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
     """(segment number, document ids, numbers of ids, ids) of each segment of a file."""
     at = 0
     while at < len(data):
-        if not data.startswith(MAGIC, at):
+        if data[at : at + len(MAGIC)] != MAGIC:
             raise ValueError(f"no segment at byte {at}")
         start = at + len(MAGIC)
         size, number, docs, ids, block_ids, blocks = HEADER.unpack_from(data, start)
@@ -131,28 +134,30 @@ def _segments(vocabulary: str, end_id: int) -> Callable:
         if doc_ids:
             yield done()
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
     """Write the ids of all texts, each with ``end_id`` appended, to files in ascending id order.
 
     Null texts are empty, null ids come first, rows of equal ids follow a hash of the
-    text.  Rows are dealt out by ranges of id and sorted there, so segment numbers
+    text, repeated rows are written each; very long texts are written whole; an empty table
+    writes no segment; other columns are ignored, whatever their names.  Rows are dealt out by ranges of id and sorted there, so segment numbers
     (partition, then place in it) ascend with ids.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     order = [F.col("doc_id"), F.xxhash64("text")]
     content = texts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_segments(vocabulary, end_id), "content binary")
     # the text sink writes the bytes of a row as they are, and a newline
-    content.select(F.col("content").cast("string").alias("value")).write.text(path)
+    content.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _decode(with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for number, doc_ids, counts, ids in decode_segments(content.as_buffer().to_pybytes()):
+                for number, doc_ids, counts, ids in decode_segments(memoryview(content.as_buffer())):
                     ends = np.cumsum(counts.astype(np.int64))
                     data, starts = ids.astype("<u4").tobytes(), ends - counts
                     crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -162,7 +167,7 @@ def _decode(with_ids: bool) -> Callable:
                         names=["segment", "doc_id", "start_in_segment", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    return run
+    return tidy(run)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
