@@ -59,13 +59,17 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        after_scratch = Scratch(edges.sparkSession)
+        # written, so that both sides of the join are exchanges, of which a hot node's can be split
+        least = after_scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # after a large star every edge points from the larger to the smaller node
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = after_scratch.keep(large, "large")
+        low = after_scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        after_scratch = Scratch(edges.sparkSession)
+        rest, after_scratch.paths = after_scratch.paths, []
         edges = after_scratch.keep(small, "edges")
+        scratch.paths += rest
         scratch.drop()
         scratch = after_scratch
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.count_distinct("u")).first()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memory import give_back
+from .memory import give_back, small_batches
 from .storage import boxed, others, ref, unboxed
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -223,7 +223,9 @@ def predict(text: str | None, scores: Scores, penalty: float = PENALTY) -> tuple
 
 def predicted(text: Column, model: Model, penalty: float = PENALTY) -> Column:
     """A struct (lang_pred, score, n_spans) of a text column.  Only texts go to Python and only answers come back."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # as large as the trigrams of the bounded sample
+    spark = SparkSession.getActiveSession()
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # as large as the trigrams of the bounded sample
 
     @F.arrow_udf("lang_pred string, score double, n_spans long")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -235,6 +237,7 @@ def predicted(text: Column, model: Model, penalty: float = PENALTY) -> Column:
                 scores.trim()
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
             yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "n_spans"])
+        del scores
         give_back()
 
     return judged.asNondeterministic()(text)  # evaluated once, wherever its fields are used

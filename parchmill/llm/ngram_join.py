@@ -18,7 +18,8 @@ meet in a region.  A region is joined by rounds:
 3. The sets that are linked to the first pivot are one component, the *core* of the
    region, and need no comparison among themselves.  A cell is done when it has no set
    outside the core; else it keeps those sets, and of the core those whose distance
-   to the pivot is within r of one of them.
+   to the pivot is within r of one of them.  Where windows put most sets into many cells, the
+   region stays whole.
 4. A cell of few rows and bytes is compared in one task, set by set against those
    outside the core; a larger one is the next round's region.  Where a round doesn't
    make the regions smaller, the sets outside the core are dealt out in blocks, and
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .memory import tidy
+from .memory import small_batches, tidy
 from .storage import Scratch, boxed, ref, unboxed
 from .words import mix, row_sums, shingle_sets, text_chunks, words
 
@@ -59,9 +60,9 @@ FLUSH = 2_000_000
 #: Keys that a task remembers, to send the set of a copy once.
 REMEMBERED = 200_000
 #: Rows and bytes of sets up to which a region is compared in one task; also the size of blocks and salts.
-ROWS, BYTES = 250, 1 << 21
-#: Pivots of a region from the second round on.
-PIVOTS = 8
+ROWS, BYTES = 1000, 1 << 22
+#: Pivots of a region from the second round on, and copies of a set in their cells from which on a region isn't cut.
+PIVOTS, REPEATED = 8, 2
 #: Values looked up at a time when members meet pivots.
 LOOKUPS = 1 << 20
 
@@ -332,7 +333,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[tuple[tup
             pass
 
 
-ASSIGNED = "region long, pivot binary, key binary, n long, core boolean, home boolean, distance double, linked boolean"
+ASSIGNED = "region long, pivot binary, key binary, n long, core boolean, home boolean, distance double, linked boolean, nearest boolean"
 
 
 def _assign(threshold: Fraction) -> Callable:
@@ -341,7 +342,7 @@ def _assign(threshold: Fraction) -> Callable:
     window = 2 * float(1 - threshold) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.bool_()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.bool_(), pa.bool_()]
         names = [x.split()[0] for x in ASSIGNED.split(", ")]
         out: list[list] = [[] for _ in kinds]
 
@@ -367,7 +368,7 @@ def _assign(threshold: Fraction) -> Callable:
                 near = distance <= distance[np.arange(len(part)), nearest][:, None] + window
                 for x, p in zip(*(a.tolist() for a in np.nonzero(near))):
                     key, size, core, home, _ = part[x]
-                    for column, value in zip(out, (region, keys[p], key, size, core, home and p == nearest[x], distance[x, p], linked[x, p])):
+                    for column, value in zip(out, (region, keys[p], key, size, core, home, distance[x, p], linked[x, p], p == nearest[x])):
                         column.append(value)
                 if len(out[0]) > 10_000:
                     yield done()
@@ -451,15 +452,28 @@ def _round(members: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: Fr
 
 
 def _next(assigned: DataFrame, reach: float) -> DataFrame:
-    """ASSIGNED rows of a round -> members of the cells that aren't done."""
+    """ASSIGNED rows of a round -> members of the cells that aren't done.
+
+    Where windows repeat a region's sets more than ``REPEATED`` times on average, its cells would
+    be no smaller than the region, and it stays whole, with what the round has added to its core.
+    """
     with_core = assigned.where("linked and core").select("region", "pivot").distinct()
     joined = assigned.where("linked and not core").join(with_core, ["region", "pivot"]).select("region", "key").distinct().withColumn("joins", F.lit(True))
-    pivots = assigned.select("region", F.col("pivot").alias("key")).distinct().withColumn("done", F.lit(True))
-    open_rows = assigned.join(joined, ["region", "key"], "left").join(pivots, ["region", "key"], "left").where("done is null")
-    rows = open_rows.select(F.xxhash64("region", "pivot").alias("region"), "key", "n", (F.col("core") | F.col("joins").isNotNull()).alias("core"), "home", "distance")
+    pivots = assigned.select("region", F.col("pivot").alias("key")).distinct()
+    whole = assigned.groupBy("region").agg((F.count("*") > REPEATED * F.count_if("nearest")).alias("whole"))
+    rows = assigned.join(joined, ["region", "key"], "left").join(pivots, ["region", "key"], "left_anti").join(whole, "region").where("not whole or nearest")
+    rows = rows.select(
+        F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "pivot")).alias("region"),
+        "key",
+        "n",
+        (F.col("core") | F.col("joins").isNotNull()).alias("core"),
+        (F.col("home") & F.col("nearest")).alias("home"),
+        "distance",
+        "whole",
+    )
     outside = F.when(~F.col("core"), F.col("distance"))
     cells = rows.groupBy("region").agg(F.min(outside).alias("least"), F.max(outside).alias("most"), F.max("home").alias("homes"), F.count("*").alias("rows")).where("least is not null and homes and rows > 1")
-    kept = rows.join(cells.drop("rows"), "region").where(~F.col("core") | F.col("distance").between(F.col("least") - reach, F.col("most") + reach))
+    kept = rows.join(cells.drop("rows"), "region").where(F.col("whole") | ~F.col("core") | F.col("distance").between(F.col("least") - reach, F.col("most") + reach))
     return kept.select("region", "key", "n", "core", "home")
 
 
@@ -494,8 +508,8 @@ def _links(members: DataFrame, sets: DataFrame, threshold: Fraction, limits: Lim
         total = sizes.where("large").agg(F.sum("rows")).first()[0] or 0
         large = sizes.where("large").select("region")
         if not total or before is not None and total > 0.7 * before:
-            links.append(_all_links(members, sets, threshold, limits))
-            return links[0] if len(links) == 1 else _union(links)
+            links.append(scratch.keep(_all_links(members, sets, threshold, limits), "links"))
+            return _union(links)
         links.append(scratch.keep(_all_links(members.join(large, "region", "left_anti"), sets, threshold, limits), "links"))
         members, before = scratch.keep(members.join(large, "region"), "regions"), total
         turn = F.xxhash64("key", F.lit(before))
@@ -529,6 +543,7 @@ def set_key(text: Column, width: int = 5) -> Column:
 def classes(texts: DataFrame, width: int, threshold: Fraction, limits: Limits, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text) -> their (doc_id, n, key), and (key, root) of the sets that are linked to others."""
     spark = texts.sparkSession
+    small_batches(spark)
     blobs = texts.select("text").mapInArrow(_count_blobs(width), "part int, blob binary")
     ranges = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_count_ranges, "part int, shared binary, often binary, level binary")
     order = spark.sparkContext.broadcast(ShingleOrder(ranges.collect()))  # 1024 rows of fixed size
