@@ -6,15 +6,15 @@ written as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm.langid import UND, fit, identify
+from parchmill.llm.langid import UND, fit, predicted
 from parchmill.llm.mixing import mix_copies
-from parchmill.llm.ngram_join import near_duplicates
+from parchmill.llm.ngram_join import one_of_each
 from parchmill.llm.packing import pack
 from parchmill.llm.quality import kept, ledger
-from parchmill.llm.storage import materialise
+from parchmill.llm.storage import boxed, materialise, ref
 from parchmill.llm.tokens import default_vocabulary
 
 #: Least share of letters in the predicted language.
@@ -22,39 +22,54 @@ LANGUAGE_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of which half the letters at least are in one learned language."""
-    columns = docs.columns
-    found = identify(docs, fit(docs), keep=columns)
-    pred, score = found.columns[len(columns) : len(columns) + 2]
-    judged = found.toDF(*[f"c{k}" for k in range(len(columns))], "pred", "score", "spans")
-    kept_rows = judged.where((F.col("pred") != UND) & (F.col("score") >= LANGUAGE_SHARE))
-    return kept_rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    """Keep documents of which half the letters at least are in one learned language.
+
+    Null, empty and letterless texts go, and all texts where no language can be learned (an empty
+    table stays empty).  Rows are judged by their text alone: repeats stay or go together,
+    whatever ids, nulls and names the other columns have; very long texts are read whole.
+    """
+    judged = boxed(docs, found=predicted(ref("text").cast("string"), fit(docs)))
+    known = judged.where((F.col("found")["lang_pred"] != UND) & (F.col("found")["score"] >= LANGUAGE_SHARE))
+    return known.select("__pm_row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the current policy."""
-    return ledger(docs, prefix="__pm_").where(kept(F.col("__pm_failed_bits"))).select(*docs.columns)
+    """Keep documents that pass the current policy.
+
+    Null and empty texts fail for too few words.  Rows are judged by their text alone, so
+    repeats stay or go together; other columns may be null or have any name; very long texts are
+    measured whole; an empty table stays empty.
+    """
+    return ledger(boxed(docs, text=ref("text"))).where(kept(F.col("failed_bits"))).select("__pm_row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates, once."""
-    groups = near_duplicates(docs)
-    dropped = groups.where("component_id < doc_id").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    once = rest.withColumn("__pm_copy", F.row_number().over(same)).where("__pm_copy = 1 or doc_id is null")
-    return once.select(*docs.columns)
+    """Keep one document of each group of near duplicates: that with the smallest id, null ids last.
+
+    Of repeated rows one stays; rows that share an id but not their text are judged apart; texts
+    without words, null or empty, are in no group and stay.  Other columns may be null or
+    have any name; very long texts are compared whole; an empty table stays empty.
+    """
+    return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it."""
-    mixed = mix_copies(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__pm_row"), docs["doc_id"], docs["text"], docs["source"]))
-    taken = mixed.where("mix_copies > 0").select("__pm_row", F.explode(F.expr("sequence(1, mix_copies)")))
-    return taken.select("__pm_row.*")
+    """Repeat each document as often as the mix takes it: not at all, once or twice.
+
+    A null source is a source; texts without words count as size 0; repeated rows are documents
+    of their own, and of rows equal in size and id any may be taken; null ids order first.
+    Other columns may be null or have any name; an empty table stays empty.
+    """
+    mixed = mix_copies(boxed(docs, doc_id=ref("doc_id"), text=ref("text"), source=ref("source"))).where("mix_copies > 0")
+    return mixed.select("__pm_row", F.explode(F.expr("sequence(1, mix_copies)"))).select("__pm_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences."""
+    """Pack all documents into sequences.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; null ids stay null;
+    very long texts are cut into pieces; other columns are left out; an empty table stays empty.
+    """
     return pack(docs, default_vocabulary())
 
 
