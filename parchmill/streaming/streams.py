@@ -37,15 +37,16 @@ def sessions(rows: DataFrame, at: str, key: str, gap: str, late: str = "1 hour")
 class Quota(StatefulProcessor):
     """So many uploads of a key in a fixed window from its first one.
 
-    State of idle keys is dropped by a processing-time TTL, longer than the window: an expired key
-    is as one that was never seen, so the answers are the same.
+    A timer on event time drops the state of a window that is over: what comes later opens a new one,
+    as if the key had never been seen.
     """
 
     def __init__(self, seconds: int = 3600, most: int = 20):
         self.seconds, self.most = seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "opened long, used long", 2000 * self.seconds)
+        self.handle = handle
+        self.state = handle.getValueState("window", "opened long, used long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened, used = self.state.get() if self.state.exists() else (None, 0)
@@ -56,9 +57,16 @@ class Quota(StatefulProcessor):
                 opened, used = t, 0
             allowed.append(used < self.most)
             used += allowed[-1]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         self.state.update((int(opened), int(used)))
+        self.handle.registerTimer(1000 * (int(opened) + self.seconds))
         yield frame.assign(allowed=allowed)[["owner", "event_id", "at", "allowed"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"owner": pd.Series([], dtype="int64"), "event_id": pd.Series([], dtype="int64"), "at": pd.Series([], dtype="int64"), "allowed": pd.Series([], dtype="bool")})
+
     def close(self) -> None:
         pass
 
@@ -171,9 +179,10 @@ class Changes(StatefulProcessor):
         pass
 
 
-def quota(uploads: DataFrame, seconds: int = 3600, most: int = 20) -> DataFrame:
-    """Uploads (owner, event_id, at) plus ``allowed``."""
-    return uploads.groupBy("owner").transformWithStateInPandas(Quota(seconds, most), "owner long, event_id long, at long, allowed boolean", "append", "processingTime")
+def quota(uploads: DataFrame, seconds: int = 3600, most: int = 20, late: str = "1 hour") -> DataFrame:
+    """Uploads (owner, event_id, at in seconds) plus ``allowed``; rows later than ``late`` are dropped."""
+    timed = uploads.select("owner", "event_id", "at", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("owner").transformWithStateInPandas(Quota(seconds, most), "owner long, event_id long, at long, allowed boolean", "append", "eventTime")
 
 
 def watchdog(beats: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
