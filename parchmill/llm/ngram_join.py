@@ -61,6 +61,8 @@ FLUSH = 2_000_000
 REMEMBERED = 200_000
 #: Rows and bytes of sets up to which a region is compared in one task; also the size of blocks and salts.
 ROWS, BYTES = 1000, 1 << 22
+#: Rows up to which the decisions on documents are broadcast (about 40 bytes each).
+BROADCAST_ROWS = 200_000
 #: Pivots of a region from the second round on, and copies of a set in their cells from which on a region isn't cut.
 PIVOTS, REPEATED = 8, 2
 #: Values looked up at a time when members meet pivots.
@@ -602,6 +604,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = named.join(best, "root").withColumn("stays", order == F.col("best")).where("not stays or many > 1")
     found = kept_tables.keep(judged.select(F.col("key").alias("f_key"), F.col("id").alias("f_id"), "stays"), "judged")  # rows that go, and repeated ones
     scratch.drop()
+    if found.count() <= BROADCAST_ROWS:  # else texts are dealt by key and id
+        found = F.broadcast(found)
     marked = boxed(docs, id=ref(id_col).cast("long"), key=set_key(ref(text_col).cast("string"), width))
     marked = marked.join(found, (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id")), "left")
     kept = marked.where("stays is null").select(*unboxed(docs, docs.columns))
