@@ -35,8 +35,10 @@ def test_partitions_do_not_matter(spark, small, name):
     assert one == many
 
 
-def test_without_training_operators(tmp_path):
-    for p in ("parchmill", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_training_operators(tmp_path, pipeline):
+    """Without the subpackage, and with or without the pipeline that uses it."""
+    for p in ("parchmill", "__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "parchmill/llm")], check=True)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(q.startswith('op') and q[2].isdigit() or q == 'pipeline' for q in e.queries()); e.oracle_sql()"
