@@ -1,65 +1,13 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Shared tables, and frames whose columns may have any names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``.
-
-    Where that is unset, a session on one machine gets a temporary folder, which goes
-    when Python ends; a cluster has no folder that all executors see, so it is an error there.
-    """
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="parchmill-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = "file://" + own
-        spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: later failures restart from the files."""
-    return Scratch(df.sparkSession).keep(df, name)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of any file system that Spark knows; nothing happens where it is gone."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Tables that one query writes on its way; ``drop`` deletes those that no later table reads."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: list[str] = []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_dir(self.spark, name)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+from ..storage import Scratch, materialise, remove, shared_dir
 
-    def drop(self) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
-        self.paths.clear()
+__all__ = ["Scratch", "boxed", "materialise", "others", "ref", "remove", "shared_dir", "unboxed"]
 
 
 def ref(name: str) -> Column:
