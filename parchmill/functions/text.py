@@ -93,7 +93,7 @@ def contains_normalized(text: Column, part: Column) -> Column:
 
 
 def strip_placeholders(text: Column) -> Column:
-    return F.regexp_replace(text, PLACEHOLDER, " ")
+    return F.when(F.contains(text, F.lit("⟦PH")), F.regexp_replace(text, PLACEHOLDER, " ")).otherwise(text)
 
 
 def without(text: Column, characters: str) -> Column:
@@ -284,7 +284,8 @@ def safe_namespace(name: Column) -> Column:
 
 
 def heading_count(text: Column) -> Column:
-    return count(text, rf"(?m)^#{{1,6}}{SPACE}")
+    found = count(text, rf"(?m)^#{{1,6}}{SPACE}")
+    return F.when(F.contains(text, F.lit("#")), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
 
 
 def table_rows(text: Column) -> Column:

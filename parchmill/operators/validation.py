@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEGMENT_LANGUAGE_SCRIPT, count, heading_count, is_blank, length_scale, occurrences, residual_source_ratio, strip_placeholders, table_rows
+from ..functions.text import SEGMENT_LANGUAGE_SCRIPT, heading_count, is_blank, length_scale, occurrences, residual_source_ratio, strip_placeholders, table_rows
 
 #: Sources up to this length aren't checked for words left in the source language.
 LONG_SOURCE = 200
@@ -44,7 +44,7 @@ def pair_measures(source: Column, translation: Column, source_lang: str, target_
         F.when(F.length(source) > LONG_SOURCE, residual_source_ratio(said, source_lang, target_lang)).otherwise(F.lit(0.0)),
         heading_count(source), heading_count(said),
         F.size(before), F.size(after), bars(before), bars(after),
-        occurrences(said, "$$"), count(said, r"\\begin\{"), count(said, r"\\end\{"),
+        occurrences(said, "$$"), occurrences(said, "\\begin{"), occurrences(said, "\\end{"),
     )
     return F.struct(*[v.alias(name) for name, v in zip(MEASURES, values)])
 
