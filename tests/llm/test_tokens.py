@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchmill.llm import langid
-from parchmill.llm.packing import pack, pack_lengths, slots
+from parchmill.llm.packing import fullest, pack, pack_lengths, slots
 from parchmill.llm.storage import materialise, shared_dir
 from parchmill.llm.token_rollup import Rollup, count_tokens, deletes, inserts, revisions
 from parchmill.llm.token_store import decode_segments, encode_segment, read_tokens, token_table, write_tokens
@@ -199,6 +199,21 @@ def test_viterbi_without_the_overall_best():
         assert abs(value(langid.viterbi(s, 4.0).tolist()) - best) < 1e-9
 
 
+def test_fullest_against_brute_force():
+    """The subset sum is the best there is, and uses no more pieces than there are."""
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        lengths = sorted({int(x) for x in rng.integers(1, 40, rng.integers(1, 6))}, reverse=True)
+        counts = {x: int(rng.integers(1, 4)) for x in lengths}
+        room = int(rng.integers(0, 90))
+        used = dict(fullest(room, counts, lengths))
+        assert all(0 < n <= counts[x] for x, n in used.items())
+        best = max(t for many in product(*(range(counts[x] + 1) for x in lengths)) if (t := sum(n * x for n, x in zip(many, lengths))) <= room)
+        assert sum(n * x for x, n in used.items()) == best
+
+
 def test_rollup(spark, encode):
     docs = spark.createDataFrame([(1, "a b", "s", "en"), (2, "c", "s", "en"), (3, None, None, None), (2, "c", "s", "en")], "doc_id long, text string, source string, lang string")
     words, tokens = count_tokens(docs, "w"), count_tokens(docs, "t", default_vocabulary())
