@@ -23,7 +23,7 @@ ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680,
 CLOSERS = frozenset(".,;:!?")
 ODD_PAIRS = ["  ", " \n", "\n ", "\n\n"]
 #: Entries in the younger generation of each cache of an encoder; the older one holds as many.
-CACHE = 100_000
+CACHE = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
