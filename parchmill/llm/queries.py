@@ -11,10 +11,11 @@ from .mixing import draw, sized
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import BASE, kept, ledger
-from .storage import materialise, shared_dir
+from .storage import Scratch, materialise, shared_dir
 from .token_rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .token_store import token_table, write_tokens
 from .tokens import default_vocabulary
+from .turn_repair import damaged, digests, repair
 from .url_reputation import judge_urls
 from .warc import read_archives, write_archives
 
@@ -94,7 +95,17 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup)}
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and repairs of all conversations, after planted damage; conversations that lost all turns stay with zeros."""
+    turns = _table(spark, sf_dir, "conversations")
+    mended = repair(damaged(turns))
+    lost = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("key")).groupBy("conv_id", "key").agg(F.lit(1).alias("one"))
+    report = lost.select("conv_id", "key").join(mended.report.drop("conv_id"), "key", "left").join(digests(mended.blocks), "key", "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return report.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup, op13_turn_repair)}
 
 _DIGEST = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)"
 
@@ -152,6 +163,58 @@ ORACLE: dict[str, str] = {
 }
 
 
+_NULL = "coalesce({0}::VARCHAR, ' ')"
+
+
+def _repair_sql() -> str:
+    """Row by row over positions: the cheapest (cost, audit) of the four states is carried with the repaired text."""
+
+    def edit(state: str, cost: str, letter: str, line: str = "") -> str:
+        said = f"CASE WHEN {state}.t = '' THEN {line} ELSE {state}.t || chr(10) || {line} END" if line else f"{state}.t"
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {said})"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def inserted(s0: str, s1: str, s2: str, s3: str) -> tuple[str, str]:
+        two = [s.replace("'I'", "'II'") for s in (edit(s0, "10", "I", "'user:' || chr(10) || 'assistant:'"), edit(s1, "10", "I", "'user:' || chr(10) || 'assistant:'"))]
+        return least(s2, *[edit(s, "5", "I", "'user:'") for s in (s0, s1, s3)]), least(s3, edit(s2, "5", "I", "'assistant:'"), *two)
+
+    def when(condition: str, option: str) -> str:
+        return f"CASE WHEN {condition} THEN {option} ELSE far END"
+
+    u, a = inserted("s0", "s1", "s2", "s3")
+    keep = lambda s: edit(s, "extra", "K", "line")
+    again = lambda s, role: edit(s, "extra + 1", "R", f"'{role}:' || text")
+    n1 = least(edit("s1", "2", "D"), when("stays AND initial = 's'", keep("s0")))
+    n2 = least(edit("i2", "2", "D"), *[when("stays AND initial = 'u'", keep(s)) for s in ("s0", "s1", "i3")], *[when("stays", again(s, "user")) for s in ("s0", "s1", "i3")])
+    n3 = least(edit("i3", "2", "D"), when("stays AND initial = 'a'", keep("i2")), when("stays", again("i2", "assistant")))
+    far = "struct_pack(c := 1099511627776::BIGINT, a := '', t := '')"
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda acc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384), xor(acc, b)), 4294967295::BIGINT), 4294967295)"
+    return rf"""
+        WITH RECURSIVE t AS (SELECT {_NULL.format("conv_id")} AS conv, turn, {_NULL.format("role")} AS role, {_NULL.format("text")} AS text, {_NULL.format("conv_id")} || ':' || {_NULL.format("turn")} AS k FROM conversations),
+        c AS (SELECT *, {crc} % 20 AS kind FROM t),
+        d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                     left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS closes FROM d),
+        f AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND closes AS truncated, coalesce(lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM p),
+        g AS (SELECT conv, pos, role || ':' || text AS line, text, initial, NOT (blank OR duplicate) AS stays, CASE WHEN truncated THEN 5 ELSE 0 END AS extra FROM f),
+        r(conv, pos, s0, s1, s2, s3) AS (
+            SELECT DISTINCT conv, 0::BIGINT, struct_pack(c := 0::BIGINT, a := '', t := ''), {far}, {far}, {far} FROM t
+            UNION ALL
+            SELECT conv, pos, {edit("s0", "2", "D")}, {n1}, {n2}, {n3} FROM (
+                SELECT g.*, r.s0, r.s1, r.i2, r.i3, {far} AS far FROM (SELECT conv AS of, pos AS at, s0, s1, {u} AS i2, {a} AS i3 FROM r) r JOIN g ON g.conv = r.of AND g.pos = r.at + 1)),
+        z AS (SELECT conv, {least("s0", a)} AS best FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY pos DESC) AS back FROM r) WHERE back = 1),
+        m AS (SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal FROM f GROUP BY conv),
+        o AS (SELECT DISTINCT conv_id, {_NULL.format("conv_id")} AS conv FROM conversations)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               best.c::BIGINT AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+        FROM o JOIN z ON z.conv = o.conv LEFT JOIN m ON m.conv = o.conv"""
+
+
+ORACLE["op13_turn_repair"] = _repair_sql()
+
+
 def _reputation_sql() -> str:
     def strength(name: str, key: str) -> str:
         return f"""{name} AS (SELECT mean, least(greatest(CASE WHEN between_v > 0 THEN mean * (1 - mean) / between_v - 1 ELSE 1000.0 END, 2.0), 1000.0) AS s FROM (
