@@ -11,6 +11,7 @@ from .mixing import draw, sized
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import BASE, kept, ledger
+from .ranked_search import search
 from .storage import Scratch, materialise, shared_dir
 from .token_rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .token_store import token_table, write_tokens
@@ -95,6 +96,10 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and repairs of all conversations, after planted damage; conversations that lost all turns stay with zeros."""
     turns = _table(spark, sf_dir, "conversations")
@@ -105,7 +110,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup, op13_turn_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup, op11_tiered_search, op13_turn_repair)}
 
 _DIGEST = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)"
 
@@ -163,6 +168,19 @@ ORACLE: dict[str, str] = {
 }
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op11_tiered_search"] = rf"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+        t AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+        f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+        c AS (SELECT count_if(len(ws) > 0)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS length FROM d),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, c),
+        m AS (SELECT doc_id, 100 - 50 + (50 * len(ws)::BIGINT * n_docs) // length AS m FROM d, c WHERE len(ws) > 0),
+        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+        s AS (SELECT q.item_id, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m)))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY q.item_id, t.doc_id)
+        SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
 _NULL = "coalesce({0}::VARCHAR, ' ')"
 
 
@@ -196,7 +214,9 @@ def _repair_sql() -> str:
         c AS (SELECT *, {crc} % 20 AS kind FROM t),
         d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
         p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-                     left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS closes FROM d),
+                     left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS closes FROM d),
         f AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND closes AS truncated, coalesce(lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM p),
         g AS (SELECT conv, pos, role || ':' || text AS line, text, initial, NOT (blank OR duplicate) AS stays, CASE WHEN truncated THEN 5 ELSE 0 END AS extra FROM f),
         r(conv, pos, s0, s1, s2, s3) AS (
