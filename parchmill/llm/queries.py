@@ -10,6 +10,7 @@ from .langid import fit, held_out, identify
 from .mixing import draw, sized
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pii import KINDS, find, joined
 from .quality import BASE, kept, ledger
 from .ranked_search import search
 from .storage import Scratch, materialise, shared_dir
@@ -100,6 +101,12 @@ def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op12_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and repairs of all conversations, after planted damage; conversations that lost all turns stay with zeros."""
     turns = _table(spark, sf_dir, "conversations")
@@ -110,7 +117,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup, op11_tiered_search, op13_turn_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_prefix_fingerprints, op3_systematic_mix, op4_jaccard_metric_join, op5_rule_ledger, op6_minimum_slack_packing, op7_pfor_token_store, op8_viterbi_language, op9_host_reputation, op10_token_rollup, op11_tiered_search, op12_contextual_pii, op13_turn_repair)}
 
 _DIGEST = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)"
 
