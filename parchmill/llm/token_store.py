@@ -43,8 +43,13 @@ FILE_SEGMENTS = 8
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    return packed_rows(values[None, :], width).tobytes()
+
+
+def packed_rows(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of each row's values, end to end: one row of bytes for each."""
+    raw = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
+    return np.packbits(np.unpackbits(raw, axis=1, count=width, bitorder="little").reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def unpack_bits(data: bytes, count: int, width: int) -> np.ndarray:
@@ -65,6 +70,32 @@ def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     return BLOCK.pack(int(least), width, len(out)) + pack_bits(rest, width) + out.astype("<u2").tobytes() + exceptions
 
 
+def encode_blocks(ids: np.ndarray, block_ids: int, percentile: float = PERCENTILE) -> list[bytes]:
+    """``encode_block`` of consecutive blocks; full ones of one width are packed together."""
+    full = len(ids) // block_ids
+    grid = ids[: full * block_ids].reshape(full, block_ids)
+    out: list[bytes] = [b""] * full
+    if full:
+        least = grid.min(axis=1)
+        rest = grid - least[:, None]
+        at = min(block_ids - 1, int(block_ids * percentile / 100))
+        widths = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1]
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            values = rest[own]
+            row, place = np.nonzero(values >> np.uint32(width)) if width < 32 else (np.zeros(0, np.int64),) * 2
+            exceptions = values[row, place].astype("<u4")
+            values[row, place] = 0
+            packed, edge = packed_rows(values, width), np.searchsorted(row, np.arange(len(own) + 1)).tolist()
+            place = place.astype("<u2")
+            for i, k in enumerate(own.tolist()):
+                a, b = edge[i], edge[i + 1]
+                out[k] = BLOCK.pack(int(least[k]), width, b - a) + packed[i].tobytes() + place[a:b].tobytes() + exceptions[a:b].tobytes()
+    if len(ids) > full * block_ids:
+        out.append(encode_block(ids[full * block_ids :], percentile))
+    return out
+
+
 def decode_block(data: bytes, at: int, count: int) -> np.ndarray:
     least, width, many = BLOCK.unpack_from(data, at)
     at += BLOCK.size
@@ -77,7 +108,7 @@ def decode_block(data: bytes, at: int, count: int) -> np.ndarray:
 
 
 def encode_segment(number: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    blocks = [encode_block(ids[a : a + block_ids]) for a in range(0, len(ids), block_ids)]
+    blocks = encode_blocks(ids, block_ids)
     index = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u4").tobytes()
     table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + np.array(counts, "<u4").tobytes()
     body = table + index + b"".join(blocks)
