@@ -112,6 +112,10 @@ def _size_class(size: Column) -> Column:
     return F.when(size > 1, F.ceil(F.log2(size.cast("double")))).otherwise(F.lit(0)).cast("int")
 
 
+#: Longest head of a record, and the largest archive that is read: a value of a row can't be larger.
+HEAD_BYTES, ARCHIVE_BYTES = 1 << 16, (1 << 31) - (1 << 10)
+
+
 @dataclass
 class Record:
     offset: int
@@ -162,9 +166,20 @@ def _length(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
 
 
-def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
-    """The record that begins at a version line, and where it ends; raises Damaged on any failed check."""
-    line, head = buffer.find(b"\r\n", at), buffer.find(b"\r\n\r\n", at)
+#: Types of records, and names of headers that the format defines.
+TYPES = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
+NAMES = frozenset(
+    "warc-record-id content-length warc-date warc-type content-type warc-concurrent-to warc-block-digest warc-payload-digest warc-ip-address warc-refers-to warc-refers-to-target-uri"
+    " warc-refers-to-date warc-target-uri warc-truncated warc-warcinfo-id warc-filename warc-profile warc-identified-payload-type warc-segment-number warc-segment-origin-id warc-segment-total-length".split()
+)
+
+
+def parse_record(buffer: bytes, at: int, doubtful: bool = False) -> tuple[Record, int]:
+    """The record that begins at a version line, and where it ends; raises Damaged on any failed check.
+
+    Where the bytes around it are ``doubtful``, a record must prove itself: a digest that matches, and a head of defined names and values.
+    """
+    line, head = buffer.find(b"\r\n", at, at + 64), buffer.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if not buffer.startswith(VERSION, at) or line < 0 or head < 0 or not re.fullmatch(rb"WARC/1\.[0-9]", buffer[at:line]):
         raise Damaged("no version line")
     headers = _headers(buffer[line + 2 : head]) if head > line else {}
@@ -175,7 +190,7 @@ def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
     end = start + length
     if buffer[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the block does not end where its length says")
-    record = Record(at, headers, buffer[start:end])
+    record = Record(at, headers, bytes(buffer[start:end]))
     if "application/http" in headers.get("content-type", "") and (cut := HTTP_END.search(record.block)):
         record.http = _http(record.block[: cut.start()])
         record.payload = record.block[cut.end() :]
@@ -185,55 +200,83 @@ def parse_record(buffer: bytes, at: int) -> tuple[Record, int]:
         said = headers.get(header, "")
         if data is not None and said.startswith("sha1:") and said[5:] != base64.b32encode(hashlib.sha1(data).digest()).decode():
             raise Damaged(f"{header} does not match")
+    if doubtful:
+        digests = {"warc-block-digest", *({"warc-payload-digest"} if headers["warc-type"] != "revisit" else set())}
+        if not (headers["warc-type"] in TYPES and NAMES.issuperset(headers) and digests & headers.keys() and re.fullmatch(r"<[a-z]+:[!-;=?-~]+>", headers.get("warc-record-id", ""))):
+            raise Damaged("a record of a damaged member without proof")
     return record, end + 4
 
 
-def _inflate(buffer: bytes, at: int, most: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a position, up to a size, and where the member ends."""
-    inflate, content = zlib.decompressobj(31), bytearray()
+def _inflate(buffer: bytes, at: int, most: int) -> tuple[bytearray, int, str]:
+    """The gzip member at a position: its content, where it ends, and what failed.
+
+    A damaged or cut-off member gives what it holds before the damage, and ends where the damage is: the chunk that
+    fails is fed again byte by byte.  Content beyond ``most`` bytes is read to find the end, and left out.
+    """
+    inflate, content, reason = zlib.decompressobj(31), bytearray(), ""
+
+    def keep(piece: bytes) -> None:
+        nonlocal reason
+        if len(content) + len(piece) > most:
+            reason = f"the member's content is over {most} bytes"
+        content.extend(piece[: most - len(content)])
+
     while not inflate.eof:
         waiting = inflate.unconsumed_tail
-        data = waiting or buffer[at : at + 65536]
+        data, before = waiting or buffer[at : at + 65536], inflate.copy()
         try:
             piece = inflate.decompress(data, 1 << 20)
         except zlib.error as error:
-            raise Damaged(f"member: {error}") from None
-        content += piece
-        if len(content) > most:
-            raise Damaged(f"the member's content is over {most} bytes")
+            # unread input of the failing call lies before ``at`` where it was waiting, else after it
+            start = at - len(waiting)
+            for i in range(len(data)):
+                try:
+                    keep(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    return content, min(start + i + 1, len(buffer)), f"member: {error}"
+            return content, min(start + len(data), len(buffer)), f"member: {error}"
+        keep(piece)
         if not (data or piece or inflate.eof):
-            raise Damaged("the member is cut off")
+            return content, len(buffer), "the member is cut off"
         if not waiting:
             at = min(at + 65536, len(buffer))
-    return bytes(content), at - len(inflate.unused_data)
+    return content, at - len(inflate.unused_data), reason
 
 
-def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP), most: int = MEMBER_BYTES) -> Iterator[Record | tuple[int, int, str]]:
+def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP), most: int = MEMBER_BYTES, doubtful: bool = False) -> Iterator[Record | tuple[int, int, str]]:
     """Records of an archive, and a (start, end, reason) for each gap of bytes that fail.
 
     A gzip member holds any number of records, all with the member's offset; a gap among
-    them has the member's bounds, and its place in the content in the reason.  A member
+    them has the member's bounds, and its place in the content in the reason.  A damaged member gives the records
+    before the damage that prove themselves, then a gap over the member as far as it was read, with what failed.  A member
     without a valid record is a gap.
     """
     at, size = 0, len(buffer)
     gap, reason = -1, ""
     after = {mark: -1 for mark in marks}  # where each mark was last found
+
+    def seek(start: int) -> int:
+        """The next mark from a position on."""
+        for mark, found in after.items():
+            if found < start:
+                found = buffer.find(mark, start)
+                after[mark] = size if found < 0 else found
+        return min(after.values())
+
     while at < size:
+        broken = ""
         try:
             if GZIP in after and buffer.startswith(GZIP, at):
-                member, end = _inflate(buffer, at, most)
-                inside: Iterator = salvage(member, (VERSION,))
+                member, end, broken = _inflate(buffer, at, most)
+                inside: Iterator = salvage(member, (VERSION,), doubtful=bool(broken))
             else:
-                record, end = parse_record(buffer, at)
+                record, end = parse_record(buffer, at, doubtful)
                 inside = iter((record,))
         except Damaged as error:
             if gap < 0:
                 gap, reason = at, str(error)
-            for mark, found in after.items():
-                if found <= at:
-                    found = buffer.find(mark, at + 1)
-                    after[mark] = size if found < 0 else found
-            at = min(after.values())
+            # behind the damage of a member its content can be anything, such as copies of what was before
+            at = size if doubtful else seek(at + 1)
             continue
         held = []  # gaps before a member's first record
         good = False
@@ -252,9 +295,12 @@ def salvage(buffer: bytes, marks: tuple[bytes, ...] = (VERSION, GZIP), most: int
                 good = True
                 found.offset = at if len(marks) > 1 else found.offset
             yield found
+        if good and broken:
+            gap, reason = at, broken
         if not good and gap < 0:
-            gap, reason = at, held[0][2] if held else "an empty member"
-        at = end
+            gap, reason = at, broken or (held[0][2] if held else "an empty member")
+        # without a record nothing says that the mark was a member, so the search goes on right behind it
+        at = end if good or not broken else seek(at + 1)
     if gap >= 0:
         yield gap, size, reason
 
@@ -301,7 +347,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     A gap has ``gap_reason`` and its bytes ``byte_start`` to ``byte_end``; a record has its
     fields, and its payload where asked for.  ``payload_bytes`` and ``payload_digest`` are of
     the full payload, also for revisits, whose own block has the headers alone.  A task
-    holds one archive and the content of one gzip member at a time.  Empty files have no rows.
+    holds one archive and the content of one gzip member at a time.  Empty files have no rows; an archive over
+    ``ARCHIVE_BYTES``, which no row can hold, is a gap as a whole.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(_read(with_payload), READ_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    read = files.where(F.col("length") <= ARCHIVE_BYTES).select("path", "content").mapInArrow(_read(with_payload), READ_SCHEMA)
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
+    told = {"file": F.col("path"), "byte_start": F.lit(0).cast("long"), "byte_end": F.col("length"), "gap_reason": F.lit(f"the archive is over {ARCHIVE_BYTES} bytes")}
+    large = files.where(F.col("length") > ARCHIVE_BYTES).select(*[(told[n] if n in told else F.lit(None).cast(dict(read.dtypes)[n])).alias(n) for n in names])
+    return read.unionByName(large)

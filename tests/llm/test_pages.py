@@ -6,9 +6,12 @@ import base64
 import gzip
 import hashlib
 import random
+import time
+import zlib
 
 from pyspark.sql import functions as F
 
+from parchmill.llm import warc
 from parchmill.llm.storage import shared_dir
 from parchmill.llm.url_reputation import judge_urls
 from parchmill.llm.warc import read_archives, salvage, write_archives
@@ -76,7 +79,9 @@ def test_salvage_members():
     broken = bytearray(whole)
     broken[at[1] + 30] ^= 0xFF
     assert outcome(bytes(broken)) == ([0, 2, 3], [(at[1], at[2])])
-    assert outcome(whole[: at[4] - 5]) == ([0, 1, 2], [(at[3], at[4] - 5)])
+    # a member without its end: its record is whole, by its own digest
+    assert outcome(whole[: at[4] - 5]) == ([0, 1, 2, 3], [(at[3], at[4] - 5)])
+    assert outcome(whole[: at[4] - 30]) == ([0, 1, 2], [(at[3], at[4] - 30)])
     assert outcome(b"") == ([], [])
 
 
@@ -219,3 +224,40 @@ def test_url_edges(spark):
     labels = spark.createDataFrame([(1, 0, 5), (None, 0, 5), (3, None, 5)], "doc_id long, quality int, page_id int")
     got = judge_urls(pages, labels).collect()
     assert sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["rule"]) for r in got) == [(0, "a.net", 2, "net/"), (1, "a.net", 2, "net/"), (1, "a.net", 2, "net/"), (2, "", 0, None), (3, "h.org", 500_001, None)]
+
+
+def test_salvage_of_damaged_members():
+    """Records before the damage of a member, and all after the next valid member, are there; the damage is a gap."""
+    r = random.Random(8)
+    parts = [record(k, bytes(r.choice(b"abcdef ") for _ in range(300))) for k in range(100)]
+    whole, alone = gzip.compress(b"".join(parts)), gzip.compress(record(100, b"after"))
+    checksum = bytearray(whole)
+    checksum[-5] ^= 1
+    records, gaps = outcome(bytes(checksum) + alone)
+    assert records == list(range(101)) and gaps == [(0, len(whole))]
+    records, gaps = outcome(whole[:-200])
+    assert 90 < len(records) < 100 and records == list(range(len(records))) and gaps[-1][1] == len(whole) - 200
+    for _ in range(60):
+        torn, at = bytearray(whole), r.randrange(20, len(whole))
+        torn[at] ^= 1 << r.randrange(8)
+        records, gaps = outcome(bytes(torn) + alone)
+        # what a wrong byte makes of the text after it is caught by digests or structure; nothing before it is lost
+        decoder, before = zlib.decompressobj(31), b""
+        before = decoder.decompress(whole[: at - 20])
+        sure = before.count(b"WARC/1.1\r\n") - 1
+        assert records[: max(sure, 0)] == list(range(max(sure, 0))) and 100 in records and gaps and len(set(records)) == len(records)
+
+
+def test_head_search_is_bounded():
+    began = time.time()
+    lines = b"WARC/1.1\r\n" * 20_000
+    records, gaps = outcome(lines + record(1, b"x"))
+    assert records == [1] and gaps == [(0, len(lines))] and time.time() - began < 20
+
+
+def test_archive_over_the_limit(spark, tmp_path, monkeypatch):
+    (tmp_path / "small.warc").write_bytes(record(1, b"x"))
+    (tmp_path / "large.warc").write_bytes(record(2, b"y" * 5000))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    rows = sorted(read_archives(spark, str(tmp_path)).collect(), key=lambda x: x["byte_end"] or 0)
+    assert [x["page_id"] for x in rows] == [1, None] and rows[1]["byte_start"] == 0 and rows[1]["byte_end"] > 5000 and "over 4000 bytes" in rows[1]["gap_reason"]
