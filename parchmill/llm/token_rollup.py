@@ -92,15 +92,20 @@ class Rollup:
         there = self._files.exists(self._at(name))
         return sorted(x.getPath().getName() for x in self._files.listStatus(self._at(name))) if there else []
 
+    def _commits(self) -> dict[str, list[str]]:
+        """Commit files by version: the batch's id and the totals' folder.  A file without both is of no commit."""
+        texts = {x: self._text(f"commits/{x}") for x in self._listed("commits") if x.isdigit()}
+        return {x: t for x, t in texts.items() if len(t) == 2 and t[1]}
+
     def version(self) -> int:
         """The number of the last commit; 0 before the first."""
-        return max([0, *(int(x) for x in self._listed("commits") if x.isdigit()), *(int(x) for x in self._listed("ledger") if x.isdigit())])
+        return max([0, *map(int, self._commits()), *(int(x) for x in self._listed("ledger") if x.isdigit())])
 
     def _read(self, version: int) -> DataFrame:
         if not version:
             return self.spark.createDataFrame([], GROUP)
-        commit = f"commits/{version:012d}"
-        folder = self._text(commit)[1] if self._files.exists(self._at(commit)) else f"{version:012d}"
+        commit = self._commits().get(f"{version:012d}")
+        folder = commit[1] if commit else f"{version:012d}"
         return self.spark.read.schema(GROUP).parquet(f"{self.path}/totals/{folder}")
 
     def _text(self, name: str) -> list[str]:
@@ -112,7 +117,7 @@ class Rollup:
 
     def committed(self, batch_id: str) -> bool:
         """Whether a batch is in the totals: one file a commit since the last compaction, and its table of ids before."""
-        if any(self._text(f"commits/{x}")[0] == batch_id for x in self._listed("commits") if x.isdigit()):
+        if any(t[0] == batch_id for t in self._commits().values()):
             return True
         ledgers = [x for x in self._listed("ledger") if x.isdigit()]
         return bool(ledgers) and not self.spark.read.schema("batch string").parquet(f"{self.path}/ledger/{ledgers[-1]}").where(F.col("batch") == batch_id).isEmpty()
@@ -132,22 +137,48 @@ class Rollup:
             if self.committed(batch_id):
                 return False
             folder = f"{last + 1:012d}-{uuid.uuid4().hex}"
-            summed(self._read(last).unionByName(batch)).where("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/totals/{folder}")
+            self._write(summed(self._read(last).unionByName(batch)).where("n_docs != 0 or n_tokens != 0"), f"totals/{folder}")
             if self._create(f"commits/{last + 1:012d}", f"{batch_id}\n{folder}"):
                 return True
-            remove(self.spark, f"{self.path}/totals/{folder}")
+            self._remove(f"totals/{folder}")
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def _remove(self, name: str) -> None:
+        remove(self.spark, f"{self.path}/{name}")
 
     def _create(self, name: str, text: str) -> bool:
+        """A file that is there with its whole text or not at all: false where one of that name was there before.
+
+        The text is written under a name of its own first, which then gets the name in one step that
+        fails where it is taken.
+        """
+        own, to = self._at(f"commits/.{uuid.uuid4().hex}"), self._at(name)
+        if self._files.exists(to) and name.split("/")[1] not in self._commits():
+            self._remove(name)  # an empty file, which no writer of these leaves behind
+        stream = self._files.create(own, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
         try:
-            stream = self._files.create(self._at(name), False)
+            self._name(own, to)
         except Py4JJavaError:
-            if self._files.exists(self._at(name)):
+            if self._files.exists(to):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        finally:
+            self._files.delete(own, False)
         return True
 
+    def _name(self, own, to) -> None:
+        if self._files.getScheme() == "file":  # a rename of local files replaces, a link doesn't
+            local = self.spark._jvm.java.io.File
+            self.spark._jvm.java.nio.file.Files.createLink(local(to.toUri().getPath()).toPath(), local(own.toUri().getPath()).toPath())
+            return
+        options = self.spark.sparkContext._gateway.new_array(self._fs.Options.Rename, 1)
+        options[0] = self._fs.Options.Rename.NONE
+        self._fs.FileContext.getFileContext(self._files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(own, to, options)
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) as the last commit left them; groups without documents and tokens are left out.
         Nulls in a key form a group of their own; a rollup without commits has no rows."""
@@ -156,23 +187,26 @@ class Rollup:
     def compact(self) -> None:
         """Gather the ids of all batches in one table and delete what only earlier versions need.  Totals stay, and so does every id.
 
-        The new ledger is there before any commit file goes.  One writer compacts at a time, while none commits.
+        The new ledger is there before any commit file goes, so a compaction that dies leaves totals and ids as they were, and
+        the next one goes on.  One writer compacts at a time, while none commits.
         """
-        last = self.version()
-        commits = [x for x in self._listed("commits") if x.isdigit()]
-        if not commits:
-            return
+        last, commits = self.version(), self._commits()
+        name = f"{last:012d}"
         ledgers = [x for x in self._listed("ledger") if x.isdigit()]
-        ids = self.spark.createDataFrame([(self._text(f"commits/{x}")[0],) for x in commits], "batch string")
-        if ledgers:
-            ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/ledger/{ledgers[-1]}"))
-        ids.write.parquet(f"{self.path}/ledger/.{last:012d}")
-        summed(self._read(last)).write.mode("overwrite").parquet(f"{self.path}/totals/{last:012d}")
-        self._files.rename(self._at(f"ledger/.{last:012d}"), self._at(f"ledger/{last:012d}"))
-        for x in commits:
-            remove(self.spark, f"{self.path}/commits/{x}")
-        for x in ledgers:
-            remove(self.spark, f"{self.path}/ledger/{x}")
+        if commits and name not in ledgers:
+            ids = self.spark.createDataFrame([(t[0],) for t in commits.values()], "batch string")
+            if ledgers:
+                ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/ledger/{ledgers[-1]}"))
+            self._write(ids, f"ledger/.{name}")
+            self._write(summed(self._read(last)), f"totals/{name}")
+            self._files.rename(self._at(f"ledger/.{name}"), self._at(f"ledger/{name}"))
+        if not last:
+            return
+        for x in self._listed("commits"):
+            self._remove(f"commits/{x}")
+        for x in self._listed("ledger"):
+            if x != name:
+                self._remove(f"ledger/{x}")
         for x in self._listed("totals"):
-            if x != f"{last:012d}":
-                remove(self.spark, f"{self.path}/totals/{x}")
+            if x != name:
+                self._remove(f"totals/{x}")

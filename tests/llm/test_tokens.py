@@ -340,3 +340,55 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sum(r["piece"] == 0 for r in packed) == len(kept[3])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_rollup_killed_at_every_step(spark, monkeypatch):
+    """A writer that dies before or after any of its file operations leaves totals and ids right, and the next one goes on."""
+    rows = spark.createDataFrame([("s", "en", "w", 1, 5)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    steps = ("_write", "_remove", "_create", "_name")
+    for when in ("before", "after"):
+        for dies_at in range(40):
+            rollup, seen = Rollup(spark, shared_dir(spark, "rollup")), [0]
+            rollup.commit("1", rows)
+            with monkeypatch.context() as m:
+                for step in steps:
+                    real = getattr(Rollup, step)
+
+                    def counted(self, *args, real=real):
+                        seen[0] += 1
+                        here = seen[0] - 1
+                        if here == dies_at and when == "before":
+                            raise KeyboardInterrupt
+                        out = real(self, *args)
+                        if here == dies_at:
+                            raise KeyboardInterrupt
+                        return out
+
+                    m.setattr(Rollup, step, counted)
+                try:
+                    rollup.commit("2", rows)
+                    rollup.compact()
+                    rollup.commit("3", rows)
+                except KeyboardInterrupt:
+                    pass
+            again = Rollup(spark, rollup.path)
+            assert [(r["n_docs"], r["n_tokens"]) for r in again.totals().collect()][0][0] in (1, 2, 3)
+            again.compact()
+            for batch in "123":
+                again.commit(batch, rows)
+            assert [(r["n_docs"], r["n_tokens"]) for r in again.totals().collect()] == [(3, 15)]
+            again.compact()
+            assert not any(again.commit(batch, rows) for batch in "123") and again.totals().first()["n_tokens"] == 15
+            if seen[0] <= dies_at:
+                break
+        assert dies_at > 5
+
+
+def test_rollup_with_an_empty_commit_file(spark):
+    rows = spark.createDataFrame([("s", "en", "w", 1, 5)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    rollup = Rollup(spark, shared_dir(spark, "rollup"))
+    rollup.commit("1", rows)
+    rollup._files.create(rollup._at("commits/000000000002"), False).close()
+    assert rollup.totals().first()["n_tokens"] == 5 and rollup.commit("2", rows) and rollup.totals().first()["n_tokens"] == 10
+    rollup.compact()
+    assert rollup.totals().first()["n_tokens"] == 10 and not rollup.commit("2", rows)
