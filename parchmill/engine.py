@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import looks_like_term
 from .functions.text import checkpoint_key, is_blank
+from .functions.vectors import hashed_embedding
 from .operators import glossary, memory, models, validation
 from .operators.blocks import assemble, bilingual, mark_references, split_markdown
+from .operators.context import document_context
 from .operators.jobs import pause_counts
 from .operators.masking import mask_segments
-from .operators.render import system_prompt
-from .operators.segments import build_segments
+from .operators.render import system_prompt, user_prompt
+from .operators.segments import build_segments, source_context
 from .operators.tables import convert_tables
 from .storage import Scratch, remove
 
 SEGMENT = "doc_id long, seg_no int, kind string, source_text string, translation string, issues array<struct<code:string,severity:string,message:string>>, attempts int"
-LOG = "tm_id long, seq long, source string, target string, src_lang string, tgt_lang string, origin string, domain string, created_at double"
+LOG = "tm_id long, seq long, source string, target string, src_lang string, tgt_lang string, origin string, domain string, created_at double, embedding array<double>, embedder string"
 CHECKPOINT = f"k string, seq long, t string, issues {validation.NO_ISSUES}, attempts int"
 TERMS = "seq long, term string, translation string, src_lang string, tgt_lang string, notes string"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, source_lang: str = "en", target_lang: str = "ru", model: Callable[[Column], Column] = models.transliterate, budget: int = 4000, repairs: int = 2):
+    """``model`` translates a masked text, or is a chat model, which gets instructions with glossary, examples, terms and summary.
+
+    ``embed`` makes the vectors by which the memory is searched (``embedder`` is its name, stored with them): the
+    ``examples`` nearest pairs, of ``least`` cosine at least, go into the instructions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, source_lang: str = "en", target_lang: str = "ru", model: models.Model | models.Chat = models.transliterate, budget: int = 4000, repairs: int = 2, embed: models.Model = hashed_embedding, embedder: str = "hash", examples: int = 3, least: float = 0.82):
         self.spark, self.path, self.model, self.budget, self.repairs = spark, path.rstrip("/"), model, budget, repairs
         self.source_lang, self.target_lang = source_lang, target_lang
+        self.embed, self.embedder, self.examples, self.least = embed, embedder, examples, least
 
     def _rows(self, name: str, schema: str) -> DataFrame:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -73,44 +82,68 @@ class Engine:
         rows = rows.join(context.select("doc_id", "summary", F.col("terms").alias("own")), "doc_id", "left") if context is not None else rows.withColumn("summary", F.lit(None).cast("string")).withColumn("own", F.lit(None).cast(pairs))
         shown = "array<struct<source:string,target:string>>"
         rows = rows.join(examples.select("doc_id", "seg_no", "examples"), ["doc_id", "seg_no"], "left") if examples is not None else rows.withColumn("examples", F.lit(None).cast(shown))
-        terms = F.array_distinct(F.concat(F.coalesce("own", F.array().cast(pairs)), F.coalesce("stored", F.array().cast(pairs))))
+        low = F.lower("source_text")
+        mine = F.filter("own", lambda t: F.contains(low, F.lower(t["term"])) & glossary.bounded(F.lower(t["term"]), low, glossary.WORD))
+        every = F.concat(F.coalesce(mine, F.array().cast(pairs)), F.coalesce("stored", F.array().cast(pairs)))
+        # one entry a term, in any case; the document's before the stored one
+        terms = F.filter(every, lambda t, i: ~F.exists(F.slice(every, F.lit(1), i), lambda x: F.lower(x["term"]) == F.lower(t["term"])))
         system = system_prompt(self.source_lang, self.target_lang, terms, F.coalesce("examples", F.array().cast(shown)), F.col("summary"))
         return rows.withColumn("system", system).drop("stored", "own", "summary", "examples")
 
-    def translate(self, docs: DataFrame, job_id: str, batches: int = 1, should_pause: Callable[[], bool] = lambda: False, review: Callable[[Column], Column] | None = None, judge: Callable[[Column], Column] | None = None) -> DataFrame:
+    def retrieved(self, segments: DataFrame, context: DataFrame | None = None) -> DataFrame:
+        """Segments that the memory doesn't know exactly, plus ``system`` and ``user``: what a chat model is asked.
+
+        The memory's pairs of the language pair and the embedder that are nearest to the source become
+        examples, glossary terms and the document's own terms that the source holds are listed, and
+        the end of the text before goes with the segment.
+        """
+        state = memory.candidates(self.memory(), self.source_lang, self.target_lang, self.embedder)
+        examples = None
+        if not state.limit(1).isEmpty():
+            ids = segments.withColumn("query_id", F.xxhash64("doc_id", "seg_no"))
+            queries = Scratch(self.spark).keep(ids.select("query_id", self.embed(F.col("source_text")).alias("embedding"), F.lit("").alias("domain")), "queries")
+            found = memory.nearest(queries, state, self.examples, self.least).join(state.select("tm_id", "source", "target"), "tm_id")
+            listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "target"))).alias("e"))
+            examples = ids.join(listed, "query_id").select("doc_id", "seg_no", F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"))).alias("examples"))
+        asked = self.prompts(segments, context, examples)
+        return asked.withColumn("user", user_prompt(F.col("masked_text"), F.col("context"))).drop("context")
+
+    def translate(self, docs: DataFrame, job_id: str, batches: int = 1, should_pause: Callable[[], bool] = lambda: False, review: models.Model | None = None, judge: models.Model | None = None, describe: models.Model | None = None, back: models.Model | None = None) -> DataFrame:
         """Translate documents; returns (doc_id, seg_no, kind, source_text, translation, issues, attempts) as stored.
 
         Only texts that neither the memory knows, nor an earlier segment of this run or an
         unfinished run of the same job has, reach the model.  The work is cut into ``batches``
         by text; each is written to the job's checkpoint, and between two of them ``should_pause`` is asked.
-        A paused job keeps its checkpoint: the same call goes on from it.  The checkpoint
+        A paused job keeps its checkpoint: the same call goes on from it, and asks anew what failed.  The checkpoint
         goes when no segment failed.  Segments with lost placeholders go out again without them, and those left in
-        the source language once more; then a reviewer and a judge see each segment, where given.
+        the source language once more; then a reviewer, a judge and a back-translator see each segment, where given.
+        ``describe`` is asked for each document's summary and terms, which go into a chat model's instructions.
         """
         seq = self._next()
         pair = [F.lit(self.source_lang).alias("src_lang"), F.lit(self.target_lang).alias("tgt_lang")]
-        known = Scratch(self.spark).keep(memory.exact_matches(self.prepare(docs).select("*", *pair), self.memory()), "known")
+        known = Scratch(self.spark).keep(memory.exact_matches(source_context(self.prepare(docs)).select("*", *pair), self.memory()), "known")
+        context = Scratch(self.spark).keep(document_context(docs, describe, self.source_lang, self.target_lang), "contexts") if describe is not None else None
         columns = [c.split()[0] for c in SEGMENT.replace("struct<code:string,severity:string,message:string>", "x").split(", ")]
         passed = known.where("kind != 'translate'").select("doc_id", "seg_no", "kind", "source_text", F.lit(None).cast("string").alias("translation"), F.array().cast(validation.NO_ISSUES).alias("issues"), F.lit(0).alias("attempts"))
         exact = known.where("kind = 'translate' and exact_target is not null").select("doc_id", "seg_no", "kind", "source_text", F.col("exact_target").alias("translation"), validation.issue(F.lit(True), "tm_exact", "info", "known to the translation memory").alias("issues"), F.lit(0).alias("attempts"))
-        new = known.where("kind = 'translate' and exact_target is null").select("doc_id", "seg_no", "kind", "source_text", "masked_text", "placeholders")
+        new = known.where("kind = 'translate' and exact_target is null").select("doc_id", "seg_no", "kind", "source_text", "masked_text", "placeholders", "context")
         _, placed = memory.deduplicate(new, ["doc_id", "seg_no"])
         placed = placed.withColumn("k", checkpoint_key(F.col("source_text"), *[F.lit(x) for x in (self.source_lang, self.target_lang)]))
         firsts = placed.where("not is_copy").drop("first", "copies", "is_copy")
         for number in range(batches):
-            before = self._rows(f"checkpoint/{job_id}", CHECKPOINT)
+            before = self._answers(job_id, seq)
             todo = memory.pending(firsts, before).where(F.pmod(F.xxhash64("k"), F.lit(batches)) == number)
             if number and should_pause():
                 left = memory.pending(firsts, before)
                 said = validation.issue(F.lit(True), "paused", "info", "the job was paused before this segment")
                 rows = left.select("doc_id", "seg_no", "kind", "source_text", F.lit(None).cast("string").alias("translation"), said.alias("issues"), F.lit(0).alias("attempts"))
-                stored = passed.unionByName(exact).unionByName(rows).unionByName(self._resumed(firsts, before))
+                stored = passed.unionByName(exact).unionByName(rows).unionByName(self._resumed(firsts, before, seq))
                 self._put(stored.select(*columns), job_id, seq)
                 return self._end(job_id, seq, "paused")
-            self._checkpoint(todo, job_id, seq, number)
-        done = self._resumed(firsts, self._rows(f"checkpoint/{job_id}", CHECKPOINT), seq)
-        if review is not None or judge is not None:
-            done = self._judged(done, firsts, review, judge)
+            self._checkpoint(todo, job_id, seq, number, context)
+        done = self._resumed(firsts, self._answers(job_id, seq), seq)
+        if review is not None or judge is not None or back is not None:
+            done = self._judged(done, firsts, review, judge, back)
         fine = validation.is_ok(F.col("issues"))
         reused = F.when(fine, validation.issue(F.lit(True), "dedup", "info", "translated once for equal segments of this run")).otherwise(F.col("issues"))
         copies = placed.where("is_copy").select("doc_id", "seg_no", "kind", "source_text").join(done.select("source_text", "translation", reused.alias("issues"), F.when(fine, 0).otherwise(F.col("attempts")).alias("attempts")), "source_text")
@@ -122,23 +155,29 @@ class Engine:
             remove(self.spark, f"{self.path}/checkpoint/{job_id}")
         return self._end(job_id, seq, status)
 
-    def _checkpoint(self, todo: DataFrame, job_id: str, seq: int, number: int) -> None:
-        """Translate the segments of a batch and write them to the job's checkpoint."""
+    def _answers(self, job_id: str, seq: int) -> DataFrame:
+        """The checkpoint's best answer for each key that this run needn't ask: good ones of any run, and its own."""
+        best = memory.settled(self._rows(f"checkpoint/{job_id}", CHECKPOINT), validation.is_ok(F.col("issues")))
+        return best.where(F.col("ok") | (F.col("seq") == seq))
+
+    def _checkpoint(self, todo: DataFrame, job_id: str, seq: int, number: int, context: DataFrame | None = None) -> None:
+        """Translate the segments of a batch and write them to the job's checkpoint, failed ones too: they tell why a segment failed."""
         pair = (self.source_lang, self.target_lang)
+        if isinstance(self.model, models.Chat):
+            todo = Scratch(self.spark).keep(self.retrieved(todo, context), "prompts")
         first = models.translate(todo, self.model, *pair, self.repairs)
         again = models.retranslate_residual(models.rescue(first, self.model, *pair), self.model, *pair)
         rows = again.select("k", F.lit(seq).cast("long").alias("seq"), F.col("translation").alias("t"), "issues", "attempts")
         rows.write.mode("overwrite").parquet(f"{self.path}/checkpoint/{job_id}/run={seq}-{number}")
 
-    def _resumed(self, firsts: DataFrame, checkpoint: DataFrame, seq: int = -1) -> DataFrame:
+    def _resumed(self, firsts: DataFrame, answers: DataFrame, seq: int) -> DataFrame:
         """Segments with their translations of the checkpoint; those of earlier runs are marked and cost no calls now."""
-        last = checkpoint.groupBy("k").agg(F.max_by(F.struct("seq", "t", "issues", "attempts"), "seq").alias("c"))
-        old = F.col("c.seq") != seq
-        issues = F.when(old & validation.is_ok(F.col("c.issues")), validation.issue(F.lit(True), "resumed", "info", "kept from an earlier run of the job")).otherwise(F.col("c.issues"))
-        return firsts.join(last, "k").select("doc_id", "seg_no", "kind", "source_text", F.col("c.t").alias("translation"), issues.alias("issues"), F.when(old, 0).otherwise(F.col("c.attempts")).alias("attempts"))
+        old = F.col("seq") != seq
+        issues = F.when(old, validation.issue(F.lit(True), "resumed", "info", "kept from an earlier run of the job")).otherwise(F.col("issues"))
+        return firsts.join(answers, "k").select("doc_id", "seg_no", "kind", "source_text", F.col("t").alias("translation"), issues.alias("issues"), F.when(old, 0).otherwise(F.col("attempts")).alias("attempts"))
 
-    def _judged(self, done: DataFrame, firsts: DataFrame, review: Callable[[Column], Column] | None, judge: Callable[[Column], Column] | None) -> DataFrame:
-        """Segments after a reviewer (a JSON verdict) and a judge (a JSON score), each asked once a segment that is fine."""
+    def _judged(self, done: DataFrame, firsts: DataFrame, review: models.Model | None, judge: models.Model | None, back: models.Model | None) -> DataFrame:
+        """Segments after a reviewer (a JSON verdict), a judge (a JSON score) and a back-translator, each asked once a segment."""
         rows = done.join(firsts.select("doc_id", "seg_no", "masked_text", "placeholders"), ["doc_id", "seg_no"])
         said = F.concat(F.col("source_text"), F.lit("\n---\n"), F.coalesce("translation", F.lit("")))
         if review is not None:
@@ -147,6 +186,11 @@ class Engine:
         if judge is not None:
             rows = Scratch(self.spark).keep(rows.withColumn("answer", judge(said)), "scores")
             rows = models.judge(rows).drop("answer", "score")
+        if back is not None:
+            asked = rows.where(~is_blank(F.col("translation"))).select("doc_id", "seg_no", "source_text", back(F.col("translation")).alias("again"))
+            vectors = asked.select("doc_id", "seg_no", self.embed(F.col("source_text")).alias("a"), self.embed(F.coalesce("again", F.lit(""))).alias("b"))
+            far = models.back_translation(Scratch(self.spark).keep(vectors, "back").withColumn("issues", F.array().cast(validation.NO_ISSUES)), "a", "b")
+            rows = rows.join(far.select("doc_id", "seg_no", F.col("issues").alias("more")), ["doc_id", "seg_no"], "left").withColumn("issues", F.concat("issues", F.coalesce("more", F.array().cast(validation.NO_ISSUES)))).drop("more")
         return rows.select(*done.columns)
 
     def _put(self, rows: DataFrame, job_id: str, seq: int) -> None:
@@ -167,7 +211,7 @@ class Engine:
         self._remember(pairs.select(F.col("source_text").alias("source"), "target"), seq, "auto")
 
     def _remember(self, pairs: DataFrame, seq: int, origin: str) -> None:
-        rows = pairs.select(F.xxhash64("source", F.lit(seq)).alias("tm_id"), F.lit(seq).cast("long").alias("seq"), "source", "target", F.lit(self.source_lang).alias("src_lang"), F.lit(self.target_lang).alias("tgt_lang"), F.lit(origin).alias("origin"), F.lit("").alias("domain"), F.lit(float(seq)).alias("created_at"))
+        rows = pairs.select(F.xxhash64("source", F.lit(seq)).alias("tm_id"), F.lit(seq).cast("long").alias("seq"), "source", "target", F.lit(self.source_lang).alias("src_lang"), F.lit(self.target_lang).alias("tgt_lang"), F.lit(origin).alias("origin"), F.lit("").alias("domain"), F.lit(float(seq)).alias("created_at"), self.embed(F.col("source")).alias("embedding"), F.lit(self.embedder).alias("embedder"))
         rows.write.mode("append").parquet(f"{self.path}/memory")
 
     def memory(self) -> DataFrame:

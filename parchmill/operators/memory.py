@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, is_blank
@@ -168,8 +168,18 @@ def deduplicate(segments: DataFrame, order: list[str], text: str = "source_text"
     return first.select(text, "first.*", "copies"), back.select(*segments.columns, "first", "copies", (F.col("first") != place).alias("is_copy"))
 
 
+def settled(checkpoint: DataFrame, ok: Column, order: str = "seq", key: str = "k") -> DataFrame:
+    """The best answer of each key of an append-only checkpoint: a good one before a failed one, then the latest; with ``ok``.
+
+    One partial maximum a key, so a key that was answered again and again costs one row a task.
+    """
+    good = F.coalesce(ok, F.lit(False))
+    answer = F.struct(*[c for c in checkpoint.columns if c != key], good.alias("ok"))
+    return checkpoint.groupBy(key).agg(F.max_by(answer, F.struct(good.cast("int").alias("ok"), F.col(order).alias("at"))).alias("__best")).select(key, "__best.*")
+
+
 def pending(segments: DataFrame, checkpoint: DataFrame, key: str = "k") -> DataFrame:
-    """Segments that a checkpoint has no translation for."""
+    """Segments that a checkpoint has no translation for; failed answers must be left out of it (:func:`settled`)."""
     return segments.join(checkpoint.select(key), key, "left_anti")
 
 

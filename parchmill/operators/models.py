@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.latex import formula_problems
 from ..functions.semi import object_variant
@@ -35,6 +37,17 @@ class Client(Protocol):
     def chat(self, prompt: str) -> str: ...
 
 
+class ChatClient(Protocol):
+    def chat(self, system: str, prompt: str) -> str: ...
+
+
+@dataclass(frozen=True)
+class Chat:
+    """A model that also gets instructions: a column of them and one of prompts, to struct(answer, error)."""
+
+    call: Callable[[Column, Column], Column]
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -49,34 +62,80 @@ def canned(answers: dict[str, str], otherwise: Model = transliterate) -> Model:
     return (lambda p: F.coalesce(F.element_at(table, p), otherwise(p))) if answers else otherwise
 
 
-def from_client(*makes: Callable[[], Client]) -> Model:
+ANSWER = "answer string, error string"
+
+
+class _Clients:
+    """A worker's clients, made when first asked."""
+
+    def __init__(self, makes: tuple[Callable[[], object], ...]):
+        self.makes, self.made = makes, {}
+
+    def ask(self, *parts: str | None) -> tuple[str | None, str | None]:
+        """The first answer of a client and, without any, the last failure."""
+        error = None
+        for k, make in enumerate(self.makes if parts[-1] is not None else ()):
+            try:
+                if k not in self.made:
+                    self.made[k] = make()
+                if (said := self.made[k].chat(*parts)) is not None:
+                    return said, None
+            except Exception as failure:  # noqa: BLE001 - one failed call must not fail the job; the next client is asked
+                error = f"{type(failure).__name__}: {failure}"
+        return None, error
+
+
+def from_client(*makes: Callable[[], Client], errors: bool = False) -> Model:
     """A model from client factories: the first client that answers a prompt, each asked only where those before it failed.
 
-    A worker makes a client when it first asks it.  A failed call is null.
+    A worker makes a client when it first asks it.  A failed call is null; with ``errors`` the model gives
+    struct(answer, error), and the loops below turn an error into an issue of the segment.
     """
+    if errors:
 
-    @F.pandas_udf("string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        clients: dict[int, Client] = {}
+        @F.pandas_udf(ANSWER)
+        def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            clients = _Clients(makes)
+            for batch in batches:
+                yield pd.DataFrame([clients.ask(x) for x in batch], columns=["answer", "error"], dtype=object)
 
-        def ask(prompt: str | None) -> str | None:
-            for k, make in enumerate(makes if prompt is not None else ()):
-                try:
-                    if k not in clients:
-                        clients[k] = make()
-                    if (said := clients[k].chat(prompt)) is not None:
-                        return said
-                except Exception:  # noqa: BLE001 - one failed call must not fail the job; the next client is asked
-                    continue
-            return None
+    else:
 
-        for batch in batches:
-            yield batch.map(ask)
+        @F.pandas_udf("string")
+        def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            clients = _Clients(makes)
+            for batch in batches:
+                yield batch.map(lambda x: clients.ask(x)[0])
 
     once = call.asNondeterministic()  # never evaluated twice for one row of a plan
     return lambda prompt: once(prompt)
 
 
+def from_chat(*makes: Callable[[], ChatClient]) -> Chat:
+    """A chat model from client factories, tried one after another as by :func:`from_client`."""
+
+    @F.pandas_udf(ANSWER)
+    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        clients = _Clients(makes)
+        for system, prompt in batches:
+            yield pd.DataFrame([clients.ask(*x) for x in zip(system, prompt)], columns=["answer", "error"], dtype=object)
+
+    once = call.asNondeterministic()
+    return Chat(lambda system, prompt: once(system, prompt))
+
+
+def asked(rows: DataFrame, model: Model | Chat, prompt: Column, scratch: Scratch, name: str = "raw") -> DataFrame:
+    """``rows`` plus the model's answer and ``error`` (null where the call went well or the model tells none), written: each row is asked once.
+
+    A chat model gets the column ``system`` too.
+    """
+    value = model.call(F.col("system"), prompt) if isinstance(model, Chat) else model(prompt)
+    said = scratch.keep(rows.withColumn(name, value), "answers")
+    if isinstance(said.schema[name].dataType, StructType):
+        return said.withColumn("error", F.col(name)["error"]).withColumn(name, F.col(name)["answer"])
+    return said.withColumn("error", F.lit(None).cast("string"))
+
+
 def from_embedder(make: Callable[[], Embedder], tries: int = 3, wait: float = 1.0) -> Model:
     """A model from an embedder factory; a batch is tried some times, and must give a vector for each text."""
 
@@ -115,23 +174,28 @@ def finalize(rows: DataFrame, source_lang: str, target_lang: str, raw: str = "ra
     back = unmask(bare, "__a", "placeholders")
     checks = segment_issues(F.col("source_text"), F.col("restored"), source_lang, target_lang, F.col("masked_text"))
     found = F.concat(placeholder_issues(F.col("missing"), F.col("unknown")), checks)
-    kept = [c for c in rows.columns if c not in ("issues", "translation")]
+    if "error" in rows.columns:
+        failed = issue(F.lit(True), "exception", "error", F.concat(F.lit("the model's call failed: "), F.left("error", F.lit(300))))
+        found = F.when(F.col(raw).isNull() & F.col("error").isNotNull(), failed).otherwise(found)
+    kept = [c for c in rows.columns if c not in ("issues", "translation", "error")]
     # through a generator, so that filters on the issues aren't pushed below and evaluated anew
     return back.select(*kept, F.inline(F.array(F.struct(found.alias("issues"), F.col("restored").alias("translation")))))
 
 
-def translate(segments: DataFrame, model: Model, source_lang: str, target_lang: str, repairs: int = 2) -> DataFrame:
+def translate(segments: DataFrame, model: Model | Chat, source_lang: str, target_lang: str, repairs: int = 2) -> DataFrame:
     """Translate masked segments; failing ones are asked again with their issues, ``repairs`` times at most.
 
     ``attempts`` counts the calls.  A segment whose answer repeats and still fails isn't
     asked again.  Each pass only sends the rows that fail, and is written before it is judged.
+    The prompt is the masked text, or the column ``user`` where there is one; a chat model gets ``system`` too.
     """
     scratch = Scratch(segments.sparkSession)
+    own = F.col("user") if "user" in segments.columns else F.col("masked_text")
 
     def called(rows: DataFrame, prompt: Column, attempts: Column) -> DataFrame:
-        return scratch.keep(rows.withColumn("raw", model(prompt)).withColumn("attempts", attempts), "answers")
+        return asked(rows.withColumn("attempts", attempts), model, prompt, scratch)
 
-    first = called(segments, F.col("masked_text"), F.lit(1)).withColumn("__stuck", F.lit(False))
+    first = called(segments, own, F.lit(1)).withColumn("__stuck", F.lit(False))
     state = scratch.keep(finalize(first, source_lang, target_lang), "judged")
     settled = []
     for _ in range(repairs):
@@ -140,9 +204,9 @@ def translate(segments: DataFrame, model: Model, source_lang: str, target_lang:
         if failing.isEmpty():
             break
         settled.append(state.where(~again))
-        prompt = F.concat(F.array_join(F.transform("issues", lambda i: F.concat(F.lit("- "), i["message"])), "\n"), F.lit("\n"), F.col("masked_text"), F.lit("\n"), F.coalesce("raw", F.lit("")))
-        asked = called(failing.withColumn("__prompt", prompt).withColumn("__before", F.col("raw")), F.col("__prompt"), F.col("attempts") + 1).drop("__prompt")
-        judged = finalize(asked.drop("issues", "translation"), source_lang, target_lang).withColumn("__stuck", strip(F.col("raw")).eqNullSafe(strip(F.col("__before")))).drop("__before")
+        prompt = F.concat(F.array_join(F.transform("issues", lambda i: F.concat(F.lit("- "), i["message"])), "\n"), F.lit("\n"), own, F.lit("\n"), F.coalesce("raw", F.lit("")))
+        once_more = called(failing.withColumn("__prompt", prompt).withColumn("__before", F.col("raw")), F.col("__prompt"), F.col("attempts") + 1).drop("__prompt")
+        judged = finalize(once_more.drop("issues", "translation"), source_lang, target_lang).withColumn("__stuck", strip(F.col("raw")).eqNullSafe(strip(F.col("__before")))).drop("__before")
         state = scratch.keep(judged, "judged")
     for rows in settled:
         state = state.unionByName(rows)
@@ -156,11 +220,11 @@ def _asked_again(rows: DataFrame, flag: Column, again: Callable[[DataFrame], Dat
     return kept.where(~F.col("__flag")).drop("__flag").unionByName(scratch.keep(again(kept.where("__flag").drop("__flag")), "again").select(*rows.columns))
 
 
-def rescue(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
+def rescue(rows: DataFrame, model: Model | Chat, source_lang: str, target_lang: str) -> DataFrame:
     """Failing segments with lost placeholders again, unmasked; taken where every protected part survives and no error is left."""
 
     def unmasked(flagged: DataFrame) -> DataFrame:
-        said = Scratch(rows.sparkSession).keep(flagged.withColumn("__raw", model(F.col("source_text"))), "answers")
+        said = asked(flagged, model, F.col("source_text"), Scratch(rows.sparkSession), "__raw")
         tried = said.withColumn("__r", strip_fence(strip(F.col("__raw"))))
         whole = F.forall("placeholders", lambda p: contains_normalized(F.col("__r"), p["original"]))
         tried = tried.withColumn("__c", segment_issues(F.col("source_text"), F.col("__r"), source_lang, target_lang))
@@ -173,12 +237,12 @@ def rescue(rows: DataFrame, model: Model, source_lang: str, target_lang: str) ->
     return _asked_again(rows, lost, unmasked)
 
 
-def retranslate_residual(rows: DataFrame, model: Model, source_lang: str, target_lang: str) -> DataFrame:
+def retranslate_residual(rows: DataFrame, model: Model | Chat, source_lang: str, target_lang: str) -> DataFrame:
     """Segments left in the source language again; taken where less of it is left, the flag is gone and placeholders are whole."""
 
     def anew(flagged: DataFrame) -> DataFrame:
-        said = flagged.withColumn("raw", model(F.col("masked_text"))).withColumn("__t", F.col("translation")).withColumn("__i", F.col("issues")).drop("translation", "issues")
-        new = finalize(Scratch(rows.sparkSession).keep(said, "answers"), source_lang, target_lang)
+        before = flagged.withColumn("__t", F.col("translation")).withColumn("__i", F.col("issues")).drop("translation", "issues")
+        new = finalize(asked(before, model, F.col("user") if "user" in rows.columns else F.col("masked_text"), Scratch(rows.sparkSession)), source_lang, target_lang)
         left = lambda c: residual_source_ratio(F.col(c), source_lang, target_lang)
         better = (left("translation") < left("__t")) & ~has_code(F.col("issues"), "untranslated", "placeholder_missing", "placeholder_unknown") & ~is_blank(F.col("translation"))
         out = new.withColumn("__b", F.coalesce(better, F.lit(False))).withColumn("attempts", F.col("attempts") + F.col("__b").cast("int"))
