@@ -136,7 +136,7 @@ def _fold(rows: DataFrame, key: str, order: list[str], needs: list[str], start:
     Rows are dealt out by key, sorted and streamed; a task holds a batch and the state of one key,
     however many rows the key has.
     """
-    schema = rows.schema.add(T.StructField(out, T._parse_datatype_string(kind)))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), {}

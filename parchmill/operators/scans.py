@@ -7,8 +7,11 @@ holds more than a range, whatever share of all rows a key has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..storage import Scratch
 
@@ -28,3 +31,132 @@ def ranged(rows: DataFrame, by: list[Column], name: str, partitions: int | None
     placed = dealt.sortWithinPartitions(*by).withColumn("__pm_place", F.monotonically_increasing_id())
     placed = placed.withColumn(PART, F.shiftright("__pm_place", 33).cast("int")).withColumn(POS, F.col("__pm_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__pm_place")
     return (scratch or Scratch(rows.sparkSession)).keep(placed, name)
+
+
+class Ranges:
+    """A log in ranges of (key, order): what is done in a range, and what comes over from the ranges before it.
+
+    ``inside`` is the window of a key's rows in one range, in order.  ``carried`` sums each (range, key) up to
+    one row, scans those rows in the order of the ranges and joins the result back: what a key brings into a range.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, order: list[str], partitions: int | None = None, scratch: Scratch | None = None):
+        self.key, self.columns = key, rows.columns
+        self.rows = ranged(rows, [F.col(c) for c in (key, *order)], "ranges", partitions, scratch)
+        self.inside = Window.partitionBy(PART, key).orderBy(POS)
+        self.so_far = self.inside.rowsBetween(Window.unboundedPreceding, 0)
+
+    def carried(self, rows: DataFrame, sums: list[Column], scan: Callable[[WindowSpec, WindowSpec], list[Column]]) -> DataFrame:
+        """``rows`` plus the columns of ``scan``, which gets the windows of a key's ranges up to one's own, and before it."""
+        summary = rows.groupBy(PART, self.key).agg(*sums)
+        w = Window.partitionBy(self.key).orderBy(PART)
+        carry = summary.select(F.col(PART).alias("__part"), F.col(self.key).alias("__key"), *scan(w, w.rowsBetween(Window.unboundedPreceding, -1)))
+        return rows.join(carry, (F.col(PART) == F.col("__part")) & F.col(self.key).eqNullSafe(F.col("__key")), "left").drop("__part", "__key")
+
+    def done(self, rows: DataFrame, *added: str) -> DataFrame:
+        return rows.select(*[c for c in self.columns if c not in added], *added)
+
+
+def rate_slots(calls: DataFrame, key: str, order: list[str], at: str, interval: int, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.rate_slots` of keys of any size: a range brings its number of calls and its largest call less its place."""
+    r = Ranges(calls, key, order, partitions)
+    rows = r.rows.withColumn("__i", F.row_number().over(r.inside).cast("long")).withColumn("__lag", F.col(at) - F.col("__i") * interval)
+    rows = rows.withColumn("__m", F.max("__lag").over(r.so_far))
+    rows = r.carried(rows, [F.count("*").alias("n")], lambda w, before: [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n")])
+    # places are numbered over all ranges, so what a range brings is less by the calls before it
+    rows = rows.withColumn("__all", F.col("__m") - F.col("__n") * interval)
+    rows = r.carried(rows, [F.max("__all").alias("a")], lambda w, before: [F.max("a").over(before).alias("__a")])
+    slot = (F.col("__i") + F.col("__n")) * interval + F.greatest("__all", "__a")
+    return r.done(rows.withColumn("slot", slot), "slot")
+
+
+def cooldowns(calls: DataFrame, key: str, order: list[str], at: str, outcome: str, retry_after: str, base: float = 15.0, most: float = 120.0, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.cooldowns` of keys of any size: a range brings the refusals since its last success, and its latest deadline."""
+    r = Ranges(calls, key, order, partitions)
+    refused, won = F.when(F.col(outcome) == "refused", 1).otherwise(0), F.when(F.col(outcome) == "success", 1).otherwise(0)
+    rows = r.rows.withColumn("__s", F.sum(won).over(r.so_far))
+    rows = rows.withColumn("__k", F.sum(refused).over(Window.partitionBy(PART, key, "__s").orderBy(POS)))
+
+    # ranges with a success cut a key's ranges into islands, in which the refusals at their ends add up
+    summary = rows.groupBy(PART, key).agg(F.sum(won).alias("wins"), F.coalesce(F.max_by("__k", F.col(POS)), F.lit(0)).alias("tail"))
+    w = Window.partitionBy(key).orderBy(PART)
+    summary = summary.withColumn("__island", F.sum(F.when(F.col("wins") > 0, 1).otherwise(0)).over(w))
+    summary = summary.withColumn("__after", F.sum("tail").over(Window.partitionBy(key, "__island").orderBy(PART)))
+    carry = summary.select(F.col(PART).alias("__part"), F.col(key).alias("__key"), F.coalesce(F.lag("__after").over(w), F.lit(0)).alias("__in"))
+    rows = rows.join(carry, (F.col(PART) == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key"))).drop("__part", "__key")
+    k = F.least(F.col("__k") + F.when(F.col("__s") == 0, F.col("__in")).otherwise(0), F.lit(40))
+    penalty = F.least(F.lit(base) * F.pow(F.lit(2.0), k - 1), F.lit(most))
+    wait = F.when(F.col(outcome) == "refused", F.least(F.coalesce(F.when(F.col(retry_after) > 0, F.col(retry_after).cast("double")), penalty), F.lit(most)))
+    rows = rows.withColumn("cooldown", wait).withColumn("__d", F.max(F.col(at) + F.col("cooldown")).over(r.so_far))
+    rows = r.carried(rows, [F.max("__d").alias("d")], lambda w, before: [F.max("d").over(before).alias("__before")])
+    return r.done(rows.withColumn("deadline", F.greatest("__d", "__before")), "cooldown", "deadline")
+
+
+def stalls(beats: DataFrame, key: str, order: list[str], at: str, seconds: float, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.stalls` of keys of any size: a range brings its last beat."""
+    r = Ranges(beats, key, order, partitions)
+    rows = r.carried(r.rows, [F.max_by(at, F.col(POS)).alias("last")], lambda w, before: [F.lag("last").over(w).alias("__last")])
+    first = F.row_number().over(r.inside) == 1
+    rows = rows.withColumn("stalled_at", F.when(first, F.col("__last")).otherwise(F.lag(at).over(r.inside))).withColumn("idle", F.col(at) - F.col("stalled_at"))
+    return rows.where(F.col("idle") >= seconds).select(key, "stalled_at", F.col(at).alias("resumed_at"), "idle")
+
+
+def changes(rows: DataFrame, key: str, order: list[str], payload: str, status: str | None = None, terminal: tuple[str, ...] = (), most: int = 1800, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.changes` of keys of any size: a range brings its last payload, its number of rows and whether it had a terminal status."""
+    r = Ranges(rows, key, order, partitions)
+    over = F.coalesce(F.col(status).isin(*terminal), F.lit(False)).cast("int") if status else F.lit(0)
+    out = r.rows.withColumn("__over", over)
+    sums = [F.count("*").alias("n"), F.max_by(F.struct(F.col(payload).alias("p")), F.col(POS)).alias("last"), F.max("__over").alias("over")]
+    out = r.carried(out, sums, lambda w, before: [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.lag("last").over(w).alias("__last"), F.coalesce(F.max("over").over(before), F.lit(0)).alias("__ended")])
+    place = F.row_number().over(r.inside)
+    out = out.withColumn("__i", place + F.col("__n")).withColumn("__b", F.when(place == 1, F.col("__last")).otherwise(F.struct(F.lag(payload).over(r.inside).alias("p"))))
+    out = out.withColumn("__e", F.greatest("__ended", F.coalesce(F.max("__over").over(r.inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    new = (F.col("__i") == 1) | ~F.col(payload).eqNullSafe(F.col("__b")["p"])
+    return r.done(out.where((F.col("__e") == 0) & (F.col("__i") <= most) & new))
+
+
+def frozen(rows: DataFrame, key: str, order: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.frozen` of keys of any size (one order column or more): a range brings its last known value."""
+    r = Ranges(rows, key, order, partitions)
+    out = r.rows.withColumn("__v", F.last(value, ignorenulls=True).over(r.so_far))
+    out = r.carried(out, [F.max_by("__v", F.col(POS)).alias("v")], lambda w, before: [F.last("v", ignorenulls=True).over(before).alias("__before")])
+    return r.done(out.withColumn(value, F.coalesce("__v", "__before")), value)
+
+
+def _place() -> Column:
+    """Range and place in one number, which sorts as the log does."""
+    return F.shiftleft(F.col(PART).cast("long"), 33) + F.col(POS)
+
+
+def upload_quota(uploads: DataFrame, key: str, order: list[str], at: str, window: int = 3600, most: int = 20, partitions: int | None = None) -> DataFrame:
+    """:func:`jobs.upload_quota` of keys of any size, by jump pointers instead of a fold over a key.
+
+    Each upload points to the first one that could open the next window after it.  The uploads that do open one are
+    those on the chain from a key's first; pointers are doubled until the chain is whole, so a chain of k windows
+    takes log k rounds of joins, whose rows are dealt by place.  An upload is allowed by its distance from
+    the opening before it, which ranges carry over.
+    """
+    scratch = Scratch(uploads.sparkSession)
+    r = Ranges(uploads, key, order, partitions, scratch)
+    # probes (a time at which a window has ended) among uploads: the next upload, in this range or a later one
+    probes = r.rows.select(key, (F.col(at) + window).alias("t"), F.lit(0).alias("kind"), _place().alias("place"))
+    marks = probes.unionByName(r.rows.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), _place().alias("place")))
+    m = Ranges(marks, key, ["t", "kind", "place"], partitions, scratch)
+    ahead = F.first(F.when(F.col("kind") == 1, F.col("place")), ignorenulls=True).over(m.inside.rowsBetween(0, Window.unboundedFollowing))
+    later = lambda w, before: [F.first("p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__later")]
+    met = m.carried(m.rows, [F.min(F.when(F.col("kind") == 1, F.col("place"))).alias("p")], later)
+    jump = scratch.keep(met.withColumn("to", F.coalesce(ahead, F.col("__later"))).where("kind = 0 and to is not null").select("place", "to"), "jumps")
+    chain = scratch.keep(r.rows.groupBy(key).agg(F.min(_place()).alias("place")).select("place"), "chain")
+    size = chain.count()
+    while True:
+        chain = scratch.keep(chain.unionByName(chain.join(jump, "place").select(F.col("to").alias("place"))).distinct(), "chain")
+        if (now := chain.count()) == size:
+            break
+        size = now
+        jump = scratch.keep(jump.join(jump.select(F.col("place").alias("to"), F.col("to").alias("far")), "to").select("place", F.col("far").alias("to")), "jumps")
+    opens = chain.withColumn("__opens", F.lit(True))
+    rows = r.rows.withColumn("place", _place()).join(opens, "place", "left").withColumn("__i", F.row_number().over(r.inside))
+    rows = r.carried(rows, [F.count("*").alias("n")], lambda w, before: [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n")])
+    rows = rows.withColumn("__i", F.col("__i") + F.col("__n")).withColumn("__o", F.max(F.when(F.col("__opens"), F.col("__i"))).over(r.so_far))
+    rows = r.carried(rows, [F.max("__o").alias("o")], lambda w, before: [F.max("o").over(before).alias("__before")])
+    return r.done(rows.withColumn("allowed", F.col("__i") - F.coalesce("__o", "__before") < most), "allowed")

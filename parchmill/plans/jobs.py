@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.text import eta_text
-from ..operators import jobs
+from ..operators import jobs, scans
 from . import register, table
 from .overlays import JOBS_SQL, job_log
 
@@ -181,3 +181,53 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sessions of activity with gaps under half an hour."""
     events = job_log(spark, sf_dir).withColumn("ts", F.timestamp_micros("at"))
     return jobs.sessions(events, "owner", "ts").select("owner", F.unix_micros("start").alias("start_us"), "n")
+
+
+# one owner has the whole log: ranges of it are scanned apart
+ALL_SQL = f"{JOBS_SQL}, al AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) AS i FROM jl)"
+
+
+def _one_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_log(spark, sf_dir).withColumn("owner", F.lit(1))
+
+
+@register(f"WITH {ALL_SQL} SELECT event_id, (i * 30000000 + max(ts_us - i * 30000000) OVER (ORDER BY i))::BIGINT AS slot FROM al")
+def one_key_rate_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.rate_slots(_one_owner(spark, sf_dir), "owner", ORDER, "at", 30 * SECOND).select("event_id", "slot")
+
+
+@register(f"""
+    WITH {ALL_SQL}, s AS (SELECT *, CASE WHEN retry_after % 2 = 0 THEN retry_after ELSE 0 END AS header, sum((outcome = 'success')::INT) OVER (ORDER BY i) AS s FROM al),
+    k AS (SELECT *, sum((outcome = 'refused')::INT) OVER (PARTITION BY s ORDER BY i) AS k FROM s),
+    c AS (SELECT *, CASE WHEN outcome = 'refused' THEN least(CASE WHEN header > 0 THEN header::DOUBLE ELSE least(15.0::DOUBLE * power(2.0, least(k, 40) - 1), 120.0) END, 120.0) END AS cooldown FROM k)
+    SELECT event_id, cooldown, round(max(ts_us / 1000000 + cooldown) OVER (ORDER BY i), 6) AS deadline FROM c""")
+def one_key_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _one_owner(spark, sf_dir).withColumn("header", F.when(F.col("retry_after") % 2 == 0, F.col("retry_after")).otherwise(F.lit(0))).withColumn("seconds", F.col("at") / SECOND)
+    return scans.cooldowns(calls, "owner", ORDER, "seconds", "outcome", "header").select("event_id", "cooldown", F.round("deadline", 6).alias("deadline"))
+
+
+@register(f"WITH {ALL_SQL} SELECT ts_us AS resumed_at, idle FROM (SELECT *, ts_us - lag(ts_us) OVER (ORDER BY i) AS idle FROM al) WHERE idle >= 300000000")
+def one_key_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.stalls(_one_owner(spark, sf_dir), "owner", ORDER, "at", 300 * SECOND).select("resumed_at", "idle")
+
+
+@register(f"WITH {ALL_SQL} SELECT event_id FROM (SELECT *, lag(event_type) OVER (ORDER BY i) AS before FROM al) WHERE event_type IS DISTINCT FROM before")
+def one_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.changes(_one_owner(spark, sf_dir), "owner", ORDER, "event_type", most=1 << 60).select("event_id")
+
+
+@register(f"WITH {ALL_SQL} SELECT event_id, last_value(CASE WHEN outcome = 'refused' THEN retry_after END IGNORE NULLS) OVER (ORDER BY i) AS held FROM al")
+def one_key_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _one_owner(spark, sf_dir).withColumn("held", F.when(F.col("outcome") == "refused", F.col("retry_after")))
+    return scans.frozen(log, "owner", ORDER, "held").select("event_id", "held")
+
+
+@register(f"""
+    WITH RECURSIVE {ALL_SQL},
+    r AS (SELECT i, event_id, ts_us AS opened, 1 AS used, true AS allowed FROM al WHERE i = 1
+        UNION ALL SELECT a.i, a.event_id, CASE WHEN a.ts_us >= r.opened + 7200000000 THEN a.ts_us ELSE r.opened END,
+            CASE WHEN a.ts_us >= r.opened + 7200000000 THEN 1 WHEN r.used < 20 THEN r.used + 1 ELSE r.used END, a.ts_us >= r.opened + 7200000000 OR r.used < 20 FROM r JOIN al a ON a.i = r.i + 1)
+    SELECT event_id, allowed FROM r""")
+def one_key_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty events in two hours; the SQL side steps from event to event."""
+    return scans.upload_quota(_one_owner(spark, sf_dir), "owner", ORDER, "at", 7200 * SECOND).select("event_id", "allowed")
