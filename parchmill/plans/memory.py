@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import checkpoint_key, content_key
 from ..functions.vectors import hashed_buckets
-from ..operators import glossary, memory
+from ..operators import glossary, memory, validation
+from ..operators.render import system_prompt
 from . import register, table
 from .overlays import TM_SQL, tm_log, tm_vectors
 
@@ -89,9 +90,10 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS_SQL = """
     terms AS (SELECT (item_id * 2)::INT AS seq, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS term FROM benchmark
         UNION ALL SELECT (item_id * 2 + 1)::INT, lower(split_part(text, ' ', 3)) FROM benchmark),
-    low AS (SELECT doc_id, lower(text) AS text FROM documents),
-    cut AS (SELECT doc_id AS text_id, seq, term, string_split(text, lower(term)) AS p FROM low, terms WHERE contains(text, lower(term))),
-    hits AS (SELECT text_id, seq, term FROM cut WHERE len(list_filter(range(1, len(p)), lambda i: CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\\p{L}\\p{N}_-]') END AND CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\\p{L}\\p{N}_-]') END)) > 0),
+    -- a mark on both sides of each character that can stand beside a term: an occurrence has marks around it
+    low AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '([^\\p{L}\\p{N}_-])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS text FROM documents),
+    marked AS (SELECT *, chr(1) || regexp_replace(lower(term), '([^\\p{L}\\p{N}_-])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS low FROM terms),
+    hits AS (SELECT doc_id AS text_id, seq, term FROM low, marked WHERE contains(text, low)),
     ranked AS (SELECT text_id, seq, term, row_number() OVER (PARTITION BY text_id ORDER BY seq)::INT AS rank FROM hits)
 """
 
@@ -152,6 +154,35 @@ def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT e.query_id, e.exact_id, coalesce(ex.examples, '') AS examples, coalesce(tr.terms, '') AS terms FROM e LEFT JOIN ex ON ex.query_id = e.query_id LEFT JOIN tr ON tr.query_id = e.query_id""")
 def rag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact match, else examples by the vector that the query's number points to, and glossary terms of the text."""
+    found = _retrieved(spark, sf_dir)
+    return found.select("query_id", "exact_id", F.array_join("examples", ",").alias("examples"), F.array_join("terms", ",").alias("terms"))
+
+
+@register(f"""
+    WITH {BEST_SQL}, {QUERIES_SQL}, e AS (SELECT q.query_id, q.source_text, best.tm_id AS exact_id FROM q LEFT JOIN best ON best.h = sha256(trim(source_text, {BLANKS}))),
+    v AS (SELECT vec_id, embedding, vec_id % 10 = 0 AS human FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    x AS (SELECT query_id, 100 * (query_id % (SELECT (n + 99) // 100 FROM n)) AS vec FROM e WHERE exact_id IS NULL),
+    s AS (SELECT a.vec_id AS vec, b.vec_id AS tm_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.human DESC, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2),
+    ex AS (SELECT query_id, string_agg('SOURCE: source ' || tm_id || chr(10) || 'TRANSLATION: target ' || tm_id, chr(10) || '---' || chr(10) ORDER BY rank) AS examples FROM x JOIN s ON s.vec = x.vec AND rank <= 3 GROUP BY query_id),
+    terms AS (SELECT min(item_id)::INT AS seq, lower(split_part(text, ' ', 3)) AS term FROM benchmark GROUP BY 2),
+    low AS (SELECT query_id, lower(source_text) AS text FROM e WHERE exact_id IS NULL),
+    cut AS (SELECT query_id, seq, term, string_split(text, term) AS p FROM low, terms WHERE contains(text, term)),
+    hits AS (SELECT query_id, seq, term FROM cut WHERE len(list_filter(range(1, len(p)), lambda i: CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\\p{{L}}\\p{{N}}_-]') END AND CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\\p{{L}}\\p{{N}}_-]') END)) > 0),
+    tr AS (SELECT query_id, string_agg('- ' || term || ' -> ' || upper(term), chr(10) ORDER BY seq) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS rank FROM hits) WHERE rank <= 30 GROUP BY query_id)
+    SELECT e.query_id, md5(concat_ws(chr(10) || chr(10), 'Translate the text from en to ru. Keep Markdown, formulas and every placeholder as they are.', 'Glossary:' || chr(10) || tr.terms, 'Examples:' || chr(10) || ex.examples)) AS prompt_md5
+    FROM e LEFT JOIN ex ON ex.query_id = e.query_id LEFT JOIN tr ON tr.query_id = e.query_id WHERE e.exact_id IS NULL""")
+def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told with each text that the memory doesn't know: the glossary's terms in it and the nearest pairs."""
+    told = lambda c, make: F.transform(F.col(c), make)
+    terms = told("terms", lambda t: F.struct(t.alias("term"), F.upper(t).alias("translation")))
+    examples = told("examples", lambda i: F.struct(F.concat(F.lit("source "), i).alias("source"), F.concat(F.lit("target "), i).alias("target")))
+    system = system_prompt("en", "ru", terms, examples, F.lit(None).cast("string"))
+    return _retrieved(spark, sf_dir).where("exact_target is null").select("query_id", F.md5(system).alias("prompt_md5"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _queries(spark, sf_dir)
     vectors, rows = tm_vectors(spark, sf_dir)
     near = memory.nearest(vectors.withColumn("domain", F.lit("")), rows, k=3, least=0.2)
@@ -160,8 +191,7 @@ def rag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     neighbours = pointed.join(near.withColumnRenamed("query_id", "vec"), "vec").select("query_id", "rank", "tm_id")
     terms = table(spark, sf_dir, "benchmark").select(F.lower(F.get(F.split("text", " "), 2)).alias("term"), "item_id").groupBy("term").agg(F.min("item_id").cast("int").alias("seq")).withColumn("translation", F.col("term"))
     hits = glossary.match(queries.select(F.col("query_id").alias("text_id"), F.col("source_text").alias("text")), terms).select(F.col("text_id").alias("query_id"), "rank", "term")
-    found = memory.retrieve(queries, _state(spark, sf_dir), hits, neighbours)
-    return found.select("query_id", "exact_id", F.array_join("examples", ",").alias("examples"), F.array_join("terms", ",").alias("terms"))
+    return memory.retrieve(queries, _state(spark, sf_dir), hits, neighbours)
 
 
 @register(f"""
@@ -192,6 +222,22 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.pending(keyed, keyed.where("query_id % 3 = 0")).select("query_id")
 
 
+@register(f"""
+    WITH {QUERIES_SQL}, log AS (SELECT sha256('en>ru' || chr(0) || trim(source_text, {BLANKS})) AS h, query_id, run, run + query_id % 2 * 10 AS seq, (query_id + run) % 3 = 0 AS good FROM q, (SELECT unnest([1, 2, 3]) AS run) WHERE query_id % 5 > 0 AND (query_id + run) % 7 > 0 AND run <> query_id % 4),
+    best AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY h ORDER BY good DESC, seq DESC, query_id DESC) = 1)
+    SELECT q.query_id, best.good, best.seq::BIGINT AS seq, best.query_id AS answered, best.good IS NOT TRUE AS pending FROM q LEFT JOIN best ON best.h = sha256('en>ru' || chr(0) || trim(q.source_text, {BLANKS}))""")
+def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint of three runs with planted failures: each text's best answer, and the texts that are asked again."""
+    keyed = _queries(spark, sf_dir).withColumn("k", checkpoint_key(F.col("source_text"), F.col("src_lang"), F.col("tgt_lang")))
+    runs = keyed.select("k", "query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("run")).where("query_id % 5 > 0 and (query_id + run) % 7 > 0 and run <> query_id % 4")
+    failed = validation.issue((F.col("query_id") + F.col("run")) % 3 != 0, "empty_translation", "error", "planted")
+    log = runs.select("k", F.struct((F.col("run") + F.col("query_id") % 2 * 10).alias("seq"), "query_id").alias("at"), failed.alias("issues"))
+    best = memory.settled(log, validation.is_ok(F.col("issues")), "at")
+    pending = memory.pending(keyed, best.where("ok")).select("query_id", F.lit(True).alias("p"))
+    found = keyed.join(best, "k", "left").join(pending, "query_id", "left")
+    return found.select("query_id", F.col("ok").alias("good"), F.col("at.seq").alias("seq"), F.col("at.query_id").alias("answered"), F.coalesce("p", F.lit(False)).alias("pending"))
+
+
 @register(f"WITH {TM_SQL} SELECT tm_id, sha256(trim(source, ' ' || chr(10))) AS source_hash, origin FROM tm")
 def tm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm_log(spark, sf_dir).select("tm_id", content_key(F.col("source")).alias("source_hash"), "origin")
