@@ -7,6 +7,8 @@ when read.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -129,6 +131,115 @@ def nearest(queries: DataFrame, state: DataFrame, k: int = 3, least: float = 0.8
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Clusters at most: their pivots and radii are held by the driver and by every task.
+CLUSTERS = 1024
+
+
+class Clusters:
+    """A memory dealt into clusters around pivots, for exact searches that skip clusters.
+
+    The angle between vectors is a metric: no row of a cluster is nearer to a query than the query's angle to the pivot less
+    the cluster's radius.  A search first goes to each query's nearest cluster, whose best k are its floors, and then
+    to those clusters alone that can hold a row above them.  Human and other rows have radii and floors of their own, as human rows
+    come first whatever their similarity.  ``table`` is written by cluster; pivots are the rows with the smallest hashes of
+    their ids, about the root of the memory's size.
+    """
+
+    def __init__(self, state: DataFrame, scratch: Scratch, most: int = CLUSTERS, part_rows: int = PART_ROWS):
+        self.spark, self.scratch, self.part_rows = state.sparkSession, scratch, part_rows
+        rows = _vectors(state, "tm_id", F.coalesce(F.col("origin") == "human", F.lit(False)))
+        self.rows = rows.count()
+        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(most, math.ceil(math.sqrt(self.rows)))).select("embedding").collect()
+        self.pivots: dict[int, tuple[int, np.ndarray]] = {}  # by dimension: the first cluster's number, unit vectors
+        first = 0
+        for dim in sorted({len(r["embedding"]) for r in chosen}):
+            own = _unit(pd.Series([r["embedding"] for r in chosen if len(r["embedding"]) == dim]))
+            self.pivots[dim] = first, own
+            first += len(own)
+        self.loose = first  # rows of dimensions without a pivot: a cluster without bounds
+        table = rows.withColumn("__a", self._angles(True)).select("*", "__a.cluster", "__a.angle").drop("__a")
+        self.table = scratch.keep(table.repartition("cluster").sortWithinPartitions("cluster"), "clusters")
+        shapes = self.table.groupBy("cluster").agg(F.count("*").alias("many"), *[F.max(F.when(F.col("human") == h, F.col("angle"))).alias(n) for h, n in ((True, "people"), (False, "machines"))]).collect()  # a row a cluster
+        self.many = {r["cluster"]: r["many"] for r in shapes}
+        # a radius below any angle's range says that there are no such rows
+        self.radii = np.full((first + 1, 2), -10.0)
+        for r in shapes:
+            self.radii[r["cluster"]] = [-10.0 if x is None else x for x in (r["people"], r["machines"])]
+
+    def _angles(self, nearest: bool) -> Column:
+        """Of a vector: its nearest cluster and the angle to that pivot, or the angles to all clusters (null without a pivot)."""
+        pivots, loose = self.pivots, self.loose
+
+        def angles(vectors: pd.Series) -> Iterator[tuple[pd.Index, int, np.ndarray]]:
+            for dim, members in vectors.groupby(vectors.map(len)):
+                first, own = pivots.get(dim, (loose, np.zeros((0, dim))))
+                yield members.index, first, np.arccos(np.clip(_unit(members) @ own.T, -1.0, 1.0))
+
+        @F.pandas_udf("cluster int, angle double")
+        def assign(vectors: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"cluster": loose, "angle": 4.0}, index=vectors.index)
+            for index, first, found in angles(vectors):
+                if found.shape[1]:
+                    out.loc[index, "cluster"], out.loc[index, "angle"] = first + found.argmin(axis=1), found.min(axis=1)
+            return out
+
+        @F.pandas_udf("array<struct<cluster:int,angle:double>>")
+        def all_of(vectors: pd.Series) -> pd.Series:
+            out = pd.Series([[]] * len(vectors), index=vectors.index, dtype=object)
+            for index, first, found in angles(vectors):
+                for i, row in zip(index, found):
+                    out[i] = [{"cluster": first + j, "angle": float(x)} for j, x in enumerate(row)]
+            return out
+
+        return (assign if nearest else all_of)(F.col("embedding"))
+
+    def search(self, queries: DataFrame, k: int = 3, least: float = 0.82, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+        """The result of :func:`nearest`, and (query_id, pairs): how many rows of the memory each query met."""
+        asked = _vectors(queries, "query_id", F.lit(False))
+        blocks = max(1, -(-asked.count() // block_rows))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        asked = self.scratch.keep(asked.withColumn("clusters", F.array_append(self._angles(False), F.struct(F.lit(self.loose).alias("cluster"), F.lit(0.0).alias("angle")))), "asked")
+        first = asked.select("*", F.array_min(F.transform("clusters", lambda c: F.struct(F.when(c["cluster"] == self.loose, 9.0).otherwise(c["angle"]).alias("angle"), c["cluster"].alias("cluster"))))["cluster"].alias("cluster")).drop("clusters")
+        found = self.scratch.keep(self._met(first, k, least), "nearest")
+        # floors: a machine's row must beat the k-th row, a human one the k-th human row
+        rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by, F.desc("similarity"), "tm_id"))
+        ranked = found.withColumn("rank", rank(F.desc("human"))).where(F.col("rank") == k)
+        floor = ranked.select("query_id", F.when(F.col("human"), F.col("similarity")).alias("people"), F.when(F.col("human"), 2.0).otherwise(F.col("similarity")).alias("machines"))
+        bounds = F.from_json(F.lit(json.dumps(self.radii.tolist())), "array<array<double>>")
+        open_ = first.select(F.col("id").alias("query_id"), F.col("cluster").alias("done")).join(floor, "query_id", "left")
+        rest = asked.join(open_.withColumnRenamed("query_id", "id"), "id").withColumn("radii", bounds).select("*", F.explode("clusters").alias("c"))
+
+        def able(kind: int, floor: str) -> Column:
+            radius = F.get(F.get("radii", F.col("c.cluster")), F.lit(kind))
+            bound = F.cos(F.greatest(F.col("c.angle") - radius, F.lit(0.0)))
+            return (radius > -5) & (F.least(bound, F.lit(1.0)) >= F.greatest(F.coalesce(floor, F.lit(-2.0)), F.lit(least)) - 1e-9)
+
+        loose = (F.col("c.cluster") == self.loose) & F.lit(self.loose in self.many)
+        rest = rest.where((F.col("c.cluster") != F.col("done")) & (loose | able(0, "people") | able(1, "machines")))
+        rest = self.scratch.keep(rest.select("id", "embedding", "domain", "human", "block", "c.cluster"), "open")
+        every = found.unionByName(self._met(rest, k, least))
+        order = rank(F.desc("human"))
+        counts = self.spark.createDataFrame([(c, n) for c, n in self.many.items()], "cluster int, many long")
+        pairs = first.select("id", "cluster").unionByName(rest.select("id", "cluster")).join(F.broadcast(counts), "cluster").groupBy(F.col("id").alias("query_id")).agg(F.sum("many").alias("pairs"))  # a row a cluster
+        return every.withColumn("rank", order).where(F.col("rank") <= k), pairs
+
+    def _met(self, asked: DataFrame, k: int, least: float) -> DataFrame:
+        """Queries and the clusters they go to -> their best k of each part of a cluster; large clusters are dealt over parts."""
+        salts = F.element_at(F.create_map(*[F.lit(x) for c, n in (self.many or {0: 1}).items() for x in (c, max(1, -(-n // self.part_rows)))]), F.col("cluster"))
+        part = lambda salt: F.concat_ws("-", F.col("cluster").cast("string"), salt.cast("string"))
+        columns = ["block", "part", "kind", "id", "embedding", "domain", "human"]
+        loaded = asked.where(salts.isNotNull()).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("part", part(F.col("salt"))).withColumn("kind", F.lit(0)).select(*columns)
+        wanted = asked.select("block", "cluster").distinct()
+        streamed = self.table.join(wanted, "cluster").withColumn("part", part(F.pmod(F.xxhash64("id"), salts))).withColumn("kind", F.lit(1)).select(*columns)
+        met = loaded.unionByName(streamed).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+        return met.mapInArrow(_search(k, least), "query_id long, tm_id long, human boolean, similarity double")
+
+
+def _vectors(rows: DataFrame, name: str, human: Column) -> DataFrame:
+    """(id, embedding, domain, human) of rows with a vector."""
+    return rows.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce("domain", F.lit("")).alias("domain"), human.alias("human")).where("size(embedding) > 0")
+
+
 def pair_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cosine of two columns of one row, in the JVM."""
     return pairs.withColumn("similarity", cosine(F.col(a), F.col(b)))

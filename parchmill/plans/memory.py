@@ -9,6 +9,7 @@ from ..functions.text import checkpoint_key, content_key
 from ..functions.vectors import hashed_buckets
 from ..operators import glossary, memory, validation
 from ..operators.render import system_prompt
+from ..storage import Scratch
 from . import register, table
 from .overlays import TM_SQL, tm_log, tm_vectors
 
@@ -68,18 +69,29 @@ def hash_embedding_128(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed_buckets(table(spark, sf_dir, "benchmark"), "item_id", "text", 128, "sha2")
 
 
-@register("""
+TOPK_SQL = """
     WITH v AS (SELECT vec_id, embedding, CASE WHEN label < 3 THEN '' ELSE 'd' || label END AS domain, vec_id % 10 = 0 AS human FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, m.vec_id AS tm_id, m.human, list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS similarity
           FROM v q JOIN v m ON q.vec_id % 100 = 0 AND (m.domain = '' OR q.domain = '' OR m.domain = q.domain))
     SELECT query_id, tm_id, human, round(similarity, 6) AS similarity, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY human DESC, similarity DESC, tm_id)::INT AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 3""")
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY human DESC, similarity DESC, tm_id)::INT AS rank FROM s WHERE similarity >= 0.2) WHERE rank <= 3"""
+
+
+@register(TOPK_SQL)
 def tm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, rows = tm_vectors(spark, sf_dir)
     found = memory.nearest(queries, rows, k=3, least=0.2)
     return found.select("query_id", "tm_id", "human", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@register(TOPK_SQL)
+def tm_topk_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a memory in clusters, of which a query goes only to those that can hold better ones."""
+    queries, rows = tm_vectors(spark, sf_dir)
+    found, _ = memory.Clusters(rows, Scratch(spark)).search(queries, k=3, least=0.2)
+    return found.select("query_id", "tm_id", "human", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary of first words and first two words of the passages."""
     words = F.split("text", " ")
