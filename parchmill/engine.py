@@ -71,9 +71,9 @@ class Engine:
         segments = build_segments(mark_references(split_markdown(clean)), self.budget)
         return mask_segments(segments.drop("block_indices"))
 
-    def prompts(self, segments: DataFrame, context: DataFrame | None = None, examples: DataFrame | None = None) -> DataFrame:
+    def prompts(self, segments: DataFrame, context: DataFrame | None = None, examples: DataFrame | None = None, occurring: bool = False) -> DataFrame:
         """Masked segments plus ``system``: the instructions with the glossary's terms in the segment, a document's own
-        ``terms`` and ``summary`` (doc_id, summary, terms), and ``examples`` (doc_id, seg_no, examples)."""
+        ``terms`` (with ``occurring`` only those in the segment) and ``summary`` (doc_id, summary, terms), and ``examples`` (doc_id, seg_no, examples)."""
         stored = self.terms().select("seq", "term", "translation")
         asked = segments.select(F.struct("doc_id", "seg_no").alias("text_id"), F.col("source_text").alias("text"))
         hits = glossary.match(asked, stored).groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "translation"))), lambda t: F.struct(t["term"].alias("term"), t["translation"].alias("translation"))).alias("stored"))
@@ -83,7 +83,7 @@ class Engine:
         shown = "array<struct<source:string,target:string>>"
         rows = rows.join(examples.select("doc_id", "seg_no", "examples"), ["doc_id", "seg_no"], "left") if examples is not None else rows.withColumn("examples", F.lit(None).cast(shown))
         low = F.lower("source_text")
-        mine = F.filter("own", lambda t: F.contains(low, F.lower(t["term"])) & glossary.bounded(F.lower(t["term"]), low, glossary.WORD))
+        mine = F.col("own") if not occurring else F.filter("own", lambda t: F.contains(low, F.lower(t["term"])) & glossary.bounded(F.lower(t["term"]), low, glossary.WORD))
         every = F.concat(F.coalesce(mine, F.array().cast(pairs)), F.coalesce("stored", F.array().cast(pairs)))
         # one entry a term, in any case; the document's before the stored one
         terms = F.filter(every, lambda t, i: ~F.exists(F.slice(every, F.lit(1), i), lambda x: F.lower(x["term"]) == F.lower(t["term"])))
@@ -105,7 +105,7 @@ class Engine:
             found = memory.nearest(queries, state, self.examples, self.least).join(state.select("tm_id", "source", "target"), "tm_id")
             listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "target"))).alias("e"))
             examples = ids.join(listed, "query_id").select("doc_id", "seg_no", F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"))).alias("examples"))
-        asked = self.prompts(segments, context, examples)
+        asked = self.prompts(segments, context, examples, occurring=True)
         return asked.withColumn("user", user_prompt(F.col("masked_text"), F.col("context"))).drop("context")
 
     def translate(self, docs: DataFrame, job_id: str, batches: int = 1, should_pause: Callable[[], bool] = lambda: False, review: models.Model | None = None, judge: models.Model | None = None, describe: models.Model | None = None, back: models.Model | None = None) -> DataFrame:
