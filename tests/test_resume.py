@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from parchmill.engine import Engine
 from parchmill.operators import memory, models
-from parchmill.operators.models import transliterate
 
 
 class Recorder:
