@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memory import give_back, small_batches
+from .memory import drop_caches, give_back, small_batches
 from .storage import boxed, others, ref, unboxed
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -229,6 +229,7 @@ def predicted(text: Column, model: Model, penalty: float = PENALTY) -> Column:
 
     @F.arrow_udf("lang_pred string, score double, n_spans long")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_caches()
         scores = Scores(shared.value)
         for batch in batches:
             found = []

@@ -26,10 +26,27 @@ def give_back() -> None:
         _trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives back its memory when it ends."""
+#: What operators keep in a worker for its later tasks, by name.
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str, cache: dict) -> dict:
+    _caches[name] = cache
+    return cache
+
+
+def drop_caches(keep: str = "") -> None:
+    """Empty the caches of other operators: a worker goes from one stage to the next, and would hold those of all."""
+    for name, cache in _caches.items():
+        if name != keep:
+            cache.clear()
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A function over batches that drops what other operators keep in the worker, and gives back its own memory when it ends."""
 
     def tidied(batches: Iterator) -> Iterator:
+        drop_caches(keep)
         try:
             yield from run(batches)
         finally:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .memory import small_batches, tidy
 from .storage import materialise, ref
-from .tokens import encoder
+from .tokens import CACHED, encoder
 
 #: Rows aimed at in a group that is ranked in one task.
 ROWS = 1000
@@ -122,7 +122,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable:
                     start, piece = stop, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return tidy(run)
+    return tidy(run, CACHED)
 
 
 def _place(patterns: list[Pattern]) -> Callable:

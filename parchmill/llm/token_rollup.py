@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .memory import small_batches, tidy
 from .storage import materialise, ref, remove
-from .tokens import encoder
+from .tokens import CACHED, encoder
 
 KEYS = ("source", "lang", "tokenizer")
 GROUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -40,7 +40,7 @@ def _counts(vocabulary: str) -> Callable:
             many = [len(encode(x.as_py())) // 4 for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(many, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
-    return tidy(run)
+    return tidy(run, CACHED)
 
 
 def count_tokens(docs: DataFrame, version: str, vocabulary: str | None = None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .memory import small_batches, tidy
 from .storage import materialise, ref
-from .tokens import encoder
+from .tokens import CACHED, encoder
 
 MAGIC = b"PMTKPFR1"
 HEADER = struct.Struct("<QqIQII")
@@ -165,7 +165,7 @@ def _segments(vocabulary: str, end_id: int) -> Callable:
         if doc_ids:
             yield done()
 
-    return tidy(run)
+    return tidy(run, CACHED)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:

@@ -15,6 +15,8 @@ import array
 
 import regex
 
+from .memory import worker_cache
+
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space that Unicode knows besides space and newline, and the four ASCII separators.
@@ -99,7 +101,8 @@ class Encoder:
         return newline.join(lines)
 
 
-_encoders: dict[str, Encoder] = {}
+CACHED = "encoders"
+_encoders: dict[str, Encoder] = worker_cache(CACHED, {})
 
 
 def encoder(path: str) -> Encoder:
