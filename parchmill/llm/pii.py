@@ -20,6 +20,8 @@ from .storage import Scratch, ref
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds over the graph; least confidence and distinct seeds of a pattern that finds spans; least confidence that a pattern passes on.
 ROUNDS, CONFIDENCE, SUPPORT, PASSED_ON = 3, 0.9, 5, 0.5
+#: Tasks over which a pattern's rows are dealt.
+SALTS = 16
 #: Elements of an array that are summed at a time.
 RUN = 256
 #: Longest identifier of several words, in words and code points; code points of context.
@@ -189,25 +191,34 @@ def scanned(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     return out.select("doc_id", F.inline(F.array(F.struct("base", "mentions"))))
 
 
+def _by_pattern(rows: DataFrame, patterns: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """Rows joined with patterns, each pattern's rows dealt over ``SALTS`` tasks: a common shape may hold a third of all rows."""
+    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"], how).drop("salt")
+
+
 def learned(mentions: DataFrame, scratch: Scratch) -> DataFrame:
     """(t, kind, patterns) of mentions, kind null where unlabelled -> (pattern, kind, confidence, support) after all rounds."""
-    edges = scratch.keep(mentions.select("t", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "t").agg(F.max("kind").alias("kind")), "edges")
+    own = Scratch(mentions.sparkSession)  # goes when the patterns are written
+    edges = own.keep(mentions.select("t", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "t").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind is not null").groupBy("t").agg(F.max("kind").alias("kind")).select("t", "kind", F.lit(1.0).alias("confidence"), F.lit(True).alias("seed"))
     # edges of patterns without a seed never count: patterns with one are found first
     promising = edges.where("kind is not null").select("pattern").distinct()
-    edges = scratch.keep(edges.join(promising, "pattern", "left_semi").select("pattern", "t"), "graph")
-    instances = seeds = scratch.keep(seeds, "seeds")
+    edges = own.keep(_by_pattern(edges, promising, "t", "left_semi").select("pattern", "t"), "graph")
+    instances = seeds = own.keep(seeds, "seeds")
     patterns = None
     for i in range(ROUNDS):
         of_kind = lambda what: [F.sum(F.when(F.col("kind") == k, what).otherwise(0.0)).alias(f"k{k}") for k in range(len(KINDS))]
         sums = edges.join(instances, "t", "left").groupBy("pattern").agg(F.count("*").alias("many"), *of_kind(F.col("confidence")), *[F.sum(F.when(F.col("seed") & (F.col("kind") == k), 1).otherwise(0)).alias(f"n{k}") for k in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"k{k}").alias("sum"), F.lit(-k).alias("order"), F.lit(k).alias("kind"), F.col(f"n{k}").alias("support")) for k in range(len(KINDS))])
         patterns = sums.select("pattern", "many", best.alias("b")).select("pattern", F.col("b.kind").alias("kind"), (F.col("b.sum") / (F.col("many") + 1)).alias("confidence"), F.col("b.support").alias("support"))
-        patterns = scratch.keep(patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= PASSED_ON)), f"patterns-{i}")
+        patterns = own.keep(patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= PASSED_ON)), f"patterns-{i}")
         if i + 1 < ROUNDS:
-            reached = edges.join(patterns, "pattern").groupBy("t").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("b"))
+            reached = _by_pattern(edges, patterns, "t").groupBy("t").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("b"))
             reached = reached.join(seeds, "t", "left_anti").select("t", (-F.col("b.order")).alias("kind"), F.col("b.confidence").alias("confidence"), F.lit(False).alias("seed"))
-            instances = scratch.keep(seeds.unionByName(reached), f"instances-{i}")
+            instances = own.keep(seeds.unionByName(reached), f"instances-{i}")
+    patterns = scratch.keep(patterns, "patterns")
+    own.drop()
     return patterns
 
 
@@ -229,7 +240,7 @@ def find(docs: DataFrame, scratch: Scratch | None = None, doc_col: str = "doc_id
     for k, name in enumerate(KINDS):
         own = valid(name, F.col("t")) if name != "phone" else F.length(_digits(F.col("t"))).between(7, 15)
         form = F.when((F.col("found") == k) & F.col("t").rlike(_FORMS[name]), own).otherwise(form)
-    hits = open_.join(accepted, "pattern").where(form)
+    hits = _by_pattern(open_, accepted, "row").where(form)
     hits = hits.groupBy("row", "s", "e").agg(F.max(F.struct("confidence", (-F.col("found")).alias("order"))).alias("b"))
     hits = hits.select("row", F.struct("s", (-F.col("e")).alias("back"), (-F.col("b.order")).alias("kind")).alias("x"))
 
