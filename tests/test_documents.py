@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from parchmill.operators import blocks, masking, models, render, segments, validation
 
 PAPER = """# Deep Learning
@@ -71,6 +75,31 @@ def test_segments():
     assert [s["kind"] for s in kinds] == ["translate", "pass", "pass", "translate"]
 
 
+def compared(spark, sf_dir, name, *tables):
+    """Rows of a query and of its SQL over the tables of a folder."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    frame = entry.queries()[name](spark, str(sf_dir))
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    key = lambda row: [str(x) for x in row]
+    return sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=key), sorted(want.fetchall(), key=key)
+
+
+LONG_PARAGRAPHS = ["segment_pack", "source_contexts", "segment_batches", "mask_roundtrip", "translate_documents", "prompts", "repair_loop", "placeholder_rescue"]
+
+
+@pytest.mark.parametrize("name", LONG_PARAGRAPHS)
+def test_paragraphs_over_the_budget(spark, tmp_path, name):
+    """The SQL keeps a paragraph of more than 4000 characters whole."""
+    long = "One sentence of many. " * 300
+    texts = [f"A title of some length\n{long}\nEnd.", f"{long}\nA.\nB.\n{long}\nC.", "short\ntext"]
+    pq.write_table(pa.table({"doc_id": list(range(3)), "lang": ["en"] * 3, "text": texts}), tmp_path / "documents.parquet")
+    got, want = compared(spark, tmp_path, name, "documents")
+    assert got == want and got
+
+
 MASKED = [
     "The energy $E = mc^2$ is famous.",
     "$$\na\n$$ \\begin{align}x\\end{align} ```\n'$notmath$'\n``` \\cite{a} \\ref{b} \\eqref{c}",
