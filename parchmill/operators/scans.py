@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -128,13 +130,34 @@ def _place() -> Column:
     return F.shiftleft(F.col(PART).cast("long"), 33) + F.col(POS)
 
 
-def upload_quota(uploads: DataFrame, key: str, order: list[str], at: str, window: int = 3600, most: int = 20, partitions: int | None = None) -> DataFrame:
+def _last_hops(places: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Where a chain that is at each place of a block leaves it; -1 where it ends in the block.  Targets come after their places."""
+    inside = (targets >= 0) & (targets <= places[-1])
+    nearest, out = np.searchsorted(places, targets).tolist(), targets.tolist()
+    for i in np.flatnonzero(inside)[::-1].tolist():
+        out[i] = out[nearest[i]]
+    return np.array(out, np.int64)
+
+
+def _on_chain(places: np.ndarray, targets: np.ndarray, entered: np.ndarray) -> np.ndarray:
+    """The places of a block that chains from the entered ones visit."""
+    inside = ((targets >= 0) & (targets <= places[-1])).tolist()
+    nearest, out = np.searchsorted(places, targets).tolist(), entered.tolist()
+    for i, on in enumerate(out):
+        if on and inside[i]:
+            out[nearest[i]] = True
+    return places[np.array(out, bool)]
+
+
+def upload_quota(uploads: DataFrame, key: str, order: list[str], at: str, window: int = 3600, most: int = 20, partitions: int | None = None, block_bits: int = 16) -> DataFrame:
     """:func:`jobs.upload_quota` of keys of any size, by jump pointers instead of a fold over a key.
 
-    Each upload points to the first one that could open the next window after it.  The uploads that do open one are
-    those on the chain from a key's first; pointers are doubled until the chain is whole, so a chain of k windows
-    takes log k rounds of joins, whose rows are dealt by place.  An upload is allowed by its distance from
-    the opening before it, which ranges carry over.
+    Each upload points to the first one that could open the next window after it (``order`` begins with the time).
+    The uploads that do open one are those on the chain from a key's first.  Blocks of ``2 ** block_bits`` places
+    follow the pointers within them, each in one pass.  Between blocks only the places matter at which a chain could
+    enter one; among these, pointers are doubled until the chain is whole, so b blocks take log b rounds of joins.
+    A second pass over the blocks marks what the chain visits.  An upload is allowed by its distance from the
+    opening before it, which ranges carry over.
     """
     scratch = Scratch(uploads.sparkSession)
     r = Ranges(uploads, key, order, partitions, scratch)
@@ -142,19 +165,35 @@ def upload_quota(uploads: DataFrame, key: str, order: list[str], at: str, window
     probes = r.rows.select(key, (F.col(at) + window).alias("t"), F.lit(0).alias("kind"), _place().alias("place"))
     marks = probes.unionByName(r.rows.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), _place().alias("place")))
     m = Ranges(marks, key, ["t", "kind", "place"], partitions, scratch)
-    ahead = F.first(F.when(F.col("kind") == 1, F.col("place")), ignorenulls=True).over(m.inside.rowsBetween(0, Window.unboundedFollowing))
+    # from the end of a range backwards: a frame up to the end of a window is read anew for each row
+    backwards = Window.partitionBy(PART, key).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last(F.when(F.col("kind") == 1, F.col("place")), ignorenulls=True).over(backwards)
     later = lambda w, before: [F.first("p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__later")]
     met = m.carried(m.rows, [F.min(F.when(F.col("kind") == 1, F.col("place"))).alias("p")], later)
-    jump = scratch.keep(met.withColumn("to", F.coalesce(ahead, F.col("__later"))).where("kind = 0 and to is not null").select("place", "to"), "jumps")
+    target = F.coalesce(ahead, F.col("__later"), F.lit(-1))
+    jump = scratch.keep(met.withColumn("to", target).where("kind = 0").select("place", "to"), "jumps")
+
+    def left(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        return pd.DataFrame({"place": rows["place"], "to": _last_hops(rows["place"].to_numpy(), rows["to"].to_numpy())})
+
+    def visited(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        return pd.DataFrame({"place": _on_chain(rows["place"].to_numpy(), rows["to"].to_numpy(), rows["entered"].to_numpy())})
+
+    block = F.shiftright("place", block_bits).alias("block")
+    hop = scratch.keep(jump.groupBy(block).applyInPandas(left, "place long, to long").where("to >= 0"), "hops")
     chain = scratch.keep(r.rows.groupBy(key).agg(F.min(_place()).alias("place")).select("place"), "chain")
+    hop = scratch.keep(hop.join(chain.unionByName(hop.select(F.col("to").alias("place"))).distinct(), "place"), "hops")
     size = chain.count()
     while True:
-        chain = scratch.keep(chain.unionByName(chain.join(jump, "place").select(F.col("to").alias("place"))).distinct(), "chain")
+        chain = scratch.keep(chain.unionByName(chain.join(hop, "place").select(F.col("to").alias("place"))).distinct(), "chain")
         if (now := chain.count()) == size:
             break
         size = now
-        jump = scratch.keep(jump.join(jump.select(F.col("place").alias("to"), F.col("to").alias("far")), "to").select("place", F.col("far").alias("to")), "jumps")
-    opens = chain.withColumn("__opens", F.lit(True))
+        hop = scratch.keep(hop.join(hop.select(F.col("place").alias("to"), F.col("to").alias("far")), "to").select("place", F.col("far").alias("to")), "hops")
+    entered = jump.join(chain.withColumn("entered", F.lit(True)), "place", "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    opens = scratch.keep(entered.groupBy(block).applyInPandas(visited, "place long"), "opens").withColumn("__opens", F.lit(True))
     rows = r.rows.withColumn("place", _place()).join(opens, "place", "left").withColumn("__i", F.row_number().over(r.inside))
     rows = r.carried(rows, [F.count("*").alias("n")], lambda w, before: [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n")])
     rows = rows.withColumn("__i", F.col("__i") + F.col("__n")).withColumn("__o", F.max(F.when(F.col("__opens"), F.col("__i"))).over(r.so_far))

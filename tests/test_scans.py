@@ -63,6 +63,26 @@ def test_quota_equals_the_fold(log):
             same(scans.upload_quota(log, "owner", ORDER, "at", window, most, partitions=parts), jobs.upload_quota(log, "owner", ORDER, "at", window, most))
 
 
+def test_quota_over_blocks(log):
+    for window, most, bits in ((50, 2, 3), (400, 5, 5), (3000, 3, 0)):
+        same(scans.upload_quota(log, "owner", ORDER, "at", window, most, partitions=3, block_bits=bits), jobs.upload_quota(log, "owner", ORDER, "at", window, most))
+
+
+def test_quota_doubles_pointers_of_blocks_only(spark, monkeypatch):
+    """The rows of all pointer tables together are a small multiple of the log, however long a chain is."""
+    written, keep = [], scans.Scratch.keep
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        written.extend([kept.count()] * (name in ("jumps", "hops")))
+        return kept
+
+    monkeypatch.setattr(scans.Scratch, "keep", counted)
+    log = spark.range(4000).select(F.lit("hot").alias("owner"), F.col("id").alias("n"), F.col("id").cast("double").alias("at"))
+    assert scans.upload_quota(log, "owner", ORDER, "at", 2, 1, partitions=3).where("allowed").count() == 2000
+    assert sum(written) <= 3 * 4000
+
+
 def test_empty_log(log):
     none = log.where("false")
     assert scans.rate_slots(none, "owner", ORDER, "at", 3).count() == 0 and scans.cooldowns(none, "owner", ORDER, "at", "outcome", "wait").count() == 0
