@@ -244,3 +244,13 @@ def test_render(spark):
         assert piece in tex, piece
     whole = docs.select(render.html_page(F.lit("<p>x</p>"), F.lit("a<b")), render.latex_document(F.lit("x"), F.lit("5%"))).first()
     assert "<title>a&lt;b</title>" in whole[0] and "\\title{5\\%}" in whole[1]
+
+
+def test_batches_of_texts_are_small(spark, small):
+    """Whole texts go to Python workers a bounded number at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name in ("reference_mask", "layout_chunks", "merged_terms", "html_render", "oversized_paragraphs"):
+        spark.conf.set(setting, "10000")
+        entry.queries()[name](spark, small)
+        assert int(spark.conf.get(setting)) <= 1000
+    spark.conf.unset(setting)
