@@ -254,3 +254,9 @@ def test_batches_of_texts_are_small(spark, small):
         entry.queries()[name](spark, small)
         assert int(spark.conf.get(setting)) <= 1000
     spark.conf.unset(setting)
+
+
+def test_translations_are_worked_out_once(spark, small):
+    """Readers of a pair's translation and issues don't bring the expressions again into a plan."""
+    plan = entry.queries()["final_text_assemble"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("translate(") <= 4
