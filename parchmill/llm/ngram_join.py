@@ -25,15 +25,21 @@ meet in a region.  A region is joined by rounds:
    make the regions smaller, the sets outside the core are dealt out in blocks, and
    each block meets all members, which are dealt out likewise.
 
+Before that a *sieve* leaves out sets that can't be linked, at any size of the table: of half
+of all hashes, those that occur in one set only are counted exactly, by ranges, and a set
+of which so many are its own that no other can share enough is done.  What it leaves is a
+bitmap of fixed size over keys of sets; the order of shingles is made of those sets only.
+
 Rows of a region are dealt over salts by its size, with the pivots' sets repeated in each, so
 no region, however hot, is one task.  Sets are held as 48-bit hashes and named by keys
-of 128 bits.  The order of shingles comes from counts over all texts, kept in tables of
+of 128 bits.  The order of shingles comes from counts over the sets left, kept in tables of
 fixed size (a bitmap for "in two texts or more", the most frequent values of each range):
 it only steers the work, and any order gives the same result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -49,6 +55,12 @@ from .storage import Scratch, boxed, ref, unboxed
 from .words import mix, row_sums, shingle_sets, text_chunks, words
 
 U = np.uint64
+#: Ranges of 24 more bits each in which the sieve looks for shingles of one set, sets of a chunk at most (those of a batch beside), and what stands for several sets.
+SIEVED, CHUNK_SETS, SEVERAL = 4096, 60_000, 0xFFFF
+#: Sets whose counts a task of the sieve holds (4 bytes each).
+SUMMED = 1 << 22
+#: Bits of a key that place it in the bitmap of the sets left: 2**26 bits, 8 MB, in rows of 2**15.
+PLACE_BITS, ROW_BITS = 26, 15
 #: Ranges of the 32 high bits of a shingle in which occurrences are counted.
 PARTS, PART_BITS = 1024, 22
 #: Adjacent counted values that share a bit of the bitmap, as a power of two: 2**27 bits, 16 MB.
@@ -90,8 +102,173 @@ def binary_keys(keys: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys.astype("<u8")).tobytes())]).cast(pa.binary())
 
 
-def _count_blobs(width: int) -> Callable:
-    """Text -> (range, counts of 64 subranges and the 16 low bits) of sorted values, each set once per task."""
+def _least_leading(n: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Leading shingles of sets of ``n``: as many as any linked set must share one of."""
+    num, den = threshold.numerator, threshold.denominator
+    return n - (num * n + den - 1) // den + 1
+
+
+def _sieve_blobs(width: int, threshold: Fraction) -> Callable:
+    """Text -> (range, chunk, sets in the chunk, 24 bits and the set's number of each sorted value), and beyond the ranges a row with place and least number of leading shingles of each set.
+
+    A chunk has some distinct sets of a task and is named by all their keys.  A value that is
+    in several of them is sent once.  Only hashes with a high bit of 0 are looked at.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        heads: list[np.ndarray] = []
+        seen: set[int] = set()
+        name = hashlib.blake2b(digest_size=8)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal name
+            chunk, docs = int.from_bytes(name.digest(), "little", signed=True), sum(map(len, heads))
+            every, head = np.concatenate(held), np.concatenate(heads).astype("<u4").tobytes()
+            for x in (held, heads, seen):
+                x.clear()
+            name = hashlib.blake2b(digest_size=8)
+            every.sort()
+            values = every >> U(16)
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            several = np.diff(np.append(first, len(values))) > 1
+            values, owners = values[first], np.where(several, U(SEVERAL), every[first] & U(0xFFFF))
+            packed = np.empty((len(values), 5), np.uint8)
+            packed[:, :3] = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+            packed[:, 3:] = owners.astype("<u2").view(np.uint8).reshape(-1, 2)
+            edges = np.searchsorted(values, np.arange(SIEVED + 1, dtype=U) << U(24))
+            parts = [p for p in range(SIEVED) if edges[p + 1] > edges[p]]
+            blobs = [packed[edges[p] : edges[p + 1]].tobytes() for p in parts]
+            parts.append(SIEVED + chunk % SIEVED)
+            blobs.append(head)
+            each = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * each, pa.int64()), pa.array([docs] * each, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "chunk", "docs", "blob"])
+
+        docs = size = 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                shingles, bounds = shingle_sets(words(data, offsets), width)
+                n, keys = np.diff(bounds), set_keys(shingles, bounds)
+                new = np.array([many > 0 and not (k in seen or seen.add(k)) for k, many in zip(keys[:, 0].tolist(), n.tolist())], bool)
+                own = shingles[np.repeat(new, n)]
+                owners = np.repeat(np.arange(docs, docs + new.sum()).astype(U), n[new])
+                half = own < U(1 << 63)
+                held.append(((own[half] << U(1)) >> U(28)) << U(16) | owners[half])
+                heads.append(np.stack([places(keys[new]), _least_leading(n[new], threshold)], axis=1))
+                name.update(keys[new].tobytes())
+                docs += int(new.sum())
+                size += len(held[-1])
+                if size >= FLUSH or docs >= CHUNK_SETS:
+                    yield flush()
+                    docs = size = 0
+        if docs:
+            yield flush()
+
+    return tidy(run)
+
+
+def places(keys: np.ndarray) -> np.ndarray:
+    return (keys[:, 0] >> U(64 - PLACE_BITS)).astype(np.int64)
+
+
+def _sieve_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs sorted by range -> (chunk, head, how many values are each set's alone), and the rows beyond the ranges."""
+    part, new = None, []
+    begins: dict[int, tuple[int, int]] = {}
+    counts = np.zeros(0, np.uint32)
+    nobody = (1 << 40) - 1
+
+    def alone() -> None:
+        nonlocal counts
+        every = []
+        for chunk, docs, blob in new:
+            begin, _ = begins.setdefault(chunk, (len(counts), docs))
+            if begin == len(counts):
+                counts = np.concatenate([counts, np.zeros(docs, np.uint32)])
+            rows = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+            values = np.zeros((len(rows), 4), np.uint8)
+            values[:, :3] = rows[:, :3]
+            owners = np.ascontiguousarray(rows[:, 3:]).view("<u2").ravel().astype(U)
+            every.append(values.view("<u4").ravel().astype(U) << U(40) | np.where(owners == SEVERAL, U(nobody), owners + U(begin)))
+        new.clear()
+        if not every:
+            return
+        found = np.concatenate(every)
+        found.sort()
+        change = np.concatenate([[True], (found[1:] ^ found[:-1]) >> U(40) != 0, [True]])
+        own = found[change[1:] & change[:-1]] & U(nobody)
+        np.add.at(counts, own[own != U(nobody)].astype(np.int64), np.uint32(1))
+
+    def done() -> pa.RecordBatch:
+        nonlocal counts
+        blobs = [np.minimum(counts[a : a + docs], 0xFFFF).astype("<u2").tobytes() for a, docs in begins.values()]
+        out = pa.RecordBatch.from_arrays([pa.array(list(begins), pa.int64()), pa.array([False] * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], names=["chunk", "head", "blob"])
+        begins.clear()
+        counts = np.zeros(0, np.uint32)
+        return out
+
+    for batch in batches:
+        heads: list[tuple] = []
+        for p, chunk, docs, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if p >= SIEVED:
+                heads.append((chunk, blob))
+                continue
+            if p != part:
+                alone()
+                part = p
+                if len(counts) > SUMMED:
+                    yield done()
+            new.append((chunk, docs, blob))
+        if heads:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in heads], pa.int64()), pa.array([True] * len(heads), pa.bool_()), pa.array([x for _, x in heads], pa.binary())], names=["chunk", "head", "blob"])
+    alone()
+    yield done()
+
+
+def _sieve_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the ranges sorted by chunk -> places of the sets that may have links."""
+    name, total, least = None, 0, None
+
+    def done() -> pa.RecordBatch:
+        left = least[:, 0][total < least[:, 1]] if least is not None else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(left.astype(np.int64))], names=["place"])
+
+    for batch in batches:
+        for chunk, head, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk != name:
+                yield done()
+                name, total, least = chunk, 0, None
+            if head:
+                least = np.frombuffer(blob, "<u4").reshape(-1, 2)
+            else:
+                total = total + np.frombuffer(blob, "<u2").astype(np.int64)
+    yield done()
+
+
+class Left:
+    """The sets that the sieve leaves, by places of their keys; a few others have the place of one."""
+
+    def __init__(self, rows: list):
+        self.bits = np.zeros((1 << (PLACE_BITS - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
+        for r in rows:
+            self.bits[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+        self.bits = self.bits.ravel()
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = places(keys)
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def sieve(texts: DataFrame, width: int, threshold: Fraction) -> Left:
+    """Sets of the column ``text`` that may be linked to others; 2,048 rows of a bitmap come to the driver, whatever the input."""
+    ranges = texts.select("text").mapInArrow(_sieve_blobs(width, threshold), "part int, chunk long, docs int, blob binary").repartition("part").sortWithinPartitions("part")
+    sums = ranges.mapInArrow(_sieve_ranges, "chunk long, head boolean, blob binary").repartition("chunk").sortWithinPartitions("chunk")
+    rows = sums.mapInArrow(_sieve_left, "place long").withColumn("row", F.shiftright("place", ROW_BITS).cast("int")).repartition("row")
+    return Left(rows.groupBy("row").agg(F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << ROW_BITS) - 1)).alias("bits")).collect())
+
+
+def _count_blobs(width: int, left) -> Callable:
+    """Text -> (range, counts of 64 subranges and the 16 low bits) of sorted values of the sets left, each set once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -112,7 +289,8 @@ def _count_blobs(width: int) -> Callable:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 shingles, bounds = shingle_sets(words(data, offsets), width)
-                new = np.array([not (k in seen or seen.add(k)) for k in set_keys(shingles, bounds)[:, 0].tolist()], bool)
+                keys = set_keys(shingles, bounds)
+                new = np.array([may and not (k in seen or seen.add(k)) for k, may in zip(keys[:, 0].tolist(), left.value.holds(keys).tolist())], bool)
                 fresh = (shingles[np.repeat(new, np.diff(bounds))] >> U(32)).astype(np.uint32)
                 held.append(fresh)
                 size += len(fresh)
@@ -198,13 +376,12 @@ class ShingleOrder:
 DESCRIBED = "doc_id long, n long, key binary, code long, shingles binary, leading binary"
 
 
-def _describe(width: int, threshold: Fraction, order) -> Callable:
-    """(doc_id, text) -> (doc_id, n, key) and, where leading shingles are shared, a code, the set and the leading ones.
+def _describe(width: int, threshold: Fraction, left, order) -> Callable:
+    """(doc_id, text) -> (doc_id, n, key, code) and, where the sieve leaves a set and leading shingles are shared, the set and the leading ones.
 
     Copies in one task send their set once.  A code is the share of unique shingles in
     eighths of the leading ones and 60 bits of the key.
     """
-    num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = order.value, set()
@@ -214,13 +391,13 @@ def _describe(width: int, threshold: Fraction, order) -> Callable:
                 n = np.diff(bounds)
                 shared = table.is_shared(shingles)
                 unique = row_sums((~shared).astype(np.int64), bounds)
-                leading = n - (num * n + den - 1) // den + 1
+                leading = _least_leading(n, threshold)
                 sets, fronts = [None] * len(n), [None] * len(n)
                 share = np.minimum(8 * unique // np.maximum(leading, 1), 7).astype(U)
                 keys = set_keys(shingles, bounds)
                 codes = ((share << U(60)) | (keys[:, 0] >> U(4))).view(np.int64)
                 names = binary_keys(keys)
-                for d in np.flatnonzero((unique < leading) & (n > 0)).tolist():
+                for d in np.flatnonzero((unique < leading) & (n > 0) & left.value.holds(keys)).tolist():
                     if (key := names[d].as_py()) in seen:
                         continue
                     if len(seen) >= REMEMBERED:
@@ -546,11 +723,13 @@ def classes(texts: DataFrame, width: int, threshold: Fraction, limits: Limits, s
     """Rows (doc_id, text) -> their (doc_id, n, key), and (key, root) of the sets that are linked to others."""
     spark = texts.sparkSession
     small_batches(spark)
-    blobs = texts.select("text").mapInArrow(_count_blobs(width), "part int, blob binary")
+    left = spark.sparkContext.broadcast(sieve(texts, width, threshold))
+    blobs = texts.select("text").mapInArrow(_count_blobs(width, left), "part int, blob binary")
     ranges = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(_count_ranges, "part int, shared binary, often binary, level binary")
     order = spark.sparkContext.broadcast(ShingleOrder(ranges.collect()))  # 1024 rows of fixed size
-    described = scratch.keep(texts.mapInArrow(_describe(width, threshold, order), DESCRIBED), "sets")
+    described = scratch.keep(texts.mapInArrow(_describe(width, threshold, left, order), DESCRIBED), "sets")
     order.unpersist()
+    left.unpersist()
     active = described.where("leading is not null")
     entries = active.select("key", "n", "code", "leading").mapInArrow(_leading, "shingle long, key binary, n long, code long")
     elected = entries.groupBy("shingle").agg(F.min("code").alias("region"), F.max("code").alias("last")).where("region < last").select("shingle", "region")

@@ -6,13 +6,16 @@ import hashlib
 import random
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parchmill.llm.fingerprint import PrefixHash, fingerprints, likeness
 from parchmill.llm.mixing import mix_copies
+from parchmill.llm import ngram_join
 from parchmill.llm.ngram_join import Limits, Probe, near_duplicates, one_of_each, pack_set, unpack_set
 from parchmill.llm.quality import BASE, POLICIES, RULES, ablations, kept, ledger
 from parchmill.llm.words import shingle_sets, text_chunks, words
@@ -108,6 +111,43 @@ def test_near_duplicates_edges(spark):
     assert got == [(-1, 0, -1), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2)]
 
 
+def _sieved(parts, threshold=Fraction(4, 5)):
+    """The sieve over tables of texts, each a task's, without Spark."""
+    blobs = [b for part in parts for b in ngram_join._sieve_blobs(5, threshold)(iter(pa.table({"text": pa.array(part, pa.string())}).to_batches(max_chunksize=7)))]
+    ranges = pa.Table.from_batches(blobs).sort_by("part").to_batches(max_chunksize=1000)
+    sums = pa.Table.from_batches(list(ngram_join._sieve_ranges(iter(ranges)))).sort_by("chunk").to_batches()
+    left = np.concatenate([b.column(0).to_numpy() for b in ngram_join._sieve_left(iter(sums))])
+    out = ngram_join.Left([])
+    np.bitwise_or.at(out.bits, left >> 3, (1 << (left & 7)).astype(np.uint8))
+    return out
+
+
+def test_sieve_leaves_what_may_link(monkeypatch):
+    """Whatever the order of shingles knows: with each bit of it set, unrelated texts still have no set to be joined."""
+    texts = sorted({t for _, t, _ in corpus() if t})
+    apart = [" ".join(prose(5000 + k, 300)) for k in range(40)]
+    keys = dict(zip(texts + apart, _keys(texts + apart)))
+    sets = {t: sets_of(t) for t in texts}
+    linked = {t for t in texts if any(sets[u] != sets[t] and sets[t] & sets[u] and 5 * len(sets[t] & sets[u]) >= 4 * len(sets[t] | sets[u]) for u in texts)}
+    assert len(linked) > 10
+    for flush, summed in ((2_000_000, 1 << 22), (200, 10)):
+        monkeypatch.setattr(ngram_join, "FLUSH", flush)
+        monkeypatch.setattr(ngram_join, "SUMMED", summed)
+        for parts in ([texts + apart], [texts[::2] + apart[::2], texts[1::2] + apart[1::2]], [texts, apart, texts]):
+            left = _sieved(parts)
+            assert all(left.holds(keys[t]).all() for t in linked)
+            assert not any(left.holds(keys[t]).any() for t in apart)
+    known = ngram_join.ShingleOrder([])
+    known.shared[:] = 255
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(apart) + len(texts))), pa.array(apart + texts)], names=["doc_id", "text"])
+    told = pa.Table.from_batches(list(ngram_join._describe(5, Fraction(4, 5), SimpleNamespace(value=left), SimpleNamespace(value=known))(iter([batch]))))
+    assert told.num_rows == len(apart + texts) and told["shingles"][: len(apart)].null_count == len(apart) and told["shingles"].null_count < told.num_rows
+
+
+def _keys(texts):
+    return [ngram_join.set_keys(*shingle_sets(words(data, offsets), 5)) for t in texts for _, _, data, offsets in text_chunks(pa.array([t], pa.string()))]
+
+
 def test_probe():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))).astype(np.uint64) for _ in range(40)]
