@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import split_words, strip
+from .text import once, split_words, strip
 
 # Parts of model names.
 VISION_HINTS = (
@@ -51,12 +51,13 @@ def strict_flag(text: Column) -> Column:
 
 def strict_int(text: Column, low: int | None = None, high: int | None = None) -> Column:
     """An integer within bounds, else null."""
-    value = F.when(strip(text).rlike(r"\A[+-]?[0-9]+\z"), strip(text).try_cast("long"))
+    value = strip(text).try_cast("long")
+    good = strip(text).rlike(r"\A[+-]?[0-9]+\z")
     if low is not None:
-        value = F.when(value >= low, value)
+        good &= value >= low
     if high is not None:
-        value = F.when(value <= high, value)
-    return value
+        good &= value <= high
+    return F.when(good, value)
 
 
 def strict_list(text: Column) -> Column:
@@ -125,14 +126,20 @@ def options_problems(options: Column, known: dict[str, tuple]) -> Column:
 
     ``known`` has (kind, low, high) by name; kinds are flag, int and text.  Values may be given as text.
     """
-    parsed = F.try_parse_json(options)
-    whole = F.startswith(F.coalesce(F.schema_of_variant(parsed), F.lit("")), F.lit("OBJECT"))
-    found = []
-    for name, (kind, low, high) in known.items():
-        said = F.try_variant_get(parsed, f"$.{name}", "string")
-        good = strict_flag(said).isNotNull() if kind == "flag" else strict_int(said, low, high).isNotNull() if kind == "int" else F.length(said).between(low or 0, high or 1_000_000)
-        found.append(F.when(whole & said.isNotNull() & ~F.coalesce(good, F.lit(False)), F.lit(name)))
-    keys = F.json_object_keys(options)
-    found.append(F.when(whole & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0), F.lit("unknown")))
-    found.append(F.when(~whole, F.lit("json")))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    def read(text: Column, parsed: Column) -> Column:
+        whole = F.startswith(F.coalesce(F.schema_of_variant(parsed), F.lit("")), F.lit("OBJECT"))
+        said = [F.try_variant_get(parsed, f"$.{name}", "string").alias(f"said{k}") for k, name in enumerate(known)]
+        return F.struct(whole.alias("whole"), F.json_object_keys(text).alias("keys"), *said)
+
+    def problems(row: Column) -> Column:
+        whole, found = row["whole"], []
+        for k, (name, (kind, low, high)) in enumerate(known.items()):
+            said = row[f"said{k}"]
+            good = strict_flag(said).isNotNull() if kind == "flag" else strict_int(said, low, high).isNotNull() if kind == "int" else F.length(said).between(low or 0, high or 1_000_000)
+            found.append(F.when(whole & said.isNotNull() & ~F.coalesce(good, F.lit(False)), F.lit(name)))
+        found.append(F.when(whole & (F.size(F.array_except(row["keys"], F.array(*[F.lit(k) for k in known]))) > 0), F.lit("unknown")))
+        found.append(F.when(~whole, F.lit("json")))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return once(options, lambda text: once(F.try_parse_json(text), lambda parsed: once(read(text, parsed), problems)))

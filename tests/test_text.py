@@ -97,3 +97,18 @@ def test_html_tables(spark):
     ragged = "p <tr><td>a</td></tr>\n<tr><td>b <b>c</b></td><td>d</td></tr> q"
     got = values(spark, convert_tables, full, ragged, "none", "<tr></tr>", "<p>x</p>")
     assert got == ["x\n\n| A | B |\n|---|---|\n| 1 | a\\|b |\n\ny", "p \n\n| a |  |\n|---|---|\n| b c | d |\n\nq", "none", "<tr></tr>", "<p>x</p>"]
+
+
+def _mentions(spark, value):
+    """How often an expression over a column names it."""
+    plan = spark.range(1).selectExpr("string(id) AS said").select(value(F.col("said")).alias("out"))._jdf.queryExecution().analyzed().toString()
+    return plan.splitlines()[0].count("said#")
+
+
+def test_options_are_read_once(spark):
+    """An expression named many times is worked out as many times in an array."""
+    known = {"dry": ("flag", None, None), "workers": ("int", 1, 64), "name": ("text", 2, 3)}
+    assert _mentions(spark, lambda c: scalars.options_problems(c, known)) == 1
+    rows = [('{"dry": "yes", "workers": 64}', []), ('{"dry": "perhaps", "workers": "x", "name": "a"}', ["dry", "workers", "name"]), ('{"workers": "99999999999999999999"}', ["workers"]), ('{"workers": " +7 ", "b": 1}', ["unknown"]), ("[1]", ["json"]), ("[1", ["json"]), (None, ["json"])]
+    got = spark.createDataFrame([(k, o) for k, (o, _) in enumerate(rows)], "k int, o string").select("k", scalars.options_problems(F.col("o"), known).alias("p")).orderBy("k").collect()
+    assert [r["p"] for r in got] == [p for _, p in rows]
