@@ -112,3 +112,13 @@ def test_options_are_read_once(spark):
     rows = [('{"dry": "yes", "workers": 64}', []), ('{"dry": "perhaps", "workers": "x", "name": "a"}', ["dry", "workers", "name"]), ('{"workers": "99999999999999999999"}', ["workers"]), ('{"workers": " +7 ", "b": 1}', ["unknown"]), ("[1]", ["json"]), ("[1", ["json"]), (None, ["json"])]
     got = spark.createDataFrame([(k, o) for k, (o, _) in enumerate(rows)], "k int, o string").select("k", scalars.options_problems(F.col("o"), known).alias("p")).orderBy("k").collect()
     assert [r["p"] for r in got] == [p for _, p in rows]
+
+
+def test_clean_ups_read_once(spark):
+    """Neither the text nor what is stripped of it is worked out again for each delimiter."""
+    assert _mentions(spark, text.strip_math_delimiters) == _mentions(spark, text.strip_fence) == 1
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rows = spark.createDataFrame([(s + "$$ a" + s + "b $$" + s, s) for s in spaces], "t string, s string")
+    assert all(r["a"] == "a" + r["s"] + "b" for r in rows.select("s", text.strip_math_delimiters(F.col("t")).alias("a")).collect())
+    runs = spark.createDataFrame([("NoneNone None x",), ("None None",), ("a None None\n NoneNone ",)], "t string").select(text.clean_ocr_artifacts(F.col("t")).alias("a"))
+    assert [r["a"] for r in runs.collect()] == ["x", "None None", "a "]
