@@ -25,7 +25,7 @@ ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680,
 CLOSERS = frozenset(".,;:!?")
 ODD_PAIRS = ["  ", " \n", "\n ", "\n\n"]
 #: Entries in the younger generation of each cache of an encoder; the older one holds as many.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -44,10 +44,13 @@ class _Pieces(dict):
     def __init__(self, owner: "Encoder", lead: str):
         super().__init__()
         self.owner, self.lead, self.old = owner, lead, {}
+        self.mark = lead.translate(owner.alphabet)
 
     def __missing__(self, piece: str) -> bytes:
         if (found := self.old.get(piece)) is None:
-            if piece.isalpha() and max(piece) < "\u0250":
+            if piece.isascii() and piece.isalpha():  # letters that stand for themselves
+                found = self.owner.encode_mapped(self.mark + piece)
+            elif piece.isalpha() and max(piece) < "\u0250":
                 found = self.owner.encode_pretoken(self.lead + piece)
             elif piece[-1:] in CLOSERS and piece[:-1].isalpha():
                 found = self[piece[:-1]] + self.owner.bare[piece[-1]]
@@ -69,6 +72,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # pieces are kept here; a second cache costs a new piece as long again
         self.alphabet = byte_alphabet()
         self.split = regex.compile(PRETOKENS).findall
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
@@ -76,9 +81,12 @@ class Encoder:
     def by_library(self, text: str) -> bytes:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def encode_mapped(self, mapped: str) -> bytes:
+        return array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def encode_pretoken(self, token: str) -> bytes:
         mapped = token.encode().decode("latin-1").translate(self.alphabet)
-        return array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self.encode_mapped(mapped)
 
     def encode_piece(self, piece: str) -> bytes:
         if not piece:

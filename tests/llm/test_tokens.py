@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import defaultdict
 
@@ -54,6 +55,19 @@ def test_encoder_added_tokens(encode):
     assert np.frombuffer(encode.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_encoder_bounded():
+    """What an encoder keeps of 700,000 distinct words is bounded, and ids stay right."""
+    encoder = Encoder(default_vocabulary())
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[k // 20**i % 20] for i in range(5)) for k in range(700_000)]
+    for k in range(0, len(words), 1000):
+        encoder.encode(" ".join(words[k : k + 1000]))
+    kept = [table for pieces in (encoder.spaced, encoder.bare) for table in (pieces, pieces.old)]
+    assert sum(map(sys.getsizeof, kept)) + sum(sys.getsizeof(x) for table in kept for item in table.items() for x in item) < 50_000_000
+    again = "the " + " ".join(words[::7001])
+    assert np.frombuffer(encoder.encode(again), "<u4").tolist() == ids_of(encoder, again)
+
+
 def check_packing(rows, texts, encode, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
