@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import small_batches
 from .storage import materialise, others, ref, unboxed
 
 #: Fixed value: what separates words.
@@ -103,6 +104,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids order first; very long texts are counted whole; an empty table gives an empty
     table.  Words are counted once for the sums and once for the rows themselves.
     """
+    small_batches(docs.sparkSession)
     counted = materialise(sized(docs, id_col, text_col, source_col), "sizes")
     row = F.struct(*[ref(c) for c in docs.columns])
     drawn = draw(sized(docs, id_col, text_col, source_col, __pm_row=row), counted, weights, share, most, seed)

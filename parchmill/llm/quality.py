@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import small_batches
 from .mixing import WORD
 from .storage import boxed, others, ref, unboxed
 
@@ -77,6 +78,7 @@ def ledger(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
     equal answers, and an empty table gives an empty table.  A ``prefix`` goes before the
     added names, where the columns of ``docs`` must stay.
     """
+    small_batches(docs.sparkSession)
     # names of this module would shadow columns of docs, so these are carried in one struct
     out = boxed(docs, __pm_text=F.coalesce(ref(text_col).cast("string"), F.lit("")))
     for name, value in measurements(F.col("__pm_text")):

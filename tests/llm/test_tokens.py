@@ -68,6 +68,20 @@ def test_encoder_bounded():
     assert np.frombuffer(encoder.encode(again), "<u4").tolist() == ids_of(encoder, again)
 
 
+def test_texts_are_read_in_small_batches(spark, small):
+    """Parquet's default of 4,096 texts a batch fills an executor's heap; each stage alone lowers it, and a lower value stays."""
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(setting)
+        stage(spark, docs, small)
+        assert int(spark.conf.get(setting)) <= 512, name
+    spark.conf.set(setting, "64")
+    corpus_pipeline.quality_rules(spark, docs, small)
+    assert spark.conf.get(setting) == "64"
+    spark.conf.unset(setting)
+
+
 def check_packing(rows, texts, encode, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
