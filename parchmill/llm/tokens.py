@@ -12,6 +12,8 @@ library's pipeline itself, so ids are always those of
 from __future__ import annotations
 
 import array
+import codecs
+import re
 
 import regex
 
@@ -23,6 +25,11 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: A piece of letters and one of these is two pre-tokens.
 CLOSERS = frozenset(".,;:!?")
+#: A pre-token ends between a Latin letter or digit and a mark (not an apostrophe, which may begin one with letters).
+MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f].)")
+#: Stands before a mark that was cut off: odd white space, so in no text that is cut.
+CUT = "\x1f"
+CUT_OFF = rf" {CUT}\g<0>"
 ODD_PAIRS = ["  ", " \n", "\n ", "\n\n"]
 #: Entries in the younger generation of each cache of an encoder; the older one holds as many.
 CACHE = 150_000
@@ -52,6 +59,8 @@ class _Pieces(dict):
                 found = self.owner.encode_mapped(self.mark + piece)
             elif piece.isalpha() and max(piece) < "\u0250":
                 found = self.owner.encode_pretoken(self.lead + piece)
+            elif piece[:1] == CUT:
+                found = self.owner.encode_piece(piece[1:])
             elif piece[-1:] in CLOSERS and piece[:-1].isalpha():
                 found = self[piece[:-1]] + self.owner.bare[piece[-1]]
             else:
@@ -75,6 +84,7 @@ class Encoder:
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # pieces are kept here; a second cache costs a new piece as long again
         self.alphabet = byte_alphabet()
+        self.letters = "".join(self.alphabet[b] for b in range(256))
         self.split = regex.compile(PRETOKENS).findall
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
 
@@ -85,8 +95,7 @@ class Encoder:
         return array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode_pretoken(self, token: str) -> bytes:
-        mapped = token.encode().decode("latin-1").translate(self.alphabet)
-        return self.encode_mapped(mapped)
+        return self.encode_mapped(codecs.charmap_decode(token.encode(), "strict", self.letters)[0])
 
     def encode_piece(self, piece: str) -> bytes:
         if not piece:
@@ -103,7 +112,7 @@ class Encoder:
             return self.by_library(text)
         newline, spaced, bare = self.bare["\n"], self.spaced.__getitem__, self.bare.__getitem__
         lines = []
-        for line in text.split("\n"):
+        for line in MARKS.sub(CUT_OFF, text).split("\n"):
             pieces = line.split(" ")
             lines.append(bare(pieces[0]) + b"".join(map(spaced, pieces[1:])))
         return newline.join(lines)

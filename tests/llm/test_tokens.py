@@ -68,6 +68,23 @@ def test_encoder_bounded():
     assert np.frombuffer(encoder.encode(again), "<u4").tolist() == ids_of(encoder, again)
 
 
+def test_encoder_cuts_marks_off():
+    """A word is encoded and kept once, whatever marks follow it; ids of any mix of letters, digits and marks stay right."""
+    encoder, marks = Encoder(default_vocabulary()), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    words = [f"{a}{b}{c}" for a in "stéfanol" for b in "aeiouüø" for c in ("n", "rth", "ß")]
+    made, encode_mapped = [], encoder.encode_mapped
+    encoder.encode_mapped = lambda mapped: made.append(mapped) or encode_mapped(mapped)
+    for mark in marks:
+        text = "x " + " ".join(w + mark for w in words) + " x"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(encoder, text)
+    assert len(made) <= len(words) + len(marks) + 5 and len(encoder.spaced) + len(encoder.bare) <= len(words) + 2 * len(marks) + 5
+    rng = np.random.default_rng(7)
+    signs = np.array(list(marks + "'' \n aéßøɏɐstdmlvre091²½ªпд字"))
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, rng.integers(1, 25)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(encoder, text), text
+
+
 def test_texts_are_read_in_small_batches(spark, small):
     """Parquet's default of 4,096 texts a batch fills an executor's heap; each stage alone lowers it, and a lower value stays."""
     setting = "spark.sql.parquet.columnarReaderBatchSize"
