@@ -55,8 +55,14 @@ def packed_rows(values: np.ndarray, width: int) -> np.ndarray:
 def unpack_bits(data: bytes, count: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(count, np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    groups = -(-count // 8)  # eight values fill as many bytes as a value has bits
+    padded = bytes(data).ljust(groups * width + 8, b"\0")
+    out = np.empty((groups, 8), np.uint32)
+    for i in range(8):
+        byte, bit = divmod(i * width, 8)
+        words = np.ndarray(groups, "<u8", padded, byte, (width,))
+        out[:, i] = (words >> np.uint64(bit)) & np.uint64((1 << width) - 1)
+    return out.ravel()[:count]
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -107,6 +113,25 @@ def decode_block(data: bytes, at: int, count: int) -> np.ndarray:
     return ids + np.uint32(least)
 
 
+def decode_blocks(data: bytes | memoryview, starts: list[int], count: int, block_ids: int) -> np.ndarray:
+    """``decode_block`` of consecutive blocks; full ones of one width are unpacked together."""
+    full = count // block_ids if block_ids % 8 == 0 else 0
+    grid = np.empty((full, block_ids), np.uint32)
+    heads = [BLOCK.unpack_from(data, at) for at in starts[:full]]
+    widths = np.array([h[1] for h in heads], np.int64)
+    for width in np.unique(widths).tolist():
+        own, size = np.flatnonzero(widths == width), block_ids * width // 8
+        packed = b"".join([data[starts[k] + BLOCK.size : starts[k] + BLOCK.size + size] for k in own.tolist()])
+        grid[own] = unpack_bits(packed, len(own) * block_ids, width).reshape(-1, block_ids)
+    for k, (least, width, many) in enumerate(heads):
+        if many:
+            at = starts[k] + BLOCK.size + block_ids * width // 8
+            grid[k, np.frombuffer(data, "<u2", many, at)] = np.frombuffer(data, "<u4", many, at + 2 * many)
+    grid += np.array([h[0] for h in heads], np.uint32)[:, None]
+    rest = [decode_block(data, starts[k], min(block_ids, count - k * block_ids)) for k in range(full, len(starts))]
+    return np.concatenate([grid.ravel(), *rest])
+
+
 def encode_segment(number: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     blocks = encode_blocks(ids, block_ids)
     index = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u4").tobytes()
@@ -133,8 +158,7 @@ def decode_segments(data: bytes | memoryview) -> Iterator[tuple[int, list[int |
         counts = np.frombuffer(data, "<u4", docs, body + 9 * docs)
         index = np.frombuffer(data, "<u4", blocks + 1, body + 13 * docs)
         area = body + 13 * docs + 4 * (blocks + 1)
-        parts = [decode_block(data, area + int(index[k]), min(block_ids, ids - k * block_ids)) for k in range(blocks)]
-        yield number, [None if x else d for d, x in zip(doc_ids, nulls)], counts, np.concatenate([*parts, np.zeros(0, np.uint32)])
+        yield number, [None if x else d for d, x in zip(doc_ids, nulls)], counts, decode_blocks(data, (area + index[:-1].astype(np.int64)).tolist(), ids, block_ids)
         at = end + 4 + 1
 
 

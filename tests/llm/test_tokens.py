@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parchmill.llm import langid
+from parchmill.llm import langid, token_store
 from parchmill.llm.packing import fullest, pack, pack_lengths, slots
 from parchmill.llm.storage import materialise, shared_dir
 from parchmill.llm.token_rollup import Rollup, count_tokens, deletes, inserts, revisions
@@ -161,6 +161,22 @@ def test_segments():
         list(decode_segments(data[:60] + bytes([data[60] ^ 1]) + data[61:]))
 
 
+def test_blocks_of_one_width_are_unpacked_together(monkeypatch):
+    """A segment is read with one call for each width of its full blocks, not for each block; ids stay right at every width."""
+    rng, calls = np.random.default_rng(3), []
+    unpack = token_store.unpack_bits
+    monkeypatch.setattr(token_store, "unpack_bits", lambda *x: calls.append(x) or unpack(*x))
+    for width in range(33):
+        ids = rng.integers(0, 1 << width, 20 * 1024 + 5, dtype=np.uint64).astype(np.uint32)
+        ids[::1024] = 0
+        ids[5::1024] = (1 << 32) - 1  # an exception, unless all bits are kept
+        for block_ids in (1024, 100):
+            calls.clear()
+            (_, _, _, got), *_ = decode_segments(encode_segment(1, [1], [len(ids)], ids.copy(), block_ids) + b"\n")
+            assert got.dtype == np.uint32 and (got == ids).all()
+            assert block_ids % 8 or len(calls) <= 3
+
+
 def test_token_files(spark, encode):
     rows = list(enumerate(TEXTS * 3)) + [(None, "null id"), (3, "again")]
     path = shared_dir(spark, "tokens")
