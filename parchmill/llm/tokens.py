@@ -1,8 +1,8 @@
 """Token ids of whole texts, by the ``tokenizers`` library and a vocabulary file.
 
 The library's full pipeline tracks offsets and costs more than 10 microseconds a
-word.  Here a text is cut where a byte-level pre-token must end (a single space
-or newline between two other characters), the library's own model encodes each
+word.  Here a text is cut where a byte-level pre-token must end (a single space or
+newline between two other characters, a mark behind a letter), the library's own model encodes each
 distinct pre-token once, and a bounded cache gives the rest.  Texts with other
 white space or the string of an added token, and characters beyond Latin, go to the
 library's pipeline itself, so ids are always those of
@@ -31,8 +31,9 @@ MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\
 CUT = "\x1f"
 CUT_OFF = rf" {CUT}\g<0>"
 ODD_PAIRS = ["  ", " \n", "\n ", "\n\n"]
-#: Entries in the younger generation of each cache of an encoder; the older one holds as many.
-CACHE = 150_000
+#: Entries in the younger generation of an encoder's caches, of pieces behind a space and of others; the older ones hold
+#: as many.  The first is what a dict of its size in memory can hold.
+CACHE = {" ": 174_000, "": 126_000}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -51,7 +52,7 @@ class _Pieces(dict):
     def __init__(self, owner: "Encoder", lead: str):
         super().__init__()
         self.owner, self.lead, self.old = owner, lead, {}
-        self.mark = lead.translate(owner.alphabet)
+        self.mark, self.most = lead.translate(owner.alphabet), CACHE[lead]
 
     def __missing__(self, piece: str) -> bytes:
         if (found := self.old.get(piece)) is None:
@@ -65,7 +66,7 @@ class _Pieces(dict):
                 found = self[piece[:-1]] + self.owner.bare[piece[-1]]
             else:
                 found = self.owner.encode_piece(self.lead + piece)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = found
